@@ -3,22 +3,51 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from worktrace.llm import mixing, packing
-from worktrace.llm.common import read_table, stored
+from worktrace.llm import line_dedup, minhash, mixing, packing, toxicity
+from worktrace.llm.common import DOCUMENT_COLUMNS, read_table, stored
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold; the model learns from the labelled rows of the whole table."""
+    lexicon = toxicity.fit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return toxicity.without_toxic(docs.select(*DOCUMENT_COLUMNS), lexicon)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without runs of lines that an earlier one has; those of which nothing is left go."""
+    out = line_dedup.dedup_lines(docs.select(*DOCUMENT_COLUMNS))
+    out = out.where((F.col("n_removed_units") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    n_chars = F.when(F.col("n_removed_units") == 0, F.col("n_chars")).otherwise(F.length("text")).cast("long")
+    return out.withColumn("n_chars", n_chars).select(*DOCUMENT_COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group of near copies."""
+    gone = minhash.near_duplicates(docs.select("doc_id", "text")).where("not kept").select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*DOCUMENT_COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed(docs)
+    """Documents as often as their source's target takes them."""
+    return mixing.mixed(docs.select(*DOCUMENT_COLUMNS))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their places in sequences."""
     return packing.pack(docs)
 
 
-STAGES = [("mix sources to target weights", mix_sources), ("best-fit packing", pack_sequences)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("minhash near-dedup", drop_near_duplicates),
+    ("mix sources to target weights", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
 
-#: Learned scores, signatures and tokenizers are not expressible in SQL.
+#: Learned scores, signatures and tokenizers are not expressible in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 

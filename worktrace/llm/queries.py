@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worktrace.llm import mixing, packing, quality_rules, token_counts
+from worktrace.llm import fingerprints, line_dedup, minhash, mixing, packing, quality_fm, quality_rules, token_counts, toxicity, warc
 from worktrace.llm.common import read_table
 
 
@@ -13,6 +13,30 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("clean_text")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_removed_units", "n_removed_chars", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints_with_next(read_table(spark, sf_dir, "documents"))
+
+
+def op5_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality_fm.score(docs, quality_fm.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    out = toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
+    return out.withColumn("n_toxic_sentences", F.size("sentences").cast("long")).drop("sentences")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
@@ -21,10 +45,22 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Derivatives of all pages, their blocks by length and digest."""
+    out = warc.derivatives(warc.responses(read_table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    return out.withColumn("content_length", F.octet_length("block").cast("long")).drop("block")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(read_table(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op7_packing, op8_token_counts, op10_mixing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_line_dedup, op3_minhash, op4_fingerprints, op5_quality_fm, op6_toxicity, op7_packing, op8_token_counts,
+        op9_warc, op10_mixing,
+    )
+}
 
 ORACLES: dict[str, str] = {}
