@@ -91,8 +91,9 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     own = s.where(F.size("shifts") > 0).select("k", "u", "n", F.explode("shifts").alias("shift"))
     here = F.filter(F.sequence(F.lit(0), F.size("u") - 1), lambda i: _equal(F.get("u", i), _before("u", i, F.col("shift"))))
     inside = long_runs(own.withColumn("at", here), "at", "runs").select("k", "runs")
-    found = across.unionAll(inside).where(F.size("runs") > 0)
-    return found.groupBy("k").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
+    # A filter on runs before this aggregate would be pushed below their making and repeat it for every entry.
+    found = across.unionAll(inside).groupBy("k").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
+    return found.where(F.size("runs") > 0)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:

@@ -7,35 +7,40 @@ Documents are linked where the similarity of their sets (intersection by union)
 2. SuperMinHash gives each class a signature: every element deals itself, by a permutation of its own, one rank in each
    step; steps stop as soon as no slot can fall further. Bands of the signature are buckets.
 3. Each class is compared with the first class of its buckets. What that links grows together (connected components), and
-   only buckets that still hold several components are searched on: all their pairs across components if they are
-   small, otherwise pairs with a doubling number of first members per round. No bucket is cut off: rounds go on until
-   each pair of a bucket is compared or already connected.
+   only buckets that still hold several components are searched on: members outside a bucket's largest component
+   against all others. Where they are many, a doubling number of them per round; no bucket is cut off, rounds go on
+   until each pair of a bucket is compared or connected. Sizes and a sketch of the signature rule out most pairs.
 4. Every link is confirmed on the full sets, in groups of one first member and up to ``CHUNK`` others.
 
 Null and empty texts have empty sets and are linked with nothing; very long texts are taken whole; rows of one id are
-united as if they were copies (their sets differ only if their texts do, and then each row counts); ties go to the
+united as if they were copies, and one of them stands for the id in comparisons; ties go to the
 smaller id; an empty table gives an empty result; further columns do not matter. Ids must be integers and not null:
 rows without id are kept as documents of their own, linked with nothing.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from worktrace.llm.common import Cache, slices, splitmix, stored
 
 SHINGLE = 4
 PERCENT = 80
-BANDS = 32
-ROWS = 5
+BANDS = 40
+ROWS = 6
 CHUNK = 64
-SMALL_BUCKET = 32
+#: Members of a bucket outside its largest component that are compared with all others in the first round.
+FIRSTS = 256
+#: Of 192 bits, one of each of as many slots, a pair at the least similarity differs in 19.2 on average, with a deviation
+#: of 4.2 at most: more than 46 are never seen, so that such pairs need no look at their sets.
+SKETCH = 192
+MOST_DIFFERENT = 46
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
@@ -86,7 +91,7 @@ def superminhash(sets: list[np.ndarray], m: int) -> np.ndarray:
             order = order[keep] if order is not None else None
         if not len(elements):
             break
-        z = splitmix(elements + np.uint64(j + 1) * _FACTORS[1])
+        z = splitmix(elements + np.uint64((j + 1) * int(_FACTORS[1]) & 0xFFFFFFFFFFFFFFFF))
         rank = (z >> np.uint64(32)).astype(np.float64) * 2.0**-32
         k = (j + (((z & np.uint64(0xFFFFFFFF)) * np.uint64(m - j)) >> np.uint64(32)).astype(np.int64)).astype(np.int64)
         if order is None and j < 8:
@@ -122,18 +127,21 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
                 sizes = np.array([len(s) for s in sets], np.int64)
                 digest = [np.array([splitmix(s).sum(dtype=np.uint64), (splitmix(s ^ _FACTORS[3]) * _FACTORS[2]).sum(dtype=np.uint64)]) for s in sets]
                 digest = np.array(digest, np.uint64).reshape(-1, 2).view(np.int64)
+                bits = (splitmix(values.reshape(len(sets), -1)[:, :SKETCH]) & np.uint64(1)).astype(np.uint8)
+                sketch = np.packbits(bits, axis=1).view(np.int64)
                 offsets = pa.array(np.where(sizes > 0, bands, 0).cumsum(), pa.int32())
                 offsets = pa.concat_arrays([pa.array([0], pa.int32()), offsets])
                 listed = pa.ListArray.from_arrays(offsets, pa.array(keys[sizes > 0].reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(sizes), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), listed],
-                    names=["doc_id", "n_shingles", "a", "b", "bands"],
+                    [pa.array(ids, pa.int64()), pa.array(sizes), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), listed]
+                    + [pa.array(sketch[:, i].copy()) for i in range(3)],
+                    names=["doc_id", "n_shingles", "a", "b", "bands", "s0", "s1", "s2"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, a long, b long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, a long, b long, bands array<long>, s0 long, s1 long, s2 long")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The rows (c, x) of ``pairs`` whose full sets are similar enough; ``texts`` has id and text of all of them."""
     chunks = pairs.groupBy("c").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
     cut = pairs.join(chunks, "c").withColumn("chunk", F.pmod(F.xxhash64("x"), F.col("chunks")))
@@ -153,10 +161,10 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Data
                     continue
                 assert group == (a, b)
                 small, large = sorted((len(own), len(s)))
-                if small * 100 < percent * large:
+                if small * 100 < PERCENT * large:
                     continue
                 both = len(np.intersect1d(own, s, assume_unique=True))
-                if 100 * both >= percent * (small + large - both):
+                if 100 * both >= PERCENT * (small + large - both):
                     out_c.append(a)
                     out_x.append(m)
             yield pa.RecordBatch.from_arrays([pa.array(out_c, pa.int64()), pa.array(out_x, pa.int64())], names=["c", "x"])
@@ -192,39 +200,47 @@ def labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(roots, F.col("id") == F.col("_id"), "left").withColumn("root", F.coalesce("root", "id")).drop("_id")
 
 
-def similar_classes(classes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """id and root of the classes (id, bands, size) that are connected with a smaller one."""
-    buckets = classes.select(F.col("id"), F.explode("bands").alias("bucket"))
-    first = buckets.groupBy("bucket").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    members = stored(buckets.join(first, "bucket").select("bucket", "id", "first", "n"), "buckets")
+def unlike(a: str, b: str) -> Column:
+    """True where sizes or sketches of two members rule out a link."""
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}{s}").bitwiseXOR(F.col(f"{b}{s}"))) for s in ("s0", "s1", "s2")])
+    small, large = F.least(f"{a}n", f"{b}n"), F.greatest(f"{a}n", f"{b}n")
+    return (small * 100 < large * PERCENT) | (differ > MOST_DIFFERENT)
+
+
+def similar_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """id and root of the classes (id, bands, n, s0, s1, s2) that are connected with a smaller one."""
+    buckets = classes.select("id", F.explode("bands").alias("bucket"))
+    first = buckets.groupBy("bucket").agg(F.min("id").alias("first"), F.count("*").alias("members")).where("members > 1")
+    members = stored(buckets.join(first, "bucket").select("bucket", "id", "first"), "buckets")
     ids = members.select("id").distinct()
+    sketches = stored(classes.drop("bands").join(ids, "id", "left_semi"), "bucket-sketches")
     own = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
     texts = stored(own.groupBy("id").agg(F.min("text").alias("text")), "bucket-texts")
 
-    star = members.where("id > first").groupBy(F.col("id").alias("x")).agg(F.min("first").alias("c"))
-    tried = stored(star.select("c", "x"), "pairs")
-    links = stored(verified(tried, texts, percent), "links")
-    firsts_done = 0
+    tried = stored(members.where("id > first").groupBy(F.col("id").alias("x")).agg(F.min("first").alias("c")).select("c", "x"), "pairs")
+    links = stored(verified(tried, texts), "links")
+    most = FIRSTS
     while True:
         roots = components(links)
-        now = labelled(members.select("bucket", "id", "n"), roots)
-        mixed = now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo < hi")
-        opened = stored(now.join(mixed.select("bucket", "size"), "bucket").select("bucket", "size", "id", "root"), "open")
-        # in large buckets, the first members by id that have not been compared with all others yet
-        least = SMALL_BUCKET if firsts_done == 0 else 2 * firsts_done
-        ranked = first_members(opened, least)
-        if firsts_done:
-            ranked = ranked.where((F.col("place") > firsts_done) & (F.col("size") > SMALL_BUCKET))
-        left = ranked.select(F.col("bucket").alias("_b"), F.col("id").alias("l"), F.col("root").alias("l_root"), "place")
-        pairs = left.join(opened, F.col("_b") == F.col("bucket")).where((F.col("l_root") != F.col("root")) & (F.col("l") != F.col("id")))
-        pairs = pairs.select(F.least("l", "id").alias("c"), F.greatest("l", "id").alias("x")).distinct()
+        now = labelled(members.select("bucket", "id"), roots)
+        sizes = now.groupBy("bucket", "root").agg(F.count("*").alias("m"))
+        largest = sizes.groupBy("bucket").agg(F.max(F.struct("m", "root")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+        opened = now.join(largest.select("bucket", F.col("top.root").alias("top")), "bucket").join(sketches, "id")
+        opened = stored(opened.select("bucket", "id", "root", "top", "n", "s0", "s1", "s2"), "open")
+        left = first_members(opened.where("root != top"), most)
+        left = stored(left.select(*[F.col(c).alias(f"_{c}") for c in ("bucket", "id", "root", "n", "s0", "s1", "s2", "place")]), "firsts")
+        match = (F.col("_bucket") == F.col("bucket")) & (F.col("_root") != F.col("root")) & ~unlike("", "_")
+        pairs = opened.join(left, match)
+        pairs = pairs.select(F.least("_id", "id").alias("c"), F.greatest("_id", "id").alias("x")).distinct()
         pairs = stored(pairs.join(tried, ["c", "x"], "left_anti"), "pairs")
-        if pairs.isEmpty() and (firsts_done and ranked.isEmpty() or not firsts_done and opened.where(F.col("size") > SMALL_BUCKET).isEmpty()):
-            return roots
-        found = verified(pairs, texts, percent)
-        links = stored(links.unionAll(found), "links")
-        tried = stored(tried.unionAll(pairs), "tried")
-        firsts_done = least
+        more = not left.where(F.col("_place") >= most).isEmpty()
+        if not pairs.isEmpty():
+            links = stored(links.unionAll(verified(pairs, texts)), "links")
+            tried = stored(tried.unionAll(pairs), "tried")
+        if not more:
+            return components(links)
+        # Members that merged since leave the ranking, so places can only fall: all of them are compared again.
+        most *= 2
 
 
 def first_members(opened: DataFrame, k: int) -> DataFrame:
@@ -234,19 +250,18 @@ def first_members(opened: DataFrame, k: int) -> DataFrame:
 
 
 def top_by(df: DataFrame, keys: list[str], k: int) -> DataFrame:
-    from pyspark.sql import Window
-
     return df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).where(F.col("place") <= k)
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (the smallest id of a component) of every row of ``docs``."""
     s = stored(signatures(docs), "signatures")
     full = s.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("n_shingles", "a", "b").agg(F.min("doc_id").alias("id"))
-    same = stored(full.join(classes, ["n_shingles", "a", "b"]).select("doc_id", "id", "bands"), "classes")
-    leaders = same.where("doc_id = id").select("id", "bands").dropDuplicates(["id"])
-    roots = similar_classes(leaders, docs, percent)
+    same = full.select("doc_id", "n_shingles", "a", "b").join(classes, ["n_shingles", "a", "b"]).select("doc_id", "id").distinct()
+    same = stored(same, "classes")
+    leaders = full.join(same.where("doc_id = id").select("id"), F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
+    roots = similar_classes(leaders.select(F.col("doc_id").alias("id"), "bands", F.col("n_shingles").alias("n"), "s0", "s1", "s2"), docs)
     names = labelled(same.select("doc_id", "id"), roots).select(F.col("doc_id").alias("_d"), F.col("root").alias("component_id")).distinct()
     names = names.groupBy("_d").agg(F.min("component_id").alias("component_id"))
     out = s.select("doc_id", "n_shingles").join(names, F.col("doc_id") == F.col("_d"), "left")
