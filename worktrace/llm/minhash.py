@@ -6,11 +6,12 @@ Documents are linked where the similarity of their sets (intersection by union)
 1. Documents with equal sets are one class, spoken for by the smallest id.
 2. SuperMinHash gives each class a signature: every element deals itself, by a permutation of its own, one rank in each
    step; steps stop as soon as no slot can fall further. Bands of the signature are buckets.
-3. Each class is compared with the first class of its buckets. What that links grows together (connected components), and
-   only buckets that still hold several components are searched on: members outside a bucket's largest component
-   against all others. Where they are many, a doubling number of them per round; no bucket is cut off, rounds go on
-   until each pair of a bucket is compared or connected. Sizes and a sketch of the signature rule out most pairs.
-4. Every link is confirmed on the full sets, in groups of one first member and up to ``CHUNK`` others.
+3. Each class is compared with the first class and a few random ones of its buckets, on full sets, in groups of one of them
+   and up to ``CHUNK`` others. What that links grows together (connected components).
+4. Buckets that still hold several components are searched on: members outside a bucket's largest component, in blocks,
+   against all others. A block and the members that pass it are bounded, and several tasks share a large bucket; no bucket is
+   cut off, each of its pairs is compared or connected. Sizes and a sketch of the signature rule out most pairs; every link
+   is confirmed on the full sets, and only links that join two components leave a block, never its pairs.
 
 Null and empty texts have empty sets and are linked with nothing; very long texts are taken whole; rows of one id are
 united as if they were copies, and one of them stands for the id in comparisons; ties go to the
@@ -20,12 +21,12 @@ rows without id are kept as documents of their own, linked with nothing.
 
 from __future__ import annotations
 
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from worktrace.llm.common import Cache, slices, splitmix, stored
@@ -35,8 +36,11 @@ PERCENT = 80
 BANDS = 40
 ROWS = 6
 CHUNK = 64
-#: Members of a bucket outside its largest component that are compared with all others in the first round.
-FIRSTS = 256
+#: Random members of buckets that each class is compared with, beside the first, before components are formed.
+PIVOTS = 6
+#: Blocks of a bucket hold so many shingles, on average, and are compared with so many members in one group.
+BLOCK_SHINGLES = 400_000
+BLOCK_MEMBERS = 2048
 #: Of 192 bits, one of each of as many slots, a pair at the least similarity differs in 19.2 on average, with a deviation
 #: of 4.2 at most: more than 46 are never seen, so that such pairs need no look at their sets.
 SKETCH = 192
@@ -200,57 +204,135 @@ def labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(roots, F.col("id") == F.col("_id"), "left").withColumn("root", F.coalesce("root", "id")).drop("_id")
 
 
-def unlike(a: str, b: str) -> Column:
-    """True where sizes or sketches of two members rule out a link."""
-    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}{s}").bitwiseXOR(F.col(f"{b}{s}"))) for s in ("s0", "s1", "s2")])
-    small, large = F.least(f"{a}n", f"{b}n"), F.greatest(f"{a}n", f"{b}n")
-    return (small * 100 < large * PERCENT) | (differ > MOST_DIFFERENT)
+def across(dealt: DataFrame) -> DataFrame:
+    """Links (c, x) between components, found block by block.
+
+    ``dealt`` has bucket, chunk, salt, asked, id, root and a member's n, sketch, bands and text. Rows with ``asked`` are a
+    block; the others of its group stream past it. A pair is looked at in the first of its common buckets only, if its
+    components have not met in this group yet, and if the sketches allow it; intersections are those of full sets.
+    """
+
+    def run(batches):
+        sets, kept = {}, 0
+
+        def set_of(i, text):
+            nonlocal kept
+            if i not in sets:
+                if kept > 4_000_000:
+                    sets.clear()
+                    kept = 0
+                sets[i] = shingle_set(text)
+                kept += len(sets[i])
+            return sets[i]
+
+        group, block = None, None
+        for batch in batches:
+            bucket, chunk, salt, asked, ids, roots, sizes = (batch.column(i).to_pylist() for i in range(7))
+            sketch = np.column_stack([batch.column(i).to_numpy() for i in range(7, 10)]).view(np.uint64)
+            bands = batch.column(10).flatten().to_numpy().reshape(len(ids), -1)
+            text = batch.column(11)
+            out_c, out_x = [], []
+            for i, key in enumerate(zip(bucket, chunk, salt)):
+                if key != group:
+                    group, block = key, Block(key[0])
+                if asked[i]:
+                    block.add(ids[i], roots[i], sizes[i], sketch[i], bands[i], text[i].as_py())
+                    continue
+                for c in block.links(ids[i], roots[i], sizes[i], sketch[i], bands[i], text[i], set_of):
+                    out_c.append(c)
+                    out_x.append(ids[i])
+            yield pa.RecordBatch.from_arrays([pa.array(out_c, pa.int64()), pa.array(out_x, pa.int64())], names=["c", "x"])
+
+    grouped = dealt.repartition("bucket", "chunk", "salt").sortWithinPartitions("bucket", "chunk", "salt", F.desc("asked"))
+    columns = ["bucket", "chunk", "salt", "asked", "id", "root", "n", "s0", "s1", "s2", "bands", "text"]
+    return grouped.select(*columns).mapInArrow(run, "c long, x long")
+
+
+class Block:
+    """Members of a bucket that others are compared with."""
+
+    def __init__(self, bucket: int):
+        self.bucket = bucket
+        self.rows: list[tuple] = []
+        self.met: dict[int, int] = {}
+        self.ids = self.tokens = None
+
+    def add(self, *row) -> None:
+        self.rows.append(row)
+
+    def links(self, i, root, size, sketch, bands, text, set_of):
+        """Ids of the block whose components the member ``i`` joins with its own, one for each."""
+        if self.ids is None:
+            if not self.rows:
+                return
+            ids, self.roots, sizes, sketches, listed, self.texts = zip(*self.rows)
+            self.ids, self.sizes, self.sketches, self.bands = np.array(ids), np.array(sizes), np.array(sketches), np.array(listed)
+            self.labels = np.array([self.met.setdefault(r, r) for r in self.roots])
+            self.rows.clear()
+        own = self.met.setdefault(root, root)
+        open_ = np.flatnonzero(self.labels != own)
+        if not len(open_):
+            return
+        differ = np.bitwise_count(self.sketches[open_] ^ sketch).sum(axis=1)
+        small, large = np.minimum(self.sizes[open_], size), np.maximum(self.sizes[open_], size)
+        open_ = open_[(differ <= MOST_DIFFERENT) & (small * 100 >= large * PERCENT)]
+        common = self.bands[open_] == bands
+        open_ = open_[bands[common.argmax(axis=1)] == self.bucket] if len(open_) else open_
+        if not len(open_):
+            return
+        if self.tokens is None:
+            sets = [set_of(j, t) for j, t in zip(self.ids.tolist(), self.texts)]
+            tokens, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            order = np.argsort(tokens, kind="stable")
+            self.tokens, self.owners = tokens[order], owners[order]
+        s = set_of(i, text.as_py())
+        low, n = np.searchsorted(self.tokens, s), np.searchsorted(self.tokens, s, "right")
+        n = n - low
+        places = np.repeat(low - np.concatenate([[0], n.cumsum()[:-1]]), n) + np.arange(n.sum())
+        both = np.bincount(self.owners[places], minlength=len(self.ids))[open_]
+        for j in open_[100 * both >= PERCENT * (size + self.sizes[open_] - both)]:
+            own = self.met[root]
+            other = self.labels[j]
+            if other != own:
+                self.labels[self.labels == other] = own
+                for r, label in self.met.items():
+                    if label == other:
+                        self.met[r] = own
+                yield int(self.ids[j])
 
 
 def similar_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """id and root of the classes (id, bands, n, s0, s1, s2) that are connected with a smaller one."""
     buckets = classes.select("id", F.explode("bands").alias("bucket"))
-    first = buckets.groupBy("bucket").agg(F.min("id").alias("first"), F.count("*").alias("members")).where("members > 1")
-    members = stored(buckets.join(first, "bucket").select("bucket", "id", "first"), "buckets")
+    first = buckets.groupBy("bucket").agg(
+        F.min("id").alias("first"), F.min_by("id", F.xxhash64("id", "bucket")).alias("pivot"), F.count("*").alias("members")
+    )
+    members = stored(buckets.join(first.where("members > 1"), "bucket").select("bucket", "id", "first", "pivot"), "buckets")
     ids = members.select("id").distinct()
-    sketches = stored(classes.drop("bands").join(ids, "id", "left_semi"), "bucket-sketches")
     own = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
-    texts = stored(own.groupBy("id").agg(F.min("text").alias("text")), "bucket-texts")
-
-    tried = stored(members.where("id > first").groupBy(F.col("id").alias("x")).agg(F.min("first").alias("c")).select("c", "x"), "pairs")
-    links = stored(verified(tried, texts), "links")
-    most = FIRSTS
-    while True:
-        roots = components(links)
-        now = labelled(members.select("bucket", "id"), roots)
-        sizes = now.groupBy("bucket", "root").agg(F.count("*").alias("m"))
-        largest = sizes.groupBy("bucket").agg(F.max(F.struct("m", "root")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-        opened = now.join(largest.select("bucket", F.col("top.root").alias("top")), "bucket").join(sketches, "id")
-        opened = stored(opened.select("bucket", "id", "root", "top", "n", "s0", "s1", "s2"), "open")
-        left = first_members(opened.where("root != top"), most)
-        left = stored(left.select(*[F.col(c).alias(f"_{c}") for c in ("bucket", "id", "root", "n", "s0", "s1", "s2", "place")]), "firsts")
-        match = (F.col("_bucket") == F.col("bucket")) & (F.col("_root") != F.col("root")) & ~unlike("", "_")
-        pairs = opened.join(left, match)
-        pairs = pairs.select(F.least("_id", "id").alias("c"), F.greatest("_id", "id").alias("x")).distinct()
-        pairs = stored(pairs.join(tried, ["c", "x"], "left_anti"), "pairs")
-        more = not left.where(F.col("_place") >= most).isEmpty()
-        if not pairs.isEmpty():
-            links = stored(links.unionAll(verified(pairs, texts)), "links")
-            tried = stored(tried.unionAll(pairs), "tried")
-        if not more:
-            return components(links)
-        # Members that merged since leave the ranking, so places can only fall: all of them are compared again.
-        most *= 2
-
-
-def first_members(opened: DataFrame, k: int) -> DataFrame:
-    """The ``k`` smallest ids of each bucket with their place, without sorting a bucket in one task."""
-    salted = opened.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(16)))
-    return top_by(top_by(salted, ["bucket", "salt"], k).drop("place"), ["bucket"], k).drop("salt")
-
-
-def top_by(df: DataFrame, keys: list[str], k: int) -> DataFrame:
-    return df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).where(F.col("place") <= k)
+    texts = own.groupBy("id").agg(F.min("text").alias("text"))
+    details = stored(classes.join(texts, "id"), "bucket-members")
+
+    centres = members.groupBy(F.col("id").alias("x")).agg(F.min("first").alias("first"), F.sort_array(F.collect_set("pivot")).alias("pivots"))
+    centres = centres.select(F.explode(F.array_union(F.array("first"), F.slice("pivots", 1, PIVOTS))).alias("c"), "x")
+    tried = centres.where("c != x").select(F.least("c", "x").alias("c"), F.greatest("c", "x").alias("x"))
+    links = stored(verified(stored(tried.distinct(), "pairs"), details.select("id", "text")), "links")
+
+    now = labelled(members.select("bucket", "id"), components(links))
+    sizes = now.groupBy("bucket", "root").agg(F.count("*").alias("m"))
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("m", "root")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    opened = now.join(largest.select("bucket", F.col("top.root").alias("top")), "bucket").join(details.select("id", "n"), "id")
+    opened = stored(opened.select("bucket", "id", "n", "root", (F.col("root") != F.col("top")).alias("outside")), "open")
+    parts = opened.groupBy("bucket").agg(
+        F.ceil(F.sum(F.when(F.col("outside"), F.col("n"))) / BLOCK_SHINGLES).alias("chunks"), F.ceil(F.count("*") / BLOCK_MEMBERS).alias("salts")
+    )
+    cut = opened.join(parts, "bucket")
+    chunk, salt = F.pmod(F.xxhash64("id"), F.col("chunks")), F.pmod(F.xxhash64("id", F.lit(1)), F.col("salts"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asked = cut.where("outside").select("bucket", chunk.alias("chunk"), every("salts").alias("salt"), F.lit(True).alias("asked"), "id", "root")
+    others = cut.select("bucket", every("chunks").alias("chunk"), salt.alias("salt"), F.lit(False).alias("asked"), "id", "root")
+    found = stored(across(asked.unionAll(others).join(details, "id")), "links")
+    return components(links.unionAll(found))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
