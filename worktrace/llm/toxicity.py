@@ -13,6 +13,7 @@ labelled rows of both classes every sentence scores as an empty one. Further col
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -77,19 +78,29 @@ class Lexicon:
         return [(int(i), float(p[i]), " ".join(found[bounds[i] : bounds[i + 1]]).strip()) for i in np.flatnonzero(p >= least)]
 
 
-def telling_features(rows: list[tuple[list[set[str]], int]]) -> list[str]:
-    """Features over-represented in toxic documents, by a likelihood ratio that chance among so many would not reach."""
-    seen: dict[str, list[int]] = {}
-    total = [0, 0]
-    for sentences, y in rows:
-        total[y] += 1
-        for f in set().union(*sentences):
-            seen.setdefault(f, [0, 0])[y] += 1
-    base = total[1] / sum(total)
-    names = [f for f, n in seen.items() if n[1] >= 3]
+def telling_features(rows: list[tuple[str, int]]) -> list[str]:
+    """Features over-represented in toxic documents, by a likelihood ratio that chance among so many would not reach.
+
+    One document's features are held at a time, and counts only of those that three toxic documents have.
+    """
+    cache = Cache(word_features, 50_000)
+    features = lambda text: {f for t in set(tokens(text)) for f in cache[t]}
+    total = [sum(y == c for _, y in rows) for c in (0, 1)]
+    toxic: Counter[str] = Counter()
+    for text, y in rows:
+        if y:
+            toxic.update(features(text))
+    toxic = {f: n for f, n in toxic.items() if n >= 3}
+    names = list(toxic)
     if not names:
         return []
-    n0, n1 = np.array([seen[f] for f in names], float).T
+    clean = dict.fromkeys(names, 0)
+    for text, y in rows:
+        if not y:
+            for f in features(text) & clean.keys():
+                clean[f] += 1
+    base = total[1] / sum(total)
+    n0, n1 = np.array([[clean[f] for f in names], [toxic[f] for f in names]], float)
     n = n0 + n1
     log = lambda a, b: np.where(a > 0, a * np.log(np.maximum(a, 1e-9) / b), 0)
     ratio = 2 * (log(n1, n * base) + log(n0, n * (1 - base)))
@@ -98,34 +109,30 @@ def telling_features(rows: list[tuple[list[set[str]], int]]) -> list[str]:
 
 
 def train(rows: list[tuple[str, int]], rounds: int = 200, rate: float = 0.3, decay: float = 1e-4) -> Lexicon:
-    """Adam on the noisy-or likelihood, over sentences by features."""
-    cache = Cache(word_features)
-    split: list[tuple[list[set[str]], int]] = []
-    for text, y in rows:
-        sentences: list[set[str]] = [set()]
-        for t in tokens(text):
-            sentences[-1].update(cache[t])
-            if ends_sentence(t):
-                sentences.append(set())
-        split.append((sentences, y))
-    names = telling_features(split)
+    """Adam on the noisy-or likelihood, over sentences by telling features."""
+    names = telling_features(rows)
     index = {f: i for i, f in enumerate(names)}
     if not names:
         return Lexicon({})
-    at, feature, owner, base_count = [], [], [], np.zeros(len(split))
+    cache = Cache(lambda t: tuple(index[f] for f in word_features(t) if f in index), 50_000)
+    at, feature, owner, base_count = [], [], [], np.zeros(len(rows))
     s = 0
-    for d, (sentences, _) in enumerate(split):
-        for words in sentences:
-            known = [index[f] for f in words if f in index]
-            if known:
-                at += [s] * len(known)
-                feature += known
-                owner.append(d)
-                s += 1
-            else:
-                base_count[d] += 1
+    for d, (text, _) in enumerate(rows):
+        known: set[int] = set()
+        found = tokens(text)
+        for last, t in enumerate(found, 1):
+            known.update(cache[t])
+            if last == len(found) or ends_sentence(t):
+                if known:
+                    at += [s] * len(known)
+                    feature += sorted(known)
+                    owner.append(d)
+                    s += 1
+                    known = set()
+                else:
+                    base_count[d] += 1
     at, feature, owner = np.array(at), np.array(feature), np.array(owner)
-    y = np.array([label for _, label in split])
+    y = np.array([label for _, label in rows])
     w, m, v = np.full(len(names), 1.0), np.zeros(len(names)), np.zeros(len(names))
     for t in range(1, rounds + 1):
         logit = BASE + np.bincount(at, w[feature], s)
