@@ -51,7 +51,7 @@ _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
 
 @lru_cache(maxsize=1)
 def _word_hashes() -> Cache:
-    return Cache(xxhash.xxh3_64_intdigest, 600_000)
+    return Cache(xxhash.xxh3_64_intdigest, 200_000)
 
 
 def shingle_set(text: str | None, n: int = SHINGLE) -> np.ndarray:
@@ -122,7 +122,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
 
     def run(batches):
         for batch in batches:
-            for ids, texts in slices(batch, 1 << 20):
+            for ids, texts in slices(batch, 1 << 19):
                 sets = [shingle_set(t) for t in texts]
                 values = superminhash(sets, bands * rows).view(np.uint64).reshape(len(sets), bands, rows)
                 keys = np.arange(bands, dtype=np.uint64) * _FACTORS[0] + np.zeros((len(sets), 1), np.uint64)
@@ -141,6 +141,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
                     + [pa.array(sketch[:, i].copy()) for i in range(3)],
                     names=["doc_id", "n_shingles", "a", "b", "bands", "s0", "s1", "s2"],
                 )
+        _word_hashes().clear()  # the worker lives on, and serves other operators
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, a long, b long, bands array<long>, s0 long, s1 long, s2 long")
 

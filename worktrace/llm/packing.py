@@ -41,7 +41,7 @@ SMALL = 1 / 8
 GROUPS = 64
 TOKENIZER = "byte_bpe_50k.json"
 ROWS_PER_SALT = 20_000
-MOST_PARTS = 600_000  # encodings that a worker keeps
+MOST_PARTS = 150_000  # encodings that a worker keeps
 
 
 class Encoder:

@@ -52,7 +52,7 @@ class Lexicon:
 
     def __init__(self, weights: dict[str, float]):
         self.weights = weights
-        self.cache = Cache(self.value, 600_000)
+        self.cache = Cache(self.value, 200_000)
 
     def value(self, token: str) -> float:
         known = self.weights
