@@ -63,6 +63,44 @@ def test_line_dedup(spark, odd):
     assert out.count() == len(ODD) and {r.doc_id: r.text for r in out.where("doc_id < 5").collect()} == {1: None, 2: "", 3: " \n ", 4: "one"}
 
 
+def brute_kept_units(rows):
+    """Units of each document outside of all runs of 30 words that occur before, by all runs of all documents."""
+    seen, kept = set(), {}
+    for i, text in sorted(rows):
+        parts = re.split(line_dedup.UNIT_ENDS, text)
+        bare = [p.strip().lower() for p in parts]
+        gone = set()
+        for b in range(len(parts)):
+            for a in range(b, -1, -1):
+                if sum(len(words(x)) for x in bare[a : b + 1]) >= 30:
+                    run = tuple(bare[a : b + 1])
+                    if run in seen:
+                        gone.update(range(a, b + 1))
+                    seen.add(run)
+        kept[i] = [p for j, p in enumerate(parts) if j not in gone]
+    return kept
+
+
+def test_line_dedup_finds_runs_behind_partial_earlier_copies(spark):
+    rng = random.Random(4)
+    line = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n)) + "\n"
+    s = [line(12) for _ in range(6)]
+    rows = ["".join(s[0:2]), "".join(s[1:3]), "".join(s[0:3]), line(9) + "".join(s[0:3]) + line(9)]
+    rows += [s[3] + line(5) + s[4], s[4] + s[5], "".join(s[3:6]), line(40) + "\n\n" + "".join(s[3:6]) + "\n"]
+    pool = [line(n) for n in (1, 4, 7, 12, 12, 16, 29, 30, 35)] + ["\n"] * 3
+    rows += ["".join(rng.choice(pool) for _ in range(rng.randrange(1, 14))) for _ in range(120)]
+    rows = list(enumerate(rows))
+    want = brute_kept_units(rows)
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == len(rows) and not any(set(s[0:3]) <= set(want[i]) for i in (3,))
+    for r in out:
+        text = rows[r.doc_id][1]
+        same = r.n_removed_units == 0
+        n_units = len(re.split(line_dedup.UNIT_ENDS, text))
+        assert n_units - r.n_removed_units == len(want[r.doc_id]), r.doc_id
+        assert r.text == (text if same else "".join(want[r.doc_id]).rstrip(" \n")), r.doc_id
+
+
 def brute_components(pairs):
     sets = {}
     for i, text in pairs:

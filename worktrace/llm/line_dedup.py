@@ -1,12 +1,13 @@
-"""Line dedup [native]: winnowing over hashes of lines, cut at sentence ends, and deletion of later repeated runs.
+"""Line dedup [native]: hashes of least windows of units (lines, cut at sentence ends), and deletion of later repeated runs.
 
-1. A document is a list of units: its lines, cut after sentence ends. Pairs of neighbouring units and single long units
-   are hashed; of any two neighbouring pairs the smaller hash is a fingerprint, so that a repeated run of three units or
-   of one long unit always shares one.
-2. Positions of a fingerprint are joined with its first occurrence in the corpus, not with each other; a pair of
-   documents is then compared once for each shift between the two positions.
-3. On a shift, matches extend both ways over all equal units. Runs of ``MIN_WORDS`` words and more are deleted from the
-   later document. Repeats inside a document are compared with the occurrence before.
+1. A document is a list of units: its lines, cut after sentence ends. A run that the same document or an earlier one has
+   before, unit by unit, is deleted where it has ``MIN_WORDS`` words or more.
+2. Of each unit, the shortest run from it and the shortest run up to it that have ``MIN_WORDS`` words are its windows.
+   Every repeated run is the union of the windows inside it, and each of them is repeated; so units are deleted exactly
+   where one of their windows has occurred before. No two documents are compared with each other.
+3. A window is hashed as a whole (64 bits, as units are), and every place of a hash but its first in the corpus is deleted.
+   A window that begins or ends with blank units has the hash of its inner part and their number, so that the work
+   is in proportion to the units.
 
 The order of documents is that of doc_id, then of a hash of the text. Null texts stay null, empty ones empty; null ids
 come first in order and are handled like others; rows repeated in full are cleaned alike (their copies count as one
@@ -21,7 +22,6 @@ from pyspark.sql import functions as F
 from worktrace.llm.common import stored
 
 MIN_WORDS = 30
-LONG_WORDS = 25
 UNIT_ENDS = r"(?<=\n)|(?<=[.!?] )(?=[^ \n])"
 
 
@@ -30,70 +30,93 @@ def units(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), UNIT_ENDS)
 
 
-def _equal(a: Column, b: Column) -> Column:
-    return F.coalesce(a == b, F.lit(False))
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value made once; a column named inside a lambda may be made again for every entry."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _before(array: str, i: Column, shift: Column) -> Column:
-    """The entry ``shift`` places before ``i``, null where there is none."""
-    return F.when(i >= shift, F.get(array, F.greatest(i - shift, F.lit(0))))
+def _up_to(n: Column, make, of: str) -> Column:
+    """[make(1), ..., make(n)], an empty array of type ``of`` for 0."""
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), make)).otherwise(F.array().cast(of))
+
+
+def _windows(s: Column) -> Column:
+    """(h, first, last) of the windows of ``s``: v (i: place, u: hash, n: words up to MIN_WORDS; units not blank) and size."""
+    place = lambda s, m: F.get(s["v"], m)["i"]
+    before = lambda s, m: place(s, m) - F.when(m > 0, place(s, F.greatest(m - 1, F.lit(0)))).otherwise(-1) - 1
+    after = lambda s, m: F.coalesce(place(s, m + 1), s["size"]) - place(s, m) - 1
+    # The unit of every word, and the first word of every unit.
+    owner = F.flatten(F.transform(s["v"], lambda x, m: F.array_repeat(m, x["n"])))
+    own = lambda w: F.transform(w, lambda m, j: F.when((j == 0) | (F.get(w, F.greatest(j - 1, F.lit(0))) != m), j))
+    chain = F.transform(s["v"], lambda x, m: F.xxhash64(x["u"], after(s, m)))
+
+    def spans(s):
+        end = lambda m: F.get(s["owner"], F.get(s["start"], m) + MIN_WORDS - 1)
+        at = lambda m: F.get(s["start"], m) + F.get(s["v"], m)["n"] - MIN_WORDS
+        begin = lambda m: F.when(at(m) >= 0, F.get(s["owner"], F.greatest(at(m), F.lit(0))))
+        span = lambda a, b, onward, back: F.struct(a.alias("a"), b.alias("b"), onward.alias("onward"), back.alias("back"))
+        onward = F.transform(s["v"], lambda x, m: F.when(end(m).isNotNull(), span(m, end(m), F.lit(True), begin(end(m)) == m)))
+        back = F.transform(s["v"], lambda x, m: F.when(end(begin(m)) < m, span(begin(m), m, F.lit(False), F.lit(True))))
+        return F.array_compact(F.concat(onward, back))
+
+    def rows(s, x):
+        row = lambda h, a, b: F.struct(h.alias("h"), a.alias("first"), b.alias("last"))
+        many = "array<struct<h: bigint, first: int, last: int>>"
+        a, b = x["a"], x["b"]
+        core = F.xxhash64(F.slice(s["chain"], a + 1, b - a), F.get(s["v"], b)["u"])
+
+        def wider(h):
+            lead = _up_to(F.when(x["onward"], before(s, a)).otherwise(0), lambda j: row(F.xxhash64(h, -j), place(s, a) - j, place(s, b)), many)
+            trail = _up_to(F.when(x["back"], after(s, b)).otherwise(0), lambda j: row(F.xxhash64(h, j), place(s, a), place(s, b) + j), many)
+            return F.concat(F.array(row(h, place(s, a), place(s, b))), lead, trail)
+
+        return _let(core, wider)
+
+    def all_rows(w):
+        made = F.struct(s["v"].alias("v"), s["size"].alias("size"), w.alias("owner"), F.array_compact(own(w)).alias("start"), chain.alias("chain"))
+        return _let(made, lambda s: F.flatten(F.transform(spans(s), lambda x: rows(s, x))))
+
+    return _let(owner, all_rows)
 
 
 def prepared(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: key k, unit hashes u, their words n, fingerprints f by (hash, place)."""
+    """One row per row of ``docs``: key k and its windows w (h, first, last)."""
     blank = lambda x: F.btrim(x, F.lit(" \t\n\r\x0b\f"))
-    s = docs.select(key(docs).alias("k"), F.transform(units(F.col("text")), blank).alias("t"))
-    n_words = lambda x: F.when(x == "", 0).otherwise(F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1)
-    s = s.select("k", F.transform("t", lambda x: F.xxhash64(F.lower(x))).alias("u"), F.transform("t", n_words).alias("n"))
-    s = s.withColumn("g", F.transform("u", lambda x, i: F.when(i < F.size("u") - 1, F.xxhash64(x, F.get("u", i + 1)))))
-    pair = lambda x, i: F.when(
-        (x <= F.coalesce(F.get("g", i + 1), x)) | F.coalesce(x < _before("g", i, F.lit(1)), F.lit(False)), F.struct(x.alias("h"), i.alias("p"))
-    )
-    long = lambda x, i: F.when(F.get("n", i) >= LONG_WORDS, F.struct(x.alias("h"), i.alias("p")))
-    s = s.withColumn("f", F.array_sort(F.array_compact(F.concat(F.transform("g", pair), F.transform("u", long)))))
-    first = F.filter("f", lambda x, i: ~_equal(_before("f", i, F.lit(1))["h"], x["h"]))
-    back = lambda i: _before("f", i, F.lit(1))
-    steps = F.transform("f", lambda x, i: F.when(_equal(back(i)["h"], x["h"]), x["p"] - back(i)["p"]))
-    shifts = F.array_distinct(F.filter(steps, lambda d: d > 0))
-    return s.select("k", "u", "n", first.alias("f"), shifts.alias("shifts"))
+    n_words = lambda x: F.when(x == "", 0).otherwise(F.least(F.lit(MIN_WORDS), F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1))
+    unit = lambda x, i: F.struct(i.alias("i"), F.xxhash64(F.lower(x)).alias("u"), n_words(x).alias("n"))
+    all_units = F.transform(F.transform(units(F.col("text")), blank), unit)
+    s = _let(all_units, lambda x: F.struct(F.filter(x, lambda y: y["n"] > 0).alias("v"), F.size(x).alias("size")))
+    return docs.select(key(docs).alias("k"), _let(s, _windows).alias("w"))
 
 
 def key(docs: DataFrame) -> Column:
     return F.struct(docs["doc_id"].alias("doc_id"), F.xxhash64(docs["text"]).alias("th"))
 
 
-def long_runs(df: DataFrame, at: str, out: str) -> DataFrame:
-    """Adds ``out``: runs (first, last) of neighbouring places in the ascending array ``at`` with MIN_WORDS words at least."""
-    starts = F.filter(at, lambda x, j: ~_equal(_before(at, j, F.lit(1)), x - 1))
-    ends = F.filter(at, lambda x, j: ~_equal(F.get(at, j + 1), x + 1))
-    found = F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("first"), b.alias("last")))
-    words = lambda r: F.aggregate(F.slice("n", r["first"] + 1, r["last"] - r["first"] + 1), F.lit(0), lambda a, x: a + x)
-    return df.withColumn(out, F.filter(found, lambda r: words(r) >= MIN_WORDS))
+def joined(windows: Column) -> Column:
+    """The runs (first, last), in order, that ``windows`` make up: of least windows, later ones never end sooner."""
+    near = lambda r, j, x: F.get(r, F.greatest(j - 1, F.lit(0)))["last"] + 1 >= x["first"]
+    starts = lambda r: F.filter(r, lambda x, j: (j == 0) | ~near(r, j, x))
+    ends = lambda r: F.filter(r, lambda x, j: F.coalesce(F.get(r, j + 1)["first"] > x["last"] + 1, F.lit(True)))
+    return _let(F.array_sort(windows), lambda r: F.zip_with(starts(r), ends(r), lambda a, b: F.struct(a["first"].alias("first"), b["last"].alias("last"))))
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """k and runs (first, last unit) that repeat an earlier document or an earlier part of the own one."""
-    s = stored(prepared(docs), "line-units")
-    places = s.select("k", F.explode("f").alias("f")).select("k", "f.h", "f.p")
-    first = places.groupBy("h").agg(F.min(F.struct("k", "p")).alias("a"), F.count("*").alias("c")).where("c > 1").select("h", "a")
-    pairs = (
-        places.join(first, "h")
-        .where(F.col("k") > F.col("a.k"))
-        .select("k", F.col("a.k").alias("k0"), (F.col("p") - F.col("a.p")).alias("shift"))
-        .distinct()
-    )
-    pairs = stored(pairs, "line-pairs")
-    anchors = s.join(pairs.select("k0").distinct(), F.col("k") == F.col("k0"), "left_semi").dropDuplicates(["k"])
-    anchors = anchors.select(F.col("k").alias("k0"), F.col("u").alias("u0"))
-    both = pairs.join(s.select("k", "u", "n"), "k").join(anchors, "k0")
-    here = F.filter(F.sequence(F.lit(0), F.size("u") - 1), lambda i: _equal(F.get("u", i), _before("u0", i, F.col("shift"))))
-    across = long_runs(both.withColumn("at", here), "at", "runs").select("k", "runs")
-    own = s.where(F.size("shifts") > 0).select("k", "u", "n", F.explode("shifts").alias("shift"))
-    here = F.filter(F.sequence(F.lit(0), F.size("u") - 1), lambda i: _equal(F.get("u", i), _before("u", i, F.col("shift"))))
-    inside = long_runs(own.withColumn("at", here), "at", "runs").select("k", "runs")
-    # A filter on runs before this aggregate would be pushed below their making and repeat it for every entry.
-    found = across.unionAll(inside).groupBy("k").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
-    return found.where(F.size("runs") > 0)
+    s = stored(prepared(docs), "line-windows")
+    places = s.select("k", F.explode("w").alias("w")).select("k", "w.h", "w.first", "w.last")
+    first = places.groupBy("h").agg(F.min(F.struct("k", "first")).alias("a"), F.count("*").alias("c")).where("c > 1").select("h", "a")
+    later = places.join(first, "h").where(F.struct("k", "first") > F.col("a"))
+    found = later.groupBy("k").agg(F.collect_set(F.struct("first", "last")).alias("windows"))
+    return found.select("k", joined(F.col("windows")).alias("runs"))
+
+
+def outside(s: Column) -> Column:
+    """The entries of array u that no run of r (disjoint, in order) covers."""
+    last = lambda j: F.when(j > 0, F.get(s["r"], F.greatest(j - 1, F.lit(0)))["last"]).otherwise(-1)
+    between = F.transform(s["r"], lambda x, j: F.slice(s["u"], last(j) + 2, x["first"] - last(j) - 1))
+    end = F.element_at(s["r"], -1)["last"]
+    return F.concat(F.flatten(between), F.slice(s["u"], end + 2, F.size(s["u"])))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -101,9 +124,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     found = repeated_runs(docs.select("doc_id", "text")).withColumnRenamed("k", "_k")
     own = [c for c in docs.columns if c not in ("text", "n_removed_units", "n_removed_chars")]
     out = docs.select(*own, "text", key(docs).alias("_key")).join(found, F.col("_key") == F.col("_k"), "left")
-    kept = lambda x, i: ~F.exists("runs", lambda r: (r["first"] <= i) & (i <= r["last"]))
     out = out.withColumn("_units", F.when(F.col("runs").isNotNull(), units(F.col("text"))))
-    out = out.withColumn("_kept", F.filter("_units", kept))
+    out = out.withColumn("_kept", _let(F.struct(F.col("_units").alias("u"), F.col("runs").alias("r")), outside))
     clean = F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.rtrim(F.array_join("_kept", ""), F.lit(" \n")))
     out = out.withColumn("_clean", clean)
     return out.select(
