@@ -192,3 +192,17 @@ def test_markdown_and_empty_input(spark):
     assert mining.markdown(QUERIES["roi_ranking"](spark, SF)).count("\n") >= 3
     none = telemetry.tele(spark, SF).limit(0)
     assert segment.idle_segments(none, 10).count() == 0 and segment.rule_segments(none).count() == 0 and stats.idle_gaps(none).count() == 0
+
+
+def test_boundary_model_takes_all_rounds(spark, monkeypatch):
+    from worktrace.operators import ml
+
+    asked, trees = [], ml.GBTClassifier
+
+    def short(**kw):
+        asked.append((kw["maxIter"], kw["stepSize"]))
+        return trees(**{**kw, "maxIter": 1})
+
+    monkeypatch.setattr(ml, "GBTClassifier", short)
+    rows = QUERIES["boundary_probability"](spark, SF)
+    assert asked == [(150, 0.08)] and rows.count() == QUERIES["features_18"](spark, SF).count()

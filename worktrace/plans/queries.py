@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from worktrace.functions import columns as C
 from worktrace.operators import evaluate, features, intervals, label, mining, ml, policy, segment, stats, vision
-from worktrace.sources.storage import table
+from worktrace.sources.storage import stored, table
 from worktrace.sources.telemetry import TELE_SQL, quirk_policy, tele
 
 HOUR = 3_600_000
@@ -372,6 +372,7 @@ def ordered_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def boundary_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Probabilities of a boundary near each event, by trees over the 18 features; 20 rounds here, 150 by default."""
+    """Probabilities of a boundary near each event, by 150 rounds of trees over the 18 features."""
     rows = features_18(spark, sf_dir).join(boundary_labels_nearest(spark, sf_dir), ["session_id", "seq"]).withColumn("label", F.col("is_near").cast("double"))
-    return ml.boundary_probability(ml.fit_boundaries(rows, 20), rows)
+    rows = stored(rows, "boundary-rows")
+    return ml.boundary_probability(ml.fit_boundaries(rows), rows)
