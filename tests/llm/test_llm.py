@@ -187,6 +187,16 @@ def test_toxicity_learns_and_locates():
     assert [place for place, _, _ in learned.located("Calm. What a grobnak. Fine.")] == [1]
 
 
+def test_toxicity_does_not_grow_with_clean_length():
+    rows = [(f"Good day number {i}. All is calm here.", 0) for i in range(60)] + [(f"Good day number {i}. You vile grobnak.", 1) for i in range(60)]
+    clean = "This line is calm.\n" * 20_000
+    for learned in (toxicity.train(rows), toxicity.Lexicon({})):
+        assert learned.score(clean) < 0.01
+    learned = toxicity.train(rows)
+    assert learned.score(clean + "What a grobnak.\n" + clean) >= 0.7
+    assert [place for place, _, _ in learned.located("Calm.\nFine.\nWhat a grobnak.\nFine.")] == [2]
+
+
 def test_packing_is_whole_and_gapless(spark, docs, texts, odd):
     from tokenizers import Tokenizer
 

@@ -1,13 +1,14 @@
 """Toxicity by multiple-instance learning: documents are labelled, sentences are scored.
 
 A document is toxic if a sentence is: p = 1 - product of (1 - p_s), noisy-or over its sentences. A sentence's logit is a
-low constant and the weights of its words; a word has the features of its whole lower-case form and of its beginnings of
+low constant and the weights of its words; what the constant alone would give is taken off, so that sentences without a telling
+word give nothing, however many there are. A word has the features of its whole lower-case form and of its beginnings of
 3 to 7 letters, so that inflected forms count. Weights are trained through the noisy-or from document labels, over the
 features that stand out in toxic documents; sentences then tell which of them is to blame.
 
 It learns from up to ``per_class`` labelled rows of each class, never from held-out ones; labels, lang, source and doc_id are no
-features. Null and empty texts score as one empty sentence, near 0; long texts whole; repeated rows alike. Without
-labelled rows of both classes every sentence scores as an empty one. Further columns are ignored by ``score`` and kept by ``without_toxic``.
+features. Null and empty texts score 0; long texts whole; repeated rows alike. Without
+labelled rows of both classes every text scores 0. Further columns are ignored by ``score`` and kept by ``without_toxic``.
 """
 
 from __future__ import annotations
@@ -47,8 +48,13 @@ def ends_sentence(token: str) -> bool:
     return token == "\n" or token.rstrip("\"')]”’»")[-1:] in (".", "!", "?") and token != ""
 
 
+def evidence(logits: np.ndarray) -> np.ndarray:
+    """-log of not toxic, of sentences by logit, above that of one without a telling word."""
+    return np.logaddexp(0, logits) - np.logaddexp(0, BASE)
+
+
 class Lexicon:
-    """Feature weights; ``cache`` has the weight of each word, and ``_END`` more where it ends a sentence."""
+    """Feature weights; ``cache`` has the weight of each word, and ``_END`` more where it ends a sentence, twice for a line feed."""
 
     def __init__(self, weights: dict[str, float]):
         self.weights = weights
@@ -56,19 +62,22 @@ class Lexicon:
 
     def value(self, token: str) -> float:
         known = self.weights
-        return sum(known.get(f, 0.0) for f in word_features(token)) + (_END if ends_sentence(token) else 0.0)
+        return sum(known.get(f, 0.0) for f in word_features(token)) + (2 * _END if token == "\n" else _END if ends_sentence(token) else 0.0)
 
     def sentences(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Tokens, the sentence of each, and the logits of the sentences."""
+        """Tokens, the sentence of each, and the logits of the sentences; a line feed belongs to the sentence before it."""
         found = tokens(text)
         v = np.fromiter(map(self.cache.__getitem__, found), float, len(found))
+        feeds = v > 1.5 * _END
         ends = v > _END / 2
+        v = v - _END * ends - _END * feeds
+        ends[:-1] &= ~feeds[1:]
         place = np.cumsum(ends) - ends
-        return found, place, BASE + np.bincount(place, v - _END * ends)
+        return found, place, BASE + np.bincount(place, v)
 
     def score(self, text: str) -> float:
         logits = self.sentences(text)[2]
-        return float(-np.expm1(-np.logaddexp(0, logits).sum()))
+        return float(-np.expm1(-np.maximum(evidence(logits), 0).sum()))
 
     def located(self, text: str, least: float = 0.5) -> list[tuple[int, float, str]]:
         """(place, score, text) of the sentences that score ``least`` or more."""
@@ -115,7 +124,7 @@ def train(rows: list[tuple[str, int]], rounds: int = 200, rate: float = 0.3, dec
     if not names:
         return Lexicon({})
     cache = Cache(lambda t: tuple(index[f] for f in word_features(t) if f in index), 50_000)
-    at, feature, owner, base_count = [], [], [], np.zeros(len(rows))
+    at, feature, owner = [], [], []
     s = 0
     for d, (text, _) in enumerate(rows):
         known: set[int] = set()
@@ -129,14 +138,12 @@ def train(rows: list[tuple[str, int]], rounds: int = 200, rate: float = 0.3, dec
                     owner.append(d)
                     s += 1
                     known = set()
-                else:
-                    base_count[d] += 1
     at, feature, owner = np.array(at), np.array(feature), np.array(owner)
     y = np.array([label for _, label in rows])
     w, m, v = np.full(len(names), 1.0), np.zeros(len(names)), np.zeros(len(names))
     for t in range(1, rounds + 1):
         logit = BASE + np.bincount(at, w[feature], s)
-        clean = np.bincount(owner, np.logaddexp(0, logit), len(y)) + base_count * np.log1p(np.exp(BASE))  # -log of no toxic sentence
+        clean = np.bincount(owner, evidence(logit), len(y))  # -log of no toxic sentence
         p = np.maximum(-np.expm1(-clean), 1e-12)
         slope = np.where(y == 1, -np.exp(-clean) / p, 1.0)[owner] / (1 + np.exp(-logit))
         g = np.bincount(feature, slope[at], len(names)) / len(y) * 100 + decay * w
