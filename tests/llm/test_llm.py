@@ -197,6 +197,13 @@ def test_toxicity_does_not_grow_with_clean_length():
     assert [place for place, _, _ in learned.located("Calm.\nFine.\nWhat a grobnak.\nFine.")] == [2]
 
 
+def test_toxicity_locates_what_only_together_is_toxic():
+    learned = toxicity.Lexicon({"<nasty>": 9.1})  # about 0.4 a sentence
+    text = "Calm. So nasty. Nasty one. Fine. A nasty day. Calm."
+    assert learned.score(text) >= 0.7 > learned.score("So nasty. Nasty one. Fine.")
+    assert [place for place, _, _ in learned.located(text)] == [1, 2, 4]
+
+
 def test_packing_is_whole_and_gapless(spark, docs, texts, odd):
     from tokenizers import Tokenizer
 

@@ -79,12 +79,17 @@ class Lexicon:
         logits = self.sentences(text)[2]
         return float(-np.expm1(-np.maximum(evidence(logits), 0).sum()))
 
-    def located(self, text: str, least: float = 0.5) -> list[tuple[int, float, str]]:
-        """(place, score, text) of the sentences that score ``least`` or more."""
+    def located(self, text: str, least: float = 0.5, threshold: float = THRESHOLD) -> list[tuple[int, float, str]]:
+        """(place, score, text) of the sentences that score ``least`` or more, and of the fewest that reach ``threshold`` together."""
         found, place, logits = self.sentences(text)
         p = 1 / (1 + np.exp(-logits))
         bounds = np.searchsorted(place, np.arange(len(p) + 1))
-        return [(int(i), float(p[i]), " ".join(found[bounds[i] : bounds[i + 1]]).strip()) for i in np.flatnonzero(p >= least)]
+        order = np.argsort(-logits, kind="stable")
+        so_far = -np.expm1(-np.cumsum(np.maximum(evidence(logits[order]), 0)))
+        blamed, reached = p >= least, so_far >= threshold - 1e-9  # sums in another order than the score's
+        if reached[-1]:
+            blamed[order[: np.argmax(reached) + 1]] = True
+        return [(int(i), float(p[i]), " ".join(found[bounds[i] : bounds[i + 1]]).strip()) for i in np.flatnonzero(blamed)]
 
 
 def telling_features(rows: list[tuple[str, int]]) -> list[str]:
@@ -166,7 +171,7 @@ def score(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> Da
         for batch in batches:
             for ids, texts in slices(batch):
                 scores = [own.score(t or "") for t in texts]
-                blamed = [own.located(t) if p >= threshold else [] for p, t in zip(scores, texts)]
+                blamed = [own.located(t or "", threshold=threshold) if p >= threshold else [] for p, t in zip(scores, texts)]
                 blamed = pa.array([[{"place": a, "score": b, "text": c} for a, b, c in x] for x in blamed], pa.list_(struct))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(scores), blamed], names=["doc_id", "score", "sentences"])
 
