@@ -204,6 +204,12 @@ def test_toxicity_locates_what_only_together_is_toxic():
     assert [place for place, _, _ in learned.located(text)] == [1, 2, 4]
 
 
+def test_quality_counts_capitals_alike_at_all_lengths():
+    share = lambda text: quality_fm._structure(text, 1, 1)[4]
+    for text in ("ΑΒγδ ЖЗик ", "ABcd×× ÀÞß "):
+        assert share(text) == pytest.approx(share(text * 100)) and share(text) == sum(map(str.isupper, text)) / len(text) * 2
+
+
 def test_packing_is_whole_and_gapless(spark, docs, texts, odd):
     from tokenizers import Tokenizer
 

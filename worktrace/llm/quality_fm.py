@@ -44,7 +44,7 @@ def _places(word: str) -> tuple[int, int]:
 def _structure(text: str, n_words: int, n_distinct: int) -> list[float]:
     n = max(len(text), 1)
     lines = [x for x in text.split("\n") if x.strip()]
-    upper = sum(map(str.isupper, text)) if len(text) < 400 else len(re.findall(r"[A-ZÀ-Þ]", text))
+    upper = sum(map(text.count, filter(str.isupper, set(text))))
     count = lambda chars: sum(map(text.count, chars)) / n
     return [
         1.0,
