@@ -68,14 +68,15 @@ def brute_kept_units(rows):
     seen, kept = set(), {}
     for i, text in sorted(rows):
         parts = re.split(line_dedup.UNIT_ENDS, text)
-        bare = [p.strip().lower() for p in parts]
+        bare = [" ".join(words(p)).lower() for p in parts]
+        at = [j for j, x in enumerate(bare) if x] + [len(parts)]
         gone = set()
-        for b in range(len(parts)):
+        for b in range(len(at) - 1):
             for a in range(b, -1, -1):
-                if sum(len(words(x)) for x in bare[a : b + 1]) >= 30:
-                    run = tuple(bare[a : b + 1])
+                if sum(bare[j].count(" ") + 1 for j in at[a : b + 1]) >= 30:
+                    run = tuple(bare[j] for j in at[a : b + 1])
                     if run in seen:
-                        gone.update(range(a, b + 1))
+                        gone.update(range(at[a], at[b + 1]))
                     seen.add(run)
         kept[i] = [p for j, p in enumerate(parts) if j not in gone]
     return kept
@@ -89,16 +90,42 @@ def test_line_dedup_finds_runs_behind_partial_earlier_copies(spark):
     rows += [s[3] + line(5) + s[4], s[4] + s[5], "".join(s[3:6]), line(40) + "\n\n" + "".join(s[3:6]) + "\n"]
     pool = [line(n) for n in (1, 4, 7, 12, 12, 16, 29, 30, 35)] + ["\n"] * 3
     rows += ["".join(rng.choice(pool) for _ in range(rng.randrange(1, 14))) for _ in range(120)]
-    rows = list(enumerate(rows))
+    check_line_dedup(spark, list(enumerate(rows)))
+    assert not set(s[0:3]) <= set(brute_kept_units(list(enumerate(rows)))[3])
+
+
+def check_line_dedup(spark, rows):
     want = brute_kept_units(rows)
     out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert len(out) == len(rows) and not any(set(s[0:3]) <= set(want[i]) for i in (3,))
+    assert len(out) == len(rows)
     for r in out:
-        text = rows[r.doc_id][1]
-        same = r.n_removed_units == 0
+        text = dict(rows)[r.doc_id]
         n_units = len(re.split(line_dedup.UNIT_ENDS, text))
         assert n_units - r.n_removed_units == len(want[r.doc_id]), r.doc_id
-        assert r.text == (text if same else "".join(want[r.doc_id]).rstrip(" \n")), r.doc_id
+        assert r.text == (text if r.n_removed_units == 0 else "".join(want[r.doc_id]).rstrip(" \n")), r.doc_id
+
+
+def test_line_dedup_equals_all_runs(spark, texts, monkeypatch):
+    """Whole small tables; sentences, tabs, blanks and marks inside texts; and the way of hot windows for all windows."""
+    short = [(i, t) for i, t in texts.items() if t and len(t) < 20_000]
+    rng = random.Random(5)
+    pool = ["A b c d e f g h. ", "I j k! ", "l m n o\tp q r s t u?  ", "\x01 \x02b v w x y z\n", " \t\n", "\n", "One two three four five six seven eight nine ten. \n", "Yes.\x01"]
+    odd = [(10**6 + i, "".join(rng.choices(pool, k=rng.randrange(1, 25)))) for i in range(150)]
+    check_line_dedup(spark, short + odd)
+    monkeypatch.setattr(line_dedup, "HOT", 10**9)
+    check_line_dedup(spark, odd)
+
+
+def test_line_dedup_of_repeated_ids_and_clashing_names(spark):
+    run = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, run, "a"), (1, run, "a"), (1, "own words. " + run, "b"), (None, run, "c"), (2, run, "d")]
+    names = ["doc_id", "text", "d", "t", "runs", "row", "old", "new", "kept", "all", "k", "_k"]
+    df = spark.createDataFrame([(i, t, *[x] * 10) for i, t, x in rows], ", ".join(f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names))
+    out = line_dedup.dedup_lines(df)
+    assert out.columns == [n for n in names if n != "text"] + ["text", "n_removed_units", "n_removed_chars"]
+    got = sorted((r.runs, r.text) for r in out.collect())  # of an id's texts, a hash says which is the first; null ids are last
+    assert got in ([("a", run), ("a", run), ("b", "own words."), ("c", ""), ("d", "")], [("a", ""), ("a", ""), ("b", "own words. " + run), ("c", ""), ("d", "")])
+    assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
 def brute_components(pairs):

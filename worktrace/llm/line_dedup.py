@@ -1,17 +1,22 @@
 """Line dedup [native]: hashes of least windows of units (lines, cut at sentence ends), and deletion of later repeated runs.
 
-1. A document is a list of units: its lines, cut after sentence ends. A run that the same document or an earlier one has
-   before, unit by unit, is deleted where it has ``MIN_WORDS`` words or more.
+1. A document is a list of units: its lines, cut after sentence ends, since pages are often one line and share sentences.
+   A run of units (blank ones do not count) that the same document or an earlier one has before is deleted where it has
+   ``MIN_WORDS`` words or more, with the blank units that follow it.
 2. Of each unit, the shortest run from it and the shortest run up to it that have ``MIN_WORDS`` words are its windows.
    Every repeated run is the union of the windows inside it, and each of them is repeated; so units are deleted exactly
    where one of their windows has occurred before. No two documents are compared with each other.
 3. A window is hashed as a whole (64 bits, as units are), and every place of a hash but its first in the corpus is deleted.
-   A window that begins or ends with blank units has the hash of its inner part and their number, so that the work
-   is in proportion to the units.
+   The few hashes that have more than one in ``HOT`` of all places are looked up by broadcast, so that no task gets all places
+   of a hash; there are fewer than ``HOT`` of them, whatever the size of the corpus.
+
+Fingerprints that are minima of such windows (winnowing) would have to be joined with all places of a hash to find every repeat,
+which is all pairs of a group; with first places only, repeats behind partial earlier copies are lost.
 
 The order of documents is that of doc_id, then of a hash of the text. Null texts stay null, empty ones empty; null ids
-come first in order and are handled like others; rows repeated in full are cleaned alike (their copies count as one
-document); ties do not occur beyond that; an empty table gives an empty result; further columns stay.
+come last in order and are handled like others; rows repeated in full are cleaned alike (their copies count as one
+document); ties do not occur beyond that; very long texts are taken whole; an empty table gives an empty result; further columns
+stay, whatever their names, but for those named like the results.
 """
 
 from __future__ import annotations
@@ -22,12 +27,34 @@ from pyspark.sql import functions as F
 from worktrace.llm.common import stored
 
 MIN_WORDS = 30
+HOT = 1000
+#: Units end here; ``units`` gives the same by plain replacements, which are faster than a pattern.
 UNIT_ENDS = r"(?<=\n)|(?<=[.!?] )(?=[^ \n])"
+_SENTENCE_ENDS = (". ", "! ", "? ")
+_CUT, _ESCAPE = "\x01", "\x02"
+_BLOCK = 512  # units of a document whose windows are joined in one group
+
+
+def _replace(text: Column, *pairs: tuple[str, str]) -> Column:
+    for old, new in pairs:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
+def _cut(text: Column) -> Column:
+    """``text`` with a mark at the end of every unit; marks of its own are escaped."""
+    text = _replace(F.coalesce(text, F.lit("")), (_ESCAPE, _ESCAPE + "b"), (_CUT, _ESCAPE + "a"))
+    text = _replace(text, *[(x, x + _CUT) for x in _SENTENCE_ENDS], (_CUT + " ", " "), (_CUT + "\n", "\n"))
+    return _replace(F.rtrim(text, F.lit(_CUT)), ("\n", "\n" + _CUT))
+
+
+def _uncut(text: Column) -> Column:
+    return _replace(text, (_ESCAPE + "a", _CUT), (_ESCAPE + "b", _ESCAPE))
 
 
 def units(text: Column) -> Column:
-    """Lines cut at sentence ends, with the white space that follows them: joined, they are the text again."""
-    return F.split(F.coalesce(text, F.lit("")), UNIT_ENDS)
+    """Lines cut at sentence ends, with the white space that follows them (escaped: ``_uncut`` of their concatenation is the text)."""
+    return F.split(_cut(text), _CUT)
 
 
 def _let(value: Column, use) -> Column:
@@ -35,85 +62,82 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _up_to(n: Column, make, of: str) -> Column:
-    """[make(1), ..., make(n)], an empty array of type ``of`` for 0."""
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), make)).otherwise(F.array().cast(of))
+def _bare_units(text: Column) -> Column:
+    """(i: place, u: hash of the words in lower case, n: words, up to MIN_WORDS) of the units that are not blank, and the number of all units."""
+    plain = _replace(F.lower(_cut(text)), ("\n", " "), ("\r", " "), ("\t", " "), ("\x0b", " "), ("\x0c", " "))
+    plain = F.regexp_replace(plain, " {2,}", " ")
+    n_words = lambda x: F.when(x == "", 0).otherwise(F.least(F.lit(MIN_WORDS), F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1))
+    made = F.transform(F.transform(F.split(plain, _CUT), lambda x: F.trim(x)), lambda x, i: F.struct(i.alias("i"), F.xxhash64(x).alias("u"), n_words(x).alias("n")))
+    return _let(made, lambda x: F.struct(F.filter(x, lambda y: y["n"] > 0).alias("v"), F.size(x).alias("size")))
 
 
 def _windows(s: Column) -> Column:
-    """(h, first, last) of the windows of ``s``: v (i: place, u: hash, n: words up to MIN_WORDS; units not blank) and size."""
-    place = lambda s, m: F.get(s["v"], m)["i"]
-    before = lambda s, m: place(s, m) - F.when(m > 0, place(s, F.greatest(m - 1, F.lit(0)))).otherwise(-1) - 1
-    after = lambda s, m: F.coalesce(place(s, m + 1), s["size"]) - place(s, m) - 1
-    # The unit of every word, and the first word of every unit.
-    owner = F.flatten(F.transform(s["v"], lambda x, m: F.array_repeat(m, x["n"])))
-    own = lambda w: F.transform(w, lambda m, j: F.when((j == 0) | (F.get(w, F.greatest(j - 1, F.lit(0))) != m), j))
-    chain = F.transform(s["v"], lambda x, m: F.xxhash64(x["u"], after(s, m)))
+    """(h, first, last) of the windows of ``s``; the last unit of a window is the last blank one that follows it."""
+    owner = F.flatten(F.transform(s["v"], lambda x, m: F.array_repeat(m, x["n"])))  # the unit of every word
+    leads = F.flatten(F.transform(s["v"], lambda x: F.concat(F.array(F.lit(True)), F.array_repeat(F.lit(False), x["n"] - 1))))
+    start = F.array_compact(F.transform(leads, lambda lead, j: F.when(lead, j)))  # the first word of every unit
+    made = F.struct(s["v"].alias("v"), s["v"]["u"].alias("u"), s["size"].alias("size"), owner.alias("owner"), start.alias("start"))
 
     def spans(s):
-        end = lambda m: F.get(s["owner"], F.get(s["start"], m) + MIN_WORDS - 1)
-        at = lambda m: F.get(s["start"], m) + F.get(s["v"], m)["n"] - MIN_WORDS
-        begin = lambda m: F.when(at(m) >= 0, F.get(s["owner"], F.greatest(at(m), F.lit(0))))
-        span = lambda a, b, onward, back: F.struct(a.alias("a"), b.alias("b"), onward.alias("onward"), back.alias("back"))
-        onward = F.transform(s["v"], lambda x, m: F.when(end(m).isNotNull(), span(m, end(m), F.lit(True), begin(end(m)) == m)))
-        back = F.transform(s["v"], lambda x, m: F.when(end(begin(m)) < m, span(begin(m), m, F.lit(False), F.lit(True))))
+        end = lambda a: F.get(s["owner"], F.get(s["start"], a) + (MIN_WORDS - 1))
+        begin = lambda x, b: F.get(s["owner"], F.get(s["start"], b) + x["n"] - MIN_WORDS)
+        pair = lambda a, b: F.when(b.isNotNull(), F.struct(a.alias("a"), b.alias("b")))
+        onward = F.transform(s["v"], lambda x, m: pair(m, end(m)))
+        back = F.transform(s["v"], lambda x, m: _let(begin(x, m), lambda a: pair(a, F.when(end(a) != m, m))))
         return F.array_compact(F.concat(onward, back))
 
-    def rows(s, x):
-        row = lambda h, a, b: F.struct(h.alias("h"), a.alias("first"), b.alias("last"))
-        many = "array<struct<h: bigint, first: int, last: int>>"
+    def row(s, x):
         a, b = x["a"], x["b"]
-        core = F.xxhash64(F.slice(s["chain"], a + 1, b - a), F.get(s["v"], b)["u"])
+        last = F.coalesce(F.get(s["v"], b + 1)["i"], s["size"]) - 1
+        return F.struct(F.xxhash64(F.slice(s["u"], a + 1, b - a + 1)).alias("h"), F.get(s["v"], a)["i"].alias("first"), last.alias("last"))
 
-        def wider(h):
-            lead = _up_to(F.when(x["onward"], before(s, a)).otherwise(0), lambda j: row(F.xxhash64(h, -j), place(s, a) - j, place(s, b)), many)
-            trail = _up_to(F.when(x["back"], after(s, b)).otherwise(0), lambda j: row(F.xxhash64(h, j), place(s, a), place(s, b) + j), many)
-            return F.concat(F.array(row(h, place(s, a), place(s, b))), lead, trail)
-
-        return _let(core, wider)
-
-    def all_rows(w):
-        made = F.struct(s["v"].alias("v"), s["size"].alias("size"), w.alias("owner"), F.array_compact(own(w)).alias("start"), chain.alias("chain"))
-        return _let(made, lambda s: F.flatten(F.transform(spans(s), lambda x: rows(s, x))))
-
-    return _let(owner, all_rows)
+    return _let(made, lambda s: F.transform(spans(s), lambda x: row(s, x)))
 
 
 def prepared(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: key k and its windows w (h, first, last)."""
-    blank = lambda x: F.btrim(x, F.lit(" \t\n\r\x0b\f"))
-    n_words = lambda x: F.when(x == "", 0).otherwise(F.least(F.lit(MIN_WORDS), F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1))
-    unit = lambda x, i: F.struct(i.alias("i"), F.xxhash64(F.lower(x)).alias("u"), n_words(x).alias("n"))
-    all_units = F.transform(F.transform(units(F.col("text")), blank), unit)
-    s = _let(all_units, lambda x: F.struct(F.filter(x, lambda y: y["n"] > 0).alias("v"), F.size(x).alias("size")))
-    return docs.select(key(docs).alias("k"), _let(s, _windows).alias("w"))
-
-
-def key(docs: DataFrame) -> Column:
-    return F.struct(docs["doc_id"].alias("doc_id"), F.xxhash64(docs["text"]).alias("th"))
+    """d (id), t (a hash of the text) and the windows w of every row of ``docs``."""
+    return docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), _let(_bare_units(F.col("text")), _windows).alias("w"))
 
 
 def joined(windows: Column) -> Column:
-    """The runs (first, last), in order, that ``windows`` make up: of least windows, later ones never end sooner."""
-    near = lambda r, j, x: F.get(r, F.greatest(j - 1, F.lit(0)))["last"] + 1 >= x["first"]
+    """The runs (first, last), in order, that ``windows`` make up.
+
+    Sorted by their first units, windows never end sooner than those before: least ones do not, and runs joined before do not overlap.
+    """
+    near = lambda r, j, x: F.get(r, j - 1)["last"] + 1 >= x["first"]
     starts = lambda r: F.filter(r, lambda x, j: (j == 0) | ~near(r, j, x))
     ends = lambda r: F.filter(r, lambda x, j: F.coalesce(F.get(r, j + 1)["first"] > x["last"] + 1, F.lit(True)))
     return _let(F.array_sort(windows), lambda r: F.zip_with(starts(r), ends(r), lambda a, b: F.struct(a["first"].alias("first"), b["last"].alias("last"))))
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """k and runs (first, last unit) that repeat an earlier document or an earlier part of the own one."""
+    """d, t and runs (first, last unit) that repeat an earlier document or an earlier part of the own one."""
     s = stored(prepared(docs), "line-windows")
-    places = s.select("k", F.explode("w").alias("w")).select("k", "w.h", "w.first", "w.last")
-    first = places.groupBy("h").agg(F.min(F.struct("k", "first")).alias("a"), F.count("*").alias("c")).where("c > 1").select("h", "a")
-    later = places.join(first, "h").where(F.struct("k", "first") > F.col("a"))
-    found = later.groupBy("k").agg(F.collect_set(F.struct("first", "last")).alias("windows"))
-    return found.select("k", joined(F.col("windows")).alias("runs"))
+    places = s.select("d", "t", F.explode("w").alias("w")).select("w.h", "d", "t", F.expr("shiftleft(cast(w.first as bigint), 32) + w.last").alias("at"))
+    counts = places.groupBy("h").agg(F.count("*").alias("c"), F.min("d").alias("d0"))
+    counts = stored(counts.where("c > 1"), "line-repeats")
+    total = s.agg(F.coalesce(F.sum(F.size("w")), F.lit(0)).alias("n")).first()["n"]
+    hot = counts.where(F.col("c") * HOT > total).select(F.col("h").alias("hot"), F.lit(True).alias("is_hot"), F.col("d0").alias("hot_d0"))
+    cold = counts.where(F.col("c") * HOT <= total).select(F.col("h").alias("key"), F.lit(True).alias("is_cold"), F.col("d0").alias("cold_d0"))
+    found = places.join(F.broadcast(hot), F.col("h") == F.col("hot"), "left")  # fewer than HOT rows
+    found = found.withColumn("own", F.when(F.col("is_hot"), F.xxhash64("d", "t", "at")).otherwise(F.col("h")))
+    found = found.join(cold, F.col("own") == F.col("key"), "left").where("is_hot or is_cold")
+    found = found.select("h", "d", "t", "at", F.when(F.col("is_hot"), F.col("hot_d0")).otherwise(F.col("cold_d0")).alias("d0"))
+    found = stored(found, "line-places")
+    same = F.col("d").eqNullSafe(F.col("d0"))
+    # Of the first document, the first place stays.
+    own = found.where(same).groupBy("h").agg(F.min(F.struct("t", "at")).alias("first"), F.count("*").alias("c")).where("c > 1").select("h", "first")
+    again = found.where(same).join(own, "h").where(F.struct("t", "at") > F.col("first"))
+    later = found.where(~same).select("d", "t", "at").unionAll(again.select("d", "t", "at"))
+    first, last = F.shiftright("at", 32).cast("int"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    blocks = later.groupBy("d", "t", F.floor(first / _BLOCK).alias("block")).agg(F.collect_set(F.struct(first.alias("first"), last.alias("last"))).alias("windows"))
+    parts = blocks.groupBy("d", "t").agg(F.flatten(F.collect_list(joined(F.col("windows")))).alias("windows"))
+    return parts.select("d", "t", joined(F.col("windows")).alias("runs"))
 
 
 def outside(s: Column) -> Column:
     """The entries of array u that no run of r (disjoint, in order) covers."""
-    last = lambda j: F.when(j > 0, F.get(s["r"], F.greatest(j - 1, F.lit(0)))["last"]).otherwise(-1)
+    last = lambda j: F.coalesce(F.get(s["r"], j - 1)["last"], F.lit(-1))
     between = F.transform(s["r"], lambda x, j: F.slice(s["u"], last(j) + 2, x["first"] - last(j) - 1))
     end = F.element_at(s["r"], -1)["last"]
     return F.concat(F.flatten(between), F.slice(s["u"], end + 2, F.size(s["u"])))
@@ -121,16 +145,16 @@ def outside(s: Column) -> Column:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with later repeated runs deleted from ``text``; adds n_removed_units and n_removed_chars."""
-    found = repeated_runs(docs.select("doc_id", "text")).withColumnRenamed("k", "_k")
+    found = repeated_runs(docs.select("doc_id", "text")).withColumnsRenamed({"d": "found_d", "t": "found_t"})
     own = [c for c in docs.columns if c not in ("text", "n_removed_units", "n_removed_chars")]
-    out = docs.select(*own, "text", key(docs).alias("_key")).join(found, F.col("_key") == F.col("_k"), "left")
-    out = out.withColumn("_units", F.when(F.col("runs").isNotNull(), units(F.col("text"))))
-    out = out.withColumn("_kept", _let(F.struct(F.col("_units").alias("u"), F.col("runs").alias("r")), outside))
-    clean = F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.rtrim(F.array_join("_kept", ""), F.lit(" \n")))
-    out = out.withColumn("_clean", clean)
+    rows = docs.select(F.struct(*own).alias("row"), F.col("text").alias("old"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"))
+    out = rows.join(found, F.col("d").eqNullSafe(F.col("found_d")) & (F.col("t") == F.col("found_t")), "left")
+    out = out.withColumn("all", F.when(F.col("runs").isNotNull(), units(F.col("old"))))
+    out = out.withColumn("kept", F.when(F.col("runs").isNotNull(), _let(F.struct(F.col("all").alias("u"), F.col("runs").alias("r")), outside)))
+    out = out.withColumn("new", F.when(F.col("runs").isNull(), F.col("old")).otherwise(F.rtrim(_uncut(F.array_join("kept", "")), F.lit(" \n"))))
     return out.select(
-        *own,
-        F.col("_clean").alias("text"),
-        F.coalesce(F.size("_units") - F.size("_kept"), F.lit(0)).cast("long").alias("n_removed_units"),
-        F.coalesce(F.length("text") - F.length("_clean"), F.lit(0)).cast("long").alias("n_removed_chars"),
+        *[F.col("row")[c].alias(c) for c in own],
+        F.col("new").alias("text"),
+        F.coalesce(F.size("all") - F.size("kept"), F.lit(0)).cast("long").alias("n_removed_units"),
+        F.coalesce(F.length("old") - F.length("new"), F.lit(0)).cast("long").alias("n_removed_chars"),
     )
