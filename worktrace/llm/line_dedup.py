@@ -65,7 +65,7 @@ def _let(value: Column, use) -> Column:
 def _bare_units(text: Column) -> Column:
     """(i: place, u: hash of the words in lower case, n: words, up to MIN_WORDS) of the units that are not blank, and the number of all units."""
     plain = _replace(F.lower(_cut(text)), ("\n", " "), ("\r", " "), ("\t", " "), ("\x0b", " "), ("\x0c", " "))
-    plain = F.regexp_replace(plain, " {2,}", " ")
+    plain = _let(plain, lambda x: F.when(F.contains(x, F.lit("  ")), F.regexp_replace(x, " {2,}", " ")).otherwise(x))
     n_words = lambda x: F.when(x == "", 0).otherwise(F.least(F.lit(MIN_WORDS), F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1))
     made = F.transform(F.transform(F.split(plain, _CUT), lambda x: F.trim(x)), lambda x, i: F.struct(i.alias("i"), F.xxhash64(x).alias("u"), n_words(x).alias("n")))
     return _let(made, lambda x: F.struct(F.filter(x, lambda y: y["n"] > 0).alias("v"), F.size(x).alias("size")))
@@ -75,7 +75,8 @@ def _windows(s: Column) -> Column:
     """(h, first, last) of the windows of ``s``; the last unit of a window is the last blank one that follows it."""
     owner = F.flatten(F.transform(s["v"], lambda x, m: F.array_repeat(m, x["n"])))  # the unit of every word
     leads = F.flatten(F.transform(s["v"], lambda x: F.concat(F.array(F.lit(True)), F.array_repeat(F.lit(False), x["n"] - 1))))
-    start = F.array_compact(F.transform(leads, lambda lead, j: F.when(lead, j)))  # the first word of every unit
+    # The first word of every unit.
+    start = _let(leads, lambda lead: F.filter(F.sequence(F.lit(0), F.greatest(F.size(lead), F.lit(1)) - 1), lambda j: F.get(lead, j)))
     made = F.struct(s["v"].alias("v"), s["v"]["u"].alias("u"), s["size"].alias("size"), owner.alias("owner"), start.alias("start"))
 
     def spans(s):
@@ -95,8 +96,9 @@ def _windows(s: Column) -> Column:
 
 
 def prepared(docs: DataFrame) -> DataFrame:
-    """d (id), t (a hash of the text) and the windows w of every row of ``docs``."""
-    return docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), _let(_bare_units(F.col("text")), _windows).alias("w"))
+    """h, d (id), t (a hash of the text) and at (first and last unit) of the windows of ``docs``, a row each."""
+    w = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.explode(_let(_bare_units(F.col("text")), _windows)).alias("w"))
+    return w.select("w.h", "d", "t", F.expr("shiftleft(cast(w.first as bigint), 32) + w.last").alias("at"))
 
 
 def joined(windows: Column) -> Column:
@@ -112,11 +114,10 @@ def joined(windows: Column) -> Column:
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """d, t and runs (first, last unit) that repeat an earlier document or an earlier part of the own one."""
-    s = stored(prepared(docs), "line-windows")
-    places = s.select("d", "t", F.explode("w").alias("w")).select("w.h", "d", "t", F.expr("shiftleft(cast(w.first as bigint), 32) + w.last").alias("at"))
+    places = stored(prepared(docs), "line-windows")
     counts = places.groupBy("h").agg(F.count("*").alias("c"), F.min("d").alias("d0"))
     counts = stored(counts.where("c > 1"), "line-repeats")
-    total = s.agg(F.coalesce(F.sum(F.size("w")), F.lit(0)).alias("n")).first()["n"]
+    total = places.count()
     hot = counts.where(F.col("c") * HOT > total).select(F.col("h").alias("hot"), F.lit(True).alias("is_hot"), F.col("d0").alias("hot_d0"))
     cold = counts.where(F.col("c") * HOT <= total).select(F.col("h").alias("key"), F.lit(True).alias("is_cold"), F.col("d0").alias("cold_d0"))
     found = places.join(F.broadcast(hot), F.col("h") == F.col("hot"), "left")  # fewer than HOT rows
