@@ -41,11 +41,11 @@ def _replace(text: Column, *pairs: tuple[str, str]) -> Column:
     return text
 
 
-def _cut(text: Column) -> Column:
-    """``text`` with a mark at the end of every unit; marks of its own are escaped."""
+def _cut(text: Column, line_end: str = "\n" + _CUT) -> Column:
+    """``text`` with a mark at the end of every unit, ``line_end`` for a line feed; marks of its own are escaped."""
     text = _replace(F.coalesce(text, F.lit("")), (_ESCAPE, _ESCAPE + "b"), (_CUT, _ESCAPE + "a"))
     text = _replace(text, *[(x, x + _CUT) for x in _SENTENCE_ENDS], (_CUT + " ", " "), (_CUT + "\n", "\n"))
-    return _replace(F.rtrim(text, F.lit(_CUT)), ("\n", "\n" + _CUT))
+    return _replace(F.rtrim(text, F.lit(_CUT)), ("\n", line_end))
 
 
 def _uncut(text: Column) -> Column:
@@ -63,8 +63,8 @@ def _let(value: Column, use) -> Column:
 
 
 def _bare_units(text: Column) -> Column:
-    """(i: place, u: hash of the words in lower case, n: words, up to MIN_WORDS) of the units that are not blank, and the number of all units."""
-    plain = _replace(F.lower(_cut(text)), ("\n", " "), ("\r", " "), ("\t", " "), ("\x0b", " "), ("\x0c", " "))
+    """(i: place, u: hash of the words in lower case, n: words, up to MIN_WORDS, by spaces, tabs and line ends) of the units that are not blank, and the number of all units."""
+    plain = _replace(F.lower(_cut(text, _CUT)), ("\r", " "), ("\t", " "))
     plain = _let(plain, lambda x: F.when(F.contains(x, F.lit("  ")), F.regexp_replace(x, " {2,}", " ")).otherwise(x))
     n_words = lambda x: F.when(x == "", 0).otherwise(F.least(F.lit(MIN_WORDS), F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1))
     made = F.transform(F.transform(F.split(plain, _CUT), lambda x: F.trim(x)), lambda x, i: F.struct(i.alias("i"), F.xxhash64(x).alias("u"), n_words(x).alias("n")))
