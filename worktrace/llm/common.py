@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from worktrace.sources.storage import stored  # noqa: F401
+
 #: White space that separates words; every other character belongs to a word.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -28,26 +27,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            folder = current.get()
-        else:
-            folder = tempfile.mkdtemp(prefix="worktrace-")
-            spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back, so that a lost executor costs no recomputation."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small_side(df: DataFrame, rows: int, limit: int = 20_000) -> DataFrame:
     """Broadcast hint for a side of a known row count below ``limit``; beyond it the plan decides."""
     return F.broadcast(df) if rows <= limit else df

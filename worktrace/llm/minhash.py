@@ -1,6 +1,6 @@
 """MinHash near-dedup by SuperMinHash signatures, banding, verification on full sets and union-find grouping.
 
-A document's set holds the hashes of its distinct runs of ``SHINGLE`` words; with fewer words, the whole sequence is one.
+A document's set holds the hashes of its distinct runs of ``shingle`` words; with fewer words, the whole sequence is one.
 Documents are linked where the similarity of their sets (intersection by union) reaches ``PERCENT``.
 
 1. Documents with equal sets are one class, spoken for by the smallest id.
@@ -13,6 +13,9 @@ Documents are linked where the similarity of their sets (intersection by union)
    cut off, each of its pairs is compared or connected. Sizes and a sketch of the signature rule out most pairs; every link
    is confirmed on the full sets, and only links that join two components leave a block, never its pairs.
 
+Two chances can lose a link at the least similarity: no common band, (1 - 0.8**6)**40 = 5e-6, and a sketch of more than
+``most_different`` differing bits, about 1e-8 at 46. ``most_different=SKETCH`` compares all pairs of a bucket on full sets.
+
 Null and empty texts have empty sets and are linked with nothing; very long texts are taken whole; rows of one id are
 united as if they were copies, and one of them stands for the id in comparisons; ties go to the
 smaller id; an empty table gives an empty result; further columns do not matter. Ids must be integers and not null:
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 
 from worktrace.llm.common import Cache, slices, splitmix, stored
 
-SHINGLE = 4
+SHINGLE = 5
 PERCENT = 80
 BANDS = 40
 ROWS = 6
@@ -117,13 +120,13 @@ def superminhash(sets: list[np.ndarray], m: int) -> np.ndarray:
     return values
 
 
-def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def signatures(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, a and b (128 bits of the set) and the band hashes of every row of ``docs``."""
 
     def run(batches):
         for batch in batches:
             for ids, texts in slices(batch, 1 << 19):
-                sets = [shingle_set(t) for t in texts]
+                sets = [shingle_set(t, shingle) for t in texts]
                 values = superminhash(sets, bands * rows).view(np.uint64).reshape(len(sets), bands, rows)
                 keys = np.arange(bands, dtype=np.uint64) * _FACTORS[0] + np.zeros((len(sets), 1), np.uint64)
                 for i in range(rows):
@@ -146,7 +149,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, a long, b long, bands array<long>, s0 long, s1 long, s2 long")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """The rows (c, x) of ``pairs`` whose full sets are similar enough; ``texts`` has id and text of all of them."""
     chunks = pairs.groupBy("c").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
     cut = pairs.join(chunks, "c").withColumn("chunk", F.pmod(F.xxhash64("x"), F.col("chunks")))
@@ -160,11 +163,12 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             c, chunk, x, text = (batch.column(i) for i in range(4))
             out_c, out_x = [], []
             for i, (a, b, m) in enumerate(zip(c.to_pylist(), chunk.to_pylist(), x.to_pylist())):
-                s = shingle_set(text[i].as_py())
+                s = shingle_set(text[i].as_py(), shingle)
                 if m is None:
                     group, own = (a, b), s
                     continue
-                assert group == (a, b)
+                if group != (a, b):
+                    raise ValueError(f"the text of id {a} is missing")
                 small, large = sorted((len(own), len(s)))
                 if small * 100 < PERCENT * large:
                     continue
@@ -205,7 +209,7 @@ def labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(roots, F.col("id") == F.col("_id"), "left").withColumn("root", F.coalesce("root", "id")).drop("_id")
 
 
-def across(dealt: DataFrame) -> DataFrame:
+def across(dealt: DataFrame, shingle: int = SHINGLE, most_different: int = MOST_DIFFERENT) -> DataFrame:
     """Links (c, x) between components, found block by block.
 
     ``dealt`` has bucket, chunk, salt, asked, id, root and a member's n, sketch, bands and text. Rows with ``asked`` are a
@@ -222,7 +226,7 @@ def across(dealt: DataFrame) -> DataFrame:
                 if kept > 4_000_000:
                     sets.clear()
                     kept = 0
-                sets[i] = shingle_set(text)
+                sets[i] = shingle_set(text, shingle)
                 kept += len(sets[i])
             return sets[i]
 
@@ -235,7 +239,7 @@ def across(dealt: DataFrame) -> DataFrame:
             out_c, out_x = [], []
             for i, key in enumerate(zip(bucket, chunk, salt)):
                 if key != group:
-                    group, block = key, Block(key[0])
+                    group, block = key, Block(key[0], most_different)
                 if asked[i]:
                     block.add(ids[i], roots[i], sizes[i], sketch[i], bands[i], text[i].as_py())
                     continue
@@ -252,8 +256,8 @@ def across(dealt: DataFrame) -> DataFrame:
 class Block:
     """Members of a bucket that others are compared with."""
 
-    def __init__(self, bucket: int):
-        self.bucket = bucket
+    def __init__(self, bucket: int, most_different: int = MOST_DIFFERENT):
+        self.bucket, self.most_different = bucket, most_different
         self.rows: list[tuple] = []
         self.met: dict[int, int] = {}
         self.ids = self.tokens = None
@@ -276,7 +280,7 @@ class Block:
             return
         differ = np.bitwise_count(self.sketches[open_] ^ sketch).sum(axis=1)
         small, large = np.minimum(self.sizes[open_], size), np.maximum(self.sizes[open_], size)
-        open_ = open_[(differ <= MOST_DIFFERENT) & (small * 100 >= large * PERCENT)]
+        open_ = open_[(differ <= self.most_different) & (small * 100 >= large * PERCENT)]
         common = self.bands[open_] == bands
         open_ = open_[bands[common.argmax(axis=1)] == self.bucket] if len(open_) else open_
         if not len(open_):
@@ -302,7 +306,7 @@ class Block:
                 yield int(self.ids[j])
 
 
-def similar_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
+def similar_classes(classes: DataFrame, docs: DataFrame, shingle: int = SHINGLE, most_different: int = MOST_DIFFERENT) -> DataFrame:
     """id and root of the classes (id, bands, n, s0, s1, s2) that are connected with a smaller one."""
     buckets = classes.select("id", F.explode("bands").alias("bucket"))
     first = buckets.groupBy("bucket").agg(
@@ -317,7 +321,7 @@ def similar_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     centres = members.groupBy(F.col("id").alias("x")).agg(F.min("first").alias("first"), F.sort_array(F.collect_set("pivot")).alias("pivots"))
     centres = centres.select(F.explode(F.array_union(F.array("first"), F.slice("pivots", 1, PIVOTS))).alias("c"), "x")
     tried = centres.where("c != x").select(F.least("c", "x").alias("c"), F.greatest("c", "x").alias("x"))
-    links = stored(verified(stored(tried.distinct(), "pairs"), details.select("id", "text")), "links")
+    links = stored(verified(stored(tried.distinct(), "pairs"), details.select("id", "text"), shingle), "links")
 
     now = labelled(members.select("bucket", "id"), components(links))
     sizes = now.groupBy("bucket", "root").agg(F.count("*").alias("m"))
@@ -332,19 +336,19 @@ def similar_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     asked = cut.where("outside").select("bucket", chunk.alias("chunk"), every("salts").alias("salt"), F.lit(True).alias("asked"), "id", "root")
     others = cut.select("bucket", every("chunks").alias("chunk"), salt.alias("salt"), F.lit(False).alias("asked"), "id", "root")
-    found = stored(across(asked.unionAll(others).join(details, "id")), "links")
+    found = stored(across(asked.unionAll(others).join(details, "id"), shingle, most_different), "links")
     return components(links.unionAll(found))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most_different: int = MOST_DIFFERENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (the smallest id of a component) of every row of ``docs``."""
-    s = stored(signatures(docs), "signatures")
+    s = stored(signatures(docs, shingle), "signatures")
     full = s.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("n_shingles", "a", "b").agg(F.min("doc_id").alias("id"))
     same = full.select("doc_id", "n_shingles", "a", "b").join(classes, ["n_shingles", "a", "b"]).select("doc_id", "id").distinct()
     same = stored(same, "classes")
     leaders = full.join(same.where("doc_id = id").select("id"), F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
-    roots = similar_classes(leaders.select(F.col("doc_id").alias("id"), "bands", F.col("n_shingles").alias("n"), "s0", "s1", "s2"), docs)
+    roots = similar_classes(leaders.select(F.col("doc_id").alias("id"), "bands", F.col("n_shingles").alias("n"), "s0", "s1", "s2"), docs, shingle, most_different)
     names = labelled(same.select("doc_id", "id"), roots).select(F.col("doc_id").alias("_d"), F.col("root").alias("component_id")).distinct()
     names = names.groupBy("_d").agg(F.min("component_id").alias("component_id"))
     out = s.select("doc_id", "n_shingles").join(names, F.col("doc_id") == F.col("_d"), "left")

@@ -4,9 +4,9 @@ Every line of a document is judged alone: by its end mark, by navigation separat
 symbols and by capitals. Lines that fail are removed; a document that loses more than half of its characters is
 rejected. Base statistics over the whole text go before that verdict.
 
-All work stays in one row: no shuffle, no Python. A null or empty text has no words and fails the base rules; repeated
-rows and ties are judged alike, row by row; an empty table gives an empty result; further columns are passed through
-only by ``clean_lines``, under their own names.
+All work stays in one row: no shuffle, no Python. A null or empty text has no words and fails the base rules; very long texts are
+judged whole; repeated rows and ties are judged alike, row by row, also where they share an id; an empty table gives an empty
+result; further columns are passed through only by ``clean_lines``, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,10 +25,12 @@ MIN_KEPT_SHARE = 0.5
 SYMBOLS = r"[#*$%&|<>]"
 
 # Prose has a mark that ends a sentence, perhaps followed by a closing quote or bracket; a cut last sentence is forgiven.
-END_MARK = r"[.!?;:\x{2026}\x{3002}]['\x22)\]\x{201D}\x{2019}\x{00BB}]?([\x20\x09-\x0D]|$)"
-LOWER_CASE = r"\p{Ll}"
+# After an ideographic mark, no space is due.
+END_MARK = r"[.!?;:\x{2026}\x{061F}\x{06D4}\x{0964}]['\x22)\]\x{201D}\x{2019}\x{00BB}]?([\x20\x09-\x0D]|$)|[\x{3002}\x{FF01}\x{FF1F}]"
+LETTER = r"[\p{Ll}\p{Lo}]"  # a lower-case one, or one of a script without cases
 MARKS = r"[#*$%&|<>\x{00BB}\x{203A}\x{2022}]"
 NAVIGATION = r"([|>\x{00BB}\x{203A}\x{2022}][^|>\x{00BB}\x{203A}\x{2022}]*){3}"
+BOILERPLATE_SPAN = 300  # characters of a line for which one phrase is too many
 BOILERPLATE = [
     "cookie", "privacy policy", "terms of use", "terms of service", "all rights reserved", "lorem ipsum", "javascript",
     "subscribe to", "sign up for", "click here", "copyright", "licensed under", "released under the",
@@ -41,24 +43,26 @@ def without(text: Column, pattern: str) -> Column:
 
 
 def line_fails(line: Column) -> Column:
-    """True where a line breaks a rule; boilerplate is looked for in lines of up to 300 characters."""
+    """True where a line breaks a rule; a line of any length may have fewer boilerplate phrases than one in ``BOILERPLATE_SPAN`` characters."""
     marks = F.length(line) - without(line, MARKS)
     phrase = reduce(lambda a, b: a | b, [F.lower(line).contains(x) for x in BOILERPLATE])
+    count = F.regexp_count(F.lower(line), F.lit("|".join(BOILERPLATE)))
     return (
         ~line.rlike(END_MARK)
-        | ~line.rlike(LOWER_CASE)
+        | ~line.rlike(LETTER)
         | (marks * 20 > F.length(line))
         | (line.contains("|") & line.rlike(NAVIGATION))
-        | ((F.length(line) <= 300) & phrase)
+        | F.when(phrase, count * BOILERPLATE_SPAN >= F.length(line)).otherwise(False)
     )
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the kept lines."""
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, all lines, the kept lines and the row of ``docs``."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.select("doc_id", text.alias("text")).withColumn("w", words(F.col("text")))
+    out = docs.select("doc_id", text.alias("text"), F.struct(*docs.columns).alias("row")).withColumn("w", words(F.col("text")))
     out = out.select(
         "doc_id",
+        "row",
         F.size("w").alias("n_words"),
         F.transform("w", lambda w: F.xxhash64(w)).alias("w"),
         F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
@@ -97,11 +101,12 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         "lines",
         F.filter("lines", lambda x: ~line_fails(x)).alias("good_lines"),
+        "row",
     )
 
 
 def judge(docs: DataFrame, min_kept_share: float = MIN_KEPT_SHARE) -> DataFrame:
-    """Statistics, verdicts and the cleaned text (``clean_text``) of every document."""
+    """Statistics, verdicts, the cleaned text (``clean_text``) and the row itself (``row``) of every document."""
     chars = lambda lines: F.length(F.array_join(lines, ""))
     s = statistics(docs)
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
@@ -112,10 +117,10 @@ def judge(docs: DataFrame, min_kept_share: float = MIN_KEPT_SHARE) -> DataFrame:
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size("good_lines")).cast("long").alias("n_removed_lines"),
         F.array_join("good_lines", "\n").alias("clean_text"),
+        "row",
     )
 
 
 def clean_lines(docs: DataFrame) -> DataFrame:
     """``docs`` without rejected documents, their texts without failed lines; other columns stay as they are."""
-    judged = judge(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("_id"), F.col("clean_text"))
-    return docs.join(judged.dropDuplicates(["_id"]), docs["doc_id"].eqNullSafe(F.col("_id"))).drop("_id", "text").withColumnRenamed("clean_text", "text")
+    return judge(docs).where("kept").select(*[(F.col("clean_text") if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns])

@@ -10,7 +10,7 @@ from worktrace.llm.common import read_table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("clean_text")
+    return quality_rules.judge(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("clean_text", "row")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +19,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4)
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
