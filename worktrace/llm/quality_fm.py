@@ -33,7 +33,7 @@ _SHAPES = [(re.compile(p), r) for p, r in ((r"[^\W\d_a-z]*[A-Z][^\W\d_a-z]*", "A
 def _shape(word: str) -> str:
     for pattern, by in _SHAPES:
         word = pattern.sub(by, word)
-    return word[:12]
+    return word
 
 
 def _places(word: str) -> tuple[int, int]:

@@ -36,7 +36,7 @@ _SPLIT = re.compile(r"[\x20\x09-\x0D]*\n[\x20\x09-\x0D]*")
 def word_features(word: str) -> tuple[str, ...]:
     """The lower-case word without outer marks, in brackets, and its beginnings."""
     word = _EDGES.sub("", word.lower())
-    return (f"<{word[:40]}>", *(word[:n] for n in BEGINNINGS if len(word) > n - 1)) if word else ()
+    return (f"<{word}>", *(word[:n] for n in BEGINNINGS if len(word) > n - 1)) if word else ()
 
 
 def tokens(text: str) -> list[str]:
