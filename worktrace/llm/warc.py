@@ -1,17 +1,22 @@
 """WARC derivatives: responses become linked metadata records and plain-text conversion records.
 
 Records are rows: type, id, the id they refer to, target URI, date, content type, block, digests, and headers kept from their source. A
-conversion holds the text of the response's HTML; a metadata record tells its source's record id, headers and digests
-and the page's title. Both refer to the response. ``write_warc`` writes rows as WARC/1.1 files through Spark's text writer (a
-record's end is the line separator), so that any file system will do; ``read_warc`` reads them again.
-
-All of it is expressions: no Python on the way to the files. Null html: an empty payload, whose derivatives are empty or
-say so; null URL: an empty target; null ids get records of their own; repeated rows give equal records; further columns are ignored.
+conversion holds the text of the response's HTML; a metadata record tells its source's record id, date, target and digests,
+its status line and every one of its HTTP headers, and the page's title. Both refer to the response. ``write_warc`` writes rows as
+WARC/1.1 files through Spark's text writer (a record's end is the line separator), so that any file system will do; Spark's
+codecs compress a file as one member, not each record. ``read_warc`` reads files again, of one or many members.
+
+All of it is expressions: no Python on the way to the files. Pages have no date of their own: it is an argument, or their column
+``date``. Null html: an empty payload, whose derivatives are empty or say so; null URL: an empty target; null ids get records of their
+own; repeated rows give equal records; very long pages are converted whole; an empty table gives an empty result; columns beside the
+records' own stay in ``derivatives``, whatever their names. The reader leaves out records without a length, cut records, and what
+follows a broken compressed member; header names count in any case.
 """
 
 from __future__ import annotations
 
 import re
+from html.entities import name2codepoint
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,15 +31,9 @@ TEXT_STEPS = [
     (r"(?is)<(script|style|noscript|template)[^>]*>.*?</(script|style|noscript|template)[^>]*>", ""),
     (r"(?i)</?(p|div|br|li|ul|ol|h[1-6]|tr|td|th|table|article|section|nav|header|footer|main|aside|title|head|body|html|blockquote|pre|hr)( [^>]*|/)?>", "\n"),
     (r"(?s)<[^>]*>", ""),
-    (r"&nbsp;", " "),
-    (r"&lt;", "<"),
-    (r"&gt;", ">"),
-    (r"&quot;", '"'),
-    (r"&#39;", "'"),
-    (r"&amp;", "&"),
-    (r"[ \t\r\f]+", " "),
-    (r" ?\n[ \n]*", "\n"),
 ]
+SPACE_STEPS = [(r"[ \t\r\f\x{00A0}]+", " "), (r" ?\n[ \n]*", "\n")]
+ENTITY = r"^(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 
 
 def _digest(block: Column) -> Column:
@@ -48,50 +47,76 @@ def _record_id(*parts: Column | str) -> Column:
     return F.concat(F.lit("urn:uuid:"), F.concat_ws("-", *cut))
 
 
+def unescaped(text: Column) -> Column:
+    """``text`` with its character references, named and numeric, replaced once; those that name no character stay or become U+FFFD."""
+    named = F.create_map(*[F.lit(x) for name, code in name2codepoint.items() for x in (name, chr(code))], F.lit("apos"), F.lit("'"))
+
+    def piece(x):
+        found = F.regexp_extract(x, ENTITY, 0)
+        name = F.rtrim(found, F.lit(";"))
+        hexed = F.lower(F.substring(name, 2, 1)) == "x"
+        code = F.when(hexed, F.conv(F.substring(name, 3, 9), 16, 10)).otherwise(F.substring(name, 2, 9)).cast("int")
+        valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        numeric = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+        by = F.when(found == "", None).when(name.startswith("#"), numeric).otherwise(F.try_element_at(named, name))
+        return F.coalesce(F.concat(by, F.substr(x, F.length(found) + 1)), F.concat(F.lit("&"), x))
+
+    parts = F.split(text, "&")
+    rest = F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), piece), "")
+    return F.when(text.contains("&"), F.concat(F.get(parts, F.lit(0)), rest)).otherwise(text)
+
+
 def html_text(html: Column) -> Column:
     for pattern, by in TEXT_STEPS:
         html = F.regexp_replace(html, F.lit(pattern), F.lit(by))
+    html = unescaped(html)
+    for pattern, by in SPACE_STEPS:
+        html = F.regexp_replace(html, F.lit(pattern), F.lit(by))
     return F.btrim(html, F.lit(" \n"))
 
 
 def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
-    """Response records of ``pages`` (page_id, url, html), with page_id."""
+    """Response records of ``pages`` (page_id, url, html; date, if it is there, as text), with page_id."""
+    when = F.coalesce(F.col("date"), F.lit(date)) if "date" in pages.columns else F.lit(date)
     html = F.coalesce("html", F.lit(""))
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"))
     block = F.concat(head, html)
     return pages.select(
         "page_id", F.lit("response").alias("record_type"), _record_id("response", F.col("page_id"), F.col("url")).alias("record_id"),
-        F.lit(None).cast("string").alias("refers_to"), F.coalesce("url", F.lit("")).alias("target_uri"), F.lit(date).alias("date"),
+        F.lit(None).cast("string").alias("refers_to"), F.coalesce("url", F.lit("")).alias("target_uri"), when.alias("date"),
         F.lit("application/http; msgtype=response").alias("content_type"), block.alias("block"),
         _digest(block).alias("block_digest"), _digest(html).alias("payload_digest"),
     )
 
 
-def _header(head: Column, name: str) -> Column:
-    return F.regexp_extract(head, rf"(?i)\n{name}: ([^\r\n]*)", 1)
-
-
 def derivatives(records: DataFrame) -> DataFrame:
     """A metadata and a conversion record for every response of ``records``; their columns beside COLUMNS stay."""
     own = [c for c in records.columns if c not in COLUMNS]
     parts = F.split("block", "\r\n\r\n", 2)
-    r = records.where("record_type = 'response'").select(*own, *COLUMNS, F.get(parts, F.lit(0)).alias("_head"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("_html"))
-    title = F.btrim(F.regexp_replace(F.regexp_extract("_html", r"(?is)<title[^>]*>(.*?)</title>", 1), F.lit(r"[ \t\r\n\f]+"), F.lit(" ")), F.lit(" "))
+    r = records.where("record_type = 'response'").select(
+        F.struct(*own or [F.lit(1)]).alias("row"), F.col("record_id").alias("source"), "target_uri", "date", "block_digest", "payload_digest",
+        F.split(F.get(parts, F.lit(0)), "\r\n").alias("head"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("html"),
+    )
+    title = F.btrim(F.regexp_replace(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1), F.lit(r"[ \t\r\n\f]+"), F.lit(" ")), F.lit(" "))
+    field = lambda name, value: F.concat(F.lit(f"{name}: "), value)
     fields = F.concat(
-        F.lit("source-record-id: <"), F.col("record_id"), F.lit(">\r\nsource-content-type: "), _header(F.col("_head"), "Content-Type"),
-        F.lit("\r\nsource-content-length: "), _header(F.col("_head"), "Content-Length"),
-        F.lit("\r\nsource-block-digest: "), F.col("block_digest"), F.lit("\r\nsource-payload-digest: "), F.col("payload_digest"),
-        F.lit("\r\ntitle: "), title,
+        F.array(
+            field("source-record-id", F.concat(F.lit("<"), F.col("source"), F.lit(">"))), field("source-target-uri", F.col("target_uri")),
+            field("source-date", F.col("date")), field("source-block-digest", F.col("block_digest")),
+            field("source-payload-digest", F.col("payload_digest")), field("source-status", F.get("head", F.lit(0))),
+        ),
+        F.transform(F.filter("head", lambda x, i: (i > 0) & (x != "")), lambda x: field("source-header", x)),
+        F.array(field("title", unescaped(title))),
     )
     kinds = F.array(
-        F.struct(F.lit("metadata").alias("kind"), F.lit("application/warc-fields").alias("type"), fields.alias("body")),
-        F.struct(F.lit("conversion").alias("kind"), F.lit("text/plain").alias("type"), html_text(F.col("_html")).alias("body")),
+        F.struct(F.lit("metadata").alias("kind"), F.lit("application/warc-fields").alias("type"), F.array_join(fields, "\r\n").alias("body")),
+        F.struct(F.lit("conversion").alias("kind"), F.lit("text/plain").alias("type"), html_text(F.col("html")).alias("body")),
     )
-    out = r.withColumn("_new", F.explode(kinds)).withColumn("_source", F.col("record_id"))
+    out = r.select("row", "source", "target_uri", "date", "payload_digest", F.explode(kinds).alias("new"))
     return out.select(
-        *own, F.col("_new.kind").alias("record_type"), _record_id(F.col("_new.kind"), F.col("_source")).alias("record_id"),
-        F.col("_source").alias("refers_to"), "target_uri", "date", F.col("_new.type").alias("content_type"), F.col("_new.body").alias("block"),
-        _digest(F.col("_new.body")).alias("block_digest"), "payload_digest",
+        *[F.col("row")[c].alias(c) for c in own], F.col("new.kind").alias("record_type"), _record_id(F.col("new.kind"), F.col("source")).alias("record_id"),
+        F.col("source").alias("refers_to"), "target_uri", "date", F.col("new.type").alias("content_type"), F.col("new.body").alias("block"),
+        _digest(F.col("new.body")).alias("block_digest"), "payload_digest",
     )
 
 
@@ -114,31 +139,51 @@ def write_warc(records: DataFrame, path: str, compression: str = "gzip", mode: s
 
 
 def parse_warc(data: bytes):
-    """Headers and block of each record of a file."""
+    """Headers, by lower-case name, and block of each whole record of a file."""
     at = 0
     while (at := data.find(b"WARC/1.", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
-        head = dict(m.groups() for m in re.finditer(r"(?m)^([^:\r\n]+): ([^\r\n]*)", data[at:end].decode()))
-        length = int(head["Content-Length"])
-        yield head, data[end + 4 : end + 4 + length].decode("utf-8", "replace")
-        at = end + 4 + length
+        end = data.find(b"\r\n\r\n", at)
+        if end < 0:
+            return
+        pairs = re.findall(r"(?m)^([^:\r\n]+):[ \t]*([^\r\n]*)", data[at:end].decode("utf-8", "replace"))
+        head = {name.strip().lower(): value.strip() for name, value in pairs}
+        length = head.get("content-length", "")
+        if not length.isdecimal():
+            at = end
+            continue
+        at = end + 4 + int(length)
+        if at <= len(data):
+            yield head, data[end + 4 : at].decode("utf-8", "replace")
+
+
+def decompressed(data: bytes) -> bytes:
+    """A plain file as it is; of gzip members, all up to the first broken one."""
+    import zlib
+
+    if data[:2] != b"\x1f\x8b":
+        return data
+    out = []
+    while data:
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(data))
+        except zlib.error:
+            break
+        data = member.unused_data
+    return b"".join(out)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Records of WARC files, plain or gzip, a task for each file."""
 
     def run(batches):
-        import gzip
-
         for batch in batches:
             for content in batch.column(0):
-                data = content.as_py()
-                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
                 rows = []
-                for head, block in parse_warc(data):
+                for head, block in parse_warc(decompressed(content.as_py())):
                     get = lambda name, h=head: h.get(name, "").strip("<>") or None
-                    digest = get("WARC-Payload-Digest") or get("X-Source-Payload-Digest")
-                    rows.append((get("WARC-Type"), get("WARC-Record-ID"), get("WARC-Refers-To"), head.get("WARC-Target-URI", ""), get("WARC-Date"), get("Content-Type"), block, get("WARC-Block-Digest"), digest))
+                    digest = get("warc-payload-digest") or get("x-source-payload-digest")
+                    rows.append((get("warc-type"), get("warc-record-id"), get("warc-refers-to"), head.get("warc-target-uri", ""), get("warc-date"), get("content-type"), block, get("warc-block-digest"), digest))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)] or [pa.array([], pa.string())] * 9, names=COLUMNS)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, ", ".join(f"{c} string" for c in COLUMNS))
