@@ -43,6 +43,7 @@ def test_quality_statistics(spark, docs, texts, odd):
         lines = [x for x in t.split("\n") if words(x)]
         return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered)
 
+    assert quality_rules.judge(odd.limit(0)).count() == 0
     for df, want in ((docs, texts), (odd, {i: t for i, t, *_ in ODD})):
         for r in quality_rules.judge(df.select("doc_id", "text")).collect():
             got = (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words)
@@ -50,6 +51,32 @@ def test_quality_statistics(spark, docs, texts, odd):
             assert r.base_failed == (got[0] < 10 or 100 * got[4] > 20 * got[0]) and not (r.base_failed and r.kept)
 
 
+def test_quality_verdict_by_line(spark, docs, texts):
+    import regex
+
+    end, letter, marks, navigation = (regex.compile(re.sub(r"\\x\{(\w+)\}", r"\\u\1", p)) for p in (quality_rules.END_MARK, quality_rules.LETTER, quality_rules.MARKS, quality_rules.NAVIGATION))
+
+    def fails(x):
+        phrases = len(re.findall("|".join(quality_rules.BOILERPLATE), x.lower()))
+        return not end.search(x) or not letter.search(x) or len(marks.findall(x)) * 20 > len(x) or bool(navigation.search(x)) or phrases * 300 >= max(len(x), 1) and phrases > 0
+
+    prose = "这是一个写得很好的句子，它有很多字。"
+    long = lambda n, more="": " ".join(f"w{k}" for k in range(100))[: n - 21 - len(more)] + more + " ends with a full st."
+    made = {10**6 + i: x for i, x in enumerate([f"{prose} a b c d e f g h i j\n{prose}", long(299, " cookie"), long(305, " cookie"), "x " * 20 + "cookie " * 200 + ".", "12 34 56 78 90 12 34 56 78 90.", "مرحبا " * 12 + "؟"])}
+    everything = {i: t for i, t in (texts | made).items()}
+    df = spark.createDataFrame([(i, t, "x") for i, t in everything.items()], "doc_id long, text string, lines string")
+    got = {r.doc_id: r for r in quality_rules.judge(df).collect()}
+    for i, t in everything.items():
+        lines = [x for x in (t or "").split("\n") if words(x)]
+        good = [x for x in lines if not fails(x)]
+        kept = not got[i].base_failed and len("".join(good)) >= 0.5 * len("".join(lines))
+        assert (got[i].n_lines, got[i].n_removed_lines, got[i].kept, got[i].clean_text) == (len(lines), len(lines) - len(good), kept, "\n".join(good)), i
+    assert [got[10**6 + i].n_removed_lines for i in range(6)] == [0, 1, 0, 1, 1, 0]
+    rows = [(7, long(200), "a"), (7, "| | | | | |", "b"), (7, long(210), "c")]
+    clean = quality_rules.clean_lines(spark.createDataFrame(rows, "doc_id long, text string, row string"))
+    assert clean.columns == ["doc_id", "text", "row"] and sorted(map(tuple, clean.collect())) == [rows[0], rows[2]]
+
+
 def test_line_dedup(spark, odd):
     rng = random.Random(1)
     sentence = lambda: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(12)) + "."
@@ -128,11 +155,11 @@ def test_line_dedup_of_repeated_ids_and_clashing_names(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
-def brute_components(pairs):
+def brute_components(pairs, n=4):
     sets = {}
     for i, text in pairs:
         w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
-        sets[i] = {tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) >= 4 else ({tuple(w)} if w else set())
+        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
     root = {i: i for i in sets}
 
     def find(i):
@@ -153,7 +180,7 @@ def brute_components(pairs):
 
 
 def test_minhash_equals_all_pairs(spark, docs, texts):
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, shingle=4).collect()}
     assert got == brute_components(texts.items())
 
 
@@ -168,8 +195,12 @@ def test_minhash_on_a_group_of_edited_copies(spark):
         rows.append((i * 3, " ".join(own)))
     rows += [(1000, None), (1001, ""), (1002, "a b"), (1003, "A  b"), (1004, "a b c")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df).collect()}
-    assert got == brute_components(rows) and len({c for _, c in got.values()}) > 5
+    for n, most in ((4, minhash.MOST_DIFFERENT), (5, minhash.SKETCH)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, n, most).collect()}
+        assert got == brute_components(rows, n) and len({c for _, c in got.values()}) > 5
+    more = df.withColumn("bucket", F.lit(1)).withColumn("root", F.lit("x")).unionAll(spark.createDataFrame([(None, "a b c d e f g", 1, "x")] * 2 + [(2000, "long " * 100_000, 1, "x")], "doc_id long, text string, bucket int, root string"))
+    out = minhash.near_duplicates(more)
+    assert out.count() == len(rows) + 3 and all(r.kept for r in out.where("doc_id is null or doc_id = 2000").collect())
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
@@ -189,6 +220,67 @@ def test_fingerprints(spark, docs, texts, odd):
     assert fingerprints.fingerprints_with_next(odd.limit(0)).count() == 0
 
 
+def test_fingerprints_equal_a_plain_digest(spark, docs, texts, odd):
+    """Rarity, selection, filters and likeness once more, window by window."""
+    import math
+
+    def entropy(window):
+        terms = {c: round(c * math.log2(c) * 2**20) for c in range(1, 33)}
+        return (terms[32] - sum(terms[c] for c in Counter(window).values())) * 1000 // terms[32]
+
+    some = [(i, t or "") for i, t in sorted(texts.items()) if len(t or "") < 1500][:25] + [(10**6, "x" * 100), (10**6 + 1, "short"), (10**6 + 2, ""), (10**6 + 3, "é" * 20 + "abc " * 30)]
+    counts = Counter(entropy(b[k : k + 32]) for _, t in some for b in [t.encode()] for k in range(len(b) - 31))
+    rank = {e: n for n, e in enumerate(sorted(range(1001), key=lambda e: (counts[e], e)))}
+
+    def chain(text):
+        b = text.encode()
+        if not b:
+            return []
+        if len(b) < 32:
+            import hashlib
+
+            found = [int.from_bytes(hashlib.blake2b(b, digest_size=8).digest(), "little")]
+        else:
+            ranks = [rank[e] if e >= 100 else 1 << 20 for e in (entropy(b[k : k + 32]) for k in range(len(b) - 31))]
+            points = Counter()
+            for k in range(max(1, len(ranks) - 31)):
+                points[min(range(k, min(k + 32, len(ranks))), key=lambda j: (ranks[j], j))] += 1
+            points = [0 if ranks[k] == 1 << 20 else points[k] for k in range(len(ranks))]
+            chosen = [k for k, p in enumerate(points) if p >= 8] or [points.index(max(points))]
+            found, mask = [], 2**64 - 1
+            for k in chosen:
+                h = 0
+                for j in range(0, 32, 8):
+                    h = (h ^ int.from_bytes(b[k + j : k + j + 8], "little")) + 0x9E3779B97F4A7C15 & mask
+                    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & mask
+                    h = (h ^ h >> 27) * 0x94D049BB133111EB & mask
+                    h ^= h >> 31
+                found += [h] if h not in found else []
+        return [{h >> 11 * i & 2047 for h in found[k : k + 160] for i in range(5)} for k in range(0, len(found), 160)]
+
+    def alike(a, b):
+        a, b = sorted((a, b), key=len)
+        if not a:
+            return 0.0 if b else 1.0
+
+        def two(x, y):
+            least, chance = min(len(x), len(y)), len(x) * len(y) / 2048
+            floor = chance + 0.3 * (least - chance)
+            return min(1, max(0, (len(x & y) - floor) / max(least - floor, 1e-9)))
+
+        return sum(max(two(x, y) for y in b) for x in a) / len(a)
+
+    df = spark.createDataFrame(some, "doc_id long, text string").withColumn("edge", F.lit("clash")).withColumn("task", F.lit(0))
+    got = {r.doc_id: r for r in fingerprints.fingerprints_with_next(df).collect()}
+    for (i, text), (_, after) in zip(some, some[1:] + some[:1]):
+        half = len(text) // 2
+        own, edited = chain(text), chain(text[: len(text) - half] + after[:half])
+        bits = fingerprints.decoded(got[i].fingerprint)
+        assert [set(x.nonzero()[0].tolist()) for x in bits] == own, i
+        assert got[i].near_edited == pytest.approx(alike(own, edited), abs=1e-6) and got[i].near_next == pytest.approx(alike(own, chain(after)), abs=1e-6)
+    assert fingerprints.fingerprints_with_next(spark.createDataFrame([(None, "a"), (None, None)], "doc_id long, text string")).count() == 2
+
+
 @pytest.mark.parametrize(("query", "label", "least"), [(queries.op5_quality_fm, "quality", 0.9), (queries.op6_toxicity, "toxic", 0.95)])
 def test_held_out_accuracy(spark, query, label, least):
     folder = "/root/testdata/sf0.01"
@@ -200,6 +292,50 @@ def test_held_out_accuracy(spark, query, label, least):
     assert sum(r.predicted == r[label] for r in rows) >= least * len(rows)
 
 
+def test_factorisation_machine_equals_all_pairs():
+    import numpy as np
+
+    machine = quality_fm.Machine()
+    rng = np.random.default_rng(3)
+    machine.w, machine.v = rng.standard_normal(quality_fm.DIM), rng.standard_normal((quality_fm.DIM, quality_fm.FACTORS))
+    sample = ["A short text with words. And MORE words!", "", "x y z x y z 123 <b>", "Internationalisation " + "abcdefghijklmnopqrstuvwxyz" * 3]
+    cache = quality_fm.Cache(quality_fm._places)
+    row, feature, value = quality_fm.rows_of(sample, cache)
+    raw = machine.raw(row, feature, value, len(sample))[0]
+    for r in range(len(sample)):
+        f, x = feature[row == r], value[row == r]
+        want = sum(machine.w[i] * a for i, a in zip(f, x))
+        want += sum(machine.v[f[a]] @ machine.v[f[b]] * x[a] * x[b] for a in range(len(f)) for b in range(a + 1, len(f)))
+        assert raw[r] == pytest.approx(want, rel=1e-4, abs=1e-4)
+    assert quality_fm._shape("abcdEFGH1234-x" * 9) != quality_fm._shape("abcdEFGH1234-x" * 8)  # whole words count
+
+
+def test_toxicity_equals_a_plain_noisy_or():
+    import math
+
+    learned = toxicity.Lexicon({"<bad>": 7.5, "wors": 6.0, "<" + "z" * 50 + ">": 12.0})
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    for parts in ([["bad"]], [["fine"], ["bad", "worse"], ["bad"]], [["z" * 50], ["z" * 41]], [["fine"]] * 30):
+        clean = 1.0
+        for s in parts:
+            logit = toxicity.BASE + sum(7.5 if w == "bad" else 6.0 if w == "worse" else 12.0 if w == "z" * 50 else 0.0 for w in s)
+            clean *= (1 - sigmoid(logit)) / (1 - sigmoid(toxicity.BASE))
+        assert learned.score(" ".join(" ".join(s) + "." for s in parts)) == pytest.approx(1 - clean, abs=1e-9)
+
+
+def test_classifiers_take_odd_tables(spark, odd):
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    rows = [(i, f"You vile grobnak number {i}." if i % 2 else f"A calm day number {i}.", 1, "x") for i in range(40)] * 2 + [(None, None, 1, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score int, label string")
+    for op in (quality_fm, toxicity):
+        out = op.score(df, op.fit(df, labels))
+        assert out.count() == len(rows) and out.where("score between 0 and 1").count() == len(rows)
+        assert op.score(df.limit(0), op.fit(df.limit(0), labels)).count() == 0
+    from worktrace.llm.learning import training_rows
+
+    assert len(training_rows(df, labels, "toxic", 1000, most_chars=60)) < len(training_rows(df, labels, "toxic", 1000))
+
+
 def test_classifiers_without_labels_and_with_odd_texts(spark, odd):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in quality_fm.score(odd, quality_fm.fit(odd, none)).collect()} == {0.5}
@@ -285,9 +421,23 @@ def test_token_counts_equal_a_plain_viterbi():
         assert counter.count(word) == brute(word)
 
 
+def test_token_counts_equal_the_library(docs, texts):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    vocabulary = token_counts.zipf_vocabulary()
+    unknown = next(i for i, (piece, _) in enumerate(vocabulary) if piece == "<unk>")
+    library = Tokenizer(models.Unigram(vocabulary, unk_id=unknown, byte_fallback=True))
+    library.pre_tokenizer = pre_tokenizers.Metaspace()
+    odd = ["", " ", "a  b", " lead", "trail ", "日本語 テキスト", "\u2581x\u2581", "tab\tnew\nline", "x" * 3000, "\x00\ufffd\U0001f600"]
+    cache = token_counts._cache(token_counts.DEFAULT_MODEL)
+    for text in [*[t for t in texts.values() if t and len(t) < 4000], *odd]:
+        assert token_counts.count_text(text, cache) == len(library.encode(text, add_special_tokens=False).ids), text[:80]
+
+
 def test_token_counts_of_all_rows(spark, docs, odd):
     assert token_counts.token_counts(docs).where("n_tokens > 0").count() == docs.where("text <> ''").count()
-    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(odd).collect()}
+    assert token_counts.token_counts(odd.limit(0)).count() == 0
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(odd.withColumn("n_tokens", F.lit("clash"))).collect()}
     assert got[1] == got[2] == 0 and got[5] >= 30_000
 
 
@@ -302,6 +452,92 @@ def test_warc_round_trip(spark, tmp_path):
     assert rows(back) == rows(made)
 
 
+def test_warc_text_and_headers(spark):
+    import html
+    from html.parser import HTMLParser
+
+    class Text(HTMLParser):
+        blocks = set("p div br li ul ol h1 h2 h3 h4 h5 h6 tr td th table article section nav header footer main aside title head body html blockquote pre hr".split())
+
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.hidden = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.hidden += tag in ("script", "style", "noscript", "template")
+            self.out.append("\n" if tag in self.blocks else "")
+
+        def handle_endtag(self, tag):
+            self.hidden -= tag in ("script", "style", "noscript", "template")
+            self.out.append("\n" if tag in self.blocks else "")
+
+        def handle_data(self, data):
+            self.out.append("" if self.hidden else data)
+
+    def plain(page):
+        parser = Text()
+        parser.feed(page)
+        parser.close()
+        return re.sub(r" ?\n[ \n]*", "\n", re.sub("[ \t\r\f\xa0]+", " ", "".join(parser.out))).strip(" \n")
+
+    made = ["<p>a &amp;lt; b &eacute;&#233;&#xE9; &hearts; &#128512; &nbsp; c &copy;</p>", "x &unknown; &amp y & z &#0; &#xD800;", "<title> T &amp; U\n V</title>", "", "no tags"]
+    pages = [(i, None, x) for i, x in enumerate(made)] + [(r.page_id + 100, r.url, r.html) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    df = spark.createDataFrame([(*p, "2025-05-05T05:05:05Z", "x", "x") for p in pages], "page_id long, url string, html string, date string, row string, new string")
+    source = warc.responses(df).join(df.select("page_id", "row", "new"), "page_id")
+    out = warc.derivatives(source)
+    assert out.columns[:3] == ["page_id", "row", "new"] and warc.derivatives(source.limit(0)).count() == 0
+    text = {(r.page_id, r.record_type): r.block for r in out.collect()}
+    assert text[0, "conversion"] == plain(made[0]) == "a &lt; b ééé ♥ 😀 c ©" and text[1, "conversion"] == "x &unknown; &amp y & z \ufffd \ufffd"
+    assert text[2, "metadata"].endswith("title: T & U V") and "source-header: Content-Type: text/html; charset=utf-8\r\n" in text[0, "metadata"]
+    assert "source-date: 2025-05-05T05:05:05Z" in text[0, "metadata"] and "source-status: HTTP/1.1 200 OK" in text[0, "metadata"]
+    same = sum(text[i, "conversion"] == plain(x) for i, _, x in pages if i >= 100 and html.unescape(x or "") is not None)
+    assert same >= 0.95 * (len(pages) - len(made)), same
+
+
+def test_warc_reader_of_broken_files(spark, tmp_path):
+    import gzip
+
+    one = b"WARC/1.1\r\nwarc-type: conversion\r\nWARC-RECORD-ID:<urn:uuid:1>\r\ncontent-length: 3\r\n\r\nabc\r\n\r\n"
+    bad = b"WARC/1.1\r\nWARC-Type: x\r\n\r\nno length\r\n\r\n"
+    cut = b"WARC/1.1\r\nWARC-Type: y\r\nContent-Length: 99\r\n\r\nabc"
+    d = tmp_path / "w"
+    d.mkdir()
+    for name, data in {"a": bad + one + cut, "b": gzip.compress(one) + gzip.compress(one) + b"\x1f\x8bbroken", "c": b"", "d": b"WARC/1.1 no end", "e": gzip.compress(one)[:-9]}.items():
+        (d / name).write_bytes(data)
+    got = warc.read_warc(spark, str(d)).collect()
+    assert len(got) >= 3 and {(r.record_type, r.record_id, r.block) for r in got} == {("conversion", "urn:uuid:1", "abc")}
+
+
+def test_mixing_equals_a_plain_sort(spark, docs):
+    keys = {(r.source, r.doc_id): (r.key, r.size) for r in mixing.sized(docs).collect()}
+    rows = mixing.mix_sizes(docs).collect()
+    for s in {r.source for r in rows}:
+        own = [r for r in rows if r.source == s]
+        total, target = own[0].source_size, own[0].target
+        epochs = int(target // total) if total else 0
+        budget, before, more = target - epochs * total, 0, set()
+        for (_, i), (_, size) in sorted((x for x in keys.items() if x[0][0] == s), key=lambda x: (x[1][0], x[0][1])):
+            if before + size / 2 <= budget:
+                more.add(i)
+            before += size
+        for r in own:
+            assert r.taken == r.size * min(2, epochs + (r.doc_id in more and budget > 0)), r
+    weights = docs.sparkSession.createDataFrame([(i, "#$%&" * 30 if i % 50 else "plain words here", "hot") for i in range(20_000)], "doc_id long, text string, source string")
+    bins = mixing.sized(weights).groupBy(mixing.key_range(F.col("key"))).count().agg(F.max("count")).first()[0]
+    assert bins <= 40
+
+
+def test_mixed_keeps_columns_of_any_name(spark, docs):
+    extra = ["size", "key", "epochs", "times", "row", "target", "bucket", "_source"]
+    df = docs
+    for c in extra:
+        df = df.withColumn(c, F.lit(c))
+    out = mixing.mixed(df)
+    assert out.columns == df.columns and out.select(*docs.columns).exceptAll(mixing.mixed(docs)).count() == 0
+    assert {r[0] for r in out.select("times").distinct().collect()} == {"times"}
+    assert mixing.mix_sizes(df).count() == docs.count()
+
+
 def test_mixing(spark, docs, texts, odd):
     for df in (docs, odd):
         rows = mixing.mix_sizes(df).collect()
@@ -340,6 +576,6 @@ def test_pipeline_stages_take_effect(spark, odd):
         docs = spark.createDataFrame(out.collect(), docs.schema)
         if name.startswith("minhash"):
             left = [(r.doc_id, r.text) for r in docs.collect()]
-            assert all(i == c for i, (_, c) in brute_components(left).items())
+            assert all(i == c for i, (_, c) in brute_components(left, 5).items())
     assert corpus_pipeline.run(spark, SF).count() == packing.pack(docs).count()
     assert corpus_pipeline.STAGES[-1][1](spark, odd, SF).count() >= len(ODD)

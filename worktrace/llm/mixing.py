@@ -5,11 +5,13 @@ source's target is first met by complete epochs; the rest of it by its documents
 prefix sum of sizes comes nearest to the budget.
 
 The prefix sum never sorts a source in one task: keys fall into ranges, sums by range find the one range in which the
-budget ends, and only that range is sorted. A source is one row of the plan, however many documents it has.
+budget ends, and only that range is sorted. Ranges are equal in the logarithm of the key: a weight only shifts it, and whatever
+the weights, no range holds more than 0.37 * ln(2) / ``KEY_RANGES`` of a source, on average. A source is one row of the
+plan, however many documents it has.
 
 Null text: size 0, never short of its target. Null source: a source of its own, last in order. Repeated rows of an id
 share its key and are taken or left together. Ties of keys go to the smaller id. An empty table gives an empty result.
-Columns named like the results are replaced; all others are kept.
+``mixed`` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from worktrace.llm.common import small_side, stored, words
 SOURCE_WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_EPOCHS = 2
-KEY_RANGES = 4096
+KEY_RANGES = 1024  # for keys from one to the next power of 2
 
 
 def quality_weight(text: Column) -> Column:
@@ -66,10 +68,13 @@ def sized(docs: DataFrame, seed: int = 0, keep=("doc_id", "source")) -> DataFram
     return docs.select(*keep, size.alias("size"), exponential_key(docs["doc_id"], quality_weight(F.col("text")), seed).alias("key"))
 
 
-def plan(keys: DataFrame, ranges: int = KEY_RANGES, **limits) -> DataFrame:
+def key_range(key: Column) -> Column:
+    return F.floor(F.log2(key) * KEY_RANGES).cast("int")
+
+
+def plan(keys: DataFrame, **limits) -> DataFrame:
     """Per source of ``keys`` (doc_id, source, size, key): size, target, epochs, and the last key and id taken once more."""
-    bucket = F.least(F.lit(ranges - 1), F.floor((1 - F.exp(-F.col("key"))) * ranges)).cast("int")
-    keys = keys.withColumn("bucket", bucket)
+    keys = keys.withColumn("bucket", key_range(F.col("key")))
     sums = keys.groupBy("source", "bucket").agg(F.sum("size").alias("size"))
     goal = targets(sums.groupBy("source").agg(F.sum("size").alias("source_size")), **limits)
     epochs = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0))
@@ -95,30 +100,28 @@ def plan(keys: DataFrame, ranges: int = KEY_RANGES, **limits) -> DataFrame:
         .groupBy("source")
         .agg(F.max(F.struct("key", "doc_id")).alias("last"))
     )
-    end = ends.select("_source", (F.col("_bucket") / float(ranges)).alias("from"))
+    end = ends.select("_source", F.col("_bucket").alias("end"))
     last = last.withColumnRenamed("source", "_last_source")
     out = goal.join(small_side(end, few), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
     out = out.join(small_side(last, few), F.col("source").eqNullSafe(F.col("_last_source")), "left")
     # No range in which the budget ends: it is 0 or takes all. A range from which nothing is taken: all keys before it.
     whole = F.when(F.col("budget") > 0, F.lit(float("inf"))).otherwise(F.lit(-1.0))
-    lower = F.when(F.col("from").isNotNull(), -F.log(1 - F.col("from"))).otherwise(whole)
     return out.select(
         "source", "source_size", "target", "epochs",
-        F.coalesce(F.col("last.key"), lower).alias("last_key"), F.col("last.doc_id").alias("last_id"),
-        F.when(F.col("last.key").isNull(), F.col("from")).alias("last_from"),
+        F.coalesce(F.col("last.key"), whole).alias("last_key"), F.col("last.doc_id").alias("last_id"),
+        F.when(F.col("last.key").isNull(), F.col("end")).alias("before_range"),
     )
 
 
-def with_taken(docs: DataFrame, mix: DataFrame, ranges: int = KEY_RANGES) -> DataFrame:
+def with_taken(docs: DataFrame, mix: DataFrame) -> DataFrame:
     """``docs`` (with source, doc_id, size, key) and how many of their words the mix takes."""
     mix = stored(mix, "mix-plan")
     mix = small_side(mix.withColumnRenamed("source", "_source"), mix.count())
-    bucket = F.least(F.lit(ranges - 1), F.floor((1 - F.exp(-F.col("key"))) * ranges))
     by_key = (F.col("key") < F.col("last_key")) | ((F.col("key") == F.col("last_key")) & (F.col("last_id").isNull() | (F.col("doc_id") <= F.col("last_id"))))
-    more = F.when(F.col("last_from").isNotNull(), bucket < F.col("last_from") * ranges).otherwise(by_key)
-    out = docs.drop("source_size", "target", "taken").join(mix, F.col("source").eqNullSafe(F.col("_source")))
+    more = F.when(F.col("before_range").isNotNull(), key_range(F.col("key")) < F.col("before_range")).otherwise(by_key)
+    out = docs.join(mix, F.col("source").eqNullSafe(F.col("_source")))
     times = F.least(F.lit(MOST_EPOCHS), F.col("epochs") + F.coalesce(more, F.lit(False)).cast("long"))
-    return out.withColumn("times", times.cast("int")).withColumn("taken", F.col("size") * F.col("times")).drop("_source", "epochs", "last_key", "last_id", "last_from")
+    return out.withColumn("times", times.cast("int")).withColumn("taken", F.col("size") * F.col("times")).drop("_source", "epochs", "last_key", "last_id", "before_range")
 
 
 def mix_sizes(docs: DataFrame, seed: int = 0) -> DataFrame:
@@ -130,6 +133,6 @@ def mix_sizes(docs: DataFrame, seed: int = 0) -> DataFrame:
 def mixed(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The rows of ``docs`` that the mix takes, as often as it takes them."""
     keys = stored(sized(docs, seed), "mix-keys")
-    own = docs.columns
-    out = with_taken(sized(docs, seed, own), plan(keys))
-    return out.where("times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*own)
+    rows = sized(docs, seed, (F.struct(*docs.columns).alias("row"), "doc_id", "source"))
+    out = with_taken(rows, plan(keys)).where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns])
