@@ -94,7 +94,9 @@ def test_peaks_and_windows(spark):
     p = [(0, 0.6), (5, 0.9), (14, 0.7), (20, 0.95), (40, 0.5)]
     assert list(segment.peaks_of(({"timestamp_ms": t, "p": x} for t, x in p), 12)) == [(5, 0.9), (20, 0.95), (40, 0.5)]
     rows_ = [{"timestamp_ms": t, "peak": k} for t, k in ((0, False), (5, True), (20, True), (25, False))]
-    assert list(segment.windows_of(iter(rows_), 12)) == [(0, 20), (20, 25)]
+    assert list(segment.windows_of(iter(rows_), 12)) == [(0, 25)]  # what is too short at the end joins the window before
+    assert list(segment.windows_of(iter(rows_[:3]), 12)) == [(0, 20)] and list(segment.windows_of(iter(rows_[:2]), 12)) == []
+    assert list(segment.windows_of(iter([*rows_, {"timestamp_ms": 32, "peak": False}]), 12)) == [(0, 20), (20, 32)]
 
 
 def test_greedy_matching():
@@ -206,3 +208,134 @@ def test_boundary_model_takes_all_rounds(spark, monkeypatch):
     monkeypatch.setattr(ml, "GBTClassifier", short)
     rows = QUERIES["boundary_probability"](spark, SF)
     assert asked == [(150, 0.08)] and rows.count() == QUERIES["features_18"](spark, SF).count()
+
+
+ISO = lambda s: f"2026-01-01T00:{s // 60:02d}:{s % 60:02d}Z"
+
+
+def session_folder(tmp_path):
+    """Two sessions with ground truth of their own, one in the collection only, one without any."""
+    run = lambda a, b=None, **more: {"start_ts": ISO(a), "end_ts": None if b is None else ISO(b), "exec_id": f"e{a}", "apps": ["Notepad"], "variant": "v"} | more
+    manifest = lambda *processes: {"processes": [{"code": c, "family_name": c.lower(), "executions": e} for c, e in processes], "expected_boundaries": [{"ts": ISO(0), "type": "process_started"}, {"ts": ISO(9), "type": "other"}]}
+    mine = {"ses_a": manifest(("A", [run(0, 60)]), ("B", [run(70, 120), run(200)])), "ses_b": manifest(("A", [run(0, 60), run(200, 260)]))}
+    for name, content in mine.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "gt_manifest.json").write_text(json.dumps(content))
+    (tmp_path / "ses_a" / "gt.jsonl").write_text("\n".join(json.dumps(x) for x in ({"event": "process_started", "process_code": "A"}, {"event": "process_started", "process_code": "A", "from": "B"})) + "\n{bad\n\n")
+    (tmp_path / "ground_truth_manifests.json").write_text(json.dumps({"ses_c": manifest(("A", [run(0, 60)])), "ses_a": manifest()}))
+    return str(tmp_path)
+
+
+def test_ground_truth_files(spark, tmp_path):
+    from worktrace.operators import truth
+    from worktrace.sources import sessions
+
+    folder = session_folder(tmp_path)
+    found = sessions.manifests(spark, folder)
+    assert sorted(r.session_id for r in found.collect()) == ["ses_a", "ses_b", "ses_c"]
+    kinds = [(r.session_id, r.code, r.kind) for r in truth.true_boundaries(found).where("session_id = 'ses_a'").orderBy("timestamp_ms").collect()]
+    assert kinds == [("ses_a", "A", "start"), ("ses_a", "A", "end"), ("ses_a", "B", "start"), ("ses_a", "B", "end"), ("ses_a", "B", "start")]
+    assert truth.true_executions(found).count() == 5 and truth.expected_boundaries(found).where("session_id = 'ses_a'").count() == 1
+    stats_ = {r.code: (r.exec_count, r.null_end_count) for r in truth.execution_stats(found).collect()}
+    assert stats_ == {"A": (4, 0), "B": (1, 1)} and truth.value_counts(found, "apps").where("code = 'A'").first().n == 4
+    log = sessions.ground_truth_log(spark, folder)
+    assert [(r.session_id, r.process_code, r.from_code) for r in log.orderBy("block", "line_no").collect()] == [("ses_a", "A", None), ("ses_a", "A", "B")]
+    assert [r.session_id for r in sessions.complete_sessions(found, log).collect()] == ["ses_a"]
+    assert stats.consecutive_repeats(log.where("event = 'process_started'"), "session_id", "line_no", "process_code").first().n_repeats == 1
+    empty = tmp_path / "none"
+    empty.mkdir()
+    assert sessions.manifests(spark, str(empty)).count() == 0 and sessions.ground_truth_log(spark, str(empty)).count() == 0
+    (tmp_path / "ses_b" / "gt_manifest.json").write_text("{broken")
+    with pytest.raises(Exception):
+        sessions.manifests(spark, folder).collect()
+    with pytest.raises(FileNotFoundError):
+        sessions.session_chunks(spark, str(tmp_path / "ses_x"))
+    with pytest.raises(NotADirectoryError):
+        sessions.session_chunks(spark, str(tmp_path / "ses_b" / "gt_manifest.json"))
+    (tmp_path / "ses_b" / "chunk_1").mkdir()
+    (tmp_path / "ses_b" / "chunk_1" / "events.jsonl").write_text("")
+    assert [x.rpartition("/")[2] for x in sessions.event_files(spark, str(tmp_path / "ses_b"))] == ["events.jsonl"]
+
+
+def test_evaluation_of_files(spark, tmp_path):
+    from worktrace.sources import sessions, sinks
+
+    folder = session_folder(tmp_path)
+    line = lambda s, a, b, **more: json.dumps({"session_id": s, "start": ISO(a), "end": ISO(b), "label": "x"} | more)
+    lines = [line("ses_a", 3, 63), line("ses_a", 3, 63), line("ses_b", 6, 66), line("ses_b", 206, 266, label="y"), line("ses_c", 50, 40), line("ses_z", 0, 9), "{bad", "", json.dumps({"session_id": "ses_a", "start": ISO(1)})]
+    (tmp_path / "p.jsonl").write_text("\n".join(lines))
+    pred, true = sessions.predictions(spark, str(tmp_path / "p.jsonl")), sessions.manifests(spark, folder)
+    assert pred.count() == 6 and [r.session_id for r in evaluate.unmatched_sessions(pred, true).collect()] == ["ses_z"]
+    got = {r.session_id: r for r in evaluate.evaluated_sessions(pred, true).collect()}
+    assert set(got) == {"ses_a", "ses_b", "ses_c"}
+    a, b, c = got["ses_a"], got["ses_b"], got["ses_c"]
+    assert (a.boundary_precision, a.boundary_recall, a.segment_precision, a.segment_recall) == (0.5, 0.4, 0.5, 0.5) and (a.pred_count, a.true_boundary_count, a.true_exec_count) == (2, 5, 2)
+    assert b.boundary_f1 == 0 and b.segment_f1 == 1 and c.segment_f1 == 0 and c.pred_count == 1  # invalid predictions alone: 0, not absent
+    macro = evaluate.macro_scores(evaluate.evaluated_sessions(pred, true))
+    assert macro.first().segment_f1 == pytest.approx((a.segment_f1 + 1 + 0) / 3)
+    from worktrace.operators import truth
+
+    runs = truth.true_executions(true)
+    codes = evaluate.label_codes(pred, runs, 600_000)
+    purity = evaluate.label_purity(pred, runs, 600_000)
+    assert {r.label: r.codes for r in evaluate.label_histogram(codes).collect()} == {"x": {"A": 3}, "y": {"A": 1}}  # equal predictions count each
+    assert evaluate.macro_purity(purity).first()[0] == 1.0
+    sinks.write_evaluation(evaluate.evaluated_sessions(pred, true), purity, evaluate.label_histogram(codes), macro, str(tmp_path / "out" / "eval.json"))
+    kept = json.loads((tmp_path / "out" / "eval.json").read_text())
+    assert kept["label_consistency"]["label_to_codes"] == {"x": {"A": 3}, "y": {"A": 1}} and spark.read.json(str(tmp_path / "out" / "eval.json.sessions")).count() == 3
+    sinks.write_segments(pred, str(tmp_path / "out" / "segments"))
+    assert sessions.segments(spark, str(tmp_path / "out" / "segments")).count() == 6 and sessions.segment_table(spark, str(tmp_path / "no.jsonl")).count() == 0
+    assert sessions.segment_table(spark, str(tmp_path / "out" / "segments")).agg(F.max("duration_s")).first()[0] == 60.0
+    sinks.write_ranking(QUERIES["roi_ranking"](spark, SF), str(tmp_path / "out" / "ranking.json"))
+    assert len(json.loads((tmp_path / "out" / "ranking.json").read_text())) == QUERIES["roi_ranking"](spark, SF).count() and sessions.results(spark, str(tmp_path / "no.json")) is None
+    assert sinks.load_model(str(tmp_path / "no-model")) is None
+    (tmp_path / "ask.json").write_text(json.dumps([{"po_id": "1", "colour": "red"}]))
+    with pytest.raises(TypeError):
+        sessions.supplier_requests(spark, str(tmp_path / "ask.json"))
+
+
+def test_reader_features_and_texts(spark, tmp_path):
+    from worktrace.operators import chain, features
+
+    event = lambda i, t, kind, **more: json.dumps({"event_id": str(i), "timestamp_ms": t, "event_type": kind} | more, ensure_ascii=False)
+    app = lambda name, title, **more: {"active_app": {"app_name": name, "window_title": title}} | more
+    lines = [
+        event(1, 1000, "app_switch", payload={"new_app": {"app_name": "Excel", "window_title": "new"}}, context=app("Google Chrome", "住民税", active_browser_tab={"url": "http://h:5122/#/resident-tax"})),
+        event(2, 5000, "clipboard_change", payload={"text_content": "EMP_98234"}, context=app("Google Chrome", "住民税", extracted_text="  text one  "), correlation={"ms_since_last_event": None}),
+        event(3, 45_000, "mouse_click", payload={"target_element": {"name": "東京都渋谷区"}, "element": {"text": "zzz", "attributes": {"value": "save"}}}, context=app("Notepad", "n", extracted_text=["a", {"text": "b"}, "c", "d"]), correlation={"ms_since_last_event": 70_000}),
+        event(4, 46_000, "mouse_click", payload={"element": {"text": "zzz", "attributes": {"text": "nothing", "value": "save"}}}),
+        event(5, 47_000, "keystroke", payload={"character": "V", "modifiers": {"ctrl": False, "control": True}}),
+    ]
+    d = tmp_path / "ses_1" / "chunk_1"
+    d.mkdir(parents=True)
+    (d / "events.jsonl").write_text("\n".join(lines), encoding="utf-8")
+    events = telemetry.read_sessions(spark, str(tmp_path))
+    kept = events.where(C.keeps_event(F.col("event_type"), F.col("ctrl"), F.col("key"), F.col("element_text"))).orderBy("timestamp_ms").collect()
+    assert [r.event_id for r in kept] == ["1", "2", "3", "5"]  # of an element's texts, the first that is not empty counts
+    f = features.features(events).orderBy("timestamp_ms").collect()
+    assert [r.dt_prev for r in f] == [0, 4000, 60_000, 0, 0] and [r.app_category for r in f] == [1, 1, 4, 0, 0] and [r.title_changed for r in f] == [0, 0, 1, 1, 0]
+    assert f[0].is_app_switch == 1 and f[1].has_id == 1 and f[1].is_clipboard == 1 and f[0].url_depth == 4 and f[1].clip_delta == 9 and f[2].idle_30 == 1
+    spans = spark.createDataFrame([("ses_1", 0, 5000), ("ses_1", 40_000, 50_000), ("ses_1", 90_000, 91_000)], "session_id string, start_ms long, end_ms long")
+    docs = [(r.event_count, r.text) for r in chain.documents(spans, events, 600_000).orderBy("start_ms").collect()]
+    assert docs == [(2, "SYS_HR_5122 ROUTE__resident-tax 住民税 住民税   text one   CLIP_EMP_98234"), (3, "n a b c 東京都渋谷区 zzz"), (0, "")]
+    seg = spark.createDataFrame([("ses_1", 1000, 5000, 2, 0, 1), ("ses_1", 5000, 47_000, 3, 2, 4)], "session_id string, start_ms long, end_ms long, event_count long, first_no long, last_no long")
+    out = segment.with_context(seg, events, 600_000).orderBy("start_ms").collect()
+    assert out[0].extracted_texts == ["text one"] and out[1].extracted_texts == ["a", "b", "c", "d", "東京都渋谷区", "zzz"] and out[0].label == "resident_tax_verification"
+    assert out[1].apps_seen == ["Notepad"] and chain.segments(events, None, None, segment.Rules(min_ms=1000)).columns[:3] == ["session_id", "start_ms", "end_ms"]
+
+
+def test_learned_labels_and_reports(spark, tmp_path):
+    from worktrace.operators import chain, ml
+    from worktrace.sources import sinks
+
+    rows = [(i, f"payroll sheet {i}" if i % 2 else f"tax notice {i}", float(i % 2)) for i in range(60)]
+    model, report = ml.validated_labels(spark.createDataFrame(rows, "id long, text string, label double"), "id", rounds=20)
+    assert {r.label: (r.f1, r.support) for r in report.collect()} == {0.0: (1.0, 6), 1.0: (1.0, 6)}
+    sinks.save_model(model, str(tmp_path / "m"), {"classes": ["tax", "payroll"]})
+    docs = spark.createDataFrame([("s", 0, 1, 1, "tax notice"), ("s", 2, 3, 1, "")], "session_id string, start_ms long, end_ms long, event_count long, text string")
+    out = chain.labelled(docs, sinks.load_model(str(tmp_path / "m")), ["tax", "payroll"]).orderBy("start_ms").collect()
+    assert [r.label for r in out] == ["tax", label.UNKNOWN] and json.loads((tmp_path / "m.json").read_text())["classes"] == ["tax", "payroll"]
+    titles = spark.createDataFrame([(None, ["Google Chrome", "Ab!", "Year-end plan (draft)"]), (C.PORTALS[2], []), (None, ["!!!!"])], "p string, t array<string>")
+    assert [r[0] for r in titles.select(label.portal_label(F.col("p"), F.col("t"))).collect()] == ["year_end_plan_draft", "ops_process", label.UNKNOWN]
+    hooked = titles.select(label.hooked_label(F.col("p"), F.col("p"), F.col("t"), lambda p: F.when(p.isNotNull(), F.repeat(F.lit("x"), 99)), True)).collect()
+    assert [r[0] for r in hooked] == ["year_end_plan_draft", "x" * 64, label.UNKNOWN]

@@ -96,7 +96,8 @@ def ms_to_iso(ms: Column) -> Column:
 
 
 def slug(text: Column, length: int = 30) -> Column:
-    return F.substring(F.translate(F.regexp_replace(text, r"(?U)[^\w\s-]", ""), " -", "__"), 1, length)
+    clean = F.regexp_replace(F.regexp_replace(text, r"(?U)[^\w\s-]", ""), r"(?U)^\s+|\s+$", "")
+    return F.translate(F.substring(clean, 1, length), " -", "__")
 
 
 def session_of_path(path: Column) -> Column:

@@ -1,0 +1 @@
+"""Segmentation, labels, mining, evaluation, policies."""

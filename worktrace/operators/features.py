@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from worktrace.functions.columns import app_category, hub_url_v3, url_depth
 
+# Fixed names, in this order.
 NAMES = (
     "dt_prev", "dt_next", "is_app_switch", "is_clipboard", "is_navigation", "is_shortcut", "is_click", "clip_len", "clip_delta", "has_id", "is_hub",
     "url_depth", "app_category", "app_changed", "title_len", "title_changed", "idle_10", "idle_30",
@@ -15,7 +16,11 @@ MOST_MS = 60_000
 
 
 def features(events: DataFrame, browsers: str = "chrome") -> DataFrame:
-    """session_id, timestamp_ms, seq and ``NAMES`` (double) of events with text_content, ms_since (null: from the event before)."""
+    """session_id, timestamp_ms, seq and ``NAMES`` (double) of events with text_content, ms_since (null: from the event before).
+
+    App, title and URL are those of the context alone where the events have them apart (ctx_app, ctx_title, tab_url).
+    """
+    app, title_, url = (c if c in events.columns else other for c, other in (("ctx_app", "app_name"), ("ctx_title", "window_title"), ("tab_url", "url")))
     w = Window.partitionBy("session_id").orderBy("timestamp_ms", "seq")
     t, kind, content = F.col("timestamp_ms"), F.col("event_type"), F.coalesce("text_content", F.lit(""))
     since = F.when(F.col("ms_since") >= 0, F.col("ms_since")).otherwise(F.coalesce(t - F.lag("timestamp_ms").over(w), F.lit(0)))
@@ -23,11 +28,11 @@ def features(events: DataFrame, browsers: str = "chrome") -> DataFrame:
     dt_next = F.least(F.greatest(F.coalesce(F.lead("timestamp_ms").over(w) - t, F.lit(0)), F.lit(0)), F.lit(MOST_MS))
     clip, length = kind == "clipboard_change", F.length(content)
     before = F.coalesce(F.last(F.when(clip, length), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    title, category = F.coalesce("window_title", F.lit("")), app_category(F.col("app_name"), browsers)
+    title, category = F.coalesce(title_, F.lit("")), app_category(F.col(app), browsers)
     changed = lambda c: F.coalesce(F.lag(c).over(w) != c, F.lit(False))
     values = [
         dt_prev, dt_next, kind == "app_switch", clip, kind == "browser_navigation", kind == "shortcut", kind.contains("click"), length,
-        F.when(clip, F.abs(length - before)).otherwise(0), content.rlike(r"[A-Za-z0-9_-]{4,}"), hub_url_v3(F.col("url")), url_depth(F.coalesce("url", F.lit(""))),
+        F.when(clip, F.abs(length - before)).otherwise(0), content.rlike(r"[A-Za-z0-9_-]{4,}"), hub_url_v3(F.col(url)), url_depth(F.coalesce(url, F.lit(""))),
         category, changed(category), F.length(title), changed(title), dt_prev >= 10_000, dt_prev >= 30_000,
     ]
     return events.select("session_id", "timestamp_ms", "seq", *[v.cast("double").alias(n) for n, v in zip(NAMES, values)])

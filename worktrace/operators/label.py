@@ -117,9 +117,16 @@ def predict_label_sql(primary: str, urls: str) -> str:
 
 def portal_label(portal: Column, titles: Column) -> Column:
     """A coarse label: that of the portal, else the slug of the first title that is no browser's."""
-    title = F.get(F.filter(titles, lambda t: ~F.lower(t).contains("chrome") & (F.length(t) > 3)), F.lit(0))
-    case = F.when(portal == PORTALS[0], "hr_process").when(portal == PORTALS[1], "finance_process").when(portal == PORTALS[2], "operations_process")
-    return case.otherwise(F.coalesce(F.nullif(F.lower(slug(title)), F.lit("")), F.lit(UNKNOWN)))
+    slugs = F.transform(F.filter(titles, lambda t: ~t.contains("Chrome") & (F.length(t) > 3)), lambda t: F.lower(slug(t)))
+    case = F.when(portal == PORTALS[0], "hr_process").when(portal == PORTALS[1], "finance_process").when(portal == PORTALS[2], "ops_process")
+    return case.otherwise(F.coalesce(F.get(F.filter(slugs, lambda s: s != ""), F.lit(0)), F.lit(UNKNOWN)))
+
+
+def hooked_label(context: Column, portal: Column, titles: Column, hook=None, fall_back: bool = False) -> Column:
+    """The label that ``hook`` (a Column function of the context, such as a pandas UDF that gives null on failure) finds, cut to 64
+    characters; else that of the portal, if ``fall_back``; else unknown."""
+    found = F.nullif(F.btrim(hook(context)), F.lit("")) if hook is not None else F.lit(None).cast("string")
+    return F.coalesce(F.substring(found, 1, 64), portal_label(portal, titles) if fall_back else F.lit(UNKNOWN))
 
 
 def mentions(text: Column, words) -> Column:

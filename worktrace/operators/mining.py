@@ -46,6 +46,6 @@ def roi_ranking(segments: DataFrame, events: DataFrame, bucket_ms: int) -> DataF
 def markdown(ranking: DataFrame, sessions: int = 15, staff: int = 4) -> str:
     """The ranking (a row for each label) as a table."""
     head = "| Rank | Process | Volume | Minutes | Avg s | Switches | Clips | Friction | Sessions | Staff | ROI |\n|---|---|---|---|---|---|---|---|---|---|---|\n"
-    rows = ranking.orderBy("rank").limit(1000).collect()
+    rows = ranking.orderBy("rank").collect()  # a row for each label
     line = "| {rank} | {process} | {volume} | {total_duration_min} | {avg_duration_s} | {avg_app_switches} | {avg_clipboard_ops} | {friction} | "
     return head + "".join(line.format(**r.asDict()) + f"{r.sessions_count}/{sessions} | {r.staff_count}/{staff} | {r.roi_score:.2f} |\n" for r in rows)

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from worktrace.functions.columns import f1, ratio
 from worktrace.operators.features import NAMES
-from worktrace.operators.stats import char_ngrams, class_weights
+from worktrace.operators.stats import char_ngrams, class_weights, ordered_split
+from worktrace.sources.storage import stored
 
 
 def weighted(df: DataFrame, label: str = "label") -> DataFrame:
@@ -24,6 +27,34 @@ def fit_boundaries(features: DataFrame, rounds: int = 150) -> PipelineModel:
     return Pipeline(stages=[VectorAssembler(inputCols=list(NAMES), outputCol="features"), trees]).fit(weighted(features))
 
 
+def validated_boundaries(rows: DataFrame, rounds: int = 150) -> tuple[PipelineModel, dict]:
+    """A model of the first 80 % of ``rows`` in order, and its areas under the curves and the prevalence on the rest."""
+    split = stored(ordered_split(rows, "session_id", "timestamp_ms", "seq"), "boundary-split")
+    model = fit_boundaries(split.where("is_train").drop("is_train"), rounds)
+    scored = model.transform(split.where("not is_train"))
+    area = lambda name: BinaryClassificationEvaluator(metricName=name).evaluate(scored)
+    prevalence = scored.agg(F.coalesce(F.avg("label"), F.lit(0.0)).alias("p")).first()["p"]
+    return model, {"roc_auc": area("areaUnderROC"), "pr_auc": area("areaUnderPR"), "prevalence": prevalence}
+
+
+def validated_labels(documents: DataFrame, order: str, rounds: int = 500) -> tuple[PipelineModel, DataFrame]:
+    """A model of all ``documents``, and the report of one of their first 80 % in order on the rest."""
+    split = stored(ordered_split(documents, order), "label-split")
+    counts = {r["is_train"]: r["n"] for r in split.groupBy("is_train").agg(F.count("*").alias("n")).collect()}
+    part = fit_labels(split.where("is_train"), counts.get(True, 0), rounds)
+    report = class_report(predicted_labels(part, split.where("not is_train")))
+    return fit_labels(split, sum(counts.values()), rounds), report
+
+
+def class_report(scored: DataFrame) -> DataFrame:
+    """label, precision, recall, f1 and support per class of ``scored`` (label, prediction)."""
+    true = scored.groupBy(F.col("label").cast("double").alias("label")).agg(F.count("*").alias("support"), F.count_if(F.col("label") == F.col("prediction")).alias("hits"))
+    said = scored.groupBy(F.col("prediction").alias("label")).agg(F.count("*").alias("said"))
+    out = true.join(said, "label", "full").select("label", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("support", "hits", "said")])
+    p, r = ratio(F.col("hits"), F.col("said")), ratio(F.col("hits"), F.col("support"))
+    return out.select("label", p.alias("precision"), r.alias("recall"), f1(p, r).alias("f1"), "support")
+
+
 def boundary_probability(model: PipelineModel, features: DataFrame) -> DataFrame:
     return model.transform(features).select("session_id", "timestamp_ms", "seq", vector_to_array("probability")[1].alias("p"))
 

@@ -96,6 +96,29 @@ def expense_policy(claims: DataFrame, per_head: float = 10_000.0, travel: float
     return decide(claims, reasons, approved, held, ("Escalated for Department Manager Financial Sign-off", "Auto-reimbursed and posted to General Ledger (ERP)"))
 
 
+def supplier_audit(requests: DataFrame, most_qty_pct: float = 25.0, most_price_pct: float = 5.0, most_days: int = 5) -> DataFrame:
+    """po_id, the audited values and whether each rule is passed."""
+    old, new = F.col("original_qty"), F.col("requested_qty")
+    variance = F.when(old > 0, F.abs(new - old) / old * 100.0).otherwise(0.0)
+    return requests.select(
+        "po_id", variance.alias("quantity_variance_pct"), (variance <= most_qty_pct).alias("quantity_passed"), (F.col("price_change_pct") <= most_price_pct).alias("price_passed"),
+        (F.col("delivery_date_shift_days") <= most_days).alias("delivery_passed"),
+    )
+
+
+def expense_audit(claims: DataFrame, per_head: float = 10_000.0, travel: float = 30_000.0, supplies: float = 50_000.0) -> DataFrame:
+    """claim_id, the amount per head, whether there is a receipt and whether the category's limit is kept (true where there is none)."""
+    amount, kind = F.col("amount"), F.col("expense_category")
+    each = amount / F.greatest(F.col("attendee_count"), F.lit(1))
+    limit = F.when(kind == "entertainment", each <= per_head).when(kind == "travel_transit", amount <= travel).when(kind == "supplies", amount <= supplies).otherwise(True)
+    return claims.select("claim_id", each.alias("per_head_amount"), F.coalesce("has_receipt", F.lit(False)).alias("receipt_passed"), limit.alias("limit_passed"))
+
+
+def stamped(decisions: DataFrame) -> DataFrame:
+    """``decisions`` with the time at which they were made: rows of an audit log."""
+    return decisions.withColumn("processed_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"))
+
+
 def scorecard(decisions: DataFrame) -> DataFrame:
     """n_processed, n_approved, n_escalated and the straight-through rate in percent."""
     approved = F.count_if(F.col("status") == APPROVED)

@@ -148,16 +148,38 @@ def rule_segments(events: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return out.withColumn("event_count", F.col("last_no") - F.col("first_no") + 1)
 
 
-def with_context(segments: DataFrame, events: DataFrame, bucket_ms: int) -> DataFrame:
-    """``segments`` with titles, urls, apps and anchors of their events, and a label from them."""
-    own = segments.select("session_id", "start_ms", "end_ms", "event_count")
-    at = events.select("session_id", "timestamp_ms", "seq", "window_title", "url", "app_name", F.col("anchor").alias("_anchor"))
-    found = points_in_intervals(own, at, bucket_ms)
+def _by_number(segments: DataFrame, events: DataFrame) -> DataFrame:
+    """Pairs of a segment (as ``seg``) and its events by their numbers: an event of two segments' common time is in one only."""
+    numbered = events.withColumn("timestamp_no", F.row_number().over(Window.partitionBy("session_id").orderBy(*ORDER)) - 1)
+    spans = segments.select("session_id", F.struct("start_ms", "end_ms", "event_count").alias("seg"), F.col("first_no").alias("start_ms"), F.col("last_no").alias("end_ms"))
+    points = numbered.withColumn("_at", F.col("timestamp_ms")).withColumn("timestamp_ms", F.col("timestamp_no")).drop("timestamp_no")
+    found = points_in_intervals(spans, points, 1024)
+    return found.drop("start_ms", "end_ms", "timestamp_ms").withColumnRenamed("_at", "timestamp_ms").select("*", "seg.*").drop("seg")
+
+
+def with_context(segments: DataFrame, events: DataFrame, bucket_ms: int, most_texts: int = 10) -> DataFrame:
+    """``segments`` with titles, urls, apps, anchors and the first texts of their events, and a label from them.
+
+    Events are found by first_no and last_no where the segments have them, else by time. Texts are those of the columns ``texts``
+    and ``form_text``, where the events have them.
+    """
+    listed = F.col("texts") if "texts" in events.columns else F.array().cast("array<string>")
+    form = F.array_compact(F.array(F.nullif("form_text", F.lit("")))) if "form_text" in events.columns else F.array().cast("array<string>")
+    at = events.select("session_id", "timestamp_ms", "seq", "window_title", "url", "app_name", F.col("anchor").alias("_anchor"), F.concat(listed, form).alias("_texts"))
+    if {"first_no", "last_no"} <= set(segments.columns):
+        found = _by_number(segments, at)
+    else:
+        found = points_in_intervals(segments.select("session_id", "start_ms", "end_ms", "event_count"), at, bucket_ms)
+    own = ["session_id", "start_ms", "end_ms", "event_count"]
     strings = lambda c: F.array_sort(F.collect_set(F.nullif(F.col(c), F.lit(""))))
-    out = found.groupBy("session_id", "start_ms", "end_ms", "event_count").agg(
-        strings("window_title").alias("window_titles"), strings("url").alias("urls"), strings("app_name").alias("apps_seen"), strings("_anchor").alias("anchors")
-    )
-    return out.withColumn("label", predict_label(F.array_join("window_titles", " "), F.array_join("urls", " ")))
+    out = found.groupBy(*own).agg(strings("window_title").alias("window_titles"), strings("url").alias("urls"), strings("app_name").alias("apps_seen"), strings("_anchor").alias("anchors"))
+    # Every such event has a text: as many events as texts are enough.
+    first = F.row_number().over(Window.partitionBy(*own).orderBy("timestamp_ms", "seq"))
+    spoken = found.where(F.size("_texts") > 0).withColumn("_n", first).where(F.col("_n") <= most_texts)
+    texts = spoken.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("_n", "_texts"))).alias("t"))
+    texts = texts.select(*own, F.slice(F.flatten(F.col("t")["_texts"]), 1, most_texts).alias("extracted_texts"))
+    out = out.join(texts, own, "left").withColumn("extracted_texts", F.coalesce("extracted_texts", F.array().cast("array<string>")))
+    return out.withColumn("label", predict_label(F.array_join(F.concat("window_titles", "extracted_texts"), " "), F.array_join("urls", " ")))
 
 
 def merge_session(rows: Iterator[dict], r: Rules) -> Iterator[tuple[int, int, str, int, int]]:
@@ -209,17 +231,25 @@ def peaks(events: DataFrame, threshold: float, gap_ms: int) -> DataFrame:
 
 
 def windows_of(rows: Iterator[dict], gap_ms: int) -> Iterator[tuple[int, int]]:
-    """Windows between cuts: the first event, peaks at least ``gap_ms`` after the last cut, the last event."""
-    last = end = None
+    """Windows between cuts at least ``gap_ms`` apart: the first event, peaks, the last event.
+
+    What is left after the last cut and is shorter belongs to the window before; a session shorter than that has none.
+    """
+    last = end = waiting = None
     for row in rows:
         t = end = row["timestamp_ms"]
         if last is None:
             last = t
         elif row["peak"] and t - last >= gap_ms:
-            yield last, t
-            last = t
-    if last is not None and end > last:
+            if waiting is not None:
+                yield waiting
+            waiting, last = (last, t), t
+    if last is not None and end - last >= gap_ms:
+        if waiting is not None:
+            yield waiting
         yield last, end
+    elif waiting is not None:
+        yield waiting[0], end
 
 
 def candidate_windows(events: DataFrame, found: DataFrame, gap_ms: int) -> DataFrame:
@@ -227,8 +257,3 @@ def candidate_windows(events: DataFrame, found: DataFrame, gap_ms: int) -> DataF
     marked = lean.unionByName(found.select("session_id", "timestamp_ms", F.lit(True).alias("peak")))
     return by_session(marked, lambda rows: windows_of(rows, gap_ms), "session_id string, start_ms long, end_ms long", "timestamp_ms", "peak")
 
-
-def deliverable(segments: DataFrame) -> DataFrame:
-    from worktrace.functions.columns import ms_to_iso
-
-    return segments.select("session_id", ms_to_iso(F.col("start_ms")).alias("start"), ms_to_iso(F.col("end_ms")).alias("end"), "label")

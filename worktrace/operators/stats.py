@@ -32,6 +32,14 @@ def idle_gaps(events: DataFrame) -> DataFrame:
     return events.select("session_id", (F.col("timestamp_ms") - F.lag("timestamp_ms").over(w)).alias("gap_ms")).where("gap_ms > 0")
 
 
+def large_gaps(events: DataFrame, least_ms: int = 5_000) -> DataFrame:
+    """One row: number, median (at place n // 2) and greatest of the gaps of ``least_ms`` or more; 0 without any."""
+    gaps = idle_gaps(events).where(F.col("gap_ms") >= least_ms)
+    top = gaps.agg(F.count("*").alias("large_gap_count"), F.coalesce(F.max("gap_ms"), F.lit(0)).alias("large_gap_max_ms"))
+    middle = at_rank(gaps, "gap_ms", {"m": 0.5}).agg(F.coalesce(F.max("m"), F.lit(0)).alias("large_gap_median_ms"))
+    return top.join(F.broadcast(middle), F.lit(True))  # one row each
+
+
 def consecutive_repeats(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(order)
     return df.select(key, (F.col(value) == F.lag(value).over(w)).alias("same")).groupBy(key).agg(F.count_if("same").alias("n_repeats"))

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worktrace.functions import columns as C
-from worktrace.operators import evaluate, features, intervals, label, mining, ml, policy, segment, stats, vision
+from worktrace.operators import chain, evaluate, features, intervals, label, mining, ml, policy, segment, stats, truth, views, vision
 from worktrace.sources.storage import stored, table
-from worktrace.sources.telemetry import TELE_SQL, quirk_policy, tele
+from worktrace.sources.telemetry import QUIRK_REASON, TELE_SQL, quirk_policy, tele
 
 HOUR = 3_600_000
 IDLE, LONG_IDLE, BUCKET, TOLERANCE = 12 * HOUR, 24 * HOUR, 24 * HOUR, HOUR // 2
@@ -80,7 +80,7 @@ def noise_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{CLEAN_SQL} SELECT session_id, seq, event_type, event_type = 'dialog_opened' AS _is_unreliable,
-CASE WHEN event_type = 'dialog_opened' THEN 'unreliable recording' END AS _quirk_reason FROM tele""")
+CASE WHEN event_type = 'dialog_opened' THEN '{QUIRK_REASON}' END AS _quirk_reason, event_type = 'dialog_opened' AS is_buggy_recording FROM tele""")
 def quirk_policy_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quirk_policy(tele(spark, sf_dir).select("session_id", "seq", "event_type"), "flag", "dialog_opened")
 
@@ -176,17 +176,28 @@ def merged_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.merged_segments(segment.with_context(segment.rule_segments(clean, RULES), clean, BUCKET), RULES)
 
 
-@query(f"""{CLEAN_SQL}, c AS (SELECT session_id, timestamp_ms, value / 500 AS p, row_number() OVER {_W} AS i FROM tele WHERE value / 500 >= {PEAK}),
+_PEAKS_SQL = f"""c AS (SELECT session_id, timestamp_ms, value / 500 AS p, row_number() OVER {_W} AS i FROM tele WHERE value / 500 >= {PEAK}),
 r AS (SELECT session_id, i, 1 AS no, timestamp_ms, p FROM c WHERE i = 1 UNION ALL
 SELECT c.session_id, c.i, CASE WHEN c.timestamp_ms - r.timestamp_ms >= {PEAK_GAP} THEN r.no + 1 ELSE r.no END,
 CASE WHEN c.timestamp_ms - r.timestamp_ms >= {PEAK_GAP} OR c.p > r.p THEN c.timestamp_ms ELSE r.timestamp_ms END,
-CASE WHEN c.timestamp_ms - r.timestamp_ms >= {PEAK_GAP} OR c.p > r.p THEN c.p ELSE r.p END FROM r JOIN c ON c.session_id = r.session_id AND c.i = r.i + 1)
-SELECT session_id, arg_max(timestamp_ms, i) AS timestamp_ms, arg_max(p, i) AS p FROM r GROUP BY session_id, no""")
+CASE WHEN c.timestamp_ms - r.timestamp_ms >= {PEAK_GAP} OR c.p > r.p THEN c.p ELSE r.p END FROM r JOIN c ON c.session_id = r.session_id AND c.i = r.i + 1),
+peaks AS (SELECT session_id, arg_max(timestamp_ms, i) AS timestamp_ms, arg_max(p, i) AS p FROM r GROUP BY session_id, no)"""
+#: Cuts are a list that grows along the peaks of a session; the last event ends the last window.
+_WINDOWS_SQL = f"""s AS (SELECT session_id, min(timestamp_ms) AS t0, max(timestamp_ms) AS t1 FROM tele GROUP BY 1),
+l AS (SELECT s.session_id, t0, t1, coalesce(ps, []) AS ps FROM s LEFT JOIN (SELECT session_id, list(timestamp_ms ORDER BY timestamp_ms) AS ps FROM peaks GROUP BY 1) USING (session_id)),
+k AS (SELECT session_id, t1, ps, 1 AS i, [t0] AS cuts FROM l UNION ALL
+SELECT session_id, t1, ps, i + 1, CASE WHEN ps[i] - cuts[-1] >= {PEAK_GAP} THEN list_append(cuts, ps[i]) ELSE cuts END FROM k WHERE i <= len(ps)),
+e AS (SELECT session_id, CASE WHEN t1 - cuts[-1] >= {PEAK_GAP} OR len(cuts) = 1 THEN list_append(cuts, t1) ELSE list_append(cuts[:-2], t1) END AS cuts FROM k WHERE i = len(ps) + 1),
+w AS (SELECT session_id, cuts, unnest(range(1, len(cuts))) AS i FROM e),
+win AS (SELECT session_id, cuts[i] AS start_ms, cuts[i + 1] AS end_ms FROM w WHERE cuts[i + 1] - cuts[i] >= {PEAK_GAP})"""
+
+
+@query(f"{CLEAN_SQL}, {_PEAKS_SQL} SELECT * FROM peaks")
 def peaks_refractory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.peaks(tele(spark, sf_dir).withColumn("p", F.col("value") / 500), PEAK, PEAK_GAP)
 
 
-@query()
+@query(f"{CLEAN_SQL}, {_PEAKS_SQL}, {_WINDOWS_SQL} SELECT * FROM win")
 def candidate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = tele(spark, sf_dir).withColumn("p", F.col("value") / 500)
     return segment.candidate_windows(events, segment.peaks(events, PEAK, PEAK_GAP), PEAK_GAP)
@@ -217,12 +228,45 @@ def next_k_after_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.next_events(marks, tele(spark, sf_dir), 3)
 
 
-@query()
+def _greedy_sql(name: str, pred: str, true: str, best: str) -> str:
+    """CTE ``name``_h: hits per session of predictions that take, in order, the ``best`` unused row of ``true`` (both: session_id, a, b)."""
+    lists = lambda side, rows: f"{name}_{side} AS (SELECT session_id, list({{'a': a, 'b': b}} ORDER BY a, b) AS {side}s FROM {rows} GROUP BY 1)"
+    return f"""{lists("p", pred)}, {lists("t", true)},
+{name}_r AS (SELECT session_id, 1 AS i, ps, ts, CAST([] AS BIGINT[]) AS used FROM {name}_p JOIN {name}_t USING (session_id) UNION ALL
+SELECT session_id, i + 1, ps, ts, CASE WHEN best IS NULL THEN used ELSE list_append(used, best) END FROM (SELECT *, {best} AS best FROM {name}_r WHERE i <= len(ps))),
+{name}_h AS (SELECT session_id, max(len(used)) AS hits FROM {name}_r GROUP BY 1)"""
+
+
+def _score_sql(name: str, sessions: str, pred: str, true: str) -> str:
+    """CTE ``name``: n_pred, n_true, n_hits, precision, recall and f1 of ``sessions``."""
+    n = lambda rows: f"(SELECT session_id, count(*) AS n FROM {rows} GROUP BY 1)"
+    return f"""{name}_0 AS (SELECT s.session_id, coalesce(p.n, 0) AS n_pred, coalesce(t.n, 0) AS n_true, CAST(coalesce(h.hits, 0) AS BIGINT) AS n_hits FROM {sessions} s
+LEFT JOIN {n(pred)} p USING (session_id) LEFT JOIN {n(true)} t USING (session_id) LEFT JOIN {name}_h h USING (session_id)),
+{name}_1 AS (SELECT *, CASE WHEN n_pred > 0 THEN n_hits / n_pred ELSE 0.0::DOUBLE END AS precision, CASE WHEN n_true > 0 THEN n_hits / n_true ELSE 0.0::DOUBLE END AS recall FROM {name}_0),
+{name} AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0::DOUBLE END AS f1 FROM {name}_1)"""
+
+
+def _nearest_sql(tolerance: int) -> str:
+    free = f"list_filter(range(1, len(ts) + 1), lambda j: abs(ts[j].a - ps[i].a) <= {tolerance} AND NOT list_contains(used, j))"
+    return f"list_sort(list_transform({free}, lambda j: [abs(ts[j].a - ps[i].a), j]))[1][2]"
+
+
+_BOTH = "greatest(0, least(ts[j].b, ps[i].b) - greatest(ts[j].a, ps[i].a))"
+_BEST_IOU = f"""list_filter([list_sort(list_transform(list_filter(range(1, len(ts) + 1), lambda j: NOT list_contains(used, j)),
+lambda j: [CAST(-({_BOTH} / (ps[i].b - ps[i].a + ts[j].b - ts[j].a - {_BOTH})) AS DOUBLE), CAST(j AS DOUBLE)]))[1]], lambda x: x[1] <= -0.5)[1][2]"""
+_MARK_ROWS = "(SELECT session_id, start_ms AS a, start_ms AS b FROM {0} UNION ALL SELECT session_id, end_ms, end_ms FROM {0} WHERE end_ms IS NOT NULL)"
+_SPAN_ROWS = "(SELECT session_id, start_ms AS a, end_ms AS b FROM {0} WHERE end_ms > start_ms)"
+_TWO_IDLE = f"{CLEAN_SQL}, {_idle_sql('idle', IDLE)}, {_idle_sql('rough', LONG_IDLE)}, ses AS (SELECT DISTINCT session_id FROM rough SEMI JOIN idle USING (session_id))"
+
+
+@query(f"""{_TWO_IDLE}, {_greedy_sql("o", _MARK_ROWS.format("rough"), _MARK_ROWS.format("idle"), _nearest_sql(TOLERANCE))},
+{_score_sql("o", "ses", _MARK_ROWS.format("rough"), _MARK_ROWS.format("idle"))} SELECT * FROM o""")
 def eval_boundary_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.boundary_f1(evaluate.boundaries(_idle(spark, sf_dir, LONG_IDLE)), evaluate.boundaries(_idle(spark, sf_dir)), TOLERANCE)
 
 
-@query()
+@query(f"""{_TWO_IDLE}, {_greedy_sql("o", _SPAN_ROWS.format("rough"), _SPAN_ROWS.format("idle"), _BEST_IOU)},
+{_score_sql("o", "ses", _SPAN_ROWS.format("rough"), "idle")} SELECT * FROM o""")
 def eval_segment_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.segment_iou(_idle(spark, sf_dir, LONG_IDLE), _idle(spark, sf_dir))
 
@@ -372,7 +416,134 @@ def ordered_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def boundary_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Probabilities of a boundary near each event, by 150 rounds of trees over the 18 features."""
+    """Probabilities of a boundary near each event, by 150 rounds of trees over the 18 features of the first 80 % of events in order."""
     rows = features_18(spark, sf_dir).join(boundary_labels_nearest(spark, sf_dir), ["session_id", "seq"]).withColumn("label", F.col("is_near").cast("double"))
-    rows = stored(rows, "boundary-rows")
-    return ml.boundary_probability(ml.fit_boundaries(rows), rows)
+    split = stored(stats.ordered_split(rows, "session_id", "timestamp_ms", "seq"), "boundary-rows")
+    model = ml.fit_boundaries(split.where("is_train").drop("is_train"))
+    return ml.boundary_probability(model, split).join(split.select("session_id", "timestamp_ms", "seq", "is_train"), ["session_id", "timestamp_ms", "seq"])
+
+
+def _manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ground truth made of idle segments: three processes a session, every seventh execution without an end."""
+    s = _idle(spark, sf_dir)
+    end = F.when(F.col("seg_no") % 7 != 0, C.ms_to_iso(F.col("end_ms")))
+    run = F.struct(
+        F.lit(None).cast("string").alias("variant"), F.concat(F.lit("x"), F.col("seg_no").cast("string")).alias("exec_id"), C.ms_to_iso(F.col("start_ms")).alias("start_ts"), end.alias("end_ts"),
+        F.array(F.lit("Notepad")).alias("apps"),
+    )
+    code = F.concat(F.lit("P"), (F.col("seg_no") % 3).cast("string"))
+    processes = s.groupBy("session_id", code.alias("code")).agg(F.sort_array(F.collect_list(run)).alias("executions"))
+    process = F.struct("code", F.lit("family").alias("family_name"), F.lit("domain").alias("domain"), "executions")
+    expected = F.array().cast("array<struct<ts: string, type: string>>")
+    return processes.groupBy("session_id").agg(F.struct(F.sort_array(F.collect_list(process)).alias("processes"), expected.alias("expected_boundaries")).alias("manifest"))
+
+
+_TRUE_SQL = f"""{_TWO_IDLE}, ex AS (SELECT session_id, 'P' || (seg_no % 3) AS code, 'x' || seg_no AS exec_id, start_ms // 1000 * 1000 AS start_ms,
+CASE WHEN seg_no % 7 <> 0 THEN end_ms // 1000 * 1000 END AS end_ms FROM idle), whole AS (SELECT * FROM ex WHERE end_ms IS NOT NULL)"""
+
+
+@query(f"""{_TRUE_SQL}, m AS (SELECT session_id, code, start_ms AS timestamp_ms, 'start' AS kind FROM ex UNION ALL SELECT session_id, code, end_ms, 'end' FROM whole)
+SELECT session_id, timestamp_ms, strftime(make_timestamp(timestamp_ms * 1000), '%Y-%m-%dT%H:%M:%SZ') AS ts_iso, code, 'family' AS family_name, kind FROM m""")
+def true_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truth.true_boundaries(_manifests(spark, sf_dir))
+
+
+@query(f"{_TRUE_SQL} SELECT session_id, code, 'family' AS family_name, exec_id, start_ms, end_ms FROM whole")
+def true_executions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truth.true_executions(_manifests(spark, sf_dir))
+
+
+@query(f"""{_TRUE_SQL} SELECT code, count(end_ms) AS exec_count, count(*) FILTER (end_ms IS NULL) AS null_end_count, CAST(coalesce(sum(end_ms - start_ms), 0) AS BIGINT) AS total_ms,
+min(end_ms - start_ms) AS min_ms, max(end_ms - start_ms) AS max_ms, count(DISTINCT session_id) FILTER (end_ms IS NOT NULL) AS sessions_count FROM ex GROUP BY 1""")
+def execution_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truth.execution_stats(_manifests(spark, sf_dir))
+
+
+@query(f"{_TRUE_SQL} SELECT code, '?' AS value, count(*) AS n FROM whole GROUP BY 1")
+def execution_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truth.value_counts(_manifests(spark, sf_dir), "variant")
+
+
+@query(f"{_TRUE_SQL} SELECT session_id, count(end_ms) AS n FROM ex GROUP BY 1")
+def executions_per_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truth.executions_per_session(_manifests(spark, sf_dir))
+
+
+_EVALUATED_SQL = f"""{_TRUE_SQL}, {_greedy_sql("b", _MARK_ROWS.format("rough"), _MARK_ROWS.format("ex"), _nearest_sql(TOLERANCE))}, {_score_sql("b", "ses", _MARK_ROWS.format("rough"), _MARK_ROWS.format("ex"))},
+{_greedy_sql("v", _SPAN_ROWS.format("rough"), _SPAN_ROWS.format("whole"), _BEST_IOU)}, {_score_sql("v", "ses", _SPAN_ROWS.format("rough"), "whole")},
+scores AS (SELECT b.session_id, (SELECT count(*) FROM rough WHERE rough.session_id = b.session_id) AS pred_count, b.n_true AS true_boundary_count, v.n_true AS true_exec_count,
+{", ".join(f"{t}.{c} AS {k}_{c}" for t, k in (("b", "boundary"), ("v", "segment")) for c in ("precision", "recall", "f1"))} FROM b JOIN v USING (session_id))"""
+
+
+@query(f"{_EVALUATED_SQL} SELECT * FROM scores")
+def session_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.evaluated_sessions(_idle(spark, sf_dir, LONG_IDLE), _manifests(spark, sf_dir), TOLERANCE)
+
+
+_MACRO = [f"{k}_{c}" for k in ("boundary", "segment") for c in ("precision", "recall", "f1")]
+
+
+@query(f"{_EVALUATED_SQL} SELECT count(*) AS n_sessions, {', '.join(f'round(avg({c}), 9) AS {c}' for c in _MACRO)} FROM scores")
+def macro_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = evaluate.macro_scores(session_evaluation(spark, sf_dir))
+    return out.select("n_sessions", *[F.round(c, 9).alias(c) for c in _MACRO])
+
+
+@query(f"{_TRUE_SQL} SELECT session_id FROM (SELECT DISTINCT session_id FROM tele) ANTI JOIN ex USING (session_id)")
+def unmatched_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.unmatched_sessions(tele(spark, sf_dir), _manifests(spark, sf_dir))
+
+
+@query(f"""{CLEAN_SQL}, g AS (SELECT timestamp_ms - lag(timestamp_ms) OVER {_W} AS gap FROM tele), k AS (SELECT gap, row_number() OVER (ORDER BY gap) - 1 AS i, count(*) OVER () AS n FROM g WHERE gap >= {IDLE})
+SELECT count(*) AS large_gap_count, coalesce(max(gap), 0) AS large_gap_max_ms, coalesce(max(gap) FILTER (i = n // 2), 0) AS large_gap_median_ms FROM k""")
+def large_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.large_gaps(tele(spark, sf_dir), IDLE)
+
+
+_EVENT_WORDS = f"""concat_ws(' ', {_TOKENS}, CASE WHEN contains(url, '#') THEN 'ROUTE_' || replace(list_extract(string_split(url, '#'), -1), '/', '_') END, window_title, 'CLIP_' || substr(anchor, 1, 50))"""
+
+
+def _documents_sql(spans: str) -> str:
+    return f"""docs AS (SELECT i.session_id, i.start_ms, i.end_ms, count(*) AS event_count, string_agg({_EVENT_WORDS}, ' ' ORDER BY timestamp_ms, seq) AS text
+FROM {spans} i JOIN tele e ON e.session_id = i.session_id AND e.timestamp_ms BETWEEN i.start_ms AND i.end_ms GROUP BY 1, 2, 3)"""
+
+
+def _spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tele(spark, sf_dir).withColumn("text_content", F.col("anchor")).withColumn("p", F.col("value") / 500)
+
+
+@query(f"{CLEAN_SQL}, {_idle_sql('idle', IDLE)}, {_documents_sql('idle')} SELECT * FROM docs")
+def execution_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chain.documents(_idle(spark, sf_dir), _spoken(spark, sf_dir), BUCKET)
+
+
+_V3 = dict(threshold=PEAK, peak_gap_ms=PEAK_GAP, min_ms=PEAK_GAP, bucket_ms=BUCKET, least_events=3, idle_ms=4 * PEAK_GAP)
+
+
+@query(f"""{CLEAN_SQL}, {_PEAKS_SQL}, {_WINDOWS_SQL}, {_documents_sql("win")} SELECT * FROM docs WHERE NOT (event_count < 3 AND end_ms - start_ms > {4 * PEAK_GAP})""")
+def model_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chain.windows(_spoken(spark, sf_dir), **_V3)
+
+
+@query()
+def model_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows labelled by the rules, merged."""
+    docs = model_windows(spark, sf_dir).withColumn("label", label.predict_label(F.col("text"), F.lit("")))
+    return chain.merged(docs, _spoken(spark, sf_dir), RULES, BUCKET)
+
+
+@query(f"""{CLEAN_SQL}, {_labelled_sql("seg", IDLE)}, d AS (SELECT *, (end_ms - start_ms) / 1000 AS duration_s FROM seg)
+SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY start_ms, end_ms, label) AS execution_no, start_ms, end_ms, duration_s, least(duration_s, 120.0::DOUBLE) AS shown_s, label FROM d WHERE label = 'payroll_adjustment'""")
+def explorer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.explorer(_labelled(spark, sf_dir), "payroll_adjustment")
+
+
+@query(f"""{_SUPPLIER_SQL} SELECT po_id, var AS quantity_variance_pct, var <= 25 AS quantity_passed, pct <= 5 AS price_passed, days <= 5 AS delivery_passed FROM v""")
+def supplier_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policy.supplier_audit(_requests(spark, sf_dir))
+
+
+@query(f"""{_EXPENSE_SQL} SELECT id AS claim_id, amount / heads AS per_head_amount, receipt AS receipt_passed, CASE WHEN kind = 'entertainment' THEN amount / heads <= 10000
+WHEN kind = 'travel_transit' THEN amount <= 30000 WHEN kind = 'supplies' THEN amount <= 50000 ELSE true END AS limit_passed FROM q""")
+def expense_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policy.expense_audit(_claims(spark, sf_dir))

@@ -10,17 +10,18 @@ from worktrace.sources.storage import table
 
 BUGGY_TYPE = "text_input_complete"
 POLICIES = ("drop", "flag", "keep")
+QUIRK_REASON = "text_input_complete is unreliable per schema; use keystroke or clipboard_change"  # fixed value
 
 
 def quirk_policy(events: DataFrame, policy: str = "drop", buggy_type: str = BUGGY_TYPE) -> DataFrame:
-    """Events of an unreliable type dropped, flagged (``_is_unreliable``, ``_quirk_reason``) or kept as they are."""
+    """Events of an unreliable type dropped, flagged (``_is_unreliable``, ``_quirk_reason``, ``is_buggy_recording``) or kept as they are."""
     if policy not in POLICIES:
         raise ValueError(f"policy is one of {POLICIES}")
     buggy = F.coalesce(F.col("event_type") == buggy_type, F.lit(False))
     if policy == "drop":
         return events.where(~buggy)
     if policy == "flag":
-        return events.withColumn("_is_unreliable", buggy).withColumn("_quirk_reason", F.when(buggy, F.lit("unreliable recording")))
+        return events.withColumn("_is_unreliable", buggy).withColumn("_quirk_reason", F.when(buggy, F.lit(QUIRK_REASON))).withColumn("is_buggy_recording", buggy)
     return events
 
 
@@ -28,21 +29,22 @@ def read_sessions(spark: SparkSession, dataset_dir: str, policy: str = "drop", b
     """Typed events of ``<dataset_dir>/ses_*/chunk*/events.jsonl`` with session_id, chunk and line_no.
 
     Blank and malformed lines and values that are no objects are left out (``bad_lines``: only those are returned).
-    The total order of a session is (timestamp_ms, seq, chunk, line_no); a missing time or number counts as 0.
+    The total order of a session is (timestamp_ms, seq, chunk, block, line_no); a missing time or number counts as 0. Files are read
+    by blocks of lines; line numbers ascend within a block and have gaps.
     """
-    lines = spark.read.text(f"{dataset_dir}/ses_*/chunk*/events.jsonl", wholetext=True).withColumn("path", F.col("_metadata.file_path"))
+    lines = spark.read.text(f"{dataset_dir}/ses_*/chunk*/events.jsonl").select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line")
+    )
     lines = lines.select(
-        F.regexp_extract("path", r"/(ses_[^/]*)/", 1).alias("session_id"),
-        F.regexp_extract("path", r"/(chunk[^/]*)/", 1).alias("chunk"),
-        F.posexplode(F.split("value", "\n")).alias("line_no", "line"),
+        F.regexp_extract("path", r"/(ses_[^/]*)/", 1).alias("session_id"), F.regexp_extract("path", r"/(chunk[^/]*)/", 1).alias("chunk"), "block", "line_no", "line"
     ).where(F.btrim("line") != "")
     parsed = lines.withColumn("v", F.try_parse_json("line"))
     good = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
     if bad_lines:
-        return parsed.where(~good).select("session_id", "chunk", "line_no", "line")
+        return parsed.where(~good).select("session_id", "chunk", "block", "line_no", "line")
     get = lambda path, kind="string": F.try_variant_get("v", f"$.{path}", kind)
     out = parsed.where(good).select(
-        "session_id", "chunk", "line_no",
+        "session_id", "chunk", "block", "line_no",
         get("event_id").alias("event_id"),
         F.coalesce(get("timestamp_ms", "bigint"), F.lit(0)).alias("timestamp_ms"),
         F.coalesce(get("correlation.sequence_number", "bigint"), F.lit(0)).alias("seq"),
@@ -51,12 +53,18 @@ def read_sessions(spark: SparkSession, dataset_dir: str, policy: str = "drop", b
         F.coalesce(get("context.active_browser_tab.url"), F.lit("")).alias("tab_url"),
         anchor(get("event_type"), get("payload.text_content"), get("payload.text_length", "bigint")).alias("anchor"),
         get("payload.text_content").alias("text_content"),
-        get("correlation.ms_since_last_event", "double").alias("ms_since"),
+        # Absent: 0. Null: to be made from the event before.
+        F.when(get("correlation.ms_since_last_event", "variant").isNull(), 0.0).otherwise(get("correlation.ms_since_last_event", "double")).alias("ms_since"),
+        falsy(get("context.active_app.app_name"), get("context.active_app.process_name")).alias("ctx_app"),
+        F.coalesce(get("context.active_app.window_title"), F.lit("")).alias("ctx_title"),
         F.lower(falsy(get("payload.key"), get("payload.character"))).alias("key"),
-        F.coalesce(get("payload.modifiers.ctrl", "boolean"), get("payload.modifiers.control", "boolean"), F.lit(False)).alias("ctrl"),
-        F.lower(F.concat_ws(" ", get("payload.target_element.name"), get("payload.target_element.automation_id"), get("payload.element.text"),
-                            *[get(f"payload.element.attributes.{a}") for a in ("text", "innerText", "value", "id")])).alias("element_text"),
+        (F.coalesce(get("payload.modifiers.ctrl", "boolean"), F.lit(False)) | F.coalesce(get("payload.modifiers.control", "boolean"), F.lit(False))).alias("ctrl"),
+        F.lower(F.concat_ws(" ", get("payload.target_element.name"), get("payload.target_element.automation_id"),
+                            falsy(*[get(f"payload.element.attributes.{a}") for a in ("text", "innerText", "value")], get("payload.element.text")),
+                            get("payload.element.attributes.id"))).alias("element_text"),
+        form_text(get).alias("form_text"),
         texts(F.try_variant_get("v", "$.context.extracted_text", "variant")).alias("texts"),
+        document_texts(F.try_variant_get("v", "$.context.extracted_text", "variant")).alias("doc_texts"),
     )
     return quirk_policy(out, policy)
 
@@ -83,6 +91,21 @@ def anchor(kind: Column, content: Column, length: Column) -> Column:
     return F.when(kind == "clipboard_change", F.when(text != "", text).when(length > 0, F.concat(F.lit("len_"), length.cast("string"))))
 
 
+def form_text(get) -> Column:
+    """What names the element that an event is about, at most 100 characters; '' if nothing does."""
+    named = [get("payload.target_element.name"), get("payload.element.text"), *[get(f"payload.element.attributes.{a}") for a in ("innerText", "placeholder", "value")]]
+    return F.substring(F.regexp_replace(falsy(*named), r"(?U)^\s+|\s+$", ""), 1, 100)
+
+
+def document_texts(v: Column) -> Column:
+    """As documents of executions take them: the beginning of a string, or the first three of a list; no objects."""
+    kind = F.schema_of_variant(v)
+    one = lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")).otherwise(F.nullif(F.try_variant_get(x, "$.text", "string"), F.lit("")))
+    listed = F.when(kind.startswith("ARRAY"), F.transform(F.slice(F.try_variant_get(v, "$", "array<variant>"), 1, 3), one))
+    listed = listed.when(kind == "STRING", F.array(F.nullif(F.substring(F.try_variant_get(v, "$", "string"), 1, 100), F.lit(""))))
+    return F.array_compact(F.coalesce(listed, F.array().cast("array<string>")))
+
+
 def texts(v: Column) -> Column:
     """A string, an object with text, or a list of either, as a list of strings."""
     kind = F.schema_of_variant(v)
