@@ -72,27 +72,24 @@ def _bare_units(text: Column) -> Column:
 
 
 def _windows(s: Column) -> Column:
-    """(h, first, last) of the windows of ``s``; the last unit of a window is the last blank one that follows it."""
+    """(h, first, last) of the windows of ``s``; the last unit of a window is the last blank one that follows it.
+
+    A unit's window up to it is its window from another one, or a longer run from the last unit whose window ends before it.
+    """
     owner = F.flatten(F.transform(s["v"], lambda x, m: F.array_repeat(m, x["n"])))  # the unit of every word
     leads = F.flatten(F.transform(s["v"], lambda x: F.concat(F.array(F.lit(True)), F.array_repeat(F.lit(False), x["n"] - 1))))
     # The first word of every unit.
     start = _let(leads, lambda lead: F.filter(F.sequence(F.lit(0), F.greatest(F.size(lead), F.lit(1)) - 1), lambda j: F.get(lead, j)))
-    made = F.struct(s["v"].alias("v"), s["v"]["u"].alias("u"), s["size"].alias("size"), owner.alias("owner"), start.alias("start"))
-
-    def spans(s):
-        end = lambda a: F.get(s["owner"], F.get(s["start"], a) + (MIN_WORDS - 1))
-        begin = lambda x, b: F.get(s["owner"], F.get(s["start"], b) + x["n"] - MIN_WORDS)
-        pair = lambda a, b: F.when(b.isNotNull(), F.struct(a.alias("a"), b.alias("b")))
-        onward = F.transform(s["v"], lambda x, m: pair(m, end(m)))
-        back = F.transform(s["v"], lambda x, m: _let(begin(x, m), lambda a: pair(a, F.when(end(a) != m, m))))
-        return F.array_compact(F.concat(onward, back))
-
-    def row(s, x):
-        a, b = x["a"], x["b"]
-        last = F.coalesce(F.get(s["v"], b + 1)["i"], s["size"]) - 1
-        return F.struct(F.xxhash64(F.slice(s["u"], a + 1, b - a + 1)).alias("h"), F.get(s["v"], a)["i"].alias("first"), last.alias("last"))
-
-    return _let(made, lambda s: F.transform(spans(s), lambda x: row(s, x)))
+    ends = _let(owner, lambda owner: F.transform(start, lambda word: F.get(owner, word + (MIN_WORDS - 1))))
+    made = F.struct(s["v"]["i"].alias("i"), s["v"]["u"].alias("u"), s["size"].alias("size"), ends.alias("ends"))
+
+    def from_unit(s, a, end):
+        until = F.coalesce(F.get(s["ends"], a + 1), F.size(s["u"])) - 1
+        h = lambda b: F.xxhash64(F.slice(s["u"], a + 1, b - a + 1)).alias("h")
+        row = lambda b: F.struct(h(b), F.get(s["i"], a).alias("first"), (F.coalesce(F.get(s["i"], b + 1), s["size"]) - 1).alias("last"))
+        return F.when(end.isNotNull(), F.transform(F.sequence(end, F.greatest(end, until)), row))
+
+    return _let(made, lambda s: F.flatten(F.array_compact(F.transform(s["ends"], lambda end, a: from_unit(s, a, end)))))
 
 
 def prepared(docs: DataFrame) -> DataFrame:
