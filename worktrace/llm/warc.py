@@ -47,6 +47,11 @@ def _record_id(*parts: Column | str) -> Column:
     return F.concat(F.lit("urn:uuid:"), F.concat_ws("-", *cut))
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value made once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def unescaped(text: Column) -> Column:
     """``text`` with its character references, named and numeric, replaced once; those that name no character stay or become U+FFFD."""
     named = F.create_map(*[F.lit(x) for name, code in name2codepoint.items() for x in (name, chr(code))], F.lit("apos"), F.lit("'"))
@@ -61,9 +66,10 @@ def unescaped(text: Column) -> Column:
         by = F.when(found == "", None).when(name.startswith("#"), numeric).otherwise(F.try_element_at(named, name))
         return F.coalesce(F.concat(by, F.substr(x, F.length(found) + 1)), F.concat(F.lit("&"), x))
 
-    parts = F.split(text, "&")
-    rest = F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), piece), "")
-    return F.when(text.contains("&"), F.concat(F.get(parts, F.lit(0)), rest)).otherwise(text)
+    def joined(parts):
+        return F.array_join(F.concat(F.slice(parts, 1, 1), F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), piece)), "")
+
+    return _once(text, lambda t: F.when(t.contains("&"), _once(F.split(t, "&"), joined)).otherwise(t))
 
 
 def html_text(html: Column) -> Column:
