@@ -78,23 +78,23 @@ def _windows(s: Column) -> Column:
     """
     owner = F.flatten(F.transform(s["v"], lambda x, m: F.array_repeat(m, x["n"])))  # the unit of every word
     leads = F.flatten(F.transform(s["v"], lambda x: F.concat(F.array(F.lit(True)), F.array_repeat(F.lit(False), x["n"] - 1))))
-    # The first word of every unit.
-    start = _let(leads, lambda lead: F.filter(F.sequence(F.lit(0), F.greatest(F.size(lead), F.lit(1)) - 1), lambda j: F.get(lead, j)))
-    ends = _let(owner, lambda owner: F.transform(start, lambda word: F.get(owner, word + (MIN_WORDS - 1))))
+    # For the first word of every unit, the unit of the last of MIN_WORDS words; the last units have no window.
+    ends = _let(leads, lambda lead: F.filter(F.slice(owner, MIN_WORDS, F.size(lead)), lambda _, j: F.get(lead, j)))
     made = F.struct(s["v"]["i"].alias("i"), s["v"]["u"].alias("u"), s["size"].alias("size"), ends.alias("ends"))
 
     def from_unit(s, a, end):
         until = F.coalesce(F.get(s["ends"], a + 1), F.size(s["u"])) - 1
         h = lambda b: F.xxhash64(F.slice(s["u"], a + 1, b - a + 1)).alias("h")
         row = lambda b: F.struct(h(b), F.get(s["i"], a).alias("first"), (F.coalesce(F.get(s["i"], b + 1), s["size"]) - 1).alias("last"))
-        return F.when(end.isNotNull(), F.transform(F.sequence(end, F.greatest(end, until)), row))
+        return F.transform(F.sequence(end, F.greatest(end, until)), row)
 
-    return _let(made, lambda s: F.flatten(F.array_compact(F.transform(s["ends"], lambda end, a: from_unit(s, a, end)))))
+    return _let(made, lambda s: F.flatten(F.transform(s["ends"], lambda end, a: from_unit(s, a, end))))
 
 
 def prepared(docs: DataFrame) -> DataFrame:
     """h, d (id), t (a hash of the text) and at (first and last unit) of the windows of ``docs``, a row each."""
-    w = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.explode(_let(_bare_units(F.col("text")), _windows)).alias("w"))
+    hashed = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), "text")  # before the explode: after it, once a window
+    w = hashed.select("d", "t", F.explode(_let(_bare_units(F.col("text")), _windows)).alias("w"))
     return w.select("w.h", "d", "t", F.expr("shiftleft(cast(w.first as bigint), 32) + w.last").alias("at"))
 
 
