@@ -59,6 +59,13 @@ def ordered_split(df: DataFrame, *order: str, share: float = 0.8) -> DataFrame:
     return indexed.join(F.broadcast(n), F.lit(True)).withColumn("is_train", F.col("idx") < F.floor(F.col("_n") * F.lit(share))).drop("_n", "idx")
 
 
+def ngram_documents(docs: DataFrame, low: int = 1, high: int = 3) -> DataFrame:
+    """gram and n_documents, the number of rows of ``docs`` (doc_id, text) that hold it; each distinct word is cut once."""
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("word")).where("word <> ''")
+    grams = words.select("word").distinct().select("word", F.explode(F.array_distinct(char_ngrams(F.col("word"), low, high))).alias("gram"))
+    return words.join(grams, "word").select("doc_id", "gram").distinct().groupBy("gram").agg(F.count("*").alias("n_documents"))
+
+
 def char_ngrams(text, low: int = 1, high: int = 3):
     """Runs of ``low`` to ``high`` characters of each word, padded with a space on either side."""
     words = F.array_remove(F.split(F.lower(text), r"\s+"), "")

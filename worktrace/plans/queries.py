@@ -400,8 +400,7 @@ def vision_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 g AS (SELECT doc_id, p, unnest([1, 2, 3]) AS k FROM d), i AS (SELECT doc_id, p, k, unnest(range(1, length(p) - k + 2)) AS i FROM g)
 SELECT substr(p, i, k) AS gram, count(DISTINCT doc_id) AS n_documents FROM i GROUP BY 1""")
 def char_ngram_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grams = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(stats.char_ngrams(F.array_join(F.array_distinct(F.split(F.lower("text"), r"\s+")), " "))).alias("g"))
-    return grams.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count("*").alias("n_documents"))
+    return stats.ngram_documents(table(spark, sf_dir, "documents"))
 
 
 @query("SELECT quality, n, sum(n) OVER () / (count(*) OVER () * n) AS weight FROM (SELECT quality, count(*) AS n FROM labels GROUP BY 1)")
