@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -88,19 +90,47 @@ def rules() -> list[tuple[str, str, str, str]]:
     return out + [(text, w, "", label) for text in ("primary", "urls") for words, label in KEYWORDS for w in words]
 
 
+def _live_rules() -> list[tuple[str, str, str, str]]:
+    """``rules`` without those that cannot be the first: a word not found in the full text is in no part of it."""
+    out: list[tuple[str, str, str, str]] = []
+    absent: set[str] = set()
+    for where, word, needed, found in rules():
+        if word not in absent:
+            out.append((where, word, needed, found))
+        if where == "full" and not needed:
+            absent.add(word)
+    return out
+
+
 def predict_label(primary: Column, urls: Column) -> Column:
     """The label of a context: ``primary`` joins titles and texts, ``urls`` the addresses.
 
-    The rules are one literal array that is filtered: as a CASE, they would outgrow a compiled method.
+    The first rule that holds ends the search. Rules that need a port are asked only where the text has it, and codes are
+    extracted only where no earlier rule holds. The texts are bound once, by a transform of an array of one element; its body is
+    not compiled, as a CASE of all rules would outgrow a compiled method.
     """
     p, u = F.lower(F.coalesce(primary, F.lit(""))), F.lower(F.coalesce(urls, F.lit("")))
-    full = F.concat_ws(" ", p, u)
-    codes = F.regexp_extract_all(full, F.lit(rf"(?iU)\b(?:{'|'.join(c for c, _ in CODES)})-\d"), F.lit(0))
-    texts = F.array(p, u, full, F.array_join(codes, " "))
-    places = {"primary": 0, "urls": 1, "full": 2, "codes": 3}
-    table = F.array(*[F.struct(F.lit(places[t]).alias("at"), F.lit(w).alias("word"), F.lit(n).alias("needed"), F.lit(x).alias("label")) for t, w, n, x in rules()])
-    label = F.transform(F.array(texts), lambda t: F.get(F.filter(table, lambda r: F.get(t, r["at"]).contains(r["word"]) & F.get(t, F.lit(2)).contains(r["needed"])), F.lit(0))["label"])
-    return F.coalesce(F.get(label, F.lit(0)), F.lit(UNKNOWN))
+
+    def first(tests: list[tuple[Column, str]]) -> Column:
+        case = F
+        for test, found in tests:
+            case = case.when(test, F.lit(found))
+        return case
+
+    def step(t: Column, where: str, needed: str, block: list[tuple[str, str, str, str]]) -> Column:
+        if where == "codes":
+            joined = F.array_join(F.regexp_extract_all(t["full"], F.lit(rf"(?iU)\b(?:{'|'.join(c for c, _ in CODES)})-\d"), F.lit(0)), " ")
+            return F.get(F.transform(F.array(joined), lambda c: first([(c.contains(word), found) for _, word, _, found in block])), F.lit(0))
+        found = first([(t[at].contains(word), label) for at, word, _, label in block])
+        return F.when(t["full"].contains(needed), found) if needed else found
+
+    def search(t: Column) -> Column:
+        blocks = groupby(_live_rules(), key=lambda r: (r[0] == "codes", r[2]))
+        steps = [step(t, "codes" if codes else "", needed, list(block)) for (codes, needed), block in blocks]
+        return F.coalesce(*steps, F.lit(UNKNOWN))
+
+    texts = F.struct(p.alias("primary"), u.alias("urls"), F.concat_ws(" ", p, u).alias("full"))
+    return F.get(F.transform(F.array(texts), search), F.lit(0))
 
 
 def predict_label_sql(primary: str, urls: str) -> str:
