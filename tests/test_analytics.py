@@ -190,6 +190,40 @@ def test_stream_gives_the_batch_segments(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def streamed(spark, path, batches, schema, transform):
+    """What ``transform`` of a stream gives, one file of ``batches`` a batch; the second run starts from the state of the first."""
+    out = path / "out"
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(path / "in"))
+        made = transform(spark.readStream.schema(schema).parquet(str(path / "in")))
+        q = made.writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(path / "cp")).trigger(availableNow=True).start()
+        assert q.awaitTermination(60) and q.exception() is None
+    return sorted(map(tuple, spark.read.parquet(str(out)).collect()))
+
+
+def test_stream_of_late_and_repeated_events(spark, tmp_path):
+    from worktrace.streaming.sessions import stream_late_events, stream_once
+
+    schema = "session_id string, timestamp_ms long, event_type string"
+    batches = [[("a", 100_000, "x"), ("a", 100_000, "x"), ("a", 20_000, "y"), ("b", 5_000, "x")], [("a", 100_000, "x"), ("a", 30_000, "z"), ("a", 95_000, "z"), ("b", 9_000, "x")]]
+    late = streamed(spark, tmp_path / "late", batches, schema, lambda s: stream_late_events(s, 10_000))
+    assert late == [("a", 30_000, 70_000)]  # earlier in the same batch is no delay
+    once = streamed(spark, tmp_path / "once", batches, schema, lambda s: stream_once(s, "event_type"))
+    assert once == sorted(set(batches[0] + batches[1]))
+
+
+def test_stream_of_frames_gives_the_batch_drops(spark, tmp_path):
+    from worktrace.streaming.sessions import stream_frame_drops
+
+    frames = spark.read.parquet(f"{SF}/embeddings.parquet")
+    rows = [("s", r.vec_id, [float(x) for x in r.embedding]) for r in frames.orderBy("vec_id").collect()]
+    cut = len(rows) // 2 + 1
+    schema = "session_id string, timestamp_ms long, embedding array<double>"
+    got = streamed(spark, tmp_path, [rows[cut - 1 :: -1], rows[cut:]], schema, lambda s: stream_frame_drops(s, 0.15))
+    want = vision.multi_frame(frames, "vec_id", 0.15).collect()
+    assert [(n, round(d, 4)) for _, n, d in got] == sorted((r.vec_id, r.drop_magnitude) for r in want) and want
+
+
 def test_markdown_and_empty_input(spark):
     assert mining.markdown(QUERIES["roi_ranking"](spark, SF)).count("\n") >= 3
     none = telemetry.tele(spark, SF).limit(0)
