@@ -76,7 +76,7 @@ def test_short_pieces_wait_for_each_other(spark):
 
 
 def merged(spark, *parts, **rules):
-    df = spark.createDataFrame([("s", a * 1000, b * 1000, lab, n, anchors) for a, b, lab, n, anchors in parts], "session_id string, start_ms long, end_ms long, label string, event_count long, anchors array<string>")
+    df = spark.createDataFrame([("s", a * 1000, b * 1000, lab, n, anchors) for a, b, lab, n, anchors in parts], "session_id string, start_ms long, end_ms long, label string, event_count long, anchor_texts array<string>")
     return [(r.start_ms // 1000, r.end_ms // 1000, r.event_count) for r in segment.merged_segments(df, segment.Rules(**rules)).orderBy("start_ms").collect()]
 
 
@@ -92,11 +92,18 @@ def test_merge_rules(spark):
 
 def test_peaks_and_windows(spark):
     p = [(0, 0.6), (5, 0.9), (14, 0.7), (20, 0.95), (40, 0.5)]
-    assert list(segment.peaks_of(({"timestamp_ms": t, "p": x} for t, x in p), 12)) == [(5, 0.9), (20, 0.95), (40, 0.5)]
-    rows_ = [{"timestamp_ms": t, "peak": k} for t, k in ((0, False), (5, True), (20, True), (25, False))]
-    assert list(segment.windows_of(iter(rows_), 12)) == [(0, 25)]  # what is too short at the end joins the window before
-    assert list(segment.windows_of(iter(rows_[:3]), 12)) == [(0, 20)] and list(segment.windows_of(iter(rows_[:2]), 12)) == []
-    assert list(segment.windows_of(iter([*rows_, {"timestamp_ms": 32, "peak": False}]), 12)) == [(0, 20), (20, 32)]
+    events = spark.createDataFrame([("s", t, t, x) for t, x in p], "session_id string, timestamp_ms long, seq long, p double")
+    found = sorted((r.timestamp_ms, r.p) for r in segment.peaks(events, 0.5, 12).collect())
+    assert found == [(5, 0.9), (20, 0.95), (40, 0.5)]
+
+    def windows(ends, peaks):
+        e = spark.createDataFrame([("s", t, t) for t in ends], "session_id string, timestamp_ms long, seq long")
+        k = spark.createDataFrame([("s", t) for t in peaks], "session_id string, timestamp_ms long")
+        return sorted((r.start_ms, r.end_ms) for r in segment.candidate_windows(e, k, 12).collect())
+
+    assert windows((0, 25), (5, 20)) == [(0, 25)]  # what is too short at the end joins the window before
+    assert windows((0, 20), (5, 20)) == [(0, 20)] and windows((0, 5), (5,)) == []
+    assert windows((0, 32), (5, 20)) == [(0, 20), (20, 32)]
 
 
 def test_greedy_matching():

@@ -33,6 +33,11 @@ def falsy(*values: Column) -> Column:
     return F.coalesce(*[F.nullif(v, F.lit("")) for v in values], F.lit(""))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any script at either end."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+
+
 def contains_any(text: Column, values) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(v) for v in values])
 
@@ -46,7 +51,7 @@ def keeps_event(kind: Column, ctrl: Column, key: Column, element_text: Column) -
 
 def hub_url_v1(url: Column) -> Column:
     """Start pages of a portal, by ending or by an address without a path."""
-    raw = F.regexp_replace(url, r"(?U)^\s+|\s+$", "")
+    raw = stripped(url)
     low = F.lower(F.regexp_replace(raw, "/+$", ""))
     return F.coalesce(low.rlike(r"(/dashboard|/index|/index\.html)$") | raw.rlike(r"^https?://[^/]+/?(?:#/?)?$"), F.lit(False))
 
@@ -96,7 +101,7 @@ def ms_to_iso(ms: Column) -> Column:
 
 
 def slug(text: Column, length: int = 30) -> Column:
-    clean = F.regexp_replace(F.regexp_replace(text, r"(?U)[^\w\s-]", ""), r"(?U)^\s+|\s+$", "")
+    clean = stripped(F.regexp_replace(text, r"(?U)[^\w\s-]", ""))
     return F.translate(F.substring(clean, 1, length), " -", "__")
 
 

@@ -56,7 +56,7 @@ def merged(docs: DataFrame, events: DataFrame, rules: segment.Rules, bucket_ms:
     """Neighbours of one label merged, by the clipboard contents of their events and by time."""
     clips = events.where(F.col("text_content") != "").select("session_id", "timestamp_ms", "seq", "text_content")
     own = docs.select("session_id", "start_ms", "end_ms", "event_count", "label")
-    anchors = points_in_intervals(own, clips, bucket_ms, "left").groupBy(*own.columns).agg(F.collect_set("text_content").alias("anchors"))
+    anchors = points_in_intervals(own, clips, bucket_ms, "left").groupBy(*own.columns).agg(F.collect_set("text_content").alias("anchor_texts"))
     return segment.merged_segments(anchors, replace(rules, merge_gap_ms=MERGE_GAP_MS) if rules.merge_gap_ms == segment.Rules.merge_gap_ms else rules)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from worktrace.functions.columns import f1, iou, ratio
 from worktrace.operators import truth
+from worktrace.operators.intervals import overlapping
 from worktrace.operators.segment import by_session
 
 
@@ -126,15 +127,13 @@ def macro_scores(sessions: DataFrame) -> DataFrame:
     return sessions.agg(F.count("*").alias("n_sessions"), *[F.coalesce(F.avg(n), F.lit(0.0)).alias(n) for n in names])
 
 
-def label_codes(pred: DataFrame, true: DataFrame, bucket_ms: int, least: float = 0.5) -> DataFrame:
+def label_codes(pred: DataFrame, true: DataFrame, bucket_ms: int = 600_000, least: float = 0.5) -> DataFrame:
     """label, code and c: how many segments of a label have their best execution, which may be shared, in a code."""
-    bucket = lambda c: F.floor(F.col(c) / F.lit(bucket_ms)).cast("long")
-    dealt = lambda df: df.where("end_ms > start_ms").withColumn("b", F.explode(F.sequence(bucket("start_ms"), bucket("end_ms"))))
-    p = dealt(pred.groupBy("session_id", "start_ms", "end_ms", "label").agg(F.count("*").alias("copies")))
-    t = dealt(true.select(F.col("session_id").alias("s"), "start_ms", "end_ms", "code")).select("s", "b", F.col("start_ms").alias("t0"), F.col("end_ms").alias("t1"), "code")
-    near = (F.col("session_id") == F.col("s")) & (p["b"] == t["b"]) & (F.col("start_ms") < F.col("t1")) & (F.col("t0") < F.col("end_ms"))
-    found = p.join(t, near).withColumn("iou", iou(F.col("start_ms"), F.col("end_ms"), F.col("t0"), F.col("t1"))).where(F.col("iou") >= least)
-    best = found.groupBy("session_id", "start_ms", "end_ms", "label", "copies").agg(F.min(F.struct((-F.col("iou")).alias("i"), "t0", "t1", "code")).alias("best"))
+    p = pred.groupBy("session_id", "start_ms", "end_ms", "label").agg(F.count("*").alias("copies"))
+    t = true.select(F.col("session_id").alias("other_session"), F.col("start_ms").alias("other_start"), F.col("end_ms").alias("other_end"), "code")
+    score = iou(F.col("start_ms"), F.col("end_ms"), F.col("other_start"), F.col("other_end"))
+    found = overlapping(p, t, bucket_ms).withColumn("iou", score).where(F.col("iou") >= least)
+    best = found.groupBy("session_id", "start_ms", "end_ms", "label", "copies").agg(F.min(F.struct((-F.col("iou")).alias("i"), "other_start", "other_end", "code")).alias("best"))
     return best.groupBy("label", F.col("best.code").alias("code")).agg(F.sum("copies").alias("c"))
 
 

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from worktrace.functions.columns import hub_url_v1, is_browser, portal, WORK_APPS
 from worktrace.operators.intervals import points_in_intervals
 from worktrace.operators.label import UNKNOWN, predict_label
+from worktrace.operators.scan import dealt, running
+from worktrace.sources.storage import stored
 
 ORDER = ("timestamp_ms", "seq")
 LEAST_MS = 8_000  # nothing shorter is ever given out, whatever the rules say
@@ -64,7 +67,11 @@ def by_session(df: DataFrame, fold: Callable[[Iterator[dict]], Iterator[tuple]],
 
 @dataclass(frozen=True)
 class Rules:
-    """Thresholds of the rule engine, in milliseconds."""
+    """Thresholds of the rule engine, in milliseconds.
+
+    A segment shorter than ``min_ms`` (``LEAST_MS`` at least) waits and joins the next short one. Segments are ranges of events because a
+    return to the start page, or a new anchor, only ends what is long enough to stand: both limits must reach that least length.
+    """
 
     idle_ms: int = 60_000
     min_ms: int = 8_000
@@ -74,91 +81,138 @@ class Rules:
     merge_start_ms: int = 75_000
     merge_short_ms: int = 25_000
 
+    def __post_init__(self) -> None:
+        if self.least_ms > min(self.hub_ms, self.anchor_ms):
+            raise ValueError("min_ms must not exceed hub_ms or anchor_ms")
 
-@dataclass
-class _Open:
-    start: int
-    last: int
-    first_no: int
-    last_no: int
-    worked: bool = False
-    portal: str | None = None
+    @property
+    def least_ms(self) -> int:
+        return max(self.min_ms, LEAST_MS)
 
-    def push(self, row: dict, no: int) -> None:
-        self.last, self.last_no = row["timestamp_ms"], no
-        self.worked = self.worked or bool(row["work"])
-        if row["browser"] and isinstance(row["portal"], str):
-            self.portal = row["portal"]
 
+def _signals(events: DataFrame) -> DataFrame:
+    """What the rules look at: session_id, timestamp_ms, seq, work, home, switched, shown, title_portal, anchor.
 
-def split_session(rows: Iterator[dict], r: Rules) -> Iterator[tuple[int, int, int, int]]:
-    """(start_ms, end_ms, first event, last event) of the segments of one session's events, numbered from 0.
+    ``home``: a switch to, or in a browser a visit of, a portal's start page (a visit counts by the address in its own payload, ``nav_url``
+    where events have it). ``switched``: the portal that a switch to a browser shows. ``shown``: the portal of any browser event.
+    """
+    kind, browser, system = F.col("event_type"), is_browser(F.col("app_name")), portal(F.col("window_title"))
+    visited = F.col("nav_url" if "nav_url" in events.columns else "url")
+    switch = (kind == "app_switch") & browser
+    home = F.when(switch, hub_url_v1(F.col("url"))).when(kind == "browser_navigation", hub_url_v1(visited)).otherwise(F.lit(False))
+    return events.select(
+        "session_id", "timestamp_ms", "seq", F.coalesce(F.col("app_name").isin(*WORK_APPS), F.lit(False)).alias("work"), home.alias("home"),
+        F.when(switch, system).alias("switched"), F.when(browser, system).alias("shown"), system.alias("title_portal"), F.col("anchor").alias("anchor"),
+    )
 
-    A segment ends before an event that follows a long gap, a change to another portal, a return to the start page after work
-    elsewhere, or a new clipboard anchor after such work. What is too short waits and joins the next short one.
+
+def next_cut(start: tuple, rows: Iterable[tuple], r: Rules) -> tuple | None:
+    """The first of ``rows`` that ends the segment that begins with ``start``."""
+    pos, begins, own = start[0], start[1], start[-1]
+    for row in rows:
+        _, _, last, home, switched, changed, work, shown_pos, shown, _ = row
+        current = shown if shown_pos is not None and shown_pos >= pos else own
+        moved = switched is not None and current is not None and switched != current
+        worked, lasted = work is not None and work >= pos, last - begins
+        if moved or (worked and ((home and lasted >= r.hub_ms) or (changed and lasted >= r.anchor_ms))):
+            return row
+    return None
+
+
+def _cuts(marks: DataFrame, r: Rules) -> DataFrame:
+    """session_id and _pos of the events that segments begin with; ``marks`` has the events of each island that can be such.
+
+    An island begins with an event that ends a segment whatever came before. Only the segment at hand is kept of it.
     """
-    current: _Open | None = None
-    waiting: _Open | None = None
-    anchor = None
-
-    def closed() -> Iterator[tuple[int, int, int, int]]:
-        nonlocal current, waiting
-        if current.last - current.start >= r.min_ms:
-            if waiting is not None and waiting.last - waiting.start >= LEAST_MS:
-                yield waiting.start, waiting.last, waiting.first_no, waiting.last_no
-            if current.last - current.start >= LEAST_MS:
-                yield current.start, current.last, current.first_no, current.last_no
-            waiting = None
-        elif waiting is None:
-            waiting = current
-        else:
-            waiting.last, waiting.last_no = current.last, current.last_no
-        current = None
-
-    for no, row in enumerate(rows):
-        kind, own_anchor = row["event_type"], row["anchor"] if isinstance(row["anchor"], str) else None
-        if current is not None:
-            lasted = current.last - current.start
-            back = row["hub"] and current.worked and lasted >= r.hub_ms
-            moved = isinstance(row["portal"], str) and current.portal is not None and row["portal"] != current.portal
-            ends = row["timestamp_ms"] - current.last >= r.idle_ms
-            ends = ends or (kind == "app_switch" and row["browser"] and (moved or back))
-            ends = ends or (kind == "browser_navigation" and back)
-            ends = ends or (own_anchor is not None and lasted >= r.anchor_ms and current.worked and anchor is not None and own_anchor != anchor)
-            if ends:
-                yield from closed()
-        anchor = own_anchor or anchor
-        if current is None:
-            current = _Open(row["timestamp_ms"], row["timestamp_ms"], no, no)
-        current.push(row, no)
-    if current is not None:
-        if waiting is not None and current.last - current.start < r.min_ms:
-            current = _Open(waiting.start, current.last, waiting.first_no, current.last_no)
-            waiting = None
-        yield from closed()
+    names = ["_pos", "timestamp_ms", "last_ms", "home", "switched", "changed", "work_pos", "shown_pos", "last_shown", "title_portal"]
+
+    def run(batches):
+        island = start = None
+        for batch in batches:
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            rows = zip(*(batch.column(i).to_pylist() for i in range(2, 2 + len(names))))
+            out = []
+            for key, row in zip(keys, rows):
+                if key != island or next_cut(start, [row], r):
+                    island, start = key, row
+                    out.append((key[0], row[0]))
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.string()), pa.array([p for _, p in out], pa.int64())], names=["session_id", "_pos"])
+
+    ordered = marks.repartition("session_id", "island").sortWithinPartitions("session_id", "island", "_pos")
+    return ordered.select("session_id", "island", *names).mapInArrow(run, "session_id string, _pos long")
+
+
+def _marks(events: DataFrame, r: Rules) -> tuple[DataFrame, DataFrame]:
+    """All events with their places and numbers, and those that can begin a segment with the island that they belong to."""
+    places = dealt(_signals(events), "session_id", *ORDER)
+    seen = lambda c: F.when(c, F.col("_pos"))
+    maybe = F.col("home") | F.col("switched").isNotNull() | F.col("anchor").isNotNull()
+    shown = F.when(F.col("shown").isNotNull(), F.struct(F.col("_pos").alias("pos"), F.col("timestamp_ms").alias("ms"), F.col("shown").alias("portal")))
+    rows = running(
+        places, "session_id", total={"no": F.lit(1)},
+        last={"last_ms": F.col("timestamp_ms"), "work_pos": seen(F.col("work")), "last_show": shown, "last_anchor": F.col("anchor"), "maybe_pos": seen(maybe)},
+    )
+    show = F.col("last_show")
+    idle = F.col("last_ms").isNull() | (F.col("timestamp_ms") - F.col("last_ms") >= r.idle_ms)
+    # No segment can have begun since the browser showed another portal: the switch ends the one at hand in any case.
+    certain = (F.col("switched") != show["portal"]) & (F.coalesce("maybe_pos", F.lit(-1)) <= show["pos"]) & (F.col("timestamp_ms") - show["ms"] < r.idle_ms)
+    changed = F.col("anchor").isNotNull() & F.col("last_anchor").isNotNull() & (F.col("anchor") != F.col("last_anchor"))
+    rows = rows.select(
+        "*", F.coalesce(idle | certain, F.lit(False)).alias("ends"), F.coalesce(changed, F.lit(False)).alias("changed"), show["pos"].alias("shown_pos"), show["portal"].alias("last_shown")
+    ).drop("last_show")
+    marks = stored(rows.where(F.col("ends") | F.col("home") | F.col("switched").isNotNull() | F.col("changed")), "marks")
+    marks = running(marks, "session_id", last={"before": seen(F.col("ends"))})
+    return places, marks.withColumn("island", F.when(F.col("ends"), F.col("_pos")).otherwise(F.col("before")))
 
 
 def rule_segments(events: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """session_id, start_ms, end_ms, first_no, last_no and event_count of the segments that the rules find."""
-    lean = events.select(
-        "session_id", "timestamp_ms", "seq", "event_type", "anchor", F.col("app_name").isin(*WORK_APPS).alias("work"), is_browser(F.col("app_name")).alias("browser"),
-        portal(F.col("window_title")).alias("portal"), hub_url_v1(F.col("url")).alias("hub"),
-    )
-    out = by_session(lean, lambda rows: split_session(rows, rules), "session_id string, start_ms long, end_ms long, first_no long, last_no long", *ORDER)
+    """session_id, start_ms, end_ms, first_no, last_no (from 0) and event_count of the segments that the rules find.
+
+    A segment ends before an event that follows a long gap, a change to another portal, a return to the start page after work
+    elsewhere, or a new clipboard anchor after such work. What is too short waits and joins the next short one; it is given out before
+    the next long one if it lasts ``LEAST_MS``, and at the end of the session if it is long enough by the rules.
+
+    Where segments are cut does not depend on what waits. So events that end a segment in any case split a session into islands, which
+    are folded apart; numbers, times and what waits are running values. Ties of (timestamp_ms, seq) are in any order.
+    """
+    places, marks = _marks(events, rules)
+    cuts = _cuts(marks, rules).withColumnRenamed("_pos", "_cut").withColumnRenamed("session_id", "_session")
+    begun = marks.join(cuts, (F.col("session_id") == F.col("_session")) & (F.col("_pos") == F.col("_cut")))
+    ends = places.groupBy("session_id").agg(F.max("timestamp_ms").alias("_last"), F.count("*").alias("_n")).withColumnRenamed("session_id", "_session")
+    runs = dealt(begun.select("session_id", "timestamp_ms", "no", F.col("last_ms").alias("gone_ms")), "session_id", "no")
+    runs = running(runs, "session_id", following={"end_no": F.col("no"), "end_ms": F.col("gone_ms")})
+    runs = runs.join(ends, F.col("session_id") == F.col("_session"))
+    runs = runs.select("session_id", "_part", "_pos", F.col("timestamp_ms").alias("start_ms"), F.coalesce("end_ms", "_last").alias("end_ms"), F.col("no").alias("first_no"), (F.coalesce("end_no", "_n") - 1).alias("last_no"))
+    long = F.col("end_ms") - F.col("start_ms") >= rules.least_ms
+    stands = F.when(long, F.lit(1))
+    runs = running(stored(runs, "runs"), "session_id", total={"group": F.when(long, 1).otherwise(0)}, following={"more": stands})
+    lasted = F.col("end_ms") - F.col("start_ms")
+    shorts = runs.where(~long).groupBy("session_id", "group").agg(
+        F.min("start_ms").alias("start_ms"), F.max_by("end_ms", "last_no").alias("end_ms"), F.min("first_no").alias("first_no"), F.max("last_no").alias("last_no"), F.max("more").alias("more")
+    )
+    shorts = shorts.where(lasted >= F.when(F.col("more").isNotNull(), LEAST_MS).otherwise(rules.least_ms))
+    columns = ["session_id", "start_ms", "end_ms", "first_no", "last_no"]
+    out = runs.where(long).select(*columns).unionAll(shorts.select(*columns))
     return out.withColumn("event_count", F.col("last_no") - F.col("first_no") + 1)
 
 
 def _by_number(segments: DataFrame, events: DataFrame) -> DataFrame:
-    """Pairs of a segment (as ``seg``) and its events by their numbers: an event of two segments' common time is in one only."""
-    numbered = events.withColumn("timestamp_no", F.row_number().over(Window.partitionBy("session_id").orderBy(*ORDER)) - 1)
+    """Pairs of a segment and its events by their numbers: an event of two segments' common time is in one only."""
+    numbered = running(dealt(events, "session_id", *ORDER), "session_id", total={"_no": F.lit(1)}).drop("_part", "_pos")
     spans = segments.select("session_id", F.struct("start_ms", "end_ms", "event_count").alias("seg"), F.col("first_no").alias("start_ms"), F.col("last_no").alias("end_ms"))
-    points = numbered.withColumn("_at", F.col("timestamp_ms")).withColumn("timestamp_ms", F.col("timestamp_no")).drop("timestamp_no")
+    points = numbered.withColumn("_at", F.col("timestamp_ms")).withColumn("timestamp_ms", F.col("_no")).drop("_no")
     found = points_in_intervals(spans, points, 1024)
     return found.drop("start_ms", "end_ms", "timestamp_ms").withColumnRenamed("_at", "timestamp_ms").select("*", "seg.*").drop("seg")
 
 
-def with_context(segments: DataFrame, events: DataFrame, bucket_ms: int, most_texts: int = 10) -> DataFrame:
-    """``segments`` with titles, urls, apps, anchors and the first texts of their events, and a label from them.
+def _strings(column: str | Column) -> Column:
+    """The distinct strings of a group but '', in order."""
+    return F.array_sort(F.collect_set(F.nullif(F.col(column) if isinstance(column, str) else column, F.lit(""))))
+
+
+def with_context(segments: DataFrame, events: DataFrame, bucket_ms: int = 600_000, most_texts: int = 10) -> DataFrame:
+    """``segments`` with window_titles, urls and apps_seen (sorted), anchor_texts and the first extracted_texts of their events (in
+    order), portal_system (that of the first title with one) and a label from them.
 
     Events are found by first_no and last_no where the segments have them, else by time. Texts are those of the columns ``texts``
     and ``form_text``, where the events have them.
@@ -171,8 +225,12 @@ def with_context(segments: DataFrame, events: DataFrame, bucket_ms: int, most_te
     else:
         found = points_in_intervals(segments.select("session_id", "start_ms", "end_ms", "event_count"), at, bucket_ms)
     own = ["session_id", "start_ms", "end_ms", "event_count"]
-    strings = lambda c: F.array_sort(F.collect_set(F.nullif(F.col(c), F.lit(""))))
-    out = found.groupBy(*own).agg(strings("window_title").alias("window_titles"), strings("url").alias("urls"), strings("app_name").alias("apps_seen"), strings("_anchor").alias("anchors"))
+    place, system = F.struct("timestamp_ms", "seq"), portal(F.col("window_title"))
+    anchors = F.array_sort(F.collect_list(F.when(F.col("_anchor").isNotNull(), F.struct("timestamp_ms", "seq", "_anchor"))))
+    out = found.groupBy(*own).agg(
+        _strings("window_title").alias("window_titles"), _strings("url").alias("urls"), _strings("app_name").alias("apps_seen"),
+        F.transform(anchors, lambda a: a["_anchor"]).alias("anchor_texts"), F.min_by(system, F.when(system.isNotNull(), place)).alias("portal_system"),
+    )
     # Every such event has a text: as many events as texts are enough.
     first = F.row_number().over(Window.partitionBy(*own).orderBy("timestamp_ms", "seq"))
     spoken = found.where(F.size("_texts") > 0).withColumn("_n", first).where(F.col("_n") <= most_texts)
@@ -182,78 +240,104 @@ def with_context(segments: DataFrame, events: DataFrame, bucket_ms: int, most_te
     return out.withColumn("label", predict_label(F.array_join(F.concat("window_titles", "extracted_texts"), " "), F.array_join("urls", " ")))
 
 
-def merge_session(rows: Iterator[dict], r: Rules) -> Iterator[tuple[int, int, str, int, int]]:
-    """Neighbours of one label become one segment where the gap, their anchors and their lengths allow it."""
-    last: dict | None = None
-    for row in rows:
-        anchors = set(row["anchors"])
-        if last is not None:
-            near = row["start_ms"] - last["end"] <= r.merge_gap_ms
-            apart = bool(last["anchors"]) and bool(anchors) and not last["anchors"] & anchors
-            brief = min(last["end"] - last["start"], row["end_ms"] - row["start_ms"]) < r.merge_short_ms
-            if row["label"] == last["label"] != UNKNOWN and near and not apart and (row["start_ms"] - last["start"] < r.merge_start_ms or brief):
-                last["end"] = max(last["end"], row["end_ms"])
-                last["count"] += row["event_count"]
-                last["anchors"] |= anchors
-                last["parts"] += 1
-                continue
-            yield last["start"], last["end"], last["label"], last["count"], last["parts"]
-        last = {"start": row["start_ms"], "end": row["end_ms"], "label": row["label"], "count": row["event_count"], "anchors": anchors, "parts": 1}
-    if last is not None:
-        yield last["start"], last["end"], last["label"], last["count"], last["parts"]
+def islands(df: DataFrame, starts: Column, *order: str, last: dict[str, Column], most: dict[str, Column] | None = None) -> DataFrame:
+    """``df`` with ``island``: the place of the row that its island begins with.
 
+    ``starts`` is true for such rows; it may use the names of ``last`` and ``most``: earlier rows' last and greatest values.
+    """
+    placed = running(dealt(df, "session_id", *order), "session_id", last=last, most=most)
+    placed = stored(placed.withColumn("_starts", F.coalesce(starts, F.lit(False))), "islands")
+    placed = running(placed, "session_id", last={"_begun": F.when(F.col("_starts"), F.col("_pos"))})
+    return placed.withColumn("island", F.when(F.col("_starts"), F.col("_pos")).otherwise(F.col("_begun"))).drop("_starts", "_begun")
 
-def merged_segments(segments: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    schema = "session_id string, start_ms long, end_ms long, label string, event_count long, n_merged long"
-    lean = segments.select("session_id", "start_ms", "end_ms", "label", "event_count", "anchors")
-    return by_session(lean, lambda rows: merge_session(rows, rules), schema, "start_ms", "end_ms")
 
+def _folded(df: DataFrame, row: Column, first: Callable[[Column], Column], step: Callable[[Column, Column], Column], *keep: Column) -> DataFrame:
+    """session_id, island and ``state`` after all rows of an island in order; ``row`` is a struct of _pos and what the fold needs."""
+    rows = df.groupBy("session_id", "island").agg(F.array_sort(F.collect_list(row)).alias("rows"), *keep)
+    begin = first(F.get("rows", F.lit(0)))
+    return rows.withColumn("state", F.aggregate(F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0))), begin, step))
 
-def peaks_of(rows: Iterator[dict], gap_ms: int) -> Iterator[tuple[int, float]]:
-    """Peaks at least ``gap_ms`` apart; a higher one within the gap takes the place of the last, and the gap starts anew."""
-    last = None
-    for row in rows:
-        t, p = row["timestamp_ms"], row["p"]
-        if last is not None and t - last[0] < gap_ms:
-            last = (t, p) if p > last[1] else last
-            continue
-        if last is not None:
-            yield last
-        last = (t, p)
-    if last is not None:
-        yield last
+
+def merged_segments(segments: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """Neighbours of one label become one segment, with their context, where the gap, their anchors and their lengths allow it.
+
+    session_id, start_ms, end_ms, label, event_count, n_merged and, of those columns of ``segments`` that there are, window_titles,
+    urls, apps_seen (distinct and sorted), extracted_texts and anchor_texts (one after the other). A gap, another label or the unknown one
+    ends an island; within an island, a fold decides which segments join the one before.
+    """
+    sets = [c for c in ("window_titles", "urls", "apps_seen") if c in segments.columns]
+    lists = [c for c in ("extracted_texts", "anchor_texts") if c in segments.columns]
+    anchors = F.array_distinct("anchor_texts") if "anchor_texts" in segments.columns else F.array().cast("array<string>")
+    lean = segments.select("session_id", "start_ms", "end_ms", "label", "event_count", *sets, *lists)
+    apart = F.col("_label").isNull() | F.col("label").isNull() | (F.col("_label") != F.col("label")) | (F.col("label") == UNKNOWN) | (F.col("start_ms") - F.col("_reach") > rules.merge_gap_ms)
+    rows = islands(lean, apart, "start_ms", "end_ms", "label", last={"_label": F.col("label")}, most={"_reach": F.col("end_ms")})
+    row = F.struct("_pos", F.col("start_ms").alias("start"), F.col("end_ms").alias("end"), anchors.alias("anchors"))
+
+    def first(x: Column) -> Column:
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["anchors"].alias("anchors"), F.array(x["_pos"]).alias("heads"))
+
+    def step(state: Column, x: Column) -> Column:
+        near = x["start"] - state["end"] <= rules.merge_gap_ms
+        differ = (F.size(state["anchors"]) > 0) & (F.size(x["anchors"]) > 0) & ~F.arrays_overlap(state["anchors"], x["anchors"])
+        brief = F.least(state["end"] - state["start"], x["end"] - x["start"]) < rules.merge_short_ms
+        joins = near & ~differ & ((x["start"] - state["start"] < rules.merge_start_ms) | brief)
+        longer = F.struct(
+            state["start"].alias("start"), F.greatest(state["end"], x["end"]).alias("end"), F.array_union(state["anchors"], x["anchors"]).alias("anchors"), state["heads"].alias("heads")
+        )
+        fresh = F.struct(x["start"].alias("start"), x["end"].alias("end"), x["anchors"].alias("anchors"), F.concat(state["heads"], F.array(x["_pos"])).alias("heads"))
+        return F.when(joins, longer).otherwise(fresh)
+
+    heads = _folded(rows, row, first, step).select(F.col("session_id").alias("_s"), F.explode("state.heads").alias("_head"))
+    marked = rows.join(heads, (F.col("session_id") == F.col("_s")) & (F.col("_pos") == F.col("_head")), "left")
+    marked = running(marked.drop("_s"), "session_id", last={"_before": F.col("_head")})
+    inner = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_pos", F.col(c).alias("v")))), lambda x: x["v"])).alias(c)
+    out = marked.groupBy("session_id", F.coalesce("_head", "_before").alias("_group")).agg(
+        F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.first("label").alias("label"), F.sum("event_count").cast("long").alias("event_count"),
+        F.count("*").alias("n_merged"), *[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in sets], *[inner(c) for c in lists],
+    )
+    return out.drop("_group")
 
 
 def peaks(events: DataFrame, threshold: float, gap_ms: int) -> DataFrame:
-    """``events`` needs session_id, timestamp_ms, seq and the probability p of a boundary."""
+    """session_id, timestamp_ms and p of peaks at least ``gap_ms`` apart; a higher one within the gap takes the place of the last, and
+    the gap starts anew. ``events`` needs session_id, timestamp_ms, seq and the probability p of a boundary.
+    """
     likely = events.where(F.col("p") >= threshold).select("session_id", "timestamp_ms", "seq", "p")
-    return by_session(likely, lambda rows: peaks_of(rows, gap_ms), "session_id string, timestamp_ms long, p double", *ORDER)
+    far = F.col("_last").isNull() | (F.col("timestamp_ms") - F.col("_last") >= gap_ms)
+    rows = islands(likely, far, *ORDER, last={"_last": F.col("timestamp_ms")})
+    peak = lambda x: F.struct(x["t"].alias("timestamp_ms"), x["p"].alias("p"))
 
+    def step(state: Column, x: Column) -> Column:
+        top = state["top"]
+        new = x["t"] - top["timestamp_ms"] >= gap_ms
+        done = F.when(new, F.concat(state["done"], F.array(top))).otherwise(state["done"])
+        return F.struct(F.when(new | (x["p"] > top["p"]), peak(x)).otherwise(top).alias("top"), done.alias("done"))
 
-def windows_of(rows: Iterator[dict], gap_ms: int) -> Iterator[tuple[int, int]]:
-    """Windows between cuts at least ``gap_ms`` apart: the first event, peaks, the last event.
-
-    What is left after the last cut and is shorter belongs to the window before; a session shorter than that has none.
-    """
-    last = end = waiting = None
-    for row in rows:
-        t = end = row["timestamp_ms"]
-        if last is None:
-            last = t
-        elif row["peak"] and t - last >= gap_ms:
-            if waiting is not None:
-                yield waiting
-            waiting, last = (last, t), t
-    if last is not None and end - last >= gap_ms:
-        if waiting is not None:
-            yield waiting
-        yield last, end
-    elif waiting is not None:
-        yield waiting[0], end
+    first = lambda x: F.struct(peak(x).alias("top"), F.array().cast("array<struct<timestamp_ms:bigint,p:double>>").alias("done"))
+    folded = _folded(rows, F.struct("_pos", F.col("timestamp_ms").alias("t"), F.col("p").cast("double").alias("p")), first, step)
+    return folded.select("session_id", F.explode(F.concat("state.done", F.array("state.top"))).alias("x")).select("session_id", "x.*")
 
 
 def candidate_windows(events: DataFrame, found: DataFrame, gap_ms: int) -> DataFrame:
-    lean = events.select("session_id", "timestamp_ms").withColumn("peak", F.lit(False))
-    marked = lean.unionByName(found.select("session_id", "timestamp_ms", F.lit(True).alias("peak")))
-    return by_session(marked, lambda rows: windows_of(rows, gap_ms), "session_id string, start_ms long, end_ms long", "timestamp_ms", "peak")
+    """session_id, start_ms and end_ms of the windows between cuts at least ``gap_ms`` apart: the first event, peaks, the last event.
 
+    What is left after the last cut and is shorter belongs to the window before; a session shorter than that has none.
+    """
+    ends = events.groupBy("session_id").agg(F.min("timestamp_ms").alias("first_ms"), F.max("timestamp_ms").alias("last_ms"))
+    marks = found.select("session_id", "timestamp_ms").unionByName(ends.select("session_id", F.col("first_ms").alias("timestamp_ms")))
+    # What comes a gap after the mark before it is a cut whatever that mark is.
+    far = F.col("_last").isNull() | (F.col("timestamp_ms") - F.col("_last") >= gap_ms)
+    rows = islands(marks, far, "timestamp_ms", last={"_last": F.col("timestamp_ms")})
+
+    def step(cuts: Column, x: Column) -> Column:
+        return F.when(x["t"] - F.element_at(cuts, -1) >= gap_ms, F.concat(cuts, F.array(x["t"]))).otherwise(cuts)
+
+    cuts = _folded(rows, F.struct("_pos", F.col("timestamp_ms").alias("t")), lambda x: F.array(x["t"]), step).select("session_id", F.explode("state").alias("start_ms"))
+    placed = running(dealt(cuts, "session_id", "start_ms"), "session_id", following={"next_ms": F.col("start_ms")})
+    placed = running(placed, "session_id", following={"after_ms": F.col("next_ms")})
+    out = placed.join(ends.select(F.col("session_id").alias("_s"), "last_ms"), F.col("session_id") == F.col("_s"))
+    # The last cut begins no window if it is near the end; the window before it then reaches to the end.
+    rest = lambda c: F.col("last_ms") - F.col(c) >= gap_ms
+    end = F.when(F.col("next_ms").isNull(), F.when(rest("start_ms"), F.col("last_ms")))
+    end = end.when(F.col("after_ms").isNull() & ~rest("next_ms"), F.col("last_ms")).otherwise(F.col("next_ms"))
+    return out.select("session_id", "start_ms", end.alias("end_ms")).where("end_ms is not null")

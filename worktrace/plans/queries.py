@@ -165,15 +165,62 @@ def idle_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _idle(spark, sf_dir)
 
 
-@query()
+#: The rules as they are told, event by event: the open segment, what waits, the anchor, and the list of what is closed.
+_LONG, _LEAST = RULES.least_ms, segment.LEAST_MS
+_HUB_1 = "(regexp_matches(lower(rtrim(url, '/')), '(/dashboard|/index|/index\\.html)$') OR regexp_matches(url, '^https?://[^/]+/?(?:#/?)?$'))"
+_V1_SQL = f"""ev AS (SELECT session_id, timestamp_ms AS t, row_number() OVER {_W} AS i, event_type, app_name = 'Google Chrome' AS browser, app_name IN ('Microsoft Excel', 'Notepad') AS work,
+  window_title AS title, {_HUB_1} AS hub, anchor FROM clean),
+v1_r AS (SELECT session_id, i, t AS s, t AS l, i AS f, work AS w, title AS p, CAST(NULL AS STRUCT(s BIGINT, l BIGINT, f BIGINT, n BIGINT)) AS wait, anchor AS a, CAST([] AS STRUCT(s BIGINT, l BIGINT, f BIGINT, n BIGINT)[]) AS done
+  FROM ev WHERE i = 1 UNION ALL
+SELECT session_id, i, CASE WHEN cut THEN t ELSE s END, t, CASE WHEN cut THEN i ELSE f END, CASE WHEN cut THEN work ELSE w OR work END, CASE WHEN cut OR browser THEN title ELSE p END,
+  CASE WHEN NOT cut THEN wait WHEN l - s >= {_LONG} THEN NULL WHEN wait IS NULL THEN {{'s': s, 'l': l, 'f': f, 'n': i - 1}} ELSE {{'s': wait.s, 'l': l, 'f': wait.f, 'n': i - 1}} END, coalesce(anchor, a),
+  CASE WHEN cut AND l - s >= {_LONG} THEN list_concat(done, CASE WHEN wait.l - wait.s >= {_LEAST} THEN [wait] ELSE [] END, [{{'s': s, 'l': l, 'f': f, 'n': i - 1}}]) ELSE done END
+  FROM (SELECT r.* EXCLUDE (i), e.* EXCLUDE (session_id), coalesce(t - l >= {RULES.idle_ms} OR (event_type = 'app_switch' AND browser AND title <> p)
+    OR ((event_type = 'browser_navigation' OR (event_type = 'app_switch' AND browser)) AND hub AND w AND l - s >= {RULES.hub_ms})
+    OR (anchor IS NOT NULL AND anchor <> a AND w AND l - s >= {RULES.anchor_ms}), false) AS cut
+    FROM v1_r r JOIN ev e ON e.session_id = r.session_id AND e.i = r.i + 1)),
+v1_e AS (SELECT *, l - s >= {_LONG} AS long FROM v1_r WHERE i = (SELECT max(i) FROM ev WHERE ev.session_id = v1_r.session_id)),
+v1_l AS (SELECT session_id, unnest(list_concat(done, CASE WHEN long AND wait.l - wait.s >= {_LEAST} THEN [wait] WHEN NOT long AND l - wait.s >= {_LONG} THEN [{{'s': wait.s, 'l': l, 'f': wait.f, 'n': i}}] ELSE [] END,
+  CASE WHEN long THEN [{{'s': s, 'l': l, 'f': f, 'n': i}}] ELSE [] END)) AS x FROM v1_e),
+v1 AS (SELECT session_id, x.s AS start_ms, x.l AS end_ms, x.f - 1 AS first_no, x.n - 1 AS last_no, x.n - x.f + 1 AS event_count FROM v1_l)"""
+
+
+@query(f"{CLEAN_SQL}, {_V1_SQL} SELECT * FROM v1")
 def v1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.rule_segments(_clean(spark, sf_dir), RULES)
 
 
-@query()
+_SORTED = "list_sort(list_distinct(list({})))"
+#: Parts are taken in order; the last merged segment is the state, and what it can no longer take goes to the list.
+_MERGED_SQL = f"""{_V1_SQL}, ctx AS (SELECT v.session_id, v.start_ms, v.end_ms, v.event_count, v.first_no, {_SORTED.format("title")} AS window_titles, {_SORTED.format("url")} AS urls,
+  {_SORTED.format("app_name")} AS apps_seen, coalesce(list(anchor ORDER BY timestamp_ms, seq) FILTER (anchor IS NOT NULL), []) AS anchor_texts FROM v1 v
+  JOIN (SELECT *, window_title AS title, row_number() OVER {_W} - 1 AS no FROM clean) e ON e.session_id = v.session_id AND e.no BETWEEN v.first_no AND v.last_no GROUP BY ALL),
+part AS (SELECT *, {label.predict_label_sql("array_to_string(window_titles, ' ')", "array_to_string(urls, ' ')")} AS label, row_number() OVER (PARTITION BY session_id ORDER BY start_ms, end_ms) AS i FROM ctx),
+m_r AS (SELECT session_id, i, start_ms AS s, end_ms AS l, label, event_count AS n, window_titles AS tt, urls AS uu, apps_seen AS pp, anchor_texts AS aa, 1 AS parts, i AS head FROM part WHERE i = 1 UNION ALL
+SELECT session_id, i, CASE WHEN fit THEN s ELSE start_ms END, CASE WHEN fit THEN greatest(l, end_ms) ELSE end_ms END, label, CASE WHEN fit THEN n + event_count ELSE event_count END,
+  CASE WHEN fit THEN list_sort(list_distinct(list_concat(tt, window_titles))) ELSE window_titles END, CASE WHEN fit THEN list_sort(list_distinct(list_concat(uu, urls))) ELSE urls END,
+  CASE WHEN fit THEN list_sort(list_distinct(list_concat(pp, apps_seen))) ELSE apps_seen END, CASE WHEN fit THEN list_concat(aa, anchor_texts) ELSE anchor_texts END, CASE WHEN fit THEN parts + 1 ELSE 1 END, CASE WHEN fit THEN head ELSE i END
+  FROM (SELECT r.* EXCLUDE (session_id, i, label), p.*, r.label = p.label AND p.label <> 'process_unknown' AND start_ms - l <= {RULES.merge_gap_ms} AND NOT (len(aa) > 0 AND len(anchor_texts) > 0 AND NOT list_has_any(aa, anchor_texts))
+    AND (start_ms - s < {RULES.merge_start_ms} OR l - s < {RULES.merge_short_ms} OR end_ms - start_ms < {RULES.merge_short_ms}) AS fit FROM m_r r JOIN part p ON p.session_id = r.session_id AND p.i = r.i + 1)),
+merged AS (SELECT session_id, arg_max(s, i) AS start_ms, arg_max(l, i) AS end_ms, arg_max(label, i) AS label, CAST(arg_max(n, i) AS BIGINT) AS event_count, CAST(arg_max(parts, i) AS BIGINT) AS n_merged, arg_max(tt, i) AS window_titles,
+  arg_max(uu, i) AS urls, arg_max(pp, i) AS apps_seen, arg_max(aa, i) AS anchor_texts FROM m_r GROUP BY session_id, head)"""
+#: Texts of the ``events`` table's own fields, as a reader of pages would have them; some have none, some two.
+_TEXTS_SQL = "CASE WHEN k % 4 = 0 THEN [] WHEN k % 4 = 1 THEN ['k' || k] ELSE ['k' || k, event_type] END"
+
+
+def _read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.concat(F.lit("k"), F.col("k").cast("string"))
+    none = F.array().cast("array<string>")
+    return _clean(spark, sf_dir).withColumn("texts", F.when(F.col("k") % 4 == 0, none).when(F.col("k") % 4 == 1, F.array(k)).otherwise(F.array(k, "event_type")))
+
+
+@query(f"""{CLEAN_SQL}, {_MERGED_SQL}, said AS (SELECT v.session_id, v.start_ms, flatten(list({_TEXTS_SQL} ORDER BY timestamp_ms, seq))[:10] AS texts FROM v1 v
+  JOIN (SELECT *, row_number() OVER {_W} - 1 AS no FROM clean) e ON e.session_id = v.session_id AND e.no BETWEEN v.first_no AND v.last_no GROUP BY 1, 2)
+SELECT m.*, flatten(list(texts ORDER BY s.start_ms)) AS extracted_texts FROM merged m JOIN said s ON s.session_id = m.session_id AND s.start_ms BETWEEN m.start_ms AND m.end_ms GROUP BY ALL""")
 def merged_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = _clean(spark, sf_dir)
-    return segment.merged_segments(segment.with_context(segment.rule_segments(clean, RULES), clean, BUCKET), RULES)
+    """Rule segments with their context; texts count in it, but label nothing here, since no rule knows them."""
+    events = _read(spark, sf_dir)
+    return segment.merged_segments(segment.with_context(segment.rule_segments(events, RULES), events), RULES)
 
 
 _PEAKS_SQL = f"""c AS (SELECT session_id, timestamp_ms, value / 500 AS p, row_number() OVER {_W} AS i FROM tele WHERE value / 500 >= {PEAK}),

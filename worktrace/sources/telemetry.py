@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worktrace.functions.columns import PORTALS, ROUTES, falsy
+from worktrace.functions.columns import PORTALS, ROUTES, falsy, stripped
 from worktrace.sources.storage import table
 
 BUGGY_TYPE = "text_input_complete"
@@ -51,6 +51,7 @@ def read_sessions(spark: SparkSession, dataset_dir: str, policy: str = "drop", b
         F.coalesce(get("event_type"), F.lit("")).alias("event_type"),
         app_name(get).alias("app_name"), window_title(get).alias("window_title"), browser_url(get).alias("url"),
         F.coalesce(get("context.active_browser_tab.url"), F.lit("")).alias("tab_url"),
+        falsy(get("payload.url"), get("payload.to_url")).alias("nav_url"),
         anchor(get("event_type"), get("payload.text_content"), get("payload.text_length", "bigint")).alias("anchor"),
         get("payload.text_content").alias("text_content"),
         # Absent: 0. Null: to be made from the event before.
@@ -87,14 +88,14 @@ def browser_url(get) -> Column:
 
 def anchor(kind: Column, content: Column, length: Column) -> Column:
     """What a clipboard event carries: its text, else its length; null for other events."""
-    text = F.regexp_replace(F.coalesce(content, F.lit("")), r"(?U)^\s+|\s+$", "")
+    text = stripped(F.coalesce(content, F.lit("")))
     return F.when(kind == "clipboard_change", F.when(text != "", text).when(length > 0, F.concat(F.lit("len_"), length.cast("string"))))
 
 
 def form_text(get) -> Column:
     """What names the element that an event is about, at most 100 characters; '' if nothing does."""
     named = [get("payload.target_element.name"), get("payload.element.text"), *[get(f"payload.element.attributes.{a}") for a in ("innerText", "placeholder", "value")]]
-    return F.substring(F.regexp_replace(falsy(*named), r"(?U)^\s+|\s+$", ""), 1, 100)
+    return F.substring(stripped(falsy(*named)), 1, 100)
 
 
 def document_texts(v: Column) -> Column:
@@ -109,8 +110,8 @@ def document_texts(v: Column) -> Column:
 def texts(v: Column) -> Column:
     """A string, an object with text, or a list of either, as a list of strings."""
     kind = F.schema_of_variant(v)
-    string = lambda x: F.substring(F.btrim(F.try_variant_get(x, "$", "string")), 1, 200)
-    object_text = lambda x: F.substring(F.btrim(F.try_variant_get(x, "$.text", "string")), 1, 300)
+    string = lambda x: F.substring(stripped(F.try_variant_get(x, "$", "string")), 1, 200)
+    object_text = lambda x: F.substring(stripped(F.try_variant_get(x, "$.text", "string")), 1, 300)
     one = lambda x: F.when(F.schema_of_variant(x) == "STRING", string(x)).otherwise(object_text(x))
     many = F.transform(F.try_variant_get(v, "$", "array<variant>"), one)
     listed = F.when(kind.startswith("ARRAY"), many).when(v.isNotNull(), F.array(one(v)))
