@@ -90,7 +90,7 @@ class Rules:
         return max(self.min_ms, LEAST_MS)
 
 
-def _signals(events: DataFrame) -> DataFrame:
+def signals(events: DataFrame) -> DataFrame:
     """What the rules look at: session_id, timestamp_ms, seq, work, home, switched, shown, title_portal, anchor.
 
     ``home``: a switch to, or in a browser a visit of, a portal's start page (a visit counts by the address in its own payload, ``nav_url``
@@ -144,7 +144,7 @@ def _cuts(marks: DataFrame, r: Rules) -> DataFrame:
 
 def _marks(events: DataFrame, r: Rules) -> tuple[DataFrame, DataFrame]:
     """All events with their places and numbers, and those that can begin a segment with the island that they belong to."""
-    places = dealt(_signals(events), "session_id", *ORDER)
+    places = dealt(signals(events), "session_id", *ORDER)
     seen = lambda c: F.when(c, F.col("_pos"))
     maybe = F.col("home") | F.col("switched").isNotNull() | F.col("anchor").isNotNull()
     shown = F.when(F.col("shown").isNotNull(), F.struct(F.col("_pos").alias("pos"), F.col("timestamp_ms").alias("ms"), F.col("shown").alias("portal")))
