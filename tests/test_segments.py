@@ -270,3 +270,20 @@ def test_spans_overlap_at_any_length(spark):
     want = sorted((i, j) for i, (s, x, y) in enumerate(one) for j, (p, u, v) in enumerate(two) if s == p and x < v and u < y and x < y and u < v)
     for least in (1, 600_000):
         assert sorted((r.i, r.j) for r in intervals.overlapping(a, b, least).collect()) == want
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Tokyo"])
+def test_times_are_utc_in_any_zone(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        # The second and third are hours that New York skips or has twice.
+        cases = [(0, "1970-01-01T00:00:00Z"), (1_772_953_200_999, "2026-03-08T07:00:00Z"), (1_772_937_000_000, "2026-03-08T02:30:00Z"), (1_793_509_200_000, "2026-11-01T05:00:00Z"), (-1, "1969-12-31T23:59:59Z")]
+        df = spark.createDataFrame(cases, "ms long, iso string")
+        for r in df.select("ms", "iso", C.ms_to_iso(F.col("ms")).alias("to"), C.iso_to_ms(F.col("iso")).alias("back")).collect():
+            assert r.to == r.iso and r.back == r.ms // 1000 * 1000
+        texts = [("2026-03-08T02:30:00", 1_772_937_000_000), ("2026-03-08", 1_772_928_000_000), ("2026-03-08T02:30:00.1239+00:00", 1_772_937_000_123), ("2026-03-08T11:30:00+09:00", 1_772_937_000_000), (None, None)]
+        got = spark.createDataFrame(texts, "iso string, ms long").select("ms", C.iso_to_ms(F.col("iso")).alias("got")).collect()
+        assert all(r.ms == r.got for r in got)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

@@ -93,11 +93,15 @@ def machine(session_id: Column) -> Column:
 
 
 def iso_to_ms(iso: Column) -> Column:
-    return F.unix_millis(F.to_timestamp(iso))
+    """Milliseconds of an ISO time, cut to whole ones; without a zone it is UTC, whatever the session's zone."""
+    timed = F.when(iso.rlike(r"^\d+-\d+-\d+$"), F.concat(iso, F.lit("T00:00:00"))).otherwise(iso)
+    return F.unix_millis(F.to_timestamp(F.when(timed.rlike(r"(?i)(z|[+-]\d{2}(:?\d{2})?)$"), timed).otherwise(F.concat(timed, F.lit("Z")))))
 
 
 def ms_to_iso(ms: Column) -> Column:
-    return F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """UTC to the second, whatever the session's zone: a time without a zone is made and read as text."""
+    at = F.timestamp_add("MILLISECOND", ms, F.expr("timestamp_ntz'1970-01-01 00:00:00'")).cast("string")
+    return F.concat(F.substring(at, 1, 10), F.lit("T"), F.substring(at, 12, 8), F.lit("Z"))
 
 
 def slug(text: Column, length: int = 30) -> Column:

@@ -16,16 +16,19 @@ def process_metrics(segments: DataFrame, events: DataFrame, bucket_ms: int) -> D
     s = segments.select("session_id", "label", seconds("start_ms"), seconds("end_ms"), F.col("start_ms").alias("_own"))
     lean = events.select("session_id", "timestamp_ms", "event_type", "app_name")
     found = points_in_intervals(s, lean, bucket_ms, "left")
-    one = found.groupBy("session_id", "label", "_own", "start_ms", "end_ms").agg(
-        F.count_if(F.col("event_type") == "app_switch").alias("switches"), F.count_if(F.col("event_type") == "clipboard_change").alias("clips"),
-        F.collect_set(F.nullif(F.col("app_name"), F.lit(""))).alias("apps"),
-    )
+    own = ["session_id", "label", "_own", "start_ms", "end_ms"]
+    # By app first: apps of a label are then distinct rows, and no set of them is ever gathered.
+    per_app = found.groupBy(*own, F.nullif("app_name", F.lit("")).alias("app")).agg(
+        F.count_if(F.col("event_type") == "app_switch").alias("switches"), F.count_if(F.col("event_type") == "clipboard_change").alias("clips")
+    )
+    one = per_app.groupBy(*own).agg(F.sum("switches").alias("switches"), F.sum("clips").alias("clips"))
+    apps = per_app.select(F.col("label").alias("_label"), "app").distinct().groupBy("_label").agg(F.count("app").alias("apps_count"))
     millis = F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(0))
-    return one.groupBy("label").agg(
+    out = one.groupBy("label").agg(
         F.count("*").alias("volume"), F.sum(millis).alias("total_ms"), F.sum("switches").alias("switches"), F.sum("clips").alias("clips"),
-        F.size(F.array_distinct(F.flatten(F.collect_set("apps")))).cast("long").alias("apps_count"), F.count_distinct("session_id").alias("sessions_count"),
-        F.count_distinct(machine(F.col("session_id"))).alias("staff_count"),
+        F.count_distinct("session_id").alias("sessions_count"), F.count_distinct(machine(F.col("session_id"))).alias("staff_count"),
     )
+    return out.join(apps, F.col("label").eqNullSafe(F.col("_label"))).drop("_label")
 
 
 def roi_ranking(segments: DataFrame, events: DataFrame, bucket_ms: int) -> DataFrame:

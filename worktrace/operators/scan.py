@@ -47,7 +47,7 @@ def running(
     parts = Window.partitionBy(key)
     back, forth = (parts.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col("_part"), F.col("_part").desc()))
     carry = sums.select(
-        F.col(key).alias("_key"), F.col("_part").alias("_own"), F.count(F.lit(1)).over(parts).alias("_spread"),
+        F.col(key).alias("_carried_key"), F.col("_part").alias("_carried_part"), F.count(F.lit(1)).over(parts).alias("_spread"),
         *[F.max(n).over(back)["v"].alias("_" + n) for n in last], *[F.sum(n).over(back).alias("_" + n) for n in total],
         *[F.max(n).over(back).alias("_" + n) for n in most], *[F.min(n).over(forth)["v"].alias("_" + n) for n in following],
     )
@@ -57,7 +57,7 @@ def running(
         *[F.last(c, ignorenulls=True).over(before).alias(n) for n, c in last.items()], *[F.sum(c).over(before).alias(n) for n, c in total.items()],
         *[F.max(c).over(before).alias(n) for n, c in most.items()], *[F.last(c, ignorenulls=True).over(after).alias(n) for n, c in following.items()],
     ]
-    joined = df.select("*", *local).join(carry, (F.col("_part") == F.col("_own")) & F.col(key).eqNullSafe(F.col("_key")), "left")
+    joined = df.select("*", *local).join(carry, (F.col("_part") == F.col("_carried_part")) & F.col(key).eqNullSafe(F.col("_carried_key")), "left")
     whole = {n: F.coalesce(F.col(n), F.col("_" + n)) for n in (*last, *following)}
     whole |= {n: F.coalesce(F.col(n), F.lit(0)) + F.coalesce(F.col("_" + n), F.lit(0)) for n in total}
     whole |= {n: F.greatest(n, "_" + n) for n in most}

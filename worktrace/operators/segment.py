@@ -22,10 +22,10 @@ LEAST_MS = 8_000  # nothing shorter is ever given out, whatever the rules say
 
 def idle_segments(events: DataFrame, idle_ms: int) -> DataFrame:
     """session_id, seg_no (from 1), start_ms, end_ms and event_count: a gap of ``idle_ms`` or more ends a segment."""
-    w = Window.partitionBy("session_id").orderBy(*ORDER)
-    gap = F.col("timestamp_ms") - F.lag("timestamp_ms").over(w)
-    numbered = events.withColumn("new", F.when(gap >= idle_ms, 1).otherwise(0)).withColumn("seg_no", F.sum("new").over(w) + 1)
-    return numbered.groupBy("session_id", F.col("seg_no").cast("long").alias("seg_no")).agg(
+    rows = running(dealt(events.select("session_id", *ORDER), "session_id", *ORDER), "session_id", last={"_last": F.col("timestamp_ms")})
+    new = F.when(F.col("timestamp_ms") - F.col("_last") >= idle_ms, 1).otherwise(0)
+    numbered = running(rows.withColumn("_new", new), "session_id", total={"_before": F.col("_new")})
+    return numbered.groupBy("session_id", (F.col("_before") + F.col("_new") + 1).cast("long").alias("seg_no")).agg(
         F.min("timestamp_ms").alias("start_ms"), F.max("timestamp_ms").alias("end_ms"), F.count("*").alias("event_count")
     )
 

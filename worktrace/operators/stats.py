@@ -5,31 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from worktrace.operators.scan import dealt, running
 from worktrace.sources.storage import global_index
 
 
 def at_rank(df: DataFrame, column: str, shares: dict[str, float], *keys: str) -> DataFrame:
     """Per group: n and the values at the places floor(n * share), from 0, of the ascending order; exact.
 
-    Values are counted first and the running counts are made over distinct values of a group, so that a common value is one
-    row. Without keys, rows are numbered by ranges, and no task sees all.
+    Equal values are counted before they move. The counts are dealt by range of (group, value) and summed up along it, so that no
+    task sorts a group, however large.
     """
-    df = df.where(F.col(column).isNotNull())
+    one = df.where(F.col(column).isNotNull()).withColumn("_key", F.struct(*keys) if keys else F.lit(0))
+    counts = one.groupBy("_key", column).agg(F.count("*").alias("_c"))
+    run = running(dealt(counts, "_key", column), "_key", total={"_before": F.col("_c")})
+    n = run.groupBy(F.col("_key").alias("_of")).agg(F.sum("_c").alias("n"))
+    run = run.join(n, F.col("_key").eqNullSafe(F.col("_of")))
     place = lambda s: F.floor(F.col("n") * F.lit(s))
-    if not keys:
-        indexed = global_index(df.select(column), column)
-        run = indexed.join(F.broadcast(indexed.agg(F.count("*").alias("n"))), F.lit(True))
-        return run.groupBy("n").agg(*[F.min(F.when(F.col("idx") == place(s), F.col(column))).alias(a) for a, s in shares.items()])
-    counts = df.groupBy(*keys, column).agg(F.count("*").alias("_c"))
-    run = counts.withColumn("_to", F.sum("_c").over(Window.partitionBy(*keys).orderBy(column)))
-    run = run.join(run.groupBy(*keys).agg(F.sum("_c").alias("n")), list(keys))
-    return run.groupBy(*keys, "n").agg(*[F.min(F.when(F.col("_to") > place(s), F.col(column))).alias(a) for a, s in shares.items()])
+    holds = lambda s: (F.col("_before") <= place(s)) & (place(s) < F.col("_before") + F.col("_c"))
+    out = run.groupBy("_key", "n").agg(*[F.max(F.when(holds(s), F.col(column))).alias(a) for a, s in shares.items()])
+    return out.select(*[F.col("_key")[k].alias(k) for k in keys], "n", *shares)
 
 
 def idle_gaps(events: DataFrame) -> DataFrame:
     """session_id and gap_ms of neighbouring events, where positive."""
-    w = Window.partitionBy("session_id").orderBy("timestamp_ms", "seq")
-    return events.select("session_id", (F.col("timestamp_ms") - F.lag("timestamp_ms").over(w)).alias("gap_ms")).where("gap_ms > 0")
+    rows = running(dealt(events.select("session_id", "timestamp_ms", "seq"), "session_id", "timestamp_ms", "seq"), "session_id", last={"_last": F.col("timestamp_ms")})
+    return rows.select("session_id", (F.col("timestamp_ms") - F.col("_last")).alias("gap_ms")).where("gap_ms > 0")
 
 
 def large_gaps(events: DataFrame, least_ms: int = 5_000) -> DataFrame:
@@ -60,10 +60,15 @@ def ordered_split(df: DataFrame, *order: str, share: float = 0.8) -> DataFrame:
 
 
 def ngram_documents(docs: DataFrame, low: int = 1, high: int = 3) -> DataFrame:
-    """gram and n_documents, the number of rows of ``docs`` (doc_id, text) that hold it; each distinct word is cut once."""
+    """gram and n_documents, the number of rows of ``docs`` (doc_id, text) that hold it.
+
+    Each distinct word is cut once. Words meet their grams as one row with an array, and a document's arrays become one set, so
+    that no (document, gram) pair is made twice.
+    """
     words = docs.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("word")).where("word <> ''")
-    grams = words.select("word").distinct().select("word", F.explode(F.array_distinct(char_ngrams(F.col("word"), low, high))).alias("gram"))
-    return words.join(grams, "word").select("doc_id", "gram").distinct().groupBy("gram").agg(F.count("*").alias("n_documents"))
+    grams = words.select("word").distinct().select("word", F.array_distinct(char_ngrams(F.col("word"), low, high)).alias("grams"))
+    sets = words.join(grams, "word").groupBy("doc_id").agg(F.collect_list("grams").alias("grams"))
+    return sets.select(F.explode(F.array_distinct(F.flatten("grams"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n_documents"))
 
 
 def char_ngrams(text, low: int = 1, high: int = 3):
