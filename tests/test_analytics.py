@@ -237,20 +237,6 @@ def test_markdown_and_empty_input(spark):
     assert segment.idle_segments(none, 10).count() == 0 and segment.rule_segments(none).count() == 0 and stats.idle_gaps(none).count() == 0
 
 
-def test_boundary_model_takes_all_rounds(spark, monkeypatch):
-    from worktrace.operators import ml
-
-    asked, trees = [], ml.GBTClassifier
-
-    def short(**kw):
-        asked.append((kw["maxIter"], kw["stepSize"]))
-        return trees(**{**kw, "maxIter": 1})
-
-    monkeypatch.setattr(ml, "GBTClassifier", short)
-    rows = QUERIES["boundary_probability"](spark, SF)
-    assert asked == [(150, 0.08)] and rows.count() == QUERIES["features_18"](spark, SF).count()
-
-
 ISO = lambda s: f"2026-01-01T00:{s // 60:02d}:{s % 60:02d}Z"
 
 
@@ -371,7 +357,7 @@ def test_learned_labels_and_reports(spark, tmp_path):
 
     rows = [(i, f"payroll sheet {i}" if i % 2 else f"tax notice {i}", float(i % 2)) for i in range(60)]
     model, report = ml.validated_labels(spark.createDataFrame(rows, "id long, text string, label double"), "id", rounds=20)
-    assert {r.label: (r.f1, r.support) for r in report.collect()} == {0.0: (1.0, 6), 1.0: (1.0, 6)}
+    assert {r.name: (r.f1, r.support) for r in report.collect()} == {"0.0": (1.0, 6), "1.0": (1.0, 6), "accuracy": (1.0, 12), "macro avg": (1.0, 12), "weighted avg": (1.0, 12)}
     sinks.save_model(model, str(tmp_path / "m"), {"classes": ["tax", "payroll"]})
     docs = spark.createDataFrame([("s", 0, 1, 1, "tax notice"), ("s", 2, 3, 1, "")], "session_id string, start_ms long, end_ms long, event_count long, text string")
     out = chain.labelled(docs, sinks.load_model(str(tmp_path / "m")), ["tax", "payroll"]).orderBy("start_ms").collect()

@@ -13,6 +13,8 @@ from worktrace.functions.columns import port_token, route_token
 from worktrace.operators import features, ml, segment
 from worktrace.operators.intervals import points_in_intervals
 from worktrace.operators.label import UNKNOWN
+from worktrace.operators.trees import Trees
+from worktrace.sources.storage import stored
 
 MERGE_GAP_MS = 35_000
 
@@ -52,16 +54,38 @@ def labelled(docs: DataFrame, model: PipelineModel, names: list[str]) -> DataFra
     return out.select(*docs.columns, F.when(F.col("text") == "", UNKNOWN).otherwise(label).alias("label"))
 
 
-def merged(docs: DataFrame, events: DataFrame, rules: segment.Rules, bucket_ms: int) -> DataFrame:
-    """Neighbours of one label merged, by the clipboard contents of their events and by time."""
-    clips = events.where(F.col("text_content") != "").select("session_id", "timestamp_ms", "seq", "text_content")
+def with_context(docs: DataFrame, events: DataFrame, bucket_ms: int = 600_000, most_texts: int = 10) -> DataFrame:
+    """``docs`` (session_id, start_ms, end_ms, event_count, label) with window_titles, urls and apps_seen (sorted), the first extracted_texts
+    and the anchor_texts (clipboard contents, in order) of the events within them, both ends included.
+
+    App, title and URL are those of the context alone where the events have them apart; texts are those of ``plain_text``.
+    """
+    have = lambda name, other: F.col(name if name in events.columns else other)
+    said = have("plain_text", "plain_text") if "plain_text" in events.columns else F.lit("")
+    fields = [have("ctx_title", "window_title").alias("_title"), have("tab_url", "url").alias("_url"), have("ctx_app", "app_name").alias("_app"), said.alias("_said"), F.col("text_content").alias("_clip")]
+    at = events.select("session_id", "timestamp_ms", "seq", *fields)
     own = docs.select("session_id", "start_ms", "end_ms", "event_count", "label")
-    anchors = points_in_intervals(own, clips, bucket_ms, "left").groupBy(*own.columns).agg(F.collect_set("text_content").alias("anchor_texts"))
-    return segment.merged_segments(anchors, replace(rules, merge_gap_ms=MERGE_GAP_MS) if rules.merge_gap_ms == segment.Rules.merge_gap_ms else rules)
+    found = points_in_intervals(own, at, bucket_ms, "left")
+    strings = lambda c: F.array_sort(F.collect_set(F.nullif(F.col(c), F.lit(""))))
+
+    def ordered(c):
+        listed = F.array_sort(F.collect_list(F.when(F.col(c) != "", F.struct("timestamp_ms", "seq", F.col(c).alias("v")))))
+        return F.transform(listed, lambda x: x["v"])
+
+    return found.groupBy(*own.columns).agg(
+        strings("_title").alias("window_titles"), strings("_url").alias("urls"), strings("_app").alias("apps_seen"), F.slice(ordered("_said"), 1, most_texts).alias("extracted_texts"),
+        ordered("_clip").alias("anchor_texts"),
+    )
+
+
+def merged(docs: DataFrame, events: DataFrame, rules: segment.Rules, bucket_ms: int) -> DataFrame:
+    """Neighbours of one label merged, with their context, by the clipboard contents of their events and by time."""
+    rules = replace(rules, merge_gap_ms=MERGE_GAP_MS) if rules.merge_gap_ms == segment.Rules.merge_gap_ms else rules
+    return segment.merged_segments(with_context(stored(docs, "labelled-windows"), events, bucket_ms), rules)
 
 
 def segments(
-    events: DataFrame, boundary: PipelineModel | None, label: Callable[[DataFrame], DataFrame] | None, rules: segment.Rules = segment.Rules(), bucket_ms: int = 600_000, **thresholds
+    events: DataFrame, boundary: Trees | None, label: Callable[[DataFrame], DataFrame] | None, rules: segment.Rules = segment.Rules(), bucket_ms: int = 600_000, **thresholds
 ) -> DataFrame:
     """Segments by both models; by the rules, from the events that are no noise, where one of them is missing."""
     if boundary is None or label is None:

@@ -12,6 +12,7 @@ from worktrace.functions.columns import f1, iou, ratio
 from worktrace.operators import truth
 from worktrace.operators.intervals import overlapping
 from worktrace.operators.segment import by_session
+from worktrace.sources.storage import stored
 
 
 def boundaries(segments: DataFrame) -> DataFrame:
@@ -132,6 +133,7 @@ def label_codes(pred: DataFrame, true: DataFrame, bucket_ms: int = 600_000, leas
     p = pred.groupBy("session_id", "start_ms", "end_ms", "label").agg(F.count("*").alias("copies"))
     t = true.select(F.col("session_id").alias("other_session"), F.col("start_ms").alias("other_start"), F.col("end_ms").alias("other_end"), "code")
     score = iou(F.col("start_ms"), F.col("end_ms"), F.col("other_start"), F.col("other_end"))
+    p, t = stored(p, "predicted"), stored(t, "true")  # their labels cost most, and the join looks at them twice
     found = overlapping(p, t, bucket_ms).withColumn("iou", score).where(F.col("iou") >= least)
     best = found.groupBy("session_id", "start_ms", "end_ms", "label", "copies").agg(F.min(F.struct((-F.col("iou")).alias("i"), "other_start", "other_end", "code")).alias("best"))
     return best.groupBy("label", F.col("best.code").alias("code")).agg(F.sum("copies").alias("c"))

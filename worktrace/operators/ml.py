@@ -1,18 +1,19 @@
-"""The two learned models, as pyspark.ml pipelines: boundaries from features, labels from documents."""
+"""The two learned models, boundaries from features and labels from documents, and the figures of their validation."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worktrace.functions.columns import f1, ratio
 from worktrace.operators.features import NAMES
+from worktrace.operators.scan import dealt, running
 from worktrace.operators.stats import char_ngrams, class_weights, ordered_split
+from worktrace.operators.trees import Trees, fit_trees
 from worktrace.sources.storage import stored
 
 
@@ -21,54 +22,125 @@ def weighted(df: DataFrame, label: str = "label") -> DataFrame:
     return df.join(F.broadcast(class_weights(df, label).select(label, "weight")), label)
 
 
-def fit_boundaries(features: DataFrame, rounds: int = 150) -> PipelineModel:
-    """Gradient-boosted trees over ``features`` with a 0/1 ``label``."""
-    trees = GBTClassifier(maxIter=rounds, stepSize=0.08, maxDepth=5, minInstancesPerNode=20, weightCol="weight", seed=42)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(NAMES), outputCol="features"), trees]).fit(weighted(features))
+def fit_boundaries(features: DataFrame, rounds: int = 150) -> Trees:
+    """Gradient-boosted trees over ``features`` with a 0/1 ``label``: best-first, 31 leaves, 20 rows a leaf, balanced classes."""
+    return fit_trees(weighted(features), NAMES, rounds=rounds)
 
 
-def validated_boundaries(rows: DataFrame, rounds: int = 150) -> tuple[PipelineModel, dict]:
-    """A model of the first 80 % of ``rows`` in order, and its areas under the curves and the prevalence on the rest."""
+def validated_boundaries(rows: DataFrame, rounds: int = 150) -> tuple[Trees, dict]:
+    """A model of the first 80 % of ``rows`` in order, and its figures on the rest (``ranking_metrics``)."""
     split = stored(ordered_split(rows, "session_id", "timestamp_ms", "seq"), "boundary-split")
     model = fit_boundaries(split.where("is_train").drop("is_train"), rounds)
     scored = model.transform(split.where("not is_train"))
-    area = lambda name: BinaryClassificationEvaluator(metricName=name).evaluate(scored)
-    prevalence = scored.agg(F.coalesce(F.avg("label"), F.lit(0.0)).alias("p")).first()["p"]
-    return model, {"roc_auc": area("areaUnderROC"), "pr_auc": area("areaUnderPR"), "prevalence": prevalence}
+    return model, ranking_metrics(scored, F.col("p"), F.col("label") == 1).first().asDict()
+
+
+def ranking_metrics(rows: DataFrame, score: Column, positive: Column, threshold: float = 0.5) -> DataFrame:
+    """One row of figures of a score against the truth, exact with ties: n, n_positive, prevalence, roc_auc, average_precision, and at the
+    ``threshold`` precision, recall, f1 and accuracy. What has no denominator is 0; rows without score or truth do not count.
+
+    Rows of one score are counted first. The counts are dealt by range of the score and summed up from the highest on, so that
+    neither all scores nor all rows meet in one task. The area under the curve takes half of the pairs that are tied; average precision
+    is the sum of precision times the step of recall at each score.
+    """
+    lean = rows.select(score.cast("double").alias("_score"), positive.cast("int").alias("_true")).where("_score is not null and _true is not null")
+    groups = lean.groupBy("_score").agg(F.sum("_true").alias("_yes"), F.sum(1 - F.col("_true")).alias("_no")).withColumn("_all", F.lit(0))
+    run = running(dealt(groups, "_all", F.desc("_score")), "_all", total={"_yes_before": F.col("_yes"), "_no_before": F.col("_no")})
+    true, said = F.col("_yes_before") + F.col("_yes"), F.col("_yes_before") + F.col("_yes") + F.col("_no_before") + F.col("_no")
+    above = F.col("_score") >= threshold
+    count = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    sums = run.agg(
+        count("_yes").alias("p"), count("_no").alias("n"), F.coalesce(F.sum(F.col("_no") * (2 * F.col("_yes_before") + F.col("_yes"))).cast("decimal(38,0)"), F.lit(0)).alias("twice"),
+        F.coalesce(F.sum(F.col("_yes") * (true / said)), F.lit(0.0)).alias("steps"), count(F.when(above, F.col("_yes"))).alias("tp"), count(F.when(above, F.col("_no"))).alias("fp"),
+    )
+    p, n, tp, fp = (F.col(c) for c in ("p", "n", "tp", "fp"))
+    precision, recall = ratio(tp, tp + fp), ratio(tp, p)
+    return sums.select(
+        (p + n).alias("n"), p.alias("n_positive"), ratio(p, p + n).alias("prevalence"), ratio(F.col("twice"), 2.0 * p * n).alias("roc_auc"), ratio(F.col("steps"), p).alias("average_precision"),
+        precision.alias("precision"), recall.alias("recall"), f1(precision, recall).alias("f1"), ratio(tp + n - fp, p + n).alias("accuracy"),
+    )
 
 
 def validated_labels(documents: DataFrame, order: str, rounds: int = 500) -> tuple[PipelineModel, DataFrame]:
     """A model of all ``documents``, and the report of one of their first 80 % in order on the rest."""
     split = stored(ordered_split(documents, order), "label-split")
-    counts = {r["is_train"]: r["n"] for r in split.groupBy("is_train").agg(F.count("*").alias("n")).collect()}
-    part = fit_labels(split.where("is_train"), counts.get(True, 0), rounds)
-    report = class_report(predicted_labels(part, split.where("not is_train")))
-    return fit_labels(split, sum(counts.values()), rounds), report
+    part = fit_labels(split.where("is_train"), rounds)
+    return fit_labels(split, rounds), class_report(predicted_labels(part, split.where("not is_train")))
 
 
 def class_report(scored: DataFrame) -> DataFrame:
-    """label, precision, recall, f1 and support per class of ``scored`` (label, prediction)."""
+    """name, precision, recall, f1 and support of ``scored`` (label, prediction): a row for each class, and ``accuracy`` (in all columns),
+    ``macro avg`` and ``weighted avg`` over the classes."""
     true = scored.groupBy(F.col("label").cast("double").alias("label")).agg(F.count("*").alias("support"), F.count_if(F.col("label") == F.col("prediction")).alias("hits"))
     said = scored.groupBy(F.col("prediction").alias("label")).agg(F.count("*").alias("said"))
     out = true.join(said, "label", "full").select("label", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("support", "hits", "said")])
     p, r = ratio(F.col("hits"), F.col("said")), ratio(F.col("hits"), F.col("support"))
-    return out.select("label", p.alias("precision"), r.alias("recall"), f1(p, r).alias("f1"), "support")
-
-
-def boundary_probability(model: PipelineModel, features: DataFrame) -> DataFrame:
-    return model.transform(features).select("session_id", "timestamp_ms", "seq", vector_to_array("probability")[1].alias("p"))
-
-
-def fit_labels(documents: DataFrame, n_rows: int, rounds: int = 500, words: int = 5000, min_df: int = 2) -> PipelineModel:
-    """Logistic regression over TF-IDF of character n-grams; ``documents`` has text and a numeric label."""
-    tokens = documents.withColumn("grams", char_ngrams(F.col("text")))
+    out = out.select("label", p.alias("precision"), r.alias("recall"), f1(p, r).alias("f1"), "support", "hits")
+    scores, all_ = ("precision", "recall", "f1"), F.sum("support").alias("support")
+    hits = ratio(F.sum("hits"), F.sum("support"))
+    rows = [
+        out.agg(*[hits.alias(c) for c in scores], all_).withColumn("name", F.lit("accuracy")),
+        out.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in scores], all_).withColumn("name", F.lit("macro avg")),
+        out.agg(*[ratio(F.sum(F.col(c) * F.col("support")), F.sum("support")).alias(c) for c in scores], all_).withColumn("name", F.lit("weighted avg")),
+    ]
+    named = out.withColumn("name", F.col("label").cast("string"))
+    for more in rows:
+        named = named.unionByName(more, allowMissingColumns=True)
+    return named.select("name", "label", *scores, F.coalesce("support", F.lit(0)).alias("support"))
+
+
+def boundary_probability(model: Trees, features: DataFrame) -> DataFrame:
+    return model.transform(features).select("session_id", "timestamp_ms", "seq", "p")
+
+
+def vocabulary(counts: DataFrame, n: int, words: int = 5000, min_df: int = 2) -> DataFrame:
+    """gram, n_documents and idf of the ``words`` most frequent grams that ``min_df`` documents hold; equal counts by the gram itself.
+
+    ``counts`` has key, gram and count; ``n`` is the number of documents, those without grams included. idf is log((1 + n) / (1 + df)) + 1.
+    """
+    grams = counts.groupBy("gram").agg(F.sum("count").alias("total"), F.count("*").alias("n_documents")).where(F.col("n_documents") >= min_df)
+    top = grams.orderBy(F.desc("total"), "gram").limit(words)
+    return top.select("gram", "n_documents", (F.log(F.lit(1.0 + n) / (1.0 + F.col("n_documents"))) + 1.0).alias("idf"))
+
+
+def gram_counts(documents: DataFrame, key: str) -> DataFrame:
+    """key, gram and count: how often each document (key, text) holds each run of one to three characters of its padded words."""
+    words = documents.select(F.col(key).alias("key"), F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).where("word <> ''")
+    counts = words.groupBy("key", "word").agg(F.count("*").alias("_n"))
+    grams = counts.select("key", "_n", F.explode(char_ngrams(F.col("word"))).alias("gram"))
+    return grams.groupBy("key", "gram").agg(F.sum("_n").alias("count"))
+
+
+def tfidf(documents: DataFrame, key: str, words: int = 5000, min_df: int = 2) -> DataFrame:
+    """key, gram and weight: count times idf of the vocabulary's grams, of unit length per document. Keys are distinct."""
+    counts = stored(gram_counts(documents, key), "grams")
+    known = vocabulary(counts, documents.count(), words, min_df)
+    # As many rows as the vocabulary has.
+    raw = counts.join(F.broadcast(known), "gram").select("key", "gram", (F.col("count") * F.col("idf")).alias("raw"))
+    norms = raw.groupBy(F.col("key").alias("_key")).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+    return raw.join(norms, F.col("key").eqNullSafe(F.col("_key"))).select("key", "gram", (F.col("raw") / F.col("norm")).alias("weight"))
+
+
+def fit_labels(documents: DataFrame, rounds: int = 500, words: int = 5000, min_df: int = 2) -> PipelineModel:
+    """Logistic regression over TF-IDF of character n-grams, the weights of ``tfidf``; ``documents`` has text and a numeric label.
+
+    The vocabulary and its weights, ``words`` at most, are the only values that pass through the driver.
+    """
+    kept = stored(documents.select("text", "label"), "label-documents")
+    n = kept.count()
+    counts = gram_counts(kept.withColumn("_id", F.monotonically_increasing_id()), "_id")
+    known = vocabulary(counts, n, words, min_df).orderBy("gram").collect()
+    if not known:
+        raise ValueError(f"no n-gram is in {min_df} documents")
     stages = [
-        CountVectorizer(inputCol="grams", outputCol="counts", vocabSize=words, minDF=min_df), IDF(inputCol="counts", outputCol="tfidf"),
+        CountVectorizerModel.from_vocabulary([r["gram"] for r in known], "grams", "counts"), ElementwiseProduct(scalingVec=Vectors.dense([r["idf"] for r in known]), inputCol="counts", outputCol="tfidf"),
         Normalizer(inputCol="tfidf", outputCol="features"),
-        LogisticRegression(maxIter=rounds, regParam=1 / (5 * max(1, n_rows)), standardization=False, weightCol="weight"),
     ]
-    return Pipeline(stages=stages).fit(weighted(tokens))
+    vectors = PipelineModel(stages)
+    model = LogisticRegression(maxIter=rounds, regParam=1 / (5 * max(1, n)), standardization=False, weightCol="weight")
+    fitted = model.fit(vectors.transform(weighted(kept).withColumn("grams", char_ngrams(F.coalesce("text", F.lit(""))))))
+    return PipelineModel([*stages, fitted])
 
 
 def predicted_labels(model: PipelineModel, documents: DataFrame) -> DataFrame:
-    return model.transform(documents.withColumn("grams", char_ngrams(F.col("text"))))
+    return model.transform(documents.withColumn("grams", char_ngrams(F.coalesce("text", F.lit("")))))

@@ -36,6 +36,7 @@ def running(
     names = [*last, *total, *most, *following]
     if not names:
         return df
+    alone = len(df.inputFiles()) <= 1  # one partition was written: nothing is carried
     own = Window.partitionBy("_part", key)
     before, after = (own.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col("_pos"), F.col("_pos").desc()))
     placed = lambda c: F.when(c.isNotNull(), F.struct(F.col("_pos").alias("p"), c.alias("v")))
@@ -57,6 +58,9 @@ def running(
         *[F.last(c, ignorenulls=True).over(before).alias(n) for n, c in last.items()], *[F.sum(c).over(before).alias(n) for n, c in total.items()],
         *[F.max(c).over(before).alias(n) for n, c in most.items()], *[F.last(c, ignorenulls=True).over(after).alias(n) for n, c in following.items()],
     ]
+    if alone:
+        whole = {n: F.coalesce(F.col(n), F.lit(0)) if n in total else F.col(n) for n in names}
+        return df.select("*", *local).select(*df.columns, *[c.alias(n) for n, c in whole.items()])
     joined = df.select("*", *local).join(carry, (F.col("_part") == F.col("_carried_part")) & F.col(key).eqNullSafe(F.col("_carried_key")), "left")
     whole = {n: F.coalesce(F.col(n), F.col("_" + n)) for n in (*last, *following)}
     whole |= {n: F.coalesce(F.col(n), F.lit(0)) + F.coalesce(F.col("_" + n), F.lit(0)) for n in total}

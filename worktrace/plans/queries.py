@@ -462,11 +462,30 @@ def ordered_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def boundary_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Probabilities of a boundary near each event, by 150 rounds of trees over the 18 features of the first 80 % of events in order."""
+    """Probabilities of a boundary near each event, by trees over the 18 features of the first 80 % of events in order."""
     rows = features_18(spark, sf_dir).join(boundary_labels_nearest(spark, sf_dir), ["session_id", "seq"]).withColumn("label", F.col("is_near").cast("double"))
     split = stored(stats.ordered_split(rows, "session_id", "timestamp_ms", "seq"), "boundary-rows")
     model = ml.fit_boundaries(split.where("is_train").drop("is_train"))
-    return ml.boundary_probability(model, split).join(split.select("session_id", "timestamp_ms", "seq", "is_train"), ["session_id", "timestamp_ms", "seq"])
+    return model.transform(split.select("session_id", "timestamp_ms", "seq", "is_train", *features.NAMES)).select("session_id", "timestamp_ms", "seq", "p", "is_train")
+
+
+#: A score with ties, so that the figures have to do with them.
+_SCORED_SQL = f"""marked AS (SELECT t.session_id, t.timestamp_ms, t.seq, round(value / 500, 1) AS p, EXISTS (SELECT 1 FROM marks m WHERE m.session_id = t.session_id AND t.timestamp_ms BETWEEN m.b - {TOLERANCE} AND m.b + {TOLERANCE}) AS y,
+  row_number() OVER (ORDER BY session_id, timestamp_ms, seq) - 1 AS i, count(*) OVER () AS n FROM tele t),
+rest AS (SELECT * FROM marked WHERE i >= CAST(floor(n * 0.8::DOUBLE) AS BIGINT)), g AS (SELECT p, CAST(count(*) FILTER (y) AS DOUBLE) AS pos, CAST(count(*) FILTER (NOT y) AS DOUBLE) AS neg FROM rest WHERE p IS NOT NULL GROUP BY 1),
+c AS (SELECT *, sum(pos) OVER (ORDER BY p DESC) AS tp, sum(neg) OVER (ORDER BY p DESC) AS fp, sum(pos) OVER () AS np, sum(neg) OVER () AS nn FROM g),
+h AS (SELECT sum(pos) FILTER (p >= 0.5) AS tp, sum(neg) FILTER (p >= 0.5) AS fp, sum(pos) AS np, sum(neg) AS nn, sum(neg * (tp - pos + pos / 2)) / (any_value(np) * any_value(nn)) AS roc_auc, sum(pos * tp / (tp + fp)) / any_value(np) AS average_precision FROM c)"""
+
+
+@query(f"""{CLEAN_SQL}, {_idle_sql("idle", IDLE)}, {_MARKS}, {_SCORED_SQL} SELECT CAST(np + nn AS BIGINT) AS n, CAST(np AS BIGINT) AS n_positive, round(np / (np + nn), 9) AS prevalence, round(roc_auc, 9) AS roc_auc,
+round(average_precision, 9) AS average_precision, round(tp / (tp + fp), 9) AS precision, round(tp / np, 9) AS recall, round(2 * tp / (tp + fp + np), 9) AS f1, round((tp + nn - fp) / (np + nn), 9) AS accuracy FROM h""")
+def boundary_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of a score against the boundaries near events, on the last 20 % of events in order."""
+    rows = tele(spark, sf_dir).select("session_id", "timestamp_ms", "seq", F.round(F.col("value") / 500, 1).alias("p"))
+    rows = stats.ordered_split(rows, "session_id", "timestamp_ms", "seq").where("not is_train")
+    scored = rows.join(boundary_labels_nearest(spark, sf_dir), ["session_id", "seq"])
+    out = ml.ranking_metrics(scored, F.col("p"), F.col("is_near"))
+    return out.select("n", "n_positive", *[F.round(c, 9).alias(c) for c in out.columns[2:]])
 
 
 def _manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -571,10 +590,46 @@ def model_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chain.windows(_spoken(spark, sf_dir), **_V3)
 
 
+_GRAMS_SQL = """wd AS (SELECT key, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM d), pd AS (SELECT key, ' ' || w || ' ' AS p, count(*) AS c FROM wd GROUP BY 1, 2),
+gk AS (SELECT key, p, c, unnest([1, 2, 3]) AS k FROM pd), gi AS (SELECT key, p, c, k, unnest(range(1, length(p) - k + 2)) AS i FROM gk), g AS (SELECT key, substr(p, i, k) AS gram, sum(c) AS n FROM gi GROUP BY 1, 2),
+v AS (SELECT gram, sum(n) AS total, count(*) AS df FROM g GROUP BY 1 HAVING count(*) >= 2 ORDER BY total DESC, encode(gram) LIMIT 5000), raw AS (SELECT key, g.gram, n * (ln((1 + (SELECT count(*) FROM d)) / (1 + df)) + 1) AS r FROM g JOIN v USING (gram))"""
+
+
+def _execution_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of idle segments, with a key."""
+    return execution_documents(spark, sf_dir).withColumn("key", F.concat_ws("@", "session_id", "start_ms"))
+
+
+@query(f"""{CLEAN_SQL}, {_idle_sql("idle", IDLE)}, {_documents_sql("idle")}, d AS (SELECT session_id || '@' || start_ms AS key, text FROM docs), {_GRAMS_SQL}
+SELECT key, gram, round(r / sqrt(sum(r * r) OVER (PARTITION BY key)), 9) AS weight FROM raw""")
+def document_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of the character n-grams of executions' documents, as the label model takes them."""
+    return ml.tfidf(_execution_texts(spark, sf_dir), "key").withColumn("weight", F.round("weight", 9))
+
+
+_NAMES = label.PERSONNEL + label.FINANCE + label.OPERATIONS
+
+
+def _labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of idle segments with the number of the label that the rules give them; the unknown one is the last."""
+    named = label.predict_label(F.col("text"), F.lit(""))
+    number = F.array_position(F.array(*[F.lit(n) for n in _NAMES]), named).cast("int")
+    return _execution_texts(spark, sf_dir).withColumn("label", F.when(number > 0, number - 1).otherwise(len(_NAMES)).cast("double"))
+
+
+@query()
+def label_logreg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of the label model, fitted to the first 80 % of executions' documents, on the rest."""
+    split = stored(stats.ordered_split(_labelled_documents(spark, sf_dir), "session_id", "start_ms"), "label-rows")
+    model = ml.fit_labels(split.where("is_train"), rounds=100)
+    return ml.class_report(ml.predicted_labels(model, split.where("not is_train")))
+
+
 @query()
 def model_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows labelled by the rules, merged."""
-    docs = model_windows(spark, sf_dir).withColumn("label", label.predict_label(F.col("text"), F.lit("")))
+    """Windows labelled by the label model, which learns from executions' documents, merged with their context."""
+    model = ml.fit_labels(_labelled_documents(spark, sf_dir), rounds=100)
+    docs = chain.labelled(model_windows(spark, sf_dir), model, [*_NAMES, label.UNKNOWN])
     return chain.merged(docs, _spoken(spark, sf_dir), RULES, BUCKET)
 
 

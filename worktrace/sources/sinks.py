@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worktrace.functions.columns import ms_to_iso
+from worktrace.operators.trees import Trees
 
 
 def deliverable(segments: DataFrame) -> DataFrame:
@@ -56,6 +57,20 @@ def save_model(model: PipelineModel, path: str, about: dict) -> None:
     write_document(SparkSession.active(), about, path.rstrip("/") + ".json")
 
 
+def save_trees(model: Trees, path: str, about: dict) -> None:
+    """Boundary trees as a JSON document, and what is to be known ``about`` them beside it."""
+    write_document(SparkSession.active(), json.loads(model.to_json()), path)
+    write_document(SparkSession.active(), about, path.removesuffix(".json") + ".about.json")
+
+
+def load_trees(spark: SparkSession, path: str) -> Trees | None:
+    """The trees at ``path``; none if there are none or they cannot be read."""
+    try:
+        return Trees.from_json(spark.read.text(path, wholetext=True).first()["value"])
+    except Exception:  # noqa: BLE001 - whatever is wrong with them, the rules take over
+        return None
+
+
 def load_model(path: str) -> PipelineModel | None:
     """The model at ``path``; none if there is none or it cannot be read."""
     try:

@@ -65,6 +65,7 @@ def read_sessions(spark: SparkSession, dataset_dir: str, policy: str = "drop", b
                             get("payload.element.attributes.id"))).alias("element_text"),
         form_text(get).alias("form_text"),
         texts(F.try_variant_get("v", "$.context.extracted_text", "variant")).alias("texts"),
+        plain_text(F.try_variant_get("v", "$.context.extracted_text", "variant")).alias("plain_text"),
         document_texts(F.try_variant_get("v", "$.context.extracted_text", "variant")).alias("doc_texts"),
     )
     return quirk_policy(out, policy)
@@ -107,6 +108,12 @@ def document_texts(v: Column) -> Column:
     return F.array_compact(F.coalesce(listed, F.array().cast("array<string>")))
 
 
+def plain_text(v: Column) -> Column:
+    """The beginning of a text that is a string; '' for lists and objects."""
+    string = F.substring(stripped(F.try_variant_get(v, "$", "string")), 1, 100)
+    return F.when(F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False)), string).otherwise("")
+
+
 def texts(v: Column) -> Column:
     """A string, an object with text, or a list of either, as a list of strings."""
     kind = F.schema_of_variant(v)
