@@ -508,20 +508,79 @@ def test_warc_reader_of_broken_files(spark, tmp_path):
     assert len(got) >= 3 and {(r.record_type, r.record_id, r.block) for r in got} == {("conversion", "urn:uuid:1", "abc")}
 
 
-def test_mixing_equals_a_plain_sort(spark, docs):
-    keys = {(r.source, r.doc_id): (r.key, r.size) for r in mixing.sized(docs).collect()}
+def plain_key(doc_id, text):
+    """The exponential key by its definition."""
+    import hashlib
+    import math
+
+    u = (int(hashlib.md5(f"0:{doc_id}".encode()).hexdigest()[:13], 16) + 0.5) / 2.0**52
+    text = text or ""
+    weight = max(0.05, 1.0 - sum(c in "#*$%&|<>!" for c in text) * 5.0 / max(len(text), 1))
+    return -math.log(u) / weight
+
+
+def test_mixing_equals_a_plain_sort(spark, docs, texts):
     rows = mixing.mix_sizes(docs).collect()
     for s in {r.source for r in rows}:
         own = [r for r in rows if r.source == s]
         total, target = own[0].source_size, own[0].target
         epochs = int(target // total) if total else 0
-        budget, before, more = target - epochs * total, 0, set()
-        for (_, i), (_, size) in sorted((x for x in keys.items() if x[0][0] == s), key=lambda x: (x[1][0], x[0][1])):
+        budget, before, more, taken = target - epochs * total, 0, set(), 0
+        ordered = sorted((plain_key(r.doc_id, texts[r.doc_id]), r.doc_id, r.size) for r in own)
+        for _, i, size in ordered:
             if before + size / 2 <= budget:
                 more.add(i)
+                taken = before + size
             before += size
+        later = [(abs(size - (budget - taken)), key, i) for key, i, size in ordered if i not in more]
+        if budget > taken and later and min(later)[0] < budget - taken:
+            more.add(min(later)[2])
         for r in own:
             assert r.taken == r.size * min(2, epochs + (r.doc_id in more and budget > 0)), r
+        # As near as one more document, or one less, can bring it.
+        gap = abs(sum(r.taken for r in own) - target)
+        assert gap <= min((abs(size - (budget - taken)) for _, i, size in ordered if i not in more), default=gap) + 1e-6
+
+
+def test_mixing_by_a_weight_of_ones_own(spark, docs):
+    best = F.when(F.col("doc_id") % 7 == 0, 1000.0).otherwise(0.001)
+    rows = mixing.mix_sizes(docs, weight=best).collect()
+    share = lambda own: sum(r.taken for r in own) / max(1, sum(r.size for r in own))
+    short = [r for r in rows if r.target < r.source_size]
+    assert not short or share([r for r in short if r.doc_id % 7 == 0]) > share([r for r in short if r.doc_id % 7])
+
+
+def test_columns_with_dots_stay(spark):
+    rows = [(i, f"This is the text of document {i}, which has more than ten words in it.", "en", "s", 70) for i in range(4)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("a.b", F.lit("x")).withColumn("c`d", F.lit(1))
+    for out in (quality_rules.clean_lines(df), line_dedup.dedup_lines(df).drop("n_removed_units", "n_removed_chars"), mixing.mixed(df)):
+        assert set(out.columns) == set(df.columns) and {r["a.b"] for r in out.collect()} == {"x"}
+
+
+def test_a_long_or_clashing_label_leaves_the_others_in(spark):
+    from worktrace.llm.learning import training_rows
+
+    rows = [(i, f"text {i}") for i in range(60)] + [(1000, "long " * 3000), (1001, "twice")]
+    labels = [(i, i % 2) for i in range(60)] + [(1000, 0), (1000, 0), (1001, 0), (1001, 1)]
+    df, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    fold = lambda i: zlib.crc32(str(i).encode()) % 3 != 1
+    got = training_rows(df, known, "toxic", 1000, most_chars=10_000)
+    assert sorted(got) == sorted((f"text {i}", i % 2) for i in range(60) if fold(i))  # the long one alone is beyond the bound
+    got = training_rows(df, known, "toxic", 1000, most_chars=50_000)
+    assert ("long " * 3000, 0) in got if fold(1000) else True
+    assert not any(t == "twice" for t, _ in got)
+
+
+def test_toxicity_recall_held_out(spark):
+    """Of held-out toxic documents; the rest mostly hold no word that any other toxic document has (README)."""
+    folder = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where("toxic is not null").select("doc_id", "toxic")
+    rows = queries.op6_toxicity(spark, folder).where("held_out").join(labels, "doc_id").collect()
+    hit = sum(r.toxic and r.predicted for r in rows)
+    assert hit >= 0.75 * sum(r.toxic for r in rows) and hit >= 0.85 * sum(r.predicted for r in rows)
+
+
+def test_ranges_hold_little_whatever_the_weights(spark, docs):
     weights = docs.sparkSession.createDataFrame([(i, "#$%&" * 30 if i % 50 else "plain words here", "hot") for i in range(20_000)], "doc_id long, text string, source string")
     bins = mixing.sized(weights).groupBy(mixing.key_range(F.col("key"))).count().agg(F.max("count")).first()[0]
     assert bins <= 40

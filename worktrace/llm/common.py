@@ -22,6 +22,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(names) -> list[Column]:
+    """Columns by name, whatever the names hold."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
 def words(text: Column) -> Column:
     """The words of a text; a null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from worktrace.llm.common import stored
+from worktrace.llm.common import quoted, stored
 
 MIN_WORDS = 30
 HOT = 1000
@@ -145,7 +145,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with later repeated runs deleted from ``text``; adds n_removed_units and n_removed_chars."""
     found = repeated_runs(docs.select("doc_id", "text")).withColumnsRenamed({"d": "found_d", "t": "found_t"})
     own = [c for c in docs.columns if c not in ("text", "n_removed_units", "n_removed_chars")]
-    rows = docs.select(F.struct(*own).alias("row"), F.col("text").alias("old"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"))
+    rows = docs.select(F.struct(*quoted(own)).alias("row"), F.col("text").alias("old"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"))
     out = rows.join(found, F.col("d").eqNullSafe(F.col("found_d")) & (F.col("t") == F.col("found_t")), "left")
     out = out.withColumn("all", F.when(F.col("runs").isNotNull(), units(F.col("old"))))
     out = out.withColumn("kept", F.when(F.col("runs").isNotNull(), _let(F.struct(F.col("all").alias("u"), F.col("runs").alias("r")), outside)))

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from worktrace.llm.common import words
+from worktrace.llm.common import quoted, words
 
 WINDOW = 5  # the hashes below join a word with 1, 2 and 1 more
 MIN_WORDS = 10
@@ -59,7 +59,7 @@ def line_fails(line: Column) -> Column:
 def statistics(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, all lines, the kept lines and the row of ``docs``."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.select("doc_id", text.alias("text"), F.struct(*docs.columns).alias("row")).withColumn("w", words(F.col("text")))
+    out = docs.select("doc_id", text.alias("text"), F.struct(*quoted(docs.columns)).alias("row")).withColumn("w", words(F.col("text")))
     out = out.select(
         "doc_id",
         "row",
