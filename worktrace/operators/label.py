@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import groupby
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from worktrace.functions.columns import PORTALS, ROUTES, contains_any, slug
+from worktrace.functions.columns import PORTALS, ROUTES, slug, stripped
 
 UNKNOWN = "process_unknown"
 
@@ -45,6 +47,7 @@ DOMAINS = [
 PERSONNEL = ("resident_tax_verification", "payroll_adjustment", "leave_application_processing", "insurance_pension_processing", "onboarding_verification")
 FINANCE = ("invoice_approval", "expense_processing", "bank_reconciliation", "budget_variance_analysis", "payment_processing")
 OPERATIONS = ("order_processing", "inventory_adjustment", "supplier_communication", "shipment_tracking", "return_processing")
+# The ports of systems and the labels of their pages.
 PORTS = [("5122", PERSONNEL), ("5123", FINANCE), ("5124", OPERATIONS), ("5132", PERSONNEL), ("5133", FINANCE), ("5134", OPERATIONS)]
 TOPICS = [
     (("住民税", "住民税通知"), "resident_tax_verification"),
@@ -68,14 +71,35 @@ TOPICS = [
     (("payroll-items",), "payroll_adjustment"),
     (("resident-tax",), "resident_tax_verification"),
 ]
-#: The last resort looks for the words of earlier steps again, codes without numbers included.
+# The last resort looks for the words of earlier steps again, codes without numbers included.
 KEYWORDS = [
     (("supplier_list",), "supplier_communication"), (("hr_policy",), "leave_application_processing"),
     (("budget_report", "powerpoint"), "budget_variance_analysis"), (("inventory catalog",), "inventory_adjustment"),
     *FORMS, *[((f"{code}-",), label) for code, label in CODES], *DOMAINS, *TOPICS,
 ]
-#: Labels in the order of the letters that ground truth uses as process codes.
-CODE_LABELS = dict(zip("ABCDEFGHIJKLMNO", PERSONNEL + FINANCE + OPERATIONS))
+# The label of each process code of ground truth.
+CODE_LABELS = {
+    "A": "resident_tax_verification",
+    "B": "payroll_adjustment",
+    "C": "leave_application_processing",
+    "D": "insurance_pension_processing",
+    "E": "onboarding_verification",
+    "F": "invoice_approval",
+    "G": "expense_processing",
+    "H": "bank_reconciliation",
+    "I": "budget_variance_analysis",
+    "J": "payment_processing",
+    "K": "order_processing",
+    "L": "inventory_adjustment",
+    "M": "supplier_communication",
+    "N": "shipment_tracking",
+    "O": "return_processing",
+}
+
+
+def code_label(code: Column) -> Column:
+    """The label of a ground-truth process code; null for an unknown one."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in CODE_LABELS.items() for x in kv]), code)
 
 
 def rules() -> list[tuple[str, str, str, str]]:
@@ -152,12 +176,25 @@ def portal_label(portal: Column, titles: Column) -> Column:
     return case.otherwise(F.coalesce(F.get(F.filter(slugs, lambda s: s != ""), F.lit(0)), F.lit(UNKNOWN)))
 
 
-def hooked_label(context: Column, portal: Column, titles: Column, hook=None, fall_back: bool = False) -> Column:
-    """The label that ``hook`` (a Column function of the context, such as a pandas UDF that gives null on failure) finds, cut to 64
-    characters; else that of the portal, if ``fall_back``; else unknown."""
-    found = F.nullif(F.btrim(hook(context)), F.lit("")) if hook is not None else F.lit(None).cast("string")
-    return F.coalesce(F.substring(found, 1, 64), portal_label(portal, titles) if fall_back else F.lit(UNKNOWN))
+def python_hook(find: Callable[[dict], str]) -> Callable[[Column], Column]:
+    """A hook for ``hooked_label`` from a function of a context (a dict); where it fails or gives no string, it gives null."""
+
+    @F.pandas_udf("string")
+    def found(contexts: pd.DataFrame) -> pd.Series:
+        def one(context: dict) -> str | None:
+            try:
+                label = find(context)
+            except Exception:  # noqa: BLE001 - a label that cannot be found is no reason to end the job
+                return None
+            return label if isinstance(label, str) else None
+
+        return pd.Series([one(c) for c in contexts.to_dict("records")], dtype="object")
 
+    return found
 
-def mentions(text: Column, words) -> Column:
-    return contains_any(F.lower(F.coalesce(text, F.lit(""))), words)
+
+def hooked_label(context: Column, portal: Column, titles: Column, hook=None, fall_back: bool = False) -> Column:
+    """The label that ``hook`` (a Column function of the context that gives null on failure, as those of ``python_hook`` do) finds, without
+    white space around it and cut to 64 characters; else that of the portal, if ``fall_back``; else unknown."""
+    found = F.nullif(stripped(hook(context)), F.lit("")) if hook is not None else F.lit(None).cast("string")
+    return F.coalesce(F.substring(found, 1, 64), portal_label(portal, titles) if fall_back else F.lit(UNKNOWN))

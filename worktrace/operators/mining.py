@@ -12,10 +12,16 @@ from worktrace.sources.storage import stored
 
 
 def process_metrics(segments: DataFrame, events: DataFrame, bucket_ms: int) -> DataFrame:
-    """Per label: volume, time, app switches, clipboard use, distinct apps, sessions and machines; bounds are cut to seconds."""
+    """Per label: volume, time, app switches, clipboard use, distinct apps, sessions and machines; bounds are cut to seconds.
+
+    first_seen is the place of the label's first segment: the least ``seen`` where segments have it (as the reader of files gives it),
+    else the least session and start, in whose order segments are written.
+    """
     seconds = lambda c: (F.floor(F.col(c) / F.lit(1000)) * 1000).cast("long").alias(c)
     # Their labels cost most, and the join looks at them twice.
-    s = stored(segments.select("session_id", "label", "start_ms", "end_ms"), "mined")
+    seen = F.col("seen") if "seen" in segments.columns else F.struct("session_id", "start_ms")
+    s = stored(segments.select("session_id", "label", "start_ms", "end_ms", seen.alias("_seen")), "mined")
+    firsts = s.groupBy(F.col("label").alias("_named")).agg(F.min("_seen").alias("first_seen"))
     s = s.select("session_id", "label", seconds("start_ms"), seconds("end_ms"), F.col("start_ms").alias("_own"))
     lean = events.select("session_id", "timestamp_ms", "event_type", "app_name")
     found = points_in_intervals(s, lean, bucket_ms, "left")
@@ -31,11 +37,12 @@ def process_metrics(segments: DataFrame, events: DataFrame, bucket_ms: int) -> D
         F.count("*").alias("volume"), F.sum(millis).alias("total_ms"), F.sum("switches").alias("switches"), F.sum("clips").alias("clips"),
         F.count_distinct("session_id").alias("sessions_count"), F.count_distinct(machine(F.col("session_id"))).alias("staff_count"),
     )
-    return out.join(apps, F.col("label").eqNullSafe(F.col("_label"))).drop("_label")
+    out = out.join(apps, F.col("label").eqNullSafe(F.col("_label"))).drop("_label")
+    return out.join(firsts, F.col("label").eqNullSafe(F.col("_named"))).drop("_named")
 
 
 def roi_ranking(segments: DataFrame, events: DataFrame, bucket_ms: int) -> DataFrame:
-    """Labels by volume * (switches + clips per segment) / average duration, ties by label; the unknown process is left out."""
+    """Labels by volume * (switches + clips per segment) / average duration, ties by the first segment; the unknown process is left out."""
     m = process_metrics(segments.where(F.col("label") != UNKNOWN), events, bucket_ms)
     n, seconds = F.col("volume"), F.col("total_ms") / 1000
     actions = ratio(F.col("switches") + F.col("clips"), n)
@@ -43,10 +50,10 @@ def roi_ranking(segments: DataFrame, events: DataFrame, bucket_ms: int) -> DataF
     out = m.select(
         F.col("label").alias("process"), "volume", F.round(seconds / 60, 1).alias("total_duration_min"), F.round(ratio(seconds, n), 1).alias("avg_duration_s"),
         F.round(ratio(F.col("switches"), n), 1).alias("avg_app_switches"), F.round(ratio(F.col("clips"), n), 1).alias("avg_clipboard_ops"),
-        F.round(actions, 2).alias("friction"), "apps_count", "sessions_count", "staff_count", F.round(roi, 2).alias("roi_score"),
+        F.round(actions, 2).alias("friction"), "apps_count", "sessions_count", "staff_count", F.round(roi, 2).alias("roi_score"), "first_seen",
     )
     # One row for each label: the ranking's single partition holds no more than there are labels.
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("roi_score"), "process")).cast("long"))
+    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("roi_score"), "first_seen")).cast("long")).drop("first_seen")
 
 
 def markdown(ranking: DataFrame, sessions: int = 15, staff: int = 4) -> str:

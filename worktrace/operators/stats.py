@@ -40,6 +40,12 @@ def large_gaps(events: DataFrame, least_ms: int = 5_000) -> DataFrame:
     return top.join(F.broadcast(middle), F.lit(True))  # one row each
 
 
+def top_counts(df: DataFrame, n: int, columns: list[str], *order: str) -> DataFrame:
+    """The ``n`` most frequent values of ``columns`` with their counts; of equally frequent ones, the first in ``order``."""
+    counts = df.groupBy(*columns).agg(F.count("*").alias("n"), F.min(F.struct(*order)).alias("_first"))
+    return counts.orderBy(F.desc("n"), "_first").limit(n).drop("_first")
+
+
 def consecutive_repeats(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(order)
     return df.select(key, (F.col(value) == F.lag(value).over(w)).alias("same")).groupBy(key).agg(F.count_if("same").alias("n_repeats"))

@@ -65,11 +65,11 @@ one AS (SELECT s.session_id, s.label, s.start_ms, s.start_ms // 1000 * 1000 AS a
   count(*) FILTER (event_type = 'clipboard_change') AS cl, list(DISTINCT app_name) FILTER (app_name <> '') AS apps FROM seg s LEFT JOIN tele e ON e.session_id = s.session_id
   AND e.timestamp_ms BETWEEN s.start_ms // 1000 * 1000 AND s.end_ms // 1000 * 1000 GROUP BY 1, 2, 3, 4, 5),
 m AS (SELECT label, count(*) AS n, sum(b - a) / 1000 AS s, sum(sw) AS sw, sum(cl) AS cl, len(list_distinct(flatten(list(coalesce(apps, []))))) AS apps,
-  count(DISTINCT session_id) AS ses, count(DISTINCT session_id[-2:]) AS st FROM one WHERE label <> 'process_unknown' GROUP BY 1),
+  count(DISTINCT session_id) AS ses, count(DISTINCT session_id[-2:]) AS st, min({{'s': session_id, 't': start_ms}}) AS seen FROM one WHERE label <> 'process_unknown' GROUP BY 1),
 r AS (SELECT label AS process, n AS volume, round(s / 60, 1) AS total_duration_min, round(s / n, 1) AS avg_duration_s, round(sw / n, 1) AS avg_app_switches,
   round(cl / n, 1) AS avg_clipboard_ops, round((sw + cl) / n, 2) AS friction, CAST(apps AS BIGINT) AS apps_count, ses AS sessions_count, st AS staff_count,
-  round(CASE WHEN s > 0 THEN n * ((sw + cl) / n) / (s / n) ELSE 0.0 END, 2) AS roi_score FROM m)
-SELECT *, row_number() OVER (ORDER BY roi_score DESC, process) AS rank FROM r""")
+  round(CASE WHEN s > 0 THEN n * ((sw + cl) / n) / (s / n) ELSE 0.0 END, 2) AS roi_score, seen FROM m)
+SELECT * EXCLUDE (seen), row_number() OVER (ORDER BY roi_score DESC, seen) AS rank FROM r""")
 def roi_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.roi_ranking(_labelled(spark, sf_dir), tele(spark, sf_dir), BUCKET)
 
@@ -149,10 +149,10 @@ def duration_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.at_rank(d, "d", {"median_ms": 0.5}, "label").join(whole, "label")
 
 
-@query(f"{CLEAN_SQL} SELECT event_type, app_name, count(*) AS n FROM tele GROUP BY ALL ORDER BY n DESC, event_type, app_name LIMIT 5")
+@query(f"""{CLEAN_SQL} SELECT event_type, app_name, n FROM (SELECT event_type, app_name, count(*) AS n, min({{'s': session_id, 't': timestamp_ms, 'q': seq}}) AS f FROM tele GROUP BY ALL)
+ORDER BY n DESC, f LIMIT 5""")
 def top_event_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = tele(spark, sf_dir).groupBy("event_type", "app_name").agg(F.count("*").alias("n"))
-    return counts.orderBy(F.desc("n"), "event_type", "app_name").limit(5)
+    return stats.top_counts(tele(spark, sf_dir), 5, ["event_type", "app_name"], "session_id", "timestamp_ms", "seq")
 
 
 @query("""SELECT conv_id, count(*) FILTER (role = p) AS n_repeats FROM (SELECT conv_id, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations) GROUP BY 1""")

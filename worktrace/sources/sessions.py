@@ -102,9 +102,10 @@ def predictions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, path: str) -> DataFrame:
-    """Deliverable segments for mining; a malformed line raises."""
+    """Deliverable segments for mining, with ``seen``, their place in the files; a malformed line raises."""
     rows = spark.read.schema(PREDICTION).option("mode", "FAILFAST").json(path)
-    return rows.select("session_id", iso_to_ms(F.col("start")).alias("start_ms"), iso_to_ms(F.col("end")).alias("end_ms"), F.coalesce("label", F.lit(UNKNOWN)).alias("label"))
+    place = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_no"))
+    return rows.select("session_id", iso_to_ms(F.col("start")).alias("start_ms"), iso_to_ms(F.col("end")).alias("end_ms"), F.coalesce("label", F.lit(UNKNOWN)).alias("label"), place.alias("seen"))
 
 
 def segment_table(spark: SparkSession, path: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from worktrace.functions.columns import PORTALS, ROUTES, falsy, stripped
@@ -25,14 +27,35 @@ def quirk_policy(events: DataFrame, policy: str = "drop", buggy_type: str = BUGG
     return events
 
 
-def read_sessions(spark: SparkSession, dataset_dir: str, policy: str = "drop", bad_lines: bool = False) -> DataFrame:
+def chosen_policy(policy: str, drop_text_input_complete: bool | None) -> str:
+    """The older argument, where it is given, decides: true drops, false flags."""
+    return policy if drop_text_input_complete is None else "drop" if drop_text_input_complete else "flag"
+
+
+def read_sessions(spark: SparkSession, dataset_dir: str, policy: str = "drop", bad_lines: bool = False, drop_text_input_complete: bool | None = None) -> DataFrame:
     """Typed events of ``<dataset_dir>/ses_*/chunk*/events.jsonl`` with session_id, chunk and line_no.
 
     Blank and malformed lines and values that are no objects are left out (``bad_lines``: only those are returned).
     The total order of a session is (timestamp_ms, seq, chunk, block, line_no); a missing time or number counts as 0. Files are read
-    by blocks of lines; line numbers ascend within a block and have gaps.
+    by blocks of lines; line numbers ascend within a block and have gaps. ``drop_text_input_complete`` is an older name of the policy.
     """
-    lines = spark.read.text(f"{dataset_dir}/ses_*/chunk*/events.jsonl").select(
+    return _read(spark, f"{dataset_dir}/ses_*/chunk*/events.jsonl", chosen_policy(policy, drop_text_input_complete), bad_lines)
+
+
+def iter_session_events(spark: SparkSession, session_dir: str, policy: str = "drop", drop_text_input_complete: bool | None = None) -> Iterator[Row]:
+    """The events of one session folder in their total order, one by one.
+
+    The session is sorted by ranges over tasks, and one range at a time is brought here: never the whole session.
+    """
+    events = _read(spark, f"{session_dir.rstrip('/')}/chunk*/events.jsonl", chosen_policy(policy, drop_text_input_complete))
+    yield from events.orderBy(*EVENT_ORDER).toLocalIterator()
+
+
+EVENT_ORDER = ("timestamp_ms", "seq", "chunk", "block", "line_no")
+
+
+def _read(spark: SparkSession, files: str, policy: str, bad_lines: bool = False) -> DataFrame:
+    lines = spark.read.text(files).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line")
     )
     lines = lines.select(
