@@ -204,6 +204,24 @@ def test_minhash_on_a_group_of_edited_copies(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_minhash_of_repeated_ids(spark):
+    """Every text of an id is compared, and what is near any of them is one group with the id."""
+    rng = random.Random(5)
+    text = lambda: " ".join("w%d" % rng.randrange(10**6) for _ in range(60))
+    near = lambda t: t + " more words"
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(7, a), (7, b), (7, c), (9, near(a)), (3, near(b)), (20, near(c)), (20, d), (8, near(d)), (5, e), (5, e), (6, None), (6, e), (4, ""), (4, None)]
+    # 12 has the smallest id of two sets, which are not alike but for it
+    rows += [(12, "one two three four five six"), (12, "six five four three two one"), (13, "one two three four five six"), (14, "six five four three two one")]
+    want = {7: 3, 9: 3, 3: 3, 20: 3, 8: 3, 5: 5, 4: 4, 12: 12, 13: 12, 14: 12}
+    for order in (rows, rows[::-1]):
+        got = [(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(order, "doc_id long, text string")).collect()]
+        assert len(got) == len(rows)
+        assert sorted(x for x in got if x[0] != 6) == sorted((i, want[i], i == want[i]) for i, _ in rows if i != 6)
+        # of an id, a row without words is linked with nothing
+        assert sorted(x for x in got if x[0] == 6) == [(6, 5, False), (6, 6, True)]
+
+
 def test_fingerprints(spark, docs, texts, odd):
     ids = sorted(texts)
     import hashlib

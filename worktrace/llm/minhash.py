@@ -3,7 +3,7 @@
 A document's set holds the hashes of its distinct runs of ``shingle`` words; with fewer words, the whole sequence is one.
 Documents are linked where the similarity of their sets (intersection by union) reaches ``PERCENT``.
 
-1. Documents with equal sets are one class, spoken for by the smallest id.
+1. Documents with equal sets are one class, spoken for by a text of the smallest id that has the set.
 2. SuperMinHash gives each class a signature: every element deals itself, by a permutation of its own, one rank in each
    step; steps stop as soon as no slot can fall further. Bands of the signature are buckets.
 3. Each class is compared with the first class and a few random ones of its buckets, on full sets, in groups of one of them
@@ -17,7 +17,7 @@ Two chances can lose a link at the least similarity: no common band, (1 - 0.8**6
 ``most_different`` differing bits, about 1e-8 at 46. ``most_different=SKETCH`` compares all pairs of a bucket on full sets.
 
 Null and empty texts have empty sets and are linked with nothing; very long texts are taken whole; rows of one id are
-united as if they were copies, and one of them stands for the id in comparisons; ties go to the
+united as if they were copies, and the set of each of them is compared with all others; ties go to the
 smaller id; an empty table gives an empty result; further columns do not matter. Ids must be integers and not null:
 rows without id are kept as documents of their own, linked with nothing.
 """
@@ -121,11 +121,13 @@ def superminhash(sets: list[np.ndarray], m: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, a and b (128 bits of the set) and the band hashes of every row of ``docs``."""
+    """doc_id, t (a hash of the text), n_shingles, a and b (128 bits of the set), band hashes and sketch of every row of ``docs``."""
 
     def run(batches):
         for batch in batches:
+            at = 0
             for ids, texts in slices(batch, 1 << 19):
+                t, at = batch.column(2).slice(at, len(ids)), at + len(ids)
                 sets = [shingle_set(t, shingle) for t in texts]
                 values = superminhash(sets, bands * rows).view(np.uint64).reshape(len(sets), bands, rows)
                 keys = np.arange(bands, dtype=np.uint64) * _FACTORS[0] + np.zeros((len(sets), 1), np.uint64)
@@ -140,13 +142,14 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows
                 offsets = pa.concat_arrays([pa.array([0], pa.int32()), offsets])
                 listed = pa.ListArray.from_arrays(offsets, pa.array(keys[sizes > 0].reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(sizes), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), listed]
+                    [pa.array(ids, pa.int64()), t, pa.array(sizes), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), listed]
                     + [pa.array(sketch[:, i].copy()) for i in range(3)],
-                    names=["doc_id", "n_shingles", "a", "b", "bands", "s0", "s1", "s2"],
+                    names=["doc_id", "t", "n_shingles", "a", "b", "bands", "s0", "s1", "s2"],
                 )
         _word_hashes().clear()  # the worker lives on, and serves other operators
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, a long, b long, bands array<long>, s0 long, s1 long, s2 long")
+    texts_of = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text"))
+    return texts_of.mapInArrow(run, "doc_id long, t long, n_shingles long, a long, b long, bands array<long>, s0 long, s1 long, s2 long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -306,22 +309,22 @@ class Block:
                 yield int(self.ids[j])
 
 
-def similar_classes(classes: DataFrame, docs: DataFrame, shingle: int = SHINGLE, most_different: int = MOST_DIFFERENT) -> DataFrame:
-    """id and root of the classes (id, bands, n, s0, s1, s2) that are connected with a smaller one."""
+def similar_classes(classes: DataFrame, docs: DataFrame, united: DataFrame, shingle: int = SHINGLE, most_different: int = MOST_DIFFERENT) -> DataFrame:
+    """id and root of the classes (id, doc_id and t of a text, bands, n, s0, s1, s2) that are connected with others, or by ``united`` (c, x)."""
     buckets = classes.select("id", F.explode("bands").alias("bucket"))
     first = buckets.groupBy("bucket").agg(
         F.min("id").alias("first"), F.min_by("id", F.xxhash64("id", "bucket")).alias("pivot"), F.count("*").alias("members")
     )
     members = stored(buckets.join(first.where("members > 1"), "bucket").select("bucket", "id", "first", "pivot"), "buckets")
-    ids = members.select("id").distinct()
-    own = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
-    texts = own.groupBy("id").agg(F.min("text").alias("text"))
-    details = stored(classes.join(texts, "id"), "bucket-members")
+    wanted = classes.join(members.select("id").distinct(), "id", "left_semi")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
+    texts = own.join(wanted.select("doc_id", "t"), ["doc_id", "t"], "left_semi").groupBy("doc_id", "t").agg(F.min("text").alias("text"))
+    details = stored(wanted.join(texts, ["doc_id", "t"]).drop("doc_id", "t"), "bucket-members")
 
     centres = members.groupBy(F.col("id").alias("x")).agg(F.min("first").alias("first"), F.sort_array(F.collect_set("pivot")).alias("pivots"))
     centres = centres.select(F.explode(F.array_union(F.array("first"), F.slice("pivots", 1, PIVOTS))).alias("c"), "x")
     tried = centres.where("c != x").select(F.least("c", "x").alias("c"), F.greatest("c", "x").alias("x"))
-    links = stored(verified(stored(tried.distinct(), "pairs"), details.select("id", "text"), shingle), "links")
+    links = stored(verified(stored(tried.distinct(), "pairs"), details.select("id", "text"), shingle).unionAll(united), "links")
 
     now = labelled(members.select("bucket", "id"), components(links))
     sizes = now.groupBy("bucket", "root").agg(F.count("*").alias("m"))
@@ -343,14 +346,22 @@ def similar_classes(classes: DataFrame, docs: DataFrame, shingle: int = SHINGLE,
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most_different: int = MOST_DIFFERENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (the smallest id of a component) of every row of ``docs``."""
     s = stored(signatures(docs, shingle), "signatures")
-    full = s.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("n_shingles", "a", "b").agg(F.min("doc_id").alias("id"))
-    same = full.select("doc_id", "n_shingles", "a", "b").join(classes, ["n_shingles", "a", "b"]).select("doc_id", "id").distinct()
-    same = stored(same, "classes")
-    leaders = full.join(same.where("doc_id = id").select("id"), F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
-    roots = similar_classes(leaders.select(F.col("doc_id").alias("id"), "bands", F.col("n_shingles").alias("n"), "s0", "s1", "s2"), docs, shingle, most_different)
-    names = labelled(same.select("doc_id", "id"), roots).select(F.col("doc_id").alias("_d"), F.col("root").alias("component_id")).distinct()
-    names = names.groupBy("_d").agg(F.min("component_id").alias("component_id"))
-    out = s.select("doc_id", "n_shingles").join(names, F.col("doc_id") == F.col("_d"), "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    digest = ["n_shingles", "a", "b"]
+    linkable = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    full = s.where(linkable)
+    # Equal sets have equal bands and sketches. The table is written, so that the numbers of its classes stay.
+    classes = full.groupBy(*digest).agg(F.min(F.struct("doc_id", "t")).alias("text"), *[F.first(c).alias(c) for c in ("bands", "s0", "s1", "s2")])
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("id"), "text.doc_id", "text.t", *digest, "bands", "s0", "s1", "s2"), "classes")
+
+    sets = F.struct(*digest)
+    several = full.groupBy("doc_id").agg(F.min(sets).alias("least"), F.max(sets).alias("most")).where("least != most").select("doc_id")
+    shared = full.select("doc_id", *digest).join(several, "doc_id").join(classes.select("id", *digest), digest).select("doc_id", "id").distinct()
+    united = shared.join(shared.groupBy("doc_id").agg(F.min("id").alias("c")), "doc_id").where("c != id").select("c", F.col("id").alias("x"))
+
+    compared = classes.select("id", "doc_id", "t", "bands", F.col("n_shingles").alias("n"), "s0", "s1", "s2")
+    rooted = labelled(classes.select("id", "doc_id", *digest), similar_classes(compared, docs, united, shingle, most_different))
+    smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = rooted.join(smallest, "root").select(*digest, "component_id")
+    out = full.select("doc_id", *digest).join(named, digest).select("doc_id", "n_shingles", "component_id")
+    alone = s.where(~linkable).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return out.unionAll(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
