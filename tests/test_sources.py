@@ -88,3 +88,30 @@ def test_images_boundaries_lines_and_stamps(spark, tmp_path):
     assert [r.label for r in views.choices(labelled, "label").collect()] == ["a", "b"]
     assert spark.range(1).select(views.percent(F.lit(0.9375))).first()[0] == "93.8%"
     assert policy.stamped(labelled).where("processed_at is not null").count() == 3
+
+
+def test_views_of_results(spark):
+    columns = "process string, volume long, total_duration_min double, avg_duration_s double, avg_app_switches double, avg_clipboard_ops double, friction double, roi_score double, rank long"
+    ranking = spark.createDataFrame([("b", 2, 3.0, 9.0, 1.0, 1.0, 2.0, 0.5, 2), ("a", 4, 3.0, 4.5, 1.0, 0.0, 1.0, 0.9, 1), ("c", 1, 1.0, 6.0, 0.0, 0.0, 0.0, 0.0, 3)], columns)
+    table = views.ranking_table(ranking)
+    assert table.columns == list(views.RANKING_TITLES.values()) and [r["Business Process"] for r in table.collect()] == ["a", "b", "c"]
+    bars = {r.place: (r.process, r.value) for r in views.bars(ranking, "total_duration_min").collect()}
+    assert bars == {1: ("c", 1.0), 2: ("a", 3.0), 3: ("b", 3.0)}  # ties by rank
+    assert sorted(map(tuple, views.scatter(ranking).collect()))[0] == ("a", 4, 0.9, 1.0)
+
+    segments = spark.createDataFrame([("s", 0, 1500, "x")], "session_id string, start_ms long, end_ms long, label string")
+    row = views.segment_table(segments).first().asDict()
+    assert list(row) == list(views.SEGMENT_TITLES.values()) and row["Duration (s)"] == 1.5 and row["Start (UTC)"].startswith("1970-01-01T00:00:00")
+
+    scores = [("s2", 3, 4, 0.5, 0.25), ("s1" + "x" * 60, 1, 1, 0.5, 1.0), ("s0", 2, 2, 0.0, 0.0), ("s9", 5, 5, 0.96875, 0.9375)]
+    scores = spark.createDataFrame(scores, "session_id string, pred_count long, true_exec_count long, boundary_f1 double, segment_f1 double")
+    got = [tuple(r) for r in views.session_report(scores).orderBy("place").collect()]
+    assert got == [(1, "s9", 5, 5, "96.9%", "93.8%"), (2, "s1" + "x" * 46, 1, 1, "50.0%", "100.0%"), (3, "s2", 3, 4, "50.0%", "25.0%"), (4, "s0", 2, 2, "0.0%", "0.0%")]
+
+    codes = spark.createDataFrame([("x", "p", 1), ("x", "q", 3), ("x", "o", 1), ("y", "p", 2), ("w", "z", 7)], "label string, code string, c long")
+    got = [tuple(r) for r in views.label_report(codes).orderBy("place").collect()]
+    assert got == [(1, "w", "100.0%", "z(7)"), (2, "y", "100.0%", "p(2)"), (3, "x", "60.0%", "q(3)  o(1)  p(1)")]
+
+    many = spark.createDataFrame([(f"s{i}",) for i in range(7)], "session_id string")
+    lines = lambda df: [r.line for r in views.warned(df).orderBy("place").collect()]
+    assert lines(many) == [f"- s{i}" for i in range(5)] + ["... and 2 more"] and lines(many.limit(0)) == [] and len(lines(many.where("session_id < 's5'"))) == 5

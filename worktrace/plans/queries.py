@@ -318,12 +318,14 @@ def eval_segment_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.segment_iou(_idle(spark, sf_dir, LONG_IDLE), _idle(spark, sf_dir))
 
 
-@query(f"""{CLEAN_SQL}, {_labelled_sql("p", LONG_IDLE)}, {_labelled_sql("t", IDLE)},
+_CODES_SQL = f"""{CLEAN_SQL}, {_labelled_sql("p", LONG_IDLE)}, {_labelled_sql("t", IDLE)},
 o AS (SELECT p.session_id, p.start_ms, p.label, t.label AS code, t.start_ms AS t0, least(p.end_ms, t.end_ms) - greatest(p.start_ms, t.start_ms) AS b, p.end_ms - p.start_ms + t.end_ms - t.start_ms AS s
   FROM p JOIN t ON p.session_id = t.session_id AND p.start_ms < t.end_ms AND t.start_ms < p.end_ms WHERE p.end_ms > p.start_ms AND t.end_ms > t.start_ms),
 k AS (SELECT *, row_number() OVER (PARTITION BY session_id, start_ms ORDER BY b / (s - b) DESC, t0) AS i FROM o WHERE b / (s - b) >= 0.5),
-c AS (SELECT label, code, count(*) AS c FROM k WHERE i = 1 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY c DESC, code) AS i, sum(c) OVER (PARTITION BY label) AS n FROM c)
-SELECT label, CAST(n AS BIGINT) AS n_matched, code AS top_code, CAST(c AS DOUBLE) / CAST(n AS DOUBLE) AS purity FROM r WHERE i = 1""")
+c AS (SELECT label, code, count(*) AS c FROM k WHERE i = 1 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY c DESC, code) AS i, sum(c) OVER (PARTITION BY label) AS n FROM c)"""
+
+
+@query(f"{_CODES_SQL} SELECT label, CAST(n AS BIGINT) AS n_matched, code AS top_code, CAST(c AS DOUBLE) / CAST(n AS DOUBLE) AS purity FROM r WHERE i = 1")
 def label_purity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.label_purity(_labelled(spark, sf_dir, LONG_IDLE), _labelled(spark, sf_dir).withColumnRenamed("label", "code"), BUCKET)
 
@@ -648,3 +650,30 @@ def supplier_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 WHEN kind = 'travel_transit' THEN amount <= 30000 WHEN kind = 'supplies' THEN amount <= 50000 ELSE true END AS limit_passed FROM q""")
 def expense_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.expense_audit(_claims(spark, sf_dir))
+
+
+@query("SELECT " + ", ".join(f'{c} AS "{t}"' for c, t in views.RANKING_TITLES.items()) + f" FROM ({ORACLES['roi_ranking']})")
+def ranking_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.ranking_table(roi_ranking(spark, sf_dir))
+
+
+_BARS = ("total_duration_min", "friction")
+
+
+@query(f"WITH shown AS MATERIALIZED ({ORACLES['roi_ranking']}) " + " UNION ALL ".join(
+    f"SELECT '{c}' AS series, row_number() OVER (ORDER BY {c}, rank) AS place, process, CAST({c} AS DOUBLE) AS value FROM shown" for c in _BARS))
+def ranking_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranking = stored(roi_ranking(spark, sf_dir), "ranking")
+    return views.bars(ranking, _BARS[0]).unionAll(views.bars(ranking, _BARS[1]))
+
+
+@query(f"""{_EVALUATED_SQL} SELECT row_number() OVER (ORDER BY round(-boundary_f1, 9), session_id) AS place, left(session_id, {views.SESSION_WIDTH}) AS session, pred_count, true_exec_count,
+format('{{:.1f}}%', boundary_f1 * 100) AS boundary_f1, format('{{:.1f}}%', segment_f1 * 100) AS segment_f1 FROM scores""")
+def session_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.session_report(session_evaluation(spark, sf_dir))
+
+
+@query(f"""{_CODES_SQL}, s AS (SELECT label, CAST(max(c) AS DOUBLE) / CAST(sum(c) AS DOUBLE) AS share, string_agg(code || '(' || c || ')', '  ' ORDER BY c DESC, code) AS codes FROM c GROUP BY 1)
+SELECT row_number() OVER (ORDER BY round(-share, 9), label) AS place, label, format('{{:.1f}}%', share * 100) AS purity, codes FROM s""")
+def label_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.label_report(evaluate.label_codes(_labelled(spark, sf_dir, LONG_IDLE), _labelled(spark, sf_dir).withColumnRenamed("label", "code"), BUCKET))
