@@ -160,3 +160,32 @@ def test_context_of_model_windows(spark):
     one, two = chain.with_context(docs, events).orderBy("start_ms").collect()
     assert (one.window_titles, one.urls, one.apps_seen, one.extracted_texts, one.anchor_texts) == (["S", "T"], ["u", "v"], ["A", "B"], [" say ", "then"], ["b", "a"])
     assert (two.window_titles, two.anchor_texts) == ([], [])
+
+
+def test_equal_documents_are_learned_from_once(spark):
+    rows = [(f"d{i}", f"payroll sheet {i % 5}" if i % 3 else f"tax notice {i % 5}", float(i % 3 > 0)) for i in range(300)]
+    df = spark.createDataFrame(rows, "key string, text string, label double")
+    seen = []
+    with_features, ml.with_features = ml.with_features, lambda docs, *a: seen.append(docs.count()) or with_features(docs, *a)
+    try:
+        model = ml.fit_labels(df, rounds=50)
+    finally:
+        ml.with_features = with_features
+    assert seen == [10]  # bags of words and labels, not 300 documents
+    one = ml.fit_labels(df.unionAll(df).unionAll(df), rounds=50)  # thrice the documents: the same loss but for the penalty
+    assert np.allclose(model.stages[-1].coefficientMatrix.toArray()[0] > 0, one.stages[-1].coefficientMatrix.toArray()[0] > 0)
+    assert all(r.label == r.prediction for r in ml.predicted_labels(model, df).collect())
+
+
+def test_grams_are_counted_where_documents_are(spark):
+    docs = spark.createDataFrame([(1, "pay Pay x"), (2, "pay"), (2, "tax pay"), (3, None), (4, "")], "doc_id long, text string")
+
+    def moved(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+
+    got = {r.gram: r.n_documents for r in stats.ngram_documents(docs).collect()}
+    texts = {1: "pay pay x", 2: "pay tax pay", 3: "", 4: ""}
+    want = Counter(g for t in texts.values() for g in {f" {w} "[i : i + n] for w in t.replace(" ", "~").split() for n in (1, 2, 3) for i in range(len(w) + 3 - n)})
+    assert got == {g.replace("~", " "): n for g, n in want.items()}
+    assert not moved(ml.gram_counts(docs, "doc_id")) and not moved(ml.tfidf(docs.where("doc_id <> 2"), "doc_id"))

@@ -11,15 +11,16 @@ from pyspark.sql import functions as F
 
 from worktrace.functions.columns import f1, ratio
 from worktrace.operators.features import NAMES
+from worktrace.operators.grams import gram_lists, gram_totals, weight_lists, with_features, word_bag
 from worktrace.operators.scan import dealt, running
-from worktrace.operators.stats import char_ngrams, class_weights, ordered_split
+from worktrace.operators.stats import class_weights, ordered_split
 from worktrace.operators.trees import Trees, fit_trees
 from worktrace.sources.storage import stored
 
 
-def weighted(df: DataFrame, label: str = "label") -> DataFrame:
-    """Adds the balanced class weight; there are as many weights as classes."""
-    return df.join(F.broadcast(class_weights(df, label).select(label, "weight")), label)
+def weighted(df: DataFrame, label: str = "label", copies: str | None = None) -> DataFrame:
+    """Adds the balanced class weight; there are as many weights as classes. ``copies`` is how many rows a row stands for."""
+    return df.join(F.broadcast(class_weights(df, label, copies).select(label, "weight")), label)
 
 
 def fit_boundaries(features: DataFrame, rounds: int = 150) -> Trees:
@@ -93,54 +94,58 @@ def boundary_probability(model: Trees, features: DataFrame) -> DataFrame:
     return model.transform(features).select("session_id", "timestamp_ms", "seq", "p")
 
 
-def vocabulary(counts: DataFrame, n: int, words: int = 5000, min_df: int = 2) -> DataFrame:
+def vocabulary(totals: DataFrame, n: int, words: int = 5000, min_df: int = 2) -> DataFrame:
     """gram, n_documents and idf of the ``words`` most frequent grams that ``min_df`` documents hold; equal counts by the gram itself.
 
-    ``counts`` has key, gram and count; ``n`` is the number of documents, those without grams included. idf is log((1 + n) / (1 + df)) + 1.
+    ``totals`` has gram, total and n_documents, or key, gram and count; ``n`` is the number of documents, those without grams included.
+    idf is log((1 + n) / (1 + df)) + 1.
     """
-    grams = counts.groupBy("gram").agg(F.sum("count").alias("total"), F.count("*").alias("n_documents")).where(F.col("n_documents") >= min_df)
-    top = grams.orderBy(F.desc("total"), "gram").limit(words)
+    if "count" in totals.columns:
+        totals = totals.groupBy("gram").agg(F.sum("count").alias("total"), F.count("*").alias("n_documents"))
+    top = totals.where(F.col("n_documents") >= min_df).orderBy(F.desc("total"), "gram").limit(words)
     return top.select("gram", "n_documents", (F.log(F.lit(1.0 + n) / (1.0 + F.col("n_documents"))) + 1.0).alias("idf"))
 
 
 def gram_counts(documents: DataFrame, key: str) -> DataFrame:
     """key, gram and count: how often each document (key, text) holds each run of one to three characters of its padded words."""
-    words = documents.select(F.col(key).alias("key"), F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).where("word <> ''")
-    counts = words.groupBy("key", "word").agg(F.count("*").alias("_n"))
-    grams = counts.select("key", "_n", F.explode(char_ngrams(F.col("word"))).alias("gram"))
-    return grams.groupBy("key", "gram").agg(F.sum("_n").alias("count"))
+    return gram_lists(documents, key).select("key", F.inline("grams"))
 
 
 def tfidf(documents: DataFrame, key: str, words: int = 5000, min_df: int = 2) -> DataFrame:
-    """key, gram and weight: count times idf of the vocabulary's grams, of unit length per document. Keys are distinct."""
-    counts = stored(gram_counts(documents, key), "grams")
-    known = vocabulary(counts, documents.count(), words, min_df)
-    # As many rows as the vocabulary has.
-    raw = counts.join(F.broadcast(known), "gram").select("key", "gram", (F.col("count") * F.col("idf")).alias("raw"))
-    norms = raw.groupBy(F.col("key").alias("_key")).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norms, F.col("key").eqNullSafe(F.col("_key"))).select("key", "gram", (F.col("raw") / F.col("norm")).alias("weight"))
+    """key, gram and weight: count times idf of the vocabulary's grams, of unit length per document. Keys are distinct.
+
+    Grams are counted and weighed where the document is; the vocabulary and its weights, ``words`` at most, pass through the driver.
+    """
+    kept = stored(documents.select(F.col(key).alias("key"), "text"), "texts")
+    known = vocabulary(gram_totals(kept), kept.count(), words, min_df).orderBy("gram").collect()
+    return weight_lists(kept, "key", [r["gram"] for r in known], [r["idf"] for r in known]).select("key", F.inline("weights"))
 
 
 def fit_labels(documents: DataFrame, rounds: int = 500, words: int = 5000, min_df: int = 2) -> PipelineModel:
     """Logistic regression over TF-IDF of character n-grams, the weights of ``tfidf``; ``documents`` has text and a numeric label.
 
-    The vocabulary and its weights, ``words`` at most, are the only values that pass through the driver.
+    Documents with the same words and label are one row with the sum of their weights, which leaves the loss what it is. The vocabulary
+    and its weights, ``words`` at most, are the only values that pass through the driver.
     """
-    kept = stored(documents.select("text", "label"), "label-documents")
-    n = kept.count()
-    counts = gram_counts(kept.withColumn("_id", F.monotonically_increasing_id()), "_id")
-    known = vocabulary(counts, n, words, min_df).orderBy("gram").collect()
+    bags = documents.select("label", word_bag(F.col("text")).alias("text")).groupBy("label", "text").agg(F.count("*").alias("copies"))
+    kept = stored(bags, "label-documents")
+    n = kept.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    known = vocabulary(gram_totals(kept), n, words, min_df).orderBy("gram").collect()
     if not known:
         raise ValueError(f"no n-gram is in {min_df} documents")
+    grams, idf = [r["gram"] for r in known], [r["idf"] for r in known]
     stages = [
-        CountVectorizerModel.from_vocabulary([r["gram"] for r in known], "grams", "counts"), ElementwiseProduct(scalingVec=Vectors.dense([r["idf"] for r in known]), inputCol="counts", outputCol="tfidf"),
+        CountVectorizerModel.from_vocabulary(grams, "grams", "counts"), ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="counts", outputCol="tfidf"),
         Normalizer(inputCol="tfidf", outputCol="features"),
     ]
-    vectors = PipelineModel(stages)
+    # As many tasks as cores: each round goes over all rows.
+    spread = weighted(kept, copies="copies").repartition(kept.sparkSession.sparkContext.defaultParallelism)
+    rows = with_features(spread.select("text", "label", (F.col("weight") * F.col("copies")).alias("weight")), grams, idf)
     model = LogisticRegression(maxIter=rounds, regParam=1 / (5 * max(1, n)), standardization=False, weightCol="weight")
-    fitted = model.fit(vectors.transform(weighted(kept).withColumn("grams", char_ngrams(F.coalesce("text", F.lit(""))))))
-    return PipelineModel([*stages, fitted])
+    return PipelineModel([*stages, model.fit(stored(rows.drop("text"), "label-vectors"))])
 
 
 def predicted_labels(model: PipelineModel, documents: DataFrame) -> DataFrame:
-    return model.transform(documents.withColumn("grams", char_ngrams(F.coalesce("text", F.lit("")))))
+    """``documents`` with what the model of ``fit_labels`` says; features are made without the grams of each document as rows."""
+    counts, scaled = model.stages[0], model.stages[1]
+    return model.stages[-1].transform(with_features(documents, counts.vocabulary, scaled.getScalingVec().toArray().tolist()))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from worktrace.operators.grams import gram_lists, gram_totals
 from worktrace.operators.scan import dealt, running
-from worktrace.sources.storage import global_index
+from worktrace.sources.storage import global_index, stored
 
 
 def at_rank(df: DataFrame, column: str, shares: dict[str, float], *keys: str) -> DataFrame:
@@ -51,9 +52,9 @@ def consecutive_repeats(df: DataFrame, key: str, order: str, value: str) -> Data
     return df.select(key, (F.col(value) == F.lag(value).over(w)).alias("same")).groupBy(key).agg(F.count_if("same").alias("n_repeats"))
 
 
-def class_weights(df: DataFrame, label: str) -> DataFrame:
-    """label, n and weight n_all / (classes * n)."""
-    counts = df.groupBy(label).agg(F.count("*").alias("n"))
+def class_weights(df: DataFrame, label: str, copies: str | None = None) -> DataFrame:
+    """label, n and weight n_all / (classes * n); ``copies`` is how many rows a row stands for."""
+    counts = df.groupBy(label).agg((F.sum(copies) if copies else F.count("*")).alias("n"))
     all_ = counts.agg(F.sum("n").alias("_all"), F.count("*").alias("_k"))
     return counts.join(F.broadcast(all_), F.lit(True)).select(label, "n", (F.col("_all") / (F.col("_k") * F.col("n"))).alias("weight"))
 
@@ -66,15 +67,17 @@ def ordered_split(df: DataFrame, *order: str, share: float = 0.8) -> DataFrame:
 
 
 def ngram_documents(docs: DataFrame, low: int = 1, high: int = 3) -> DataFrame:
-    """gram and n_documents, the number of rows of ``docs`` (doc_id, text) that hold it.
+    """gram and n_documents, the number of documents of ``docs`` (doc_id, text) that hold it.
 
-    Each distinct word is cut once. Words meet their grams as one row with an array, and a document's arrays become one set, so
-    that no (document, gram) pair is made twice.
+    A document's grams are found and counted where it is, so that only a count for each gram and task moves. Rows of one doc_id are one
+    document: only where an id is repeated, its grams are made distinct first.
     """
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("word")).where("word <> ''")
-    grams = words.select("word").distinct().select("word", F.array_distinct(char_ngrams(F.col("word"), low, high)).alias("grams"))
-    sets = words.join(grams, "word").groupBy("doc_id").agg(F.collect_list("grams").alias("grams"))
-    return sets.select(F.explode(F.array_distinct(F.flatten("grams"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n_documents"))
+    repeated = stored(docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")), "repeated")
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    once = gram_totals(docs.join(repeated, same, "left_anti"), low, high).select("gram", "n_documents")
+    pairs = gram_lists(docs.join(repeated, same, "left_semi"), "doc_id", low, high).select("key", F.explode("grams.gram").alias("gram")).distinct()
+    more = pairs.groupBy("gram").agg(F.count("*").alias("n_documents"))
+    return once.unionAll(more).groupBy("gram").agg(F.sum("n_documents").alias("n_documents"))
 
 
 def char_ngrams(text, low: int = 1, high: int = 3):
