@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,6 @@ def cutter(low: int = 1, high: int = 3) -> Callable[[str | None], dict[str, int]
                     counts[gram] = counts.get(gram, 0) + n * k
         return counts
 
-    cut.of = of
     return cut
 
 
@@ -63,18 +63,38 @@ def word_bag(text: Column) -> Column:
     return F.array_join(F.array_sort(F.array_remove(F.split(F.lower(text), r"\s+"), "")), " ")
 
 
+def gram_set(text: str | None, low: int, high: int) -> set[str]:
+    """The distinct grams of a text. Those that hold two spaces lie over the end of a word and are none: the caller drops them."""
+    p = "".join([f" {word} " for word in set(SPACE.split(text or "")) if word])
+    runs, out = p, set()
+    for k in range(1, high + 1):
+        if k > 1:
+            runs = list(map(add, runs, p[k - 1 :]))
+        if k >= low:
+            out.update(runs)
+    return out
+
+
 def gram_documents(documents: DataFrame, low: int = 1, high: int = 3) -> DataFrame:
-    """gram and n_documents, the number of rows of ``documents`` (text) that hold it."""
+    """gram and n_documents, the number of rows of ``documents`` (text) that hold it; ``high`` is 3 at most, as long as the shortest word is
+    with its spaces."""
+    if high > 3:
+        return gram_totals(documents, low, high).select("gram", "n_documents")
 
     def run(batches):
-        of, held = cutter(low, high).of, Counter()
+        held: Counter[str] = Counter()
+
+        def out():
+            found = [(g, n) for g, n in held.items() if "  " not in g]
+            return pa.RecordBatch.from_arrays([pa.array([g for g, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["gram", "n"])
+
         for batch in batches:
             for text in batch.column(0):
-                held.update(set().union(*map(of, set(SPACE.split(text.as_py() or "")) - {""})))
+                held.update(gram_set(text.as_py(), low, high))
                 if len(held) >= KEPT_GRAMS:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["gram", "n"])
+                    yield out()
                     held.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["gram", "n"])
+        yield out()
 
     parts = documents.select(F.lower("text").alias("text")).mapInArrow(run, "gram string, n long")
     return parts.groupBy("gram").agg(F.sum("n").alias("n_documents"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from worktrace.operators.grams import gram_lists, gram_totals
+from worktrace.operators.grams import gram_documents, gram_lists
 from worktrace.operators.scan import dealt, running
 from worktrace.sources.storage import global_index, stored
 
@@ -74,7 +74,7 @@ def ngram_documents(docs: DataFrame, low: int = 1, high: int = 3) -> DataFrame:
     """
     repeated = stored(docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")), "repeated")
     same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    once = gram_totals(docs.join(repeated, same, "left_anti"), low, high).select("gram", "n_documents")
+    once = gram_documents(docs.join(repeated, same, "left_anti"), low, high)
     pairs = gram_lists(docs.join(repeated, same, "left_semi"), "doc_id", low, high).select("key", F.explode("grams.gram").alias("gram")).distinct()
     more = pairs.groupBy("gram").agg(F.count("*").alias("n_documents"))
     return once.unionAll(more).groupBy("gram").agg(F.sum("n_documents").alias("n_documents"))
