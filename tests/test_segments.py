@@ -287,3 +287,24 @@ def test_times_are_utc_in_any_zone(spark, zone):
         assert all(r.ms == r.got for r in got)
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_contexts_without_joins_equal_those_by_join(spark):
+    rng = random.Random(8)
+    rows = [e for i in range(8) for e in random_session(rng, f"ses_{i}", 150, 0.1)]
+    rows.append((None, 5, 1, "app_switch", "Notepad", "x", "x", "", None))
+    events = spark.createDataFrame(rows, EVENT).repartition(5)
+    spoken = events.withColumn("texts", F.when(F.col("seq") % 3 > 0, F.array(F.col("seq").cast("string"), F.lit("t"))).otherwise(F.array().cast("array<string>")))
+    key = lambda r: repr(sorted(r.asDict().items()))
+    same = lambda one, two: sorted(map(key, one.collect())) == sorted(map(key, two.collect()))
+    for e in (events, spoken):
+        assert same(segment.idle_context(e, 60_000), segment.with_context(segment.idle_segments(e, 60_000), e))
+        assert same(segment.rule_context(e, most_texts=3), segment.with_context(segment.rule_segments(e), e, most_texts=3))
+
+
+def test_contexts_are_made_once(spark):
+    """A context joins no events with segments, and what reads it does not make it anew."""
+    events = spark.createDataFrame(random_session(random.Random(3), "s", 300, 0.1), EVENT)
+    for made in (segment.idle_context(events, 60_000), segment.rule_context(events)):
+        plan = made._jdf.queryExecution().toString()
+        assert "Join" not in plan and "Aggregate" not in plan and "parquet" in plan

@@ -93,7 +93,7 @@ def segments(
             from worktrace.functions.columns import keeps_event
 
             events = events.where(keeps_event(F.col("event_type"), F.col("ctrl"), F.col("key"), F.col("element_text")))
-        return segment.merged_segments(segment.with_context(segment.rule_segments(events, rules), events, bucket_ms), rules)
+        return segment.merged_segments(segment.rule_context(events, rules), rules)
     p = ml.boundary_probability(boundary, features.features(events)).select("session_id", "timestamp_ms", "seq", "p")
     likely = events.join(p, ["session_id", "timestamp_ms", "seq"])
     return merged(label(windows(likely, min_ms=rules.min_ms, bucket_ms=bucket_ms, **thresholds)), events, rules, bucket_ms)

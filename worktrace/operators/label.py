@@ -130,8 +130,9 @@ def predict_label(primary: Column, urls: Column) -> Column:
     """The label of a context: ``primary`` joins titles and texts, ``urls`` the addresses.
 
     The first rule that holds ends the search. Rules that need a port are asked only where the text has it, and codes are
-    extracted only where no earlier rule holds. The texts are bound once, by a transform of an array of one element; its body is
-    not compiled, as a CASE of all rules would outgrow a compiled method.
+    extracted only where no earlier rule holds, from texts with a hyphen before a digit. Words without ASCII are looked for in what is left of a
+    text without ASCII, which is short where texts are addresses. The texts are bound once, by a transform of an array of one element; its
+    body is not compiled, as a CASE of all rules would outgrow a compiled method.
     """
     p, u = F.lower(F.coalesce(primary, F.lit(""))), F.lower(F.coalesce(urls, F.lit("")))
 
@@ -144,8 +145,9 @@ def predict_label(primary: Column, urls: Column) -> Column:
     def step(t: Column, where: str, needed: str, block: list[tuple[str, str, str, str]]) -> Column:
         if where == "codes":
             joined = F.array_join(F.regexp_extract_all(t["full"], F.lit(rf"(?iU)\b(?:{'|'.join(c for c, _ in CODES)})-\d"), F.lit(0)), " ")
-            return F.get(F.transform(F.array(joined), lambda c: first([(c.contains(word), found) for _, word, _, found in block])), F.lit(0))
-        found = first([(t[at].contains(word), label) for at, word, _, label in block])
+            named = F.get(F.transform(F.array(joined), lambda c: first([(c.contains(word), found) for _, word, _, found in block])), F.lit(0))
+            return F.when(t["full"].rlike(r"(?U)-\d"), named)
+        found = first([(t[f"wide_{at}" if not any(c.isascii() for c in word) else at].contains(word), label) for at, word, _, label in block])
         return F.when(t["full"].contains(needed), found) if needed else found
 
     def search(t: Column) -> Column:
@@ -153,8 +155,15 @@ def predict_label(primary: Column, urls: Column) -> Column:
         steps = [step(t, "codes" if codes else "", needed, list(block)) for (codes, needed), block in blocks]
         return F.coalesce(*steps, F.lit(UNKNOWN))
 
-    texts = F.struct(p.alias("primary"), u.alias("urls"), F.concat_ws(" ", p, u).alias("full"))
-    return F.get(F.transform(F.array(texts), search), F.lit(0))
+    def wide(t: Column) -> Column:
+        own, addresses = (F.regexp_replace(t[at], r"[\x00-\x7F]+", " ") for at in ("primary", "urls"))
+        return F.struct(t["primary"].alias("primary"), t["urls"].alias("urls"), F.concat_ws(" ", t["primary"], t["urls"]).alias("full"), own.alias("wide_primary"), addresses.alias("wide_urls"))
+
+    def whole(t: Column) -> Column:
+        return F.struct(*[t[c].alias(c) for c in ("primary", "urls", "full", "wide_primary", "wide_urls")], F.concat_ws(" ", t["wide_primary"], t["wide_urls"]).alias("wide_full"))
+
+    texts = F.array(F.struct(p.alias("primary"), u.alias("urls")))
+    return F.get(F.transform(F.transform(F.transform(texts, wide), whole), search), F.lit(0))
 
 
 def predict_label_sql(primary: str, urls: str) -> str:

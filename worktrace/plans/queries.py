@@ -220,7 +220,7 @@ SELECT m.*, flatten(list(texts ORDER BY s.start_ms)) AS extracted_texts FROM mer
 def merged_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule segments with their context; texts count in it, but label nothing here, since no rule knows them."""
     events = _read(spark, sf_dir)
-    return segment.merged_segments(segment.with_context(segment.rule_segments(events, RULES), events), RULES)
+    return segment.merged_segments(segment.rule_context(events, RULES), RULES)
 
 
 _PEAKS_SQL = f"""c AS (SELECT session_id, timestamp_ms, value / 500 AS p, row_number() OVER {_W} AS i FROM tele WHERE value / 500 >= {PEAK}),

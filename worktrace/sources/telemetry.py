@@ -154,8 +154,9 @@ APPS = ("Google Chrome", "Microsoft Excel", "Notepad")
 
 
 def tele(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    k = F.get_json_object("props", "$.k").cast("int")
+    # A column of its own first, so that a row's JSON is parsed once, however many columns are made of it.
+    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    k = F.col("k")
     kind = F.element_at(F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv]), F.col("event_type"))
     system = (k / 3).cast("int") % 3
     pick = lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]), i + 1)
@@ -163,7 +164,7 @@ def tele(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         F.concat(F.lit("ses_"), F.col("user_id").cast("string"), F.lit("-000000-M"), (F.col("user_id") % 4).cast("string")).alias("session_id"),
         F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) div 1000").alias("timestamp_ms"),
-        F.col("event_id").alias("seq"), kind.alias("event_type"), k.alias("k"), pick(APPS, k % 3).alias("app_name"),
+        F.col("event_id").alias("seq"), kind.alias("event_type"), "k", pick(APPS, k % 3).alias("app_name"),
         pick(PORTALS, system).alias("window_title"),
         F.concat(F.lit("http://127.0.0.1:"), (5122 + system).cast("string"), F.lit("/#/"), page).alias("url"),
         F.when((kind == "clipboard_change") & (k > 0), F.concat(F.lit("len_"), k.cast("string"))).alias("anchor"), "value",
