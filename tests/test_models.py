@@ -190,3 +190,16 @@ def test_grams_are_counted_where_documents_are(spark):
     assert got == want
     assert not moved(grams.gram_lists(docs, "doc_id"))
     assert not moved(ml.gram_counts(docs, "doc_id")) and not moved(ml.tfidf(docs.where("doc_id <> 2"), "doc_id"))
+
+
+def test_equal_rows_are_learned_once_with_their_number():
+    rng = np.random.default_rng(5)
+    bins, label = rng.integers(0, 4, (3000, 3)).astype(np.uint8), rng.integers(0, 2, 3000).astype(float)
+    weight = np.where(label > 0, 0.75, 1.5)
+    rows, labels, weights, copies = trees.counted(bins, label, weight)
+    assert len(rows) == len({(*b, y) for b, y in zip(bins.tolist(), label)}) <= 128 and copies.sum() == 3000
+    plain = trees.grow(bins, weight * (0.3 - label), weight * 0.21, 0.1, 6, 20)
+    once = trees.grow(rows, copies * weights * (0.3 - labels), copies * weights * 0.21, 0.1, 6, 20, copies)
+    assert np.allclose(plain.values(bins), once.values(bins), atol=1e-12)
+    found, place = trees.distinct(bins)
+    assert len(found) == 64 and (found[place] == bins).all() and [len(x) for x in trees.distinct(bins[:0])] == [0, 0]

@@ -73,11 +73,11 @@ class Trees:
 
         def run(batches):
             for batch in batches:
-                score = np.full(batch.num_rows, base)
-                bins = binned(batch, names, cuts)
+                bins, place = distinct(binned(batch, names, cuts))
+                score = np.full(len(bins), base)
                 for tree in trees:
                     score += tree.values(bins)
-                yield batch.append_column("p", pa.array(1 / (1 + np.exp(-score))))
+                yield batch.append_column("p", pa.array((1 / (1 + np.exp(-score)))[place]))
 
         schema = rows.drop("p").schema
         return rows.drop("p").mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", p double")
@@ -97,6 +97,23 @@ def binned(batch: pa.RecordBatch, names: Sequence[str], cuts: Sequence[np.ndarra
     return np.column_stack([np.searchsorted(c, x) for c, x in zip(cuts, columns)]).astype(np.uint8)
 
 
+def distinct(bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of bins (uint8), and for each row the place of its own among them."""
+    if not bins.size:
+        return bins[: min(1, len(bins))], np.zeros(len(bins), np.int64)
+    rows = np.ascontiguousarray(bins).view(np.dtype((np.void, bins.shape[1]))).ravel()
+    _, first, place = np.unique(rows, return_index=True, return_inverse=True)
+    return bins[first], place.ravel()
+
+
+def counted(bins: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The different rows of (bins, label, weight) and how often each is there."""
+    values = np.column_stack([label, weight]).astype(np.float64)
+    rows, place = distinct(np.hstack([bins, values.view(np.uint8)]))
+    values = np.ascontiguousarray(rows[:, bins.shape[1] :]).view(np.float64)
+    return rows[:, : bins.shape[1]].copy(), values[:, 0].copy(), values[:, 1].copy(), np.bincount(place, minlength=len(rows)).astype(float)
+
+
 def bin_cuts(rows: DataFrame, names: Sequence[str], bins: int = BINS) -> list[np.ndarray]:
     """The values that end the bins of each feature but the last."""
     shares = [i / bins for i in range(1, bins)]
@@ -104,12 +121,12 @@ def bin_cuts(rows: DataFrame, names: Sequence[str], bins: int = BINS) -> list[np
     return [np.unique([x for x in found[n] or [] if x < found["_" + n]]) for n in names]
 
 
-def _sums(bins: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Gradients, hessians and counts (3 x feature x bin) of some rows."""
+def _sums(bins: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, rows: np.ndarray, copies: np.ndarray | None = None) -> np.ndarray:
+    """Gradients, hessians and counts (3 x feature x bin) of some rows; ``copies`` is how many rows a row stands for."""
     features, width = bins.shape[1], BINS + 1
     at = (bins[rows] + np.arange(features) * width).ravel()
     each = lambda x: np.repeat(x[rows], features)
-    parts = [np.bincount(at, weights, features * width) for weights in (each(gradient), each(hessian), None)]
+    parts = [np.bincount(at, weights, features * width) for weights in (each(gradient), each(hessian), None if copies is None else each(copies))]
     return np.stack(parts).reshape(3, features, width)
 
 
@@ -125,11 +142,11 @@ def best_split(sums: np.ndarray, least_rows: int) -> tuple[float, int, int]:
     return float(gain[feature, at]), int(feature), int(at)
 
 
-def grow(bins: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, step: float, leaves: int, least_rows: int) -> Tree:
-    """A tree for the gradients and hessians of rows; the leaf of the greatest gain is split first, of equal ones the first made."""
+def grow(bins: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, step: float, leaves: int, least_rows: int, copies: np.ndarray | None = None) -> Tree:
+    """A tree for the gradients and hessians of rows (sums, where a row stands for ``copies`` of them); the leaf of the greatest gain is split first, of equal ones the first made."""
     tree = Tree()
     rows = {0: np.arange(len(bins))}
-    sums = {0: _sums(bins, gradient, hessian, rows[0])}
+    sums = {0: _sums(bins, gradient, hessian, rows[0], copies)}
     open_: list[tuple[float, int, int, int]] = []  # (-gain, node, feature, bin)
 
     def offer(node: int) -> None:
@@ -145,7 +162,7 @@ def grow(bins: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, step: floa
         children = tree.split(node, feature, at)
         rows |= dict(zip(children, (own[goes], own[~goes])))
         small, large = sorted(children, key=lambda c: len(rows[c]))
-        sums[small] = _sums(bins, gradient, hessian, rows[small])
+        sums[small] = _sums(bins, gradient, hessian, rows[small], copies)
         sums[large] = whole - sums[small]
         for child in children:
             offer(child)
@@ -161,11 +178,13 @@ def boosted(
     """Trees of the logistic loss, and the score that all begin with; classes of one kind alone give no trees.
 
     A share of ``held`` rows is not learned from: when none of the last ``patience`` trees has made the loss of these less than it was before
-    them, no more are made.
+    them, no more are made. Rows of the same bins, label and weight are one row with their number, so that a round costs time by
+    different rows.
     """
     aside = np.random.default_rng(seed).random(len(bins)) < held
-    test_bins, test_label, test_weight = bins[aside], label[aside], weight[aside]
-    bins, label, weight = bins[~aside], label[~aside], weight[~aside]
+    test_bins, test_label, test_weight, test_copies = counted(bins[aside], label[aside], weight[aside])
+    bins, label, weight, copies = counted(bins[~aside], label[~aside], weight[~aside])
+    test_weight, weight = test_weight * test_copies, weight * copies
     one, zero = float((weight * label).sum()), float((weight * (1 - label)).sum())
     if not one or not zero:
         return [], 20.0 if one else -20.0 if zero else 0.0
@@ -178,7 +197,7 @@ def boosted(
     losses = [loss()]
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-score))
-        tree = grow(bins, weight * (p - label), weight * p * (1 - p), step, leaves, least_rows)
+        tree = grow(bins, weight * (p - label), weight * p * (1 - p), step, leaves, least_rows, copies)
         trees.append(tree)
         if tree.feature[0] < 0:
             break
@@ -205,7 +224,9 @@ def fit_trees(rows: DataFrame, names: Sequence[str], rounds: int = 150, step: fl
     def as_bins(batches):
         for batch in batches:
             y, w = (batch.column(batch.schema.get_field_index(c)).cast(pa.float64()) for c in ("label", "weight"))
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in binned(batch, names, cuts)], pa.binary()), y, w], names=["bins", "label", "weight"])
+            bins = np.ascontiguousarray(binned(batch, names, cuts))
+            rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(len(names)), len(bins), [None, pa.py_buffer(bins)])
+            yield pa.RecordBatch.from_arrays([rows.cast(pa.binary()), y, w], names=["bins", "label", "weight"])
 
     def fitted(batches):
         parts = [(b"".join(b.column(0).to_pylist()), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches]
