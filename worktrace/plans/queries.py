@@ -40,7 +40,7 @@ def _idle(spark: SparkSession, sf_dir: str, gap: int = IDLE) -> DataFrame:
 
 
 def _labelled(spark: SparkSession, sf_dir: str, gap: int = IDLE) -> DataFrame:
-    return segment.with_context(_idle(spark, sf_dir, gap), _clean(spark, sf_dir), BUCKET)
+    return segment.idle_context(_clean(spark, sf_dir), gap)
 
 
 CLEAN_SQL = f"WITH RECURSIVE {TELE_SQL}, clean AS (SELECT * FROM tele WHERE event_type <> 'mouse_scroll')"
