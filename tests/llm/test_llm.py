@@ -2,13 +2,18 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from worktrace.llm import fingerprints, line_dedup, minhash, mixing, packing, quality_fm, quality_rules, queries, token_counts, toxicity, warc
+from worktrace.llm.common import slices
 
 SF = "/root/testdata/sf0.001"
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -391,6 +396,54 @@ def test_quality_counts_capitals_alike_at_all_lengths():
         assert share(text) == pytest.approx(share(text * 100)) and share(text) == sum(map(str.isupper, text)) / len(text) * 2
 
 
+class Caught:
+    """Stands for a DataFrame of documents; keeps the function that workers run."""
+
+    columns, schema = ["doc_id", "text"], {"doc_id": SimpleNamespace(dataType=LongType())}
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+
+
+def test_workers_hold_a_slice_of_a_batch_and_forget_it():
+    texts = [f"{i} " + " ".join(f"w{i}x{j}" for j in range(2_000)) for i in range(1_200)]
+    texts[3:5] = [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    tracemalloc.start()
+    seen = 0
+    for ids, part in slices(batch, 1 << 20):
+        assert part == texts[seen : seen + len(ids)] and ids == list(range(seen, seen + len(ids)))
+        seen += len(ids)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == len(texts) and most < batch.nbytes / 4
+
+    docs = Caught()
+    toxicity.without_toxic(docs, toxicity.Lexicon({"<w7x>": 20.0}))
+    out = list(docs.run(iter([batch])))
+    assert max(b.nbytes for b in out) < batch.nbytes / 4
+    assert [i for b in out for i in b.column(0).to_pylist()] == [i for i in range(len(texts)) if i != 7]
+
+    few = batch.slice(0, 120)
+    packing.pieces(docs)
+    encode = packing._encoder(packing.TOKENIZER)
+    got = {(i, p): (n, c) for b in docs.run(iter([few])) for i, p, n, c in zip(*(b.column(k).to_pylist() for k in (0, 1, 3, 4)))}
+    assert not encode.parts and not encode.kept
+    end = (packing.SEPARATOR).to_bytes(4, "little")
+    for i, text in enumerate(texts[:120]):
+        ids = encode.whole(text or "") + end
+        assert sum(n for (d, _), (n, _) in got.items() if d == i) == len(ids) // 4
+        assert got[i, 0][1] == zlib.crc32(ids[: 4 * got[i, 0][0]])
+    encode.batch([text or "" for text in texts[:64]])
+    assert encode.kept
+    encode.kept = packing.MOST_BYTES + 1
+    assert encode.batch(["one two"]) == [encode.whole("one two")] and len(encode.parts) == 1
+    encode.forget()
+
+
 def test_packing_is_whole_and_gapless(spark, docs, texts, odd):
     from tokenizers import Tokenizer
 

@@ -70,13 +70,19 @@ class Cache(dict):
 
 
 def slices(batch, max_bytes: int = 8 << 20):
-    """(ids, texts) lists of an Arrow batch of (doc_id, text), each of about ``max_bytes`` of text at most."""
-    ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-    start = used = 0
-    for i, text in enumerate(texts):
-        used += len(text or "") + 64
+    """(ids, texts) lists of an Arrow batch of (doc_id, text), each of about ``max_bytes`` of text at most.
+
+    Only one slice is in Python objects at a time, however large the batch.
+    """
+    ids: list = []
+    texts: list = []
+    used = 0
+    for doc_id, text in zip(batch.column(0), batch.column(1)):
+        ids.append(doc_id.as_py())
+        texts.append(text.as_py())
+        used += len(texts[-1] or "") + 64
         if used >= max_bytes:
-            yield ids[start : i + 1], texts[start : i + 1]
-            start, used = i + 1, 0
-    if start < len(ids):
-        yield ids[start:], texts[start:]
+            yield ids, texts
+            ids, texts, used = [], [], 0
+    if ids:
+        yield ids, texts

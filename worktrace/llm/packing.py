@@ -41,7 +41,9 @@ SMALL = 1 / 8
 GROUPS = 64
 TOKENIZER = "byte_bpe_50k.json"
 ROWS_PER_SALT = 20_000
-MOST_PARTS = 150_000  # encodings that a worker keeps
+MOST_PARTS = 150_000  # encodings that a task keeps, and
+MOST_BYTES = 8 << 20  # the characters and bytes of them
+SLICE = 1 << 20  # characters split at a time; parts take ten times their length in memory
 
 
 class Encoder:
@@ -65,6 +67,7 @@ class Encoder:
         self.token_bytes = np.zeros(max(ranks.values()) + 1, np.int64)
         self.token_bytes[list(ranks.values())] = [len(t) for t in ranks]
         self.parts: dict[str, bytes] = {}
+        self.kept = 0
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -76,28 +79,36 @@ class Encoder:
         wanted = np.cumsum([len(x.encode()) + 1 for x in parts])
         at = np.searchsorted(ends, wanted)
         if not np.array_equal(ends[at], wanted):
-            self.parts |= {x: self.whole(" " + x) for x in parts}
+            found = {x: self.whole(" " + x) for x in parts}
+            self.parts |= found
+            self.kept += sum(len(x) + len(data) for x, data in found.items())
             return
         data, start = ids.tobytes(), 0
+        self.kept += int(wanted[-1]) + len(data)
         for x, stop in zip(parts, ((at + 1) * 4).tolist()):
             self.parts[x] = data[start:stop]
             start = stop
 
+    def forget(self) -> None:
+        self.parts.clear()
+        self.kept = 0
+
     def batch(self, texts: list[str]) -> list[bytes]:
-        split = [None if "  " in t or t[-1:] == " " or any(x in t for x in self.added) else t.split(" ") for t in texts]
-        for lo in range(0, len(split), 64):
-            if len(self.parts) > MOST_PARTS:
-                self.parts.clear()
-            own = [s for s in split[lo : lo + 64] if s]
-            if new := set().union(*(s[1:] for s in own)).difference(self.parts):
+        out = []
+        for lo in range(0, len(texts), 64):
+            if len(self.parts) > MOST_PARTS or self.kept > MOST_BYTES:
+                self.forget()
+            own = texts[lo : lo + 64]
+            split = [None if "  " in t or t[-1:] == " " or any(x in t for x in self.added) else t.split(" ") for t in own]
+            if new := set().union(*(s[1:] for s in split if s)).difference(self.parts):
                 self.learn(sorted(new))
-            for i in range(lo, min(lo + 64, len(split))):
-                if s := split[i]:
+            for text, s in zip(own, split):
+                if s:
                     first = array("I", self.fast.encode_ordinary(s[0])).tobytes()
-                    split[i] = first + b"".join([self.parts[x] for x in s[1:]])
+                    out.append(first + b"".join([self.parts[x] for x in s[1:]]))
                 else:
-                    split[i] = self.whole(texts[i])
-        return split
+                    out.append(self.whole(text))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -112,7 +123,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER
     def run(batches):
         encode = _encoder(tokenizer)
         for batch in batches:
-            for ids, texts in slices(batch):
+            for ids, texts in slices(batch, SLICE):
                 rows: tuple[list, ...] = ([], [], [], [], [])
                 for doc_id, data in zip(ids, encode.batch([t or "" for t in texts])):
                     data += end
@@ -124,6 +135,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER
                             column.append(value)
                         piece, start, stop = piece + 1, stop, stop + capacity
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        encode.forget()  # the worker lives on, and serves other operators
 
     kind = docs.schema["doc_id"].dataType
     types = [to_arrow_type(kind), pa.int32(), pa.int64(), pa.int64(), pa.int64()]

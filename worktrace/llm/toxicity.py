@@ -26,6 +26,7 @@ from worktrace.llm.learning import held_out, training_rows
 
 PER_CLASS = 3_000
 THRESHOLD = 0.7
+ROWS = 256  # handed back at a time
 BASE = -9.5  # the logit of a sentence without a telling word
 BEGINNINGS = range(3, 8)
 _END = 1000.0
@@ -189,7 +190,9 @@ def without_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOL
     def run(batches):
         own = Lexicon(weights)
         for batch in batches:
-            keep = [own.score(t.as_py() or "") < threshold for t in batch.column(place)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            for lo in range(0, batch.num_rows, ROWS):  # so that no second copy of a whole batch is made, here or in the JVM
+                part = batch.slice(lo, ROWS)
+                keep = [own.score(t.as_py() or "") < threshold for t in part.column(place)]
+                yield part.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
