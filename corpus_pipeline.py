@@ -9,8 +9,20 @@ from worktrace.llm import line_dedup, minhash, mixing, packing, toxicity
 from worktrace.llm.common import DOCUMENT_COLUMNS, read_table, stored
 
 
+#: Rows of an Arrow batch. Executors hold batches outside their heap, in buffers that double, and texts make 10,000 rows large.
+BATCH_ROWS = 512
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of at most ``BATCH_ROWS`` rows in this session from now on: results are read later, so that it is not set back."""
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold; the model learns from the labelled rows of the whole table."""
+    small_batches(spark)
     lexicon = toxicity.fit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return toxicity.without_toxic(docs.select(*DOCUMENT_COLUMNS), lexicon)
 
@@ -25,6 +37,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of near copies."""
+    small_batches(spark)
     gone = minhash.near_duplicates(docs.select("doc_id", "text")).where("not kept").select(F.col("doc_id").alias("_gone"))
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*DOCUMENT_COLUMNS)
 
@@ -36,6 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their places in sequences."""
+    small_batches(spark)
     return packing.pack(docs)
 
 

@@ -444,6 +444,20 @@ def test_workers_hold_a_slice_of_a_batch_and_forget_it():
     encode.forget()
 
 
+def test_pipeline_hands_workers_small_batches(spark, docs, texts):
+    import corpus_pipeline
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    try:
+        for own, wanted in (("10000", corpus_pipeline.BATCH_ROWS), ("0", corpus_pipeline.BATCH_ROWS), ("100", 100)):
+            spark.conf.set(key, own)
+            kept = corpus_pipeline.drop_toxic(spark, docs, SF)
+            assert int(spark.conf.get(key)) == wanted
+        assert 0 < kept.count() < len(texts)
+    finally:
+        spark.conf.unset(key)
+
+
 def test_packing_is_whole_and_gapless(spark, docs, texts, odd):
     from tokenizers import Tokenizer
 
