@@ -203,3 +203,36 @@ def test_equal_rows_are_learned_once_with_their_number():
     assert np.allclose(plain.values(bins), once.values(bins), atol=1e-12)
     found, place = trees.distinct(bins)
     assert len(found) == 64 and (found[place] == bins).all() and [len(x) for x in trees.distinct(bins[:0])] == [0, 0]
+
+
+def test_trees_learn_from_every_row(spark):
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.random((6000, 2)), np.arange(6000) % 100 == 7])  # all different; a rare value alone has the label
+    y = np.where(x[:, 2] > 0, 1, rng.random(6000) < 0.1 + 0.2 * ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.3)))
+    df = spark.createDataFrame([(*map(float, v), float(c), 4.0 if c else 0.6) for v, c in zip(x, y)], "a double, b double, c double, label double, weight double").repartition(3)
+    block, lineage, trees.BLOCK_ROWS, trees.LINEAGE = trees.BLOCK_ROWS, trees.LINEAGE, 500, 4
+    try:
+        one, many = (trees.fit_trees(df, ["a", "b", "c"], rounds=6, least_rows=40, most_rows=n) for n in (1_000_000, 500))
+    finally:
+        trees.BLOCK_ROWS, trees.LINEAGE = block, lineage
+    shape = lambda m: [(t.feature, t.bin, t.left, t.right) for t in m.trees]
+    assert shape(one) == shape(many) and np.allclose(one.base, many.base) and all(np.allclose(a.value, b.value) for a, b in zip(one.trees, many.trees))
+    assert any(2 in t.feature for t in many.trees)  # 60 rows of the rare value, of which a sample of 500 has about five
+
+
+def test_rows_are_counted_wherever_they_are(spark):
+    df = spark.createDataFrame([(float(i % 4), float(i % 4 > 1), 1.0) for i in range(4000)], "a double, label double, weight double")
+    cuts = trees.bin_cuts(df, ["a"])
+    one, many = (sorted(map(tuple, trees.counted_rows(df.repartition(n), ["a"], cuts, 0.1).collect())) for n in (1, 7))
+    assert one == many and len(one) == 4 and all(learned + held == 1000 and 60 < held < 140 for *_, learned, held in one) and len({held for *_, held in one}) > 1
+
+
+def test_a_tree_looked_ahead_for_is_the_same():
+    rng = np.random.default_rng(8)
+    bins = rng.integers(0, 30, (5000, 4)).astype(np.uint8)
+    gradient, copies, calls = rng.standard_normal(5000) + np.sin(bins[:, 0]) * (bins[:, 1] > 9), rng.integers(0, 3, 5000).astype(float), []
+    plain = trees.grow(bins, gradient * copies, copies, 1.0, 20, 50, copies)
+    part = trees.Part(bins, gradient * copies, copies, copies)
+    ahead = trees.best_first(part.sums(0), lambda splits: calls.append(len(splits)) or part.halves(splits), 1.0, 20, 50, True)
+    assert vars(ahead).keys() == vars(plain).keys() and all(np.allclose(vars(ahead)[k], vars(plain)[k]) for k in vars(plain))
+    assert len(calls) < 19

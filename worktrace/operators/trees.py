@@ -1,20 +1,26 @@
 """Gradient-boosted trees by histograms: binned features, best-first growth, balanced weights.
 
-Features are cut into bins at their quantiles over all rows (sketches of bounded size). A model is fitted to a sample of ``most_rows``
-rows at most, as bytes of bins, in one task of an executor, since each split depends on the one before; scoring runs over all rows. Of
-two sibling leaves only the smaller is added up, the other is the difference to their parent. The leaf of the greatest gain is split
-first, until a tree has ``leaves`` of them.
+Features are cut into bins at their quantiles over all rows (sketches of bounded size). A model is fitted to all rows: those of the same
+bins, label and weight are counted first, and are one row with its number from then on. While there are ``most_rows`` of these at most,
+one task of an executor learns from them, since each split depends on the one before; more of them stay dealt over tasks in blocks, and a
+job adds up the sums of all leaves that may be split next, which are of one size whatever the rows. Both ways grow the same trees. Of two sibling
+leaves only the smaller is added up, the other is the difference to their parent. The leaf of the greatest gain is split first, until a
+tree has ``leaves`` of them.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+import pickle
+from collections.abc import Callable, Iterable, Sequence
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +28,11 @@ from worktrace.sources.storage import stored
 
 BINS = 255
 LEAST_HESSIAN = 1e-3
+#: Different rows that one task learns from; more are learned from by all tasks.
 MOST_ROWS = 1_000_000
+BLOCK_ROWS = 1 << 16
+#: Trees after which scores are made anew from the rows, so that the lineage of scores stays short.
+LINEAGE = 25
 
 
 @dataclass
@@ -123,11 +133,12 @@ def bin_cuts(rows: DataFrame, names: Sequence[str], bins: int = BINS) -> list[np
 
 def _sums(bins: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, rows: np.ndarray, copies: np.ndarray | None = None) -> np.ndarray:
     """Gradients, hessians and counts (3 x feature x bin) of some rows; ``copies`` is how many rows a row stands for."""
-    features, width = bins.shape[1], BINS + 1
-    at = (bins[rows] + np.arange(features) * width).ravel()
-    each = lambda x: np.repeat(x[rows], features)
-    parts = [np.bincount(at, weights, features * width) for weights in (each(gradient), each(hessian), None if copies is None else each(copies))]
-    return np.stack(parts).reshape(3, features, width)
+    weights = [gradient[rows], hessian[rows], None if copies is None else copies[rows]]
+    out = np.empty((3, bins.shape[1], BINS + 1))
+    for feature in range(bins.shape[1]):  # one at a time: a row of places for all of them would be 8 bytes each
+        at = bins[rows, feature].astype(np.intp)
+        out[:, feature] = [np.bincount(at, w, BINS + 1) for w in weights]
+    return out
 
 
 def best_split(sums: np.ndarray, least_rows: int) -> tuple[float, int, int]:
@@ -142,100 +153,262 @@ def best_split(sums: np.ndarray, least_rows: int) -> tuple[float, int, int]:
     return float(gain[feature, at]), int(feature), int(at)
 
 
-def grow(bins: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, step: float, leaves: int, least_rows: int, copies: np.ndarray | None = None) -> Tree:
-    """A tree for the gradients and hessians of rows (sums, where a row stands for ``copies`` of them); the leaf of the greatest gain is split first, of equal ones the first made."""
-    tree = Tree()
-    rows = {0: np.arange(len(bins))}
-    sums = {0: _sums(bins, gradient, hessian, rows[0], copies)}
+#: A leaf, the feature and the last bin that goes left, the leaves that its rows go to, and the smaller of these.
+Split = tuple[int, int, int, int, int, int]
+
+
+class Part:
+    """Rows with gradients and hessians (sums, where a row stands for ``copies`` of them), dealt to the leaves of a growing tree."""
+
+    def __init__(self, bins: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, copies: np.ndarray | None = None):
+        self.bins, self.gradient, self.hessian, self.copies = bins, gradient, hessian, copies
+        self.rows = {0: np.arange(len(bins)) if copies is None else np.flatnonzero(copies)}
+
+    def sums(self, leaf: int) -> np.ndarray:
+        return _sums(self.bins, self.gradient, self.hessian, self.rows[leaf], self.copies)
+
+    def halves(self, splits: Iterable[Split]) -> list[np.ndarray]:
+        self.deal(splits)
+        return [self.sums(small) for *_, small in splits]
+
+    def deal(self, splits: Iterable[Split]) -> None:
+        for leaf, feature, at, left, right, _ in splits:
+            own = self.rows.pop(leaf)
+            goes = self.bins[own, feature] <= at
+            self.rows |= {left: own[goes], right: own[~goes]}
+
+
+def best_first(root: np.ndarray, halves: Callable[[list[Split]], Iterable[np.ndarray]], step: float, leaves: int, least_rows: int, ahead: bool = False) -> Tree:
+    """A tree from the sums of all its rows; the leaf of the greatest gain is split first, of equal ones the first made.
+
+    ``halves`` deals the rows of leaves to the sides of their splits and gives the sums of the smaller sides. With ``ahead`` a call deals all
+    leaves that may be split yet (one that has as many better ones before it as splits are left is not), so that there are fewer
+    calls; the tree is the same.
+    """
+    tree, sums, names, sides = Tree(), {0: root}, {0: 0}, {}
     open_: list[tuple[float, int, int, int]] = []  # (-gain, node, feature, bin)
+    new = itertools.count(1)
 
     def offer(node: int) -> None:
         gain, feature, at = best_split(sums[node], least_rows)
         if gain > 1e-12:
             heapq.heappush(open_, (-gain, node, feature, at))
 
+    def look_ahead() -> None:
+        asked = [x for x in sorted(open_)[: leaves - len(sums) if ahead else 1] if x[1] not in sides]
+        splits = []
+        for _, node, feature, at in asked:
+            left, right, counts = next(new), next(new), sums[node][2, feature]
+            splits.append((names[node], feature, at, left, right, left if 2 * counts[: at + 1].sum() <= counts.sum() else right))
+        for (_, node, *_), (*_, left, right, small), own in zip(asked, splits, halves(splits)):
+            other = sums[node] - own
+            sides[node] = [(left, own if small == left else other), (right, own if small == right else other)]
+
     offer(0)
-    while open_ and len(rows) < leaves:
+    while open_ and len(sums) < leaves:
+        if open_[0][1] not in sides:
+            look_ahead()
         _, node, feature, at = heapq.heappop(open_)
-        own, whole = rows.pop(node), sums.pop(node)
-        goes = bins[own, feature] <= at
-        children = tree.split(node, feature, at)
-        rows |= dict(zip(children, (own[goes], own[~goes])))
-        small, large = sorted(children, key=lambda c: len(rows[c]))
-        sums[small] = _sums(bins, gradient, hessian, rows[small], copies)
-        sums[large] = whole - sums[small]
-        for child in children:
+        del sums[node]
+        for child, (names[child], sums[child]) in zip(tree.split(node, feature, at), sides.pop(node)):
             offer(child)
-    for node, own in rows.items():
-        total = hessian[own].sum()
-        tree.value[node] = float(-step * gradient[own].sum() / total) if total > 0 else 0.0
+    for node, own in sums.items():
+        gradient, hessian = own[:2, 0].sum(axis=1)
+        tree.value[node] = float(-step * gradient / hessian) if hessian > 0 else 0.0
     return tree
 
 
-def boosted(
-    bins: np.ndarray, label: np.ndarray, weight: np.ndarray, rounds: int, step: float, leaves: int, least_rows: int, held: float = 0.1, patience: int = 10, seed: int = 42
-) -> tuple[list[Tree], float]:
-    """Trees of the logistic loss, and the score that all begin with; classes of one kind alone give no trees.
+def grow(bins: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, step: float, leaves: int, least_rows: int, copies: np.ndarray | None = None) -> Tree:
+    """A tree for the gradients and hessians of rows (sums, where a row stands for ``copies`` of them)."""
+    part = Part(bins, gradient, hessian, copies)
+    return best_first(part.sums(0), part.halves, step, leaves, least_rows)
+
 
-    A share of ``held`` rows is not learned from: when none of the last ``patience`` trees has made the loss of these less than it was before
-    them, no more are made. Rows of the same bins, label and weight are one row with their number, so that a round costs time by
-    different rows.
-    """
-    aside = np.random.default_rng(seed).random(len(bins)) < held
-    test_bins, test_label, test_weight, test_copies = counted(bins[aside], label[aside], weight[aside])
-    bins, label, weight, copies = counted(bins[~aside], label[~aside], weight[~aside])
-    test_weight, weight = test_weight * test_copies, weight * copies
-    one, zero = float((weight * label).sum()), float((weight * (1 - label)).sum())
-    if not one or not zero:
-        return [], 20.0 if one else -20.0 if zero else 0.0
-    base = float(np.log(one / zero))
-    score, test_score, trees = np.full(len(bins), base), np.full(len(test_bins), base), []
+@dataclass
+class Block:
+    """Different rows with their numbers in what is learned from and in what is held out, and their scores."""
+
+    bins: np.ndarray
+    label: np.ndarray
+    weight: np.ndarray
+    learned: np.ndarray
+    held: np.ndarray
+    score: np.ndarray
+
+    @classmethod
+    def of(cls, batches: Sequence[pa.RecordBatch], features: int, base: float) -> Block:
+        bins = np.frombuffer(b"".join(x for b in batches for x in b.column(0).to_pylist()), np.uint8).reshape(-1, features)
+        values = [np.concatenate([b.column(i).to_numpy() for b in batches] or [np.empty(0)]) for i in range(1, 5)]
+        return cls(np.asfortranarray(bins), *values, np.full(len(bins), base))
+
+    def plus(self, trees: Iterable[Tree]) -> Block:
+        return replace(self, score=reduce(lambda score, tree: score + tree.values(self.bins), trees, self.score))
+
+    def part(self) -> Part:
+        p, weight = 1 / (1 + np.exp(-self.score)), self.weight * self.learned
+        return Part(self.bins, weight * (p - self.label), weight * p * (1 - p), self.learned)
+
+    def loss(self) -> float:
+        """The logistic loss of the rows held out."""
+        return float((self.weight * self.held * (np.logaddexp(0, self.score) - self.label * self.score)).sum())
+
+
+class OneBlock:
+    """Rows that one task learns from."""
 
-    def loss() -> float:
-        return float((test_weight * (np.logaddexp(0, test_score) - test_label * test_score)).sum() / max(test_weight.sum(), 1e-12))
+    ahead = False
 
-    losses = [loss()]
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-score))
-        tree = grow(bins, weight * (p - label), weight * p * (1 - p), step, leaves, least_rows, copies)
-        trees.append(tree)
-        if tree.feature[0] < 0:
+    def __init__(self, block: Block):
+        self.block = block
+
+    def begin(self, *more: Tree) -> tuple[np.ndarray, float]:
+        """The sums of all rows, and the loss, when ``more`` trees are added to the scores."""
+        self.block = self.block.plus(more)
+        self.part = self.block.part()
+        return self.part.sums(0), self.block.loss()
+
+    def halves(self, splits: list[Split]) -> list[np.ndarray]:
+        return self.part.halves(splits)
+
+
+class DealtBlocks:
+    """Rows that all tasks learn from: scores are kept in blocks, and a job adds up the sums of the leaves asked for."""
+
+    ahead = True
+
+    def __init__(self, groups: DataFrame, cuts: Sequence[np.ndarray], base: float):
+        features = len(cuts)
+
+        def blocks(batches):
+            open_ = []
+            for batch in batches:
+                open_.append(batch)
+                if sum(map(len, open_)) >= BLOCK_ROWS:
+                    yield pa.RecordBatch.from_pydict({"block": [pickle.dumps(Block.of(open_, features, base))]})
+                    open_ = []
+            if open_:
+                yield pa.RecordBatch.from_pydict({"block": [pickle.dumps(Block.of(open_, features, base))]})
+
+        self.blocks = groups.mapInArrow(blocks, "block binary").rdd.map(lambda row: pickle.loads(row[0]))
+        self.scored, self.trees = None, []
+        self.cells = np.arange(BINS + 1) <= np.array([[len(c)] for c in cuts])  # what sums of a feature can hold
+
+    def begin(self, *more: Tree) -> tuple[np.ndarray, float]:
+        before, self.trees = self.scored, [*self.trees, *more]
+        anew = before is None or len(self.trees) % LINEAGE == 0
+        start, added, cells = (self.blocks, list(self.trees), self.cells) if anew else (before, more, self.cells)
+        self.scored = start.map(lambda block: block.plus(added)).persist(StorageLevel.MEMORY_AND_DISK)
+        self.splits: list[Split] = []
+        total = self._added(lambda block: np.append(block.part().sums(0)[:, cells], block.loss()))
+        if before is not None:
+            before.unpersist()
+        return self._whole(total[:-1].reshape(1, 3, -1))[0], float(total[-1])
+
+    def halves(self, splits: list[Split]) -> np.ndarray:
+        self.splits += splits
+        smalls, cells, need, way = [s[-1] for s in splits], self.cells, {s[-1] for s in splits}, []
+        for split in reversed(self.splits):  # only those on the way to what is asked for
+            if need & {split[3], split[4]}:
+                need.add(split[0])
+                way.insert(0, split)
+
+        def sums(block: Block) -> np.ndarray:
+            part = block.part()
+            part.deal(way)
+            return np.stack([part.sums(small)[:, cells] for small in smalls])
+
+        return self._whole(self._added(sums))
+
+    def close(self) -> None:
+        if self.scored is not None:
+            self.scored.unpersist()
+
+    def _added(self, of: Callable[[Block], np.ndarray]) -> np.ndarray:
+        def run(blocks):
+            total = None
+            for block in blocks:
+                total = of(block) if total is None else total + of(block)
+            return [] if total is None else [total]
+
+        return self.scored.mapPartitions(run).treeReduce(np.add)
+
+    def _whole(self, sums: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(sums), 3, *self.cells.shape))
+        out[:, :, self.cells] = sums
+        return out
+
+
+def boosted(rows: OneBlock | DealtBlocks, held: float, rounds: int, step: float, leaves: int, least_rows: int, patience: int = 10) -> list[Tree]:
+    """Trees of the logistic loss.
+
+    ``held`` is the weight of the rows that are not learned from: when none of the last ``patience`` trees has made the loss of these
+    less than it was before them, no more are made.
+    """
+    trees: list[Tree] = []
+    root, loss = rows.begin()
+    losses = [loss / max(held, 1e-12)]
+    while len(trees) < rounds:
+        trees.append(best_first(root, rows.halves, step, leaves, least_rows, rows.ahead))
+        if trees[-1].feature[0] < 0 or len(trees) == rounds:
             break
-        score += tree.values(bins)
-        test_score += tree.values(test_bins)
-        losses.append(loss())
-        if len(test_bins) and len(losses) > patience and min(losses[-patience:]) > losses[-patience - 1] - 1e-7:
+        root, loss = rows.begin(trees[-1])
+        losses.append(loss / max(held, 1e-12))
+        if held and len(losses) > patience and min(losses[-patience:]) > losses[-patience - 1] - 1e-7:
             break
-    return trees, base
+    return trees
 
 
-def fit_trees(rows: DataFrame, names: Sequence[str], rounds: int = 150, step: float = 0.08, leaves: int = 31, least_rows: int = 20, most_rows: int = MOST_ROWS, held: float = 0.1) -> Trees:
-    """A model of ``rows`` with the features ``names``, a 0/1 ``label`` and a ``weight``; without rows it gives 0.5.
+def counted_rows(rows: DataFrame, names: Sequence[str], cuts: Sequence[np.ndarray], held: float) -> DataFrame:
+    """bins, label, weight, learned and held: each different row, and how many of it are learned from and held out.
 
-    Of more than ``most_rows`` rows a share is taken by a hash. Bins come from all rows. Growth ends early as ``boosted`` says.
+    Each copy is held out with the chance ``held`` of its own; with equal shares of all rows, loss on what is held out would fall for trees
+    that learn noise, too. The seed is the row's hash, so that it does not matter which tasks its copies are in.
     """
-    kept = stored(rows.select(*names, "label", "weight"), "tree-rows")
-    n, cuts = kept.count(), bin_cuts(kept, names)
-    if n > most_rows:
-        # Equal rows have one hash: a number of the row's own keeps or drops each of them.
-        place = F.pmod(F.xxhash64(*names, F.monotonically_increasing_id()), F.lit(1 << 30))
-        kept = kept.where(place < int((1 << 30) * (most_rows / n)))
 
     def as_bins(batches):
         for batch in batches:
-            y, w = (batch.column(batch.schema.get_field_index(c)).cast(pa.float64()) for c in ("label", "weight"))
-            bins = np.ascontiguousarray(binned(batch, names, cuts))
-            rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(len(names)), len(bins), [None, pa.py_buffer(bins)])
-            yield pa.RecordBatch.from_arrays([rows.cast(pa.binary()), y, w], names=["bins", "label", "weight"])
+            y, w = (batch.column(batch.schema.get_field_index(c)).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("label", "weight"))
+            bins, y, w, copies = counted(np.ascontiguousarray(binned(batch, names, cuts)), y, w)
+            keys = pa.FixedSizeBinaryArray.from_buffers(pa.binary(len(names)), len(bins), [None, pa.py_buffer(bins)])
+            yield pa.RecordBatch.from_arrays([keys.cast(pa.binary()), pa.array(y), pa.array(w), pa.array(copies)], names=["bins", "label", "weight", "copies"])
+
+    def dealt(batches):
+        for batch in batches:
+            copies, seed = batch.column(3).to_numpy(), batch.column(4).to_numpy().view(np.uint64)
+            aside = ((copies == 1) & (seed / 2.0**64 < held)).astype(float)
+            for i in np.flatnonzero(copies > 1):
+                aside[i] = np.random.default_rng(seed[i]).binomial(int(copies[i]), held)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(copies - aside), pa.array(aside)], names=["bins", "label", "weight", "learned", "held"])
+
+    key, values = ["bins", "label", "weight"], "bins binary, label double, weight double"
+    each = rows.mapInArrow(as_bins, f"{values}, copies double").groupBy(*key).agg(F.sum("copies").alias("copies"))
+    return each.select(*key, "copies", F.xxhash64(*key).alias("seed")).mapInArrow(dealt, f"{values}, learned double, held double")
+
+
+def fit_trees(rows: DataFrame, names: Sequence[str], rounds: int = 150, step: float = 0.08, leaves: int = 31, least_rows: int = 20, most_rows: int = MOST_ROWS, held: float = 0.1) -> Trees:
+    """A model of all ``rows`` with the features ``names``, a 0/1 ``label`` and a ``weight``; without rows it gives 0.5, with one class no trees.
+
+    More than ``most_rows`` different rows are learned from by all tasks instead of one. Growth ends early as ``boosted`` says.
+    """
+    names = list(names)
+    kept = stored(rows.select(*names, "label", "weight"), "tree-rows")
+    cuts = bin_cuts(kept, names)
+    groups = stored(counted_rows(kept, names, cuts, held), "tree-groups")
+    learned, y = F.col("weight") * F.col("learned"), F.col("label")
+    n, one, zero, aside = groups.agg(F.count("*"), F.sum(learned * y), F.sum(learned * (1 - y)), F.sum(F.col("weight") * F.col("held"))).first()
+    if not one or not zero:
+        return Trees(names, cuts, [], 20.0 if one else -20.0 if zero else 0.0)
+    base = float(np.log(one / zero))
+    if n > most_rows:
+        dealt = DealtBlocks(groups, cuts, base)
+        try:
+            return Trees(names, cuts, boosted(dealt, aside, rounds, step, leaves, least_rows), base)
+        finally:
+            dealt.close()
 
     def fitted(batches):
-        parts = [(b"".join(b.column(0).to_pylist()), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches]
-        label, weight = (np.concatenate([p[i] for p in parts] or [np.empty(0)]) for i in (1, 2))
-        bins = np.frombuffer(b"".join(p[0] for p in parts), np.uint8).reshape(len(label), len(names))
-        trees, base = boosted(bins, label, weight, rounds, step, leaves, least_rows, held)
-        model = Trees(list(names), cuts, trees, base)
-        yield pa.RecordBatch.from_arrays([pa.array([model.to_json()])], names=["model"])
-
-    samples = kept.mapInArrow(as_bins, "bins binary, label double, weight double").repartition(1).mapInArrow(fitted, "model string")
-    found = samples.collect()  # one model: rounds x leaves
-    return Trees.from_json(found[0]["model"]) if found else Trees(list(names), cuts, [], 0.0)
+        trees = boosted(OneBlock(Block.of(list(batches), len(names), base)), aside, rounds, step, leaves, least_rows)
+        yield pa.RecordBatch.from_arrays([pa.array([Trees(names, cuts, trees, base).to_json()])], names=["model"])
+
+    alone = groups.repartition(1).sortWithinPartitions("bins", "label", "weight").mapInArrow(fitted, "model string")
+    return Trees.from_json(alone.first()["model"])  # one model: rounds x leaves
