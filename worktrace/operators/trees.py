@@ -33,6 +33,8 @@ MOST_ROWS = 1_000_000
 BLOCK_ROWS = 1 << 16
 #: Trees after which scores are made anew from the rows, so that the lineage of scores stays short.
 LINEAGE = 25
+#: Sums of so many tasks are added up on the driver, those of more by tasks first.
+FEW_PARTS = 64
 
 
 @dataclass
@@ -330,7 +332,8 @@ class DealtBlocks:
                 total = of(block) if total is None else total + of(block)
             return [] if total is None else [total]
 
-        return self.scored.mapPartitions(run).treeReduce(np.add)
+        parts = self.scored.mapPartitions(run)
+        return parts.treeReduce(np.add, 1 if parts.getNumPartitions() <= FEW_PARTS else 2)
 
     def _whole(self, sums: np.ndarray) -> np.ndarray:
         out = np.zeros((len(sums), 3, *self.cells.shape))
